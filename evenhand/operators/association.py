@@ -83,8 +83,7 @@ def proxy_detection(
     aggregation, only the cells travel.
     """
     require(df, [*attrs, *features])
-    numeric = [c for c, t in df.dtypes if c in set(features) and t != "string"]
-    edges = bin_edges(df, numeric, keep_discrete=keep_discrete) if numeric else {}
+    edges = bin_edges(df, features, keep_discrete=keep_discrete)
     codes = discretise(df, features, edges)
     wide = df.select(*[F.col(a).cast("string").alias("attr:" + a) for a in attrs], *[c.alias("feat:" + f) for c, f in zip(codes, features)])
     pairs = wide.unpivot(["attr:" + a for a in attrs], ["feat:" + f for f in features], "feature", "value")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from evenhand.functions.numeric import argmax, argmin, as_double, flag, safe_corr
+from evenhand.functions.numeric import argmax, argmin, as_double, flag
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
 from evenhand.plans.longform import group_rates, require, to_long
@@ -105,26 +105,26 @@ def missingness_correlations(df: DataFrame, attrs: Sequence[str], columns: Seque
     )
     types = dict(df.dtypes)
     pairs = [(c, o) for c in columns for o in numeric if c != o]
-    ind = {c: (F.col(c).isNull() if types[c] not in ("double", "float") else F.col(c).isNull() | F.isnan(c)).cast("double")
-           for c in columns}
-    agg = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(o).alias("other"),
-                F.count(as_double(F.col(o))).alias("n"),
-                safe_corr(ind[c], as_double(F.col(o))).alias("r"),
-                F.sum(ind[c]).alias("m"),
-            ).alias(f"p{i}")
-            for i, (c, o) in enumerate(pairs)
-        ]
+    gone = {c: F.col(c).isNull() if types[c] not in ("double", "float") else F.col(c).isNull() | F.isnan(c) for c in columns}
+    x = {o: as_double(F.col(o)) for o in numeric}
+    # r of a 0/1 indicator follows from the mean where it is 1 and the overall mean and deviation
+    wide = df.agg(
+        *[F.struct(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).alias("x:" + o) for o, v in x.items()],
+        *[F.count_if(g).alias("g:" + c) for c, g in gone.items()],
+        *[F.struct(F.count(F.when(gone[c], x[o])).alias("n"), F.avg(F.when(gone[c], x[o])).alias("m")).alias(f"p:{c}:{o}") for c, o in pairs],
     )
+
+    def pair(c: str, o: str) -> Column:
+        every, part = F.col(f"`x:{o}`"), F.col(f"`p:{c}:{o}`")
+        r = F.try_divide((part["m"] - every["m"]) * F.sqrt(part["n"] / F.nullif(every["n"] - part["n"], F.lit(0))), every["s"])
+        return F.struct(F.lit(c).alias("column_name"), F.lit(o).alias("other"), every["n"].alias("n"), r.alias("r"), F.col(f"`g:{c}`").alias("g"))
+
     numeric_rows = (
-        agg.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
-        .filter((F.col("m") > 0) & (F.col("n") > 10) & F.col("r").isNotNull())
+        wide.select(F.inline(F.array(*[pair(c, o) for c, o in pairs])))
+        .filter((F.col("g") > 0) & (F.col("n") > 10) & F.col("r").isNotNull())
         .select("column_name", "other", F.lit("numeric").alias("kind"), "r", "n")
-    )
-    both = sensitive.unionByName(numeric_rows) if pairs else sensitive
+    ) if pairs else None
+    both = sensitive if numeric_rows is None else sensitive.unionByName(numeric_rows)
     return both.withColumn("p", corr_p("r", "n"))
 
 

@@ -75,12 +75,11 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 2000) -> Da
     ``max_values`` values is refused, use :func:`one_hot_vectors` for it.
     """
     require(df, columns)
-    values = to_long(df, columns).groupBy("attribute", "grp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["attribute"]: r["k"] for r in values.groupBy("attribute").agg(F.count(F.lit(1)).alias("k")).collect()}
-    wide = [c for c, k in sizes.items() if k > max_values]
-    if wide:
-        raise ValueError(f"more than {max_values} values in {wide}; use one_hot_vectors")
-    names = sorted((r["attribute"], r["grp"]) for r in values.select("attribute", "grp").collect())
+    most = max_values * len(columns)
+    names = sorted((r["attribute"], r["grp"]) for r in to_long(df, columns).select("attribute", "grp").distinct().limit(most + 1).collect())
+    wide = [c for c in columns if sum(n == c for n, _ in names) > max_values]
+    if wide or len(names) > most:
+        raise ValueError(f"more than {max_values} values in {wide or columns}; use one_hot_vectors")
     codes = [
         F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}")
         for col in columns for c, v in names if c == col
@@ -171,17 +170,20 @@ def table_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
 
 
 def detect_sensitive(df: DataFrame, match: str = "substring") -> DataFrame:
-    """Columns whose name contains a hint, with the filled share of the column.
+    """Columns whose name contains a hint, with their number of nulls; only those columns are read.
 
     ``match="token"`` wants the hint as a whole ``_``-separated word (``page`` is then no ``age``).
     """
-    profile = table_profile(df, distinct="approx")
-    name = F.lower("column_name")
-    hints = F.array(*[F.lit(h) for h in SENSITIVE_HINTS])
-    found = F.filter(hints, (lambda h: F.array_contains(F.split(name, "_"), h)) if match == "token" else (lambda h: F.contains(name, h)))
-    return profile.withColumn("hint", found[0] if match == "token" else F.try_element_at(found, F.lit(1))).filter(
-        F.col("hint").isNotNull()
-    ).select("position", "column_name", "hint", "n_null")
+    found = []
+    for i, c in enumerate(df.columns):
+        name = c.lower()
+        hint = next((h for h in SENSITIVE_HINTS if (h in name.split("_") if match == "token" else h in name)), None)
+        if hint:
+            found.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(hint).alias("hint"), F.count_if(F.col(c).isNull()).alias("n_null")))
+    if not found:
+        return df.sparkSession.createDataFrame([], "position int, column_name string, hint string, n_null bigint")
+    wide = df.agg(*[f.alias(f"c{i}") for i, f in enumerate(found)])
+    return wide.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(found))])))
 
 
 def detect_target(df: DataFrame) -> DataFrame:

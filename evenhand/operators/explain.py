@@ -83,7 +83,7 @@ def feature_proxy_report(df: DataFrame, proxies: DataFrame, coefficients: dict[s
     phis = linear_phi(df, coefficients)
     wide = df.agg(*[F.struct(F.lit(f).alias("feature"), F.avg(F.abs(c)).alias("importance")).alias(f"f{i}") for i, (f, c) in enumerate(phis.items())])
     importance = wide.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(phis))])))
-    joined = proxies.join(importance, "feature").withColumn("score", F.round(F.col("cramers_v") * F.col("importance"), 6))
+    joined = proxies.join(importance, "feature").withColumn("score", F.round(F.col("cramers_v") * F.col("importance"), 8))
     order = W.partitionBy("attribute").orderBy(F.col("score").desc(), "feature")
     return joined.select("attribute", "feature", "cramers_v", F.round("importance", 6).alias("importance"), "score", F.row_number().over(order).alias("rank"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from evenhand.functions.numeric import argmax, argmin, cap1, ratio
 from evenhand.operators.association import chi_square_tests
 from evenhand.plans import defaults
+from evenhand.plans.association import binary_tests, with_p
 from evenhand.plans.longform import group_rates, to_long
 from evenhand.plans.quantiles import bin_edges, discretise
 
@@ -96,15 +97,20 @@ def outcome_vs_label(df: DataFrame, outcomes: DataFrame, key: str, attrs: Sequen
     )
 
 
-def label_bias_score(df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of three kinds of score per attribute: rate gap, dependence test, two-group contrast."""
-    gap = label_disparity(df, attrs, target, by).select(*by, cap1(F.col("gap") / 50.0).alias("s"))
-    test = label_independence(df, attrs, target, by).select(*by, F.when(F.col("significant"), 0.8).otherwise(0.1).alias("s"))
-    pair = counterfactual_gap(df, attrs, target, by).filter("status <> 'skipped'").select(
-        *by, F.when(F.col("status") == "biased", 0.9).otherwise(cap1(F.col("gap") / 30.0)).alias("s")
-    )
-    scores = gap.unionByName(test).unionByName(pair)
-    return scores.groupBy(*by).agg(
+def label_bias_score(df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str] = (), alpha: float = defaults.ALPHA) -> DataFrame:
+    """Mean of up to three scores per attribute: rate gap, dependence test, two-group contrast.
+
+    All three follow from one table of group rates, so the rows are read once.
+    """
+    keys = [*by, "attribute"]
+    pct = F.round(F.col("rate") * 100, 2)
+    extra = {"gap": F.round(F.max(pct) - F.min(pct), 2), "rate_1": F.min_by("rate", "grp"), "rate_2": F.max_by("rate", "grp")}
+    tests = with_p(binary_tests(group_rates(df, attrs, target, by), keys, extra=extra), keys, F.col("min_expected") < defaults.FISHER_CELL)
+    contrast = F.abs(F.col("rate_1") - F.col("rate_2"))
+    pair = F.when(contrast > 0.15, 0.9).otherwise(cap1(F.round(contrast * 100, 2) / 30.0))
+    scores = F.array(cap1(F.col("gap") / 50.0), F.when(F.col("p_value") < alpha, 0.8).otherwise(0.1), F.when(F.col("r") == 2, pair))
+    each = tests.select(*by, F.explode(scores).alias("s")).filter(F.col("s").isNotNull())
+    return each.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_scores"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 4).alias("label_bias")
     )
 

@@ -14,6 +14,7 @@ from evenhand.plans.association import binary_tests
 from evenhand.plans.longform import group_rates, to_long
 from evenhand.plans.ordered import add_piece, cut_points, running_sums
 from evenhand.plans.quantiles import bin_edges, discretise
+from evenhand.sources.tables import written
 
 # Inner edges of five equal calibration bins, as the float steps of linspace(0, 1, 6).
 CALIBRATION_EDGES = (0.2, 0.4, 0.6000000000000001, 0.8)
@@ -125,7 +126,7 @@ def wasserstein_prob(df: DataFrame, attrs: Sequence[str], prob: str, concern: fl
     groups are skipped.
     """
     long = to_long(df, attrs, [as_double(F.col(prob)).alias("p")]).filter(F.col("p").isNotNull())
-    scores = long.groupBy("attribute", "grp", "p").agg(F.count(F.lit(1)).alias("n"))
+    scores = written(long.groupBy("attribute", "grp", "p").agg(F.count(F.lit(1)).alias("n")), "scores")
     pair = scores.groupBy("attribute", "grp").agg(F.sum("n").alias("n")).groupBy("attribute").agg(
         F.count(F.lit(1)).alias("n_groups"), F.min("grp").alias("group_1"), F.max("grp").alias("group_2"),
         F.min_by("n", "grp").alias("t1"), F.max_by("n", "grp").alias("t2"),
@@ -136,7 +137,7 @@ def wasserstein_prob(df: DataFrame, attrs: Sequence[str], prob: str, concern: fl
         F.sum(F.when(F.col("grp") == F.col("group_2"), F.col("n")).otherwise(0)).alias("n2"),
         F.first("t1").alias("t1"), F.first("t2").alias("t2"),
     )
-    run = running_sums(add_piece(points, "p", cut_points(df.select(as_double(F.col(prob)).alias("p")), "p")), ["attribute"], "p", ["n1", "n2"])
+    run = running_sums(add_piece(points, "p", cut_points(scores, "p")), ["attribute"], "p", ["n1", "n2"])
     area = F.abs(F.col("run_n1") / F.col("t1") - F.col("run_n2") / F.col("t2")) * (F.col("next_value") - F.col("p"))
     dist = run.groupBy("attribute").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("w"))
     out = pair.join(dist, "attribute", "left")

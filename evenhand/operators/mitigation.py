@@ -89,9 +89,9 @@ def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: in
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(target).cast("int").alias("y"), score.alias("p")).filter(
         F.col("grp").isNotNull() & F.col("y").isNotNull() & F.col("p").isNotNull()
     )
-    curve = rows.groupBy("grp", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    totals = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.sum("y").alias("total_pos"))
-    run = running_sums(add_piece(curve, "p", cut_points(rows, "p")), ["grp"], "p", ["n", "pos"], descending=True)
+    curve = written(rows.groupBy("grp", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "curve")
+    totals = curve.groupBy("grp").agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
+    run = running_sums(add_piece(curve, "p", cut_points(curve, "p")), ["grp"], "p", ["n", "pos"], descending=True)
     # point i decides "score above p_i": it selects what ran up before it
     sel, tp = F.col("run_n") - F.col("n"), F.col("run_pos") - F.col("pos")
     below = run.join(totals, "grp").select("grp", F.col("p").alias("threshold"), sel.alias("sel"), tp.alias("tp"), "run_n", "total", "total_pos")

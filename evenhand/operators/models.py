@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenhand.functions.numeric import as_double
 from evenhand.plans.longform import to_long
 from evenhand.plans.ordered import first_by_hash
+from evenhand.sources.tables import written
 
 
 def stratified_split(df: DataFrame, key: str, target: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
@@ -34,7 +35,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], target: str, kind:
     if weight:
         args["weightCol"] = weight
     if kind == "forest":
-        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **args)
+        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024, **args)
     else:
         learner = LogisticRegression(maxIter=50, regParam=1e-4, **args)
     return Pipeline(stages=[imputer, assemble, learner]).fit(cast)
@@ -51,7 +52,7 @@ def score_table(model: PipelineModel, df: DataFrame, features: Sequence[str]) ->
 
 def train_scores(df: DataFrame, key: str, features: Sequence[str], target: str, kind: str = "forest", **kw) -> DataFrame:
     """Split, fit on the train part and score the test part."""
-    parts = stratified_split(df, key, target)
+    parts = written(stratified_split(df, key, target), "split")  # read by every pass of the fit
     model = fit_classifier(parts.filter("split = 'train'"), features, target, kind, **kw)
     return score_table(model, parts.filter("split = 'test'"), features)
 

@@ -40,8 +40,7 @@ def feature_drift(
     With ``attrs`` each group is compared with its own baseline.
     """
     marked = df.withColumn("_base", F.coalesce(baseline, F.lit(False))).withColumn("period", period)
-    numeric = [c for c, t in df.dtypes if c in set(features) and t != "string"]
-    edges = bin_edges(marked.filter("_base"), numeric) if numeric else {}
+    edges = bin_edges(marked.filter("_base"), features)
     codes = [F.coalesce(c, F.lit("null")).alias("feat:" + f) for c, f in zip(discretise(df, features, edges), features)]
     keys = [*by, *(["attribute", "grp"] if attrs else [])]
     wide = marked.select(*by, "_base", "period", *attrs, *codes)

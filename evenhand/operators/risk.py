@@ -10,6 +10,7 @@ from evenhand.functions.hashing import uniform_py
 from evenhand.functions.numeric import cap1, level3
 from evenhand.plans import defaults
 from evenhand.plans.ordered import add_piece, cut_points, running_min_above
+from evenhand.sources.tables import written
 
 
 def risk_components(
@@ -125,8 +126,8 @@ def pareto_frontier(results: DataFrame, key: str = "model_id", accuracy: str = "
     gap at a higher accuracy. Results are first reduced to the smallest gap per accuracy; the
     running minimum works on pieces of the accuracy axis, so a hot key is not sorted in one task.
     """
-    best = results.groupBy(key, accuracy).agg(F.min(gap).alias("_gap"))
-    cuts = cut_points(results, accuracy)
+    best = written(results.groupBy(key, accuracy).agg(F.min(gap).alias("_gap")), "best")
+    cuts = cut_points(best, accuracy)
     run = running_min_above(add_piece(best, accuracy, cuts), [key], accuracy, "_gap")
     kept = run.filter(F.col("best_above").isNull() | (F.col("_gap") < F.col("best_above"))).select(key, accuracy, F.col("_gap").alias(gap))
     return results.join(kept, [key, accuracy, gap], "left_semi").select(*results.columns)

@@ -69,7 +69,7 @@ components AS (
   SELECT unnest(['cramers_v','dp_gap','imbalance_ratio','missing_gap','explainability_disparity','label_bias']) AS component),
 risk_inputs AS (
   SELECT 'm' || p_partkey::varchar AS model_id, component,
-    round({_u("'m' || p_partkey::varchar || '-' || component", 'v')}, 4) AS value
+    {_u("'m' || p_partkey::varchar || '-' || component", 'v')} AS value
   FROM part, components)
 """
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType
 
 from evenhand.functions.numeric import as_double
 
@@ -24,6 +25,25 @@ _FEW = 64  # below this estimate the distinct values are listed exactly
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
+    return {c: q for c, (q, _) in _quantiles(df, columns, probs, 0).items()}
+
+
+def bin_edges(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUINTILES, keep_discrete: int = 5
+) -> dict[str, list[float] | None]:
+    """Distinct quantile edges per column; None where the column stays discrete.
+
+    ``keep_discrete=0`` bins every numeric column, also a 0/1 one (which then collapses to one bin).
+    Columns that are not numeric are always discrete.
+    """
+    numeric = [f.name for f in df.schema.fields if f.name in set(columns) and isinstance(f.dataType, NumericType)]
+    found = _quantiles(df, numeric, probs, keep_discrete)
+    edges: dict[str, list[float] | None] = {c: None for c in columns}
+    return edges | {c: None if q is None or (few is not None and few <= keep_discrete) else sorted(set(q)) for c, (q, few) in found.items()}
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int) -> dict[str, tuple[list[float] | None, int | None]]:
+    """Quantiles of each column, with its number of distinct values where that may be ``limit`` or less."""
     cols = list(columns)
     if not cols:
         return {}
@@ -35,79 +55,90 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         *[F.percentile_approx(c, grid, _ACCURACY).alias("q:" + c) for c in cols],
         *[F.min(c).alias("lo:" + c) for c in cols],
         *[F.max(c).alias("hi:" + c) for c in cols],
+        *([F.approx_count_distinct(c).alias("d:" + c) for c in cols] if limit else []),
     ).first()
-    wanted: list[tuple[str, int, int, float, float]] = []  # column, rank index, slot, lower, upper
-    out: dict[str, list[float] | None] = {}
-    plan: dict[str, list[tuple[int, float]]] = {}
-    for c in cols:
-        n = first["n:" + c]
-        if not n:
-            out[c] = None
-            continue
+    out: dict[str, tuple[list[float] | None, int | None]] = {c: (None, None) for c in cols if not first["n:" + c]}
+    todo = [c for c in cols if first["n:" + c]]
+    ranks = {c: sorted({r for p in probs for r in (floor(p * (first["n:" + c] - 1)), ceil(p * (first["n:" + c] - 1)))}) for c in todo}
+    # few values by the sketch: count them all, which also gives their exact number
+    listed = {c for c in todo if limit and first["d:" + c] <= max(_FEW, 2 * limit)}
+    brackets = {}
+    for c in todo:
         at = dict(zip(grid, first["q:" + c]))
-        plan[c] = []
-        for slot, p in enumerate(probs):
-            h = p * (n - 1)
-            plan[c].append((slot, h))
-            lower, upper = at[min(max(p - margin, 0.0), 1.0)], at[min(max(p + margin, 0.0), 1.0)]
-            wanted.append((c, floor(h), slot, lower, upper))
-            wanted.append((c, ceil(h), slot, lower, upper))
-    ranks = _values_at(wide, wanted)
-    misses = [w for w in wanted if (w[0], w[1], w[2]) not in ranks]
-    if misses:  # the sketch bracket missed the rank: widen it to the whole column
-        whole = [(c, i, s, first["lo:" + c], first["hi:" + c]) for c, i, s, _, _ in misses]
-        ranks.update(_values_at(wide, whole))
-    for c, slots in plan.items():
-        vals = []
-        for slot, h in slots:
-            a, b = ranks[(c, floor(h), slot)], ranks[(c, ceil(h), slot)]
-            vals.append(a + (b - a) * (h - floor(h)))
-        out[c] = vals
+        spans = [(at[min(max(p - margin, 0.0), 1.0)], at[min(max(p + margin, 0.0), 1.0)]) for p in probs]
+        brackets[c] = [(first["lo:" + c], first["hi:" + c])] if c in listed else _merged(spans)
+    values, sizes = _values_at(wide, brackets, ranks)
+    missed = {c: [i for i in ranks[c] if (c, i) not in values] for c in todo}
+    missed = {c: r for c, r in missed.items() if r}
+    if missed:  # the sketch bracket did not reach the rank: widen it to the whole column
+        again, _ = _values_at(wide, {c: [(first["lo:" + c], first["hi:" + c])] for c in missed}, missed)
+        values.update(again)
+    for c in todo:
+        q = []
+        for p in probs:
+            h = p * (first["n:" + c] - 1)
+            lo, hi = values[(c, floor(h))], values[(c, ceil(h))]
+            q.append(lo + (hi - lo) * (h - floor(h)))
+        out[c] = (q, sizes.get(c) if c in listed else None)
+    return out
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Overlapping intervals joined, in order."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
     return out
 
 
-def _values_at(wide: DataFrame, wanted: list[tuple[str, int, int, float, float]]) -> dict[tuple[str, int, int], float]:
-    """Values at 0-based ranks, where the bracket of the slot reaches them."""
-    brackets = sorted({(c, s, lo, hi) for c, _, s, lo, hi in wanted})
+def _values_at(
+    wide: DataFrame, brackets: dict[str, list[tuple[float, float]]], ranks: dict[str, list[int]]
+) -> tuple[dict[tuple[str, int], float], dict[str, int]]:
+    """Values at 0-based ranks, where a bracket reaches them, and the values counted per column.
+
+    Even zones lie between the brackets, odd zones are the brackets. A value outside is only
+    counted (with the extremes of its zone); a value inside keeps its own count.
+    """
     if not brackets:
-        return {}
-    rows = [
-        F.struct(
-            F.lit(c).alias("c"),
-            F.lit(s).alias("s"),
-            F.when(F.col(c) < lo, F.lit(0)).when(F.col(c) <= hi, F.lit(1)).otherwise(F.lit(2)).alias("zone"),
-            F.col(c).alias("x"),
-        )
-        for c, s, lo, hi in brackets
-    ]
+        return {}, {}
+    rows = []
+    for c, spans in brackets.items():
+        x, zone = F.col(c), None
+        for i, (lo, hi) in enumerate(spans):
+            zone = F.when(x < lo, 2 * i) if zone is None else zone.when(x < lo, 2 * i)
+            zone = zone.when(x <= hi, 2 * i + 1)
+        rows.append(F.struct(F.lit(c).alias("c"), zone.otherwise(2 * len(spans)).alias("zone"), x.alias("x")))
     zones = wide.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull())
-    # rows outside the bracket collapse to one key per side before the shuffle
-    counted = zones.groupBy("c", "s", "zone", F.when(F.col("zone") == 1, F.col("x")).alias("v")).agg(
+    counted = zones.groupBy("c", "zone", F.when(F.col("zone") % 2 == 1, F.col("x")).alias("v")).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
-    w = W.partitionBy("c", "s").orderBy("zone", "v")
-    run = counted.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    want = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).cast("bigint").alias("i"), F.lit(s).alias("s"))
-                     for c, i, s in sorted({(c, i, s) for c, i, s, _, _ in wanted})])
-    start = F.col("upto") - F.col("n")
+    w = W.partitionBy("c").orderBy("zone", "v")
+    run = counted.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn(
+        "size", F.count("v").over(W.partitionBy("c"))
+    )
+    wanted = F.create_map(*[v for c, r in ranks.items() for v in (F.lit(c), F.array(*[F.lit(i).cast("bigint") for i in r]))])
+    start, rank = F.col("upto") - F.col("n"), F.col("i")
     value = (
-        F.when(F.col("zone") == 1, F.col("v"))
-        .when((F.col("zone") == 0) & (F.col("i") == F.col("upto") - 1), F.col("hi"))
-        .when((F.col("zone") == 2) & (F.col("i") == start), F.col("lo"))
+        F.when(F.col("zone") % 2 == 1, F.col("v"))
+        .when(rank == F.col("upto") - 1, F.col("hi"))
+        .when(rank == start, F.col("lo"))
     )
     hits = (
-        run.withColumn("w", F.explode(F.filter(want, lambda t: (t["c"] == F.col("c")) & (t["s"] == F.col("s")))))
-        .withColumn("i", F.col("w.i"))
-        .filter((F.col("i") >= start) & (F.col("i") < F.col("upto")))
-        .select("c", "i", "s", value.alias("value"))
+        run.withColumn("i", F.explode(wanted[F.col("c")]))
+        .filter((rank >= start) & (rank < F.col("upto")))
+        .select("c", "i", value.alias("value"), "size")
         .filter(F.col("value").isNotNull())
+        .collect()  # at most two rows per column and quantile
     )
-    return {(r["c"], r["i"], r["s"]): r["value"] for r in hits.collect()}  # two rows per column and quantile
+    return {(r["c"], r["i"]): r["value"] for r in hits}, {r["c"]: r["size"] for r in hits}
 
 
 def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:
-    """Columns with at most ``limit`` distinct non-null values: a sketch rules out the clearly
-    larger ones, the rest are listed exactly (their value sets are small)."""
+    """Columns of any type with at most ``limit`` distinct non-null values: a sketch rules out the
+    clearly larger ones, the rest are listed exactly (their value sets are small)."""
     cols = list(columns)
     if not cols:
         return set()
@@ -119,18 +150,6 @@ def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:
     return {c for c in near if exact[c] <= limit}
 
 
-def bin_edges(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUINTILES, keep_discrete: int = 5
-) -> dict[str, list[float] | None]:
-    """Distinct quantile edges per column; None where the column stays discrete.
-
-    ``keep_discrete=0`` bins every column, also a 0/1 one (which then collapses to one bin).
-    """
-    discrete = few_valued(df, columns, keep_discrete) if keep_discrete else set()
-    quant = exact_quantiles(df, [c for c in columns if c not in discrete], probs)
-    return {c: None if c in discrete or quant[c] is None else sorted(set(quant[c])) for c in columns}
-
-
 def bin_index(col: Column, edges: Sequence[float]) -> Column:
     """0-based right-closed bin of a value: the number of inner edges below it."""
     out = F.lit(0)

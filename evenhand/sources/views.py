@@ -120,5 +120,4 @@ def risk_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Long component table, six rows per audited model (one model per part)."""
     p = load(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model_id"))
     long = p.select("model_id", F.explode(F.array(*[F.lit(c) for c in COMPONENTS])).alias("component"))
-    value = F.round(uniform(F.concat("model_id", F.lit("-"), "component"), "v"), 4)
-    return long.withColumn("value", value)
+    return long.withColumn("value", uniform(F.concat("model_id", F.lit("-"), "component"), "v"))
