@@ -19,6 +19,11 @@ def uniform(key: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / F.lit(_RANGE)
 
 
+def uniform_sql(key: str, salt: str) -> str:
+    """:func:`uniform` as a SQL expression: one parse instead of a call per function."""
+    return f"(cast(conv(substring(md5(concat(cast({key} AS string), '-{salt}')), 1, 6), 16, 10) AS double) / {_RANGE}D)"
+
+
 def uniform_py(text: str) -> float:
     """The same number for a plain Python string (used for plan-time literals)."""
     return int(hashlib.md5(text.encode()).hexdigest()[:6], 16) / _RANGE

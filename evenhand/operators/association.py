@@ -283,7 +283,7 @@ def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replic
 
     Resampling n rows with replacement is one multinomial draw over the contingency cells (rows
     with a null form a cell of their own, so n is kept). The cost depends on cells x replicates,
-    not on rows; each (attribute, replicate) is its own group.
+    not on rows; every attribute and batch of replicates is its own group.
     """
     long = to_long(df, attrs, [F.col(target).cast("int").alias("y")], keep_null=True)
     known = F.col("grp").isNotNull() & F.col("y").isNotNull()
@@ -292,13 +292,20 @@ def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replic
     )
     cells = written(cells, "cells")
 
+    # replicates drawn together in one task: fewer where an attribute has many cells
+    batch = max(1, min(25, 2_000_000 // max(cells.count(), 1)))
+
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["grp", "y"], na_position="last")
-        rng = np.random.default_rng([seed, int(key[1]), int(uniform_py(str(key[0])) * 2**24)])
         n = pdf["n"].to_numpy()
-        return pdf.assign(n=rng.multinomial(n.sum(), n / n.sum()))
-
-    spread = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        first = int(key[1])
+        parts = []
+        for replicate in range(first, min(first + batch, replicates + 1)):
+            rng = np.random.default_rng([seed, replicate, int(uniform_py(str(key[0])) * 2**24)])
+            parts.append(pdf.assign(n=rng.multinomial(n.sum(), n / n.sum()), replicate=replicate))
+        return pd.concat(parts)
+
+    spread = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(batch))))
     drawn = spread.groupBy("attribute", "replicate").applyInPandas(draw, spread.schema)
 
     def v_of(table: DataFrame, keys: list[str]) -> DataFrame:

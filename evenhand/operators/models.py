@@ -43,11 +43,11 @@ def fit_classifier(train: DataFrame, features: Sequence[str], target: str, kind:
 
 def score_table(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """The table with ``y_pred`` (0/1) and ``y_prob`` (probability of 1) from the model."""
-    base = df.drop("y_pred", "y_prob")
-    cast = base.select("*", *[as_double(F.col(f)).alias("x:" + f) for f in features])
+    cast = df.select("*", *[as_double(F.col(f)).alias("x:" + f) for f in features])
     out = model.transform(cast)
     prob = vector_to_array("probability")[1]
-    return out.select(*base.columns, F.col("prediction").cast("int").alias("y_pred"), prob.alias("y_prob"))
+    rest = [c for c in df.columns if c not in ("y_pred", "y_prob")]
+    return out.select(*rest, F.col("prediction").cast("int").alias("y_pred"), prob.alias("y_prob"))
 
 
 def train_scores(df: DataFrame, key: str, features: Sequence[str], target: str, kind: str = "forest", **kw) -> DataFrame:

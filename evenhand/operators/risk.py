@@ -93,17 +93,14 @@ def risk_sensitivity(
 ) -> DataFrame:
     """Score range and level stability under perturbed weights; borderline below 85 %.
 
-    The runs are a literal array, scored inside each model's row: no copy of the table per run.
+    All runs are scored as expressions inside each model's row: no copy of the table per run.
     """
-    table = F.array(*[F.array(*[F.lit(r[c]) for c in weights]) for r in perturbed_weights(weights, runs, width)])
-    wide = _wide(components, key, list(weights)).select(key, F.array(*weights).alias("v"))
-    dot = lambda r: F.aggregate(F.zip_with(r, F.col("v"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = wide.withColumn("s", F.transform(table, lambda r: cap1(dot(r))))
+    dots = (" + ".join(f"{r[c]!r}D * `{c}`" for c in weights) for r in perturbed_weights(weights, runs, width))
+    scores = F.expr("array(" + ", ".join(f"least({d}, 1D)" for d in dots) + ")")
+    scored = _wide(components, key, list(weights)).select(key, scores.alias("s"))
     total = lambda col: F.aggregate(col, F.lit(0.0), lambda s, x: s + x)
-    mean = total(F.col("s")) / runs
-    stats = scored.withColumn("_mean", mean).withColumn(
-        "std", F.sqrt(total(F.transform("s", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / runs)
-    )
+    spread = F.transform("s", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))
+    stats = scored.withColumn("_mean", total(F.col("s")) / runs).withColumn("std", F.sqrt(total(spread) / runs))
     low = F.size(F.filter("s", lambda x: x < defaults.RISK_LOW))
     high = F.size(F.filter("s", lambda x: x >= defaults.RISK_HIGH))
     counted = stats.select(key, "s", "std", low.alias("low"), (F.lit(runs) - low - high).alias("medium"), high.alias("high"))

@@ -1,11 +1,11 @@
 """Exact quantiles without gathering a column in one task, and quantile binning.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. Here a
-bounded sketch (``percentile_approx``) first brackets each wanted rank; a second scan counts
-what lies below the bracket and aggregates the few values inside it. The result is exact
-whatever the sketch answered, because the bracket is checked and widened if it missed.
-The outcome is a handful of numbers per column, so it is returned as Python floats, like the
-fitted state of any Spark ML estimator.
+``percentile`` keeps every distinct value of a column in one aggregation buffer. Here each wanted
+rank is bracketed first: while more than ``LIMIT`` rows lie in its bracket, one more scan takes a
+small sketch inside the bracket (about a hundredth of the rows stay). A last scan counts what lies
+between the brackets and aggregates the values inside them. The result is exact whatever the sketch
+answered, because a bracket that misses its rank is widened. The outcome is a handful of numbers per
+column, so it is returned as Python floats, like the fitted state of any Spark ML estimator.
 """
 
 from __future__ import annotations
@@ -13,16 +13,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 from pyspark.sql.types import NumericType
 
 from evenhand.functions.numeric import as_double
 
 QUINTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-_ACCURACY = 20000
+LIMIT = 200_000  # rows of one bracket that the last scan may list
+_GRID = [i / 200 for i in range(201)]
+_ACCURACY = 2000
 _FEW = 64  # below this estimate the distinct values are listed exactly
 
 
+def sketch(col: Column, probs: Sequence[float], accuracy: int) -> Column:
+    """Approximate percentiles, with the list of probabilities as one parsed literal."""
+    return F.percentile_approx(col, F.expr("array(" + ", ".join(f"{p!r}D" for p in probs) + ")"), accuracy)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
     return {c: q for c, (q, _) in _quantiles(df, columns, probs, 0).items()}
@@ -42,47 +49,70 @@ def bin_edges(
     return edges | {c: None if q is None or (few is not None and few <= keep_discrete) else sorted(set(q)) for c, (q, few) in found.items()}
 
 
-def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int) -> dict[str, tuple[list[float] | None, int | None]]:
-    """Quantiles of each column, with its number of distinct values where that may be ``limit`` or less."""
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], few: int) -> dict[str, tuple[list[float] | None, int | None]]:
+    """Quantiles of each column, with its number of distinct values where that may be ``few`` or less."""
     cols = list(columns)
     if not cols:
         return {}
     wide = df.select(*[as_double(F.col(c)).alias(c) for c in cols])
-    margin = 4.0 / _ACCURACY
-    grid = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)})
     first = wide.agg(
-        *[F.count(c).alias("n:" + c) for c in cols],
-        *[F.percentile_approx(c, grid, _ACCURACY).alias("q:" + c) for c in cols],
-        *[F.min(c).alias("lo:" + c) for c in cols],
-        *[F.max(c).alias("hi:" + c) for c in cols],
-        *([F.approx_count_distinct(c).alias("d:" + c) for c in cols] if limit else []),
+        *[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), (F.approx_count_distinct(c) if few else F.lit(None)).alias("d"),
+                   F.lit(0).alias("below"), sketch(F.col(c), _GRID, _ACCURACY).alias("q")).alias(c) for c in cols]
     ).first()
-    out: dict[str, tuple[list[float] | None, int | None]] = {c: (None, None) for c in cols if not first["n:" + c]}
-    todo = [c for c in cols if first["n:" + c]]
-    ranks = {c: sorted({r for p in probs for r in (floor(p * (first["n:" + c] - 1)), ceil(p * (first["n:" + c] - 1)))}) for c in todo}
+    out: dict[str, tuple[list[float] | None, int | None]] = {c: (None, None) for c in cols if not first[c]["n"]}
+    todo = [c for c in cols if first[c]["n"]]
+    places = {c: [p * (first[c]["n"] - 1) for p in probs] for c in todo}
+    ranks = {c: sorted({r for h in places[c] for r in (floor(h), ceil(h))}) for c in todo}
     # few values by the sketch: count them all, which also gives their exact number
-    listed = {c for c in todo if limit and first["d:" + c] <= max(_FEW, 2 * limit)}
-    brackets = {}
-    for c in todo:
-        at = dict(zip(grid, first["q:" + c]))
-        spans = [(at[min(max(p - margin, 0.0), 1.0)], at[min(max(p + margin, 0.0), 1.0)]) for p in probs]
-        brackets[c] = [(first["lo:" + c], first["hi:" + c])] if c in listed else _merged(spans)
+    listed = {c for c in todo if few and first[c]["d"] <= max(_FEW, 2 * few)}
+    whole = {c: (first[c]["lo"], first[c]["hi"]) for c in todo}
+    spans = {(c, r): (*whole[c], 0 if c in listed else first[c]["n"]) for c in todo for r in ranks[c]}
+    spans = _narrow(wide, spans, {(c, *whole[c]): first[c] for c in todo})
+    brackets = {c: _merged([spans[(c, r)] for r in ranks[c]]) for c in todo}
     values, sizes = _values_at(wide, brackets, ranks)
-    missed = {c: [i for i in ranks[c] if (c, i) not in values] for c in todo}
+    missed = {c: [r for r in ranks[c] if (c, r) not in values] for c in todo}
     missed = {c: r for c, r in missed.items() if r}
-    if missed:  # the sketch bracket did not reach the rank: widen it to the whole column
-        again, _ = _values_at(wide, {c: [(first["lo:" + c], first["hi:" + c])] for c in missed}, missed)
-        values.update(again)
+    if missed:  # a sketch bracket did not reach its rank: widen it to the whole column
+        values.update(_values_at(wide, {c: [whole[c]] for c in missed}, missed)[0])
     for c in todo:
         q = []
-        for p in probs:
-            h = p * (first["n:" + c] - 1)
+        for h in places[c]:
             lo, hi = values[(c, floor(h))], values[(c, ceil(h))]
             q.append(lo + (hi - lo) * (h - floor(h)))
-        out[c] = (q, sizes.get(c) if c in listed else None)
+        out[c] = (q, sizes[c] if c in listed else None)
     return out
 
 
+def _narrow(
+    wide: DataFrame, spans: dict[tuple[str, int], tuple[float, float, int]], found: dict[tuple, Row]
+) -> dict[tuple[str, int], tuple[float, float]]:
+    """Brackets (lo, hi) of every (column, rank), narrowed by sketches until few rows lie inside.
+
+    ``found`` holds the sketches of the first scan, which narrow every bracket once for free.
+    """
+    big = {k for k, (lo, hi, n) in spans.items() if n and lo < hi}
+    while big:
+        asked = sorted({(c, *spans[(c, r)][:2]) for c, r in big} - set(found))
+        if asked:
+            inside = [F.col(c).between(lo, hi) for c, lo, hi in asked]
+            got = wide.agg(*[
+                F.struct(F.count_if(F.col(c) < lo).alias("below"), F.count_if(i).alias("n"),
+                         sketch(F.when(i, F.col(c)), _GRID, _ACCURACY).alias("q")).alias(f"b{j}")
+                for j, ((c, lo, hi), i) in enumerate(zip(asked, inside))
+            ]).first()
+            found = found | {a: got[f"b{j}"] for j, a in enumerate(asked)}
+        for c, r in big:
+            lo, hi, _ = spans[(c, r)]
+            at, steps = found[(c, lo, hi)], len(_GRID) - 1
+            share, margin = (r - at["below"]) / max(at["n"], 1), 4.0 / _ACCURACY
+            i, j = max(floor((share - margin) * steps), 0), min(ceil((share + margin) * steps), steps)
+            low, high = (at["q"][i], at["q"][j]) if at["n"] and 0 <= share <= 1 else (lo, hi)
+            # a bracket that does not shrink is one heavy value and its neighbours: list it
+            spans[(c, r)] = (low, high, at["n"] * (j - i) // steps if (low, high) != (lo, hi) else 0)
+        big = {k for k, (lo, hi, n) in spans.items() if n > LIMIT and lo < hi}
+    return {k: (lo, hi) for k, (lo, hi, _) in spans.items()}
+
+
 def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Overlapping intervals joined, in order."""
     out: list[tuple[float, float]] = []

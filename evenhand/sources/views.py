@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.functions.hashing import uniform
+from evenhand.functions.hashing import uniform, uniform_sql
 from evenhand.sources.tables import load
 
 NUMERIC = ["age", "employment_years", "income", "total_price", "branch_tier", "skill_score"]
@@ -19,45 +19,28 @@ ATTRS4 = [*ATTRS, "balance_sign"]
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as decisions, with planted effects on segment and region."""
     o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
-    places = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    key = F.col("o_orderkey")
-    hit = F.col("c_mktsegment").isin("FURNITURE", "MACHINERY")
-    africa = F.col("r_name") == "AFRICA"
-
-    def plus(cond, x: float):
-        return F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-
-    penalty = plus(hit, 0.15) + plus(africa, 0.10) + plus(hit & africa, 0.10)
-    base = (
-        F.lit(0.30)
-        + F.lit(0.40) * uniform(key, "p")
-        + F.lit(0.20) * F.least(F.col("o_totalprice"), F.lit(400000.0)) / F.lit(400000.0)
-        - penalty
+    places = load(spark, sf, "nation").join(load(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    rows = o.join(c, F.expr("o_custkey = c_custkey")).join(places, F.expr("c_nationkey = n_nationkey"))
+    hit = "c_mktsegment IN ('FURNITURE', 'MACHINERY')"
+    penalty = f"(if({hit}, 0.15D, 0D) + if(r_name = 'AFRICA', 0.10D, 0D) + if({hit} AND r_name = 'AFRICA', 0.10D, 0D))"
+    score = f"0.30D + 0.40D * {uniform_sql('o_orderkey', 'p')} + 0.20D * least(o_totalprice, 400000D) / 400000D - {penalty}"
+    scored = rows.selectExpr(
+        "o_orderkey AS record_id",
+        "if(o_orderkey % 97 <> 0, c_mktsegment, NULL) AS segment",
+        "r_name AS region",
+        "o_orderpriority AS priority",
+        "if(c_acctbal < 0, 'debit', 'credit') AS balance_sign",
+        "cast(if(o_orderkey % 211 = 0, -1, 18 + o_custkey % 50) AS int) AS age",
+        "cast(o_orderkey % 60 AS int) AS employment_years",
+        "c_acctbal AS income",
+        "o_totalprice AS total_price",
+        f"cast(least(greatest(if({hit}, 3, 1) + o_orderkey % 3 - 1, 1), 4) AS int) AS branch_tier",
+        f"if(o_orderkey % 20 = 0 OR (o_orderkey % 5 = 0 AND {hit}), NULL, round(100 * {uniform_sql('o_orderkey', 's')}, 2)) AS skill_score",
+        "o_orderdate AS decided_at",
+        f"round(least(greatest({score}, 0.05D), 0.95D), 2) AS y_prob",
+        f"{uniform_sql('o_orderkey', 'u')} AS _u",
     )
-    prob = F.round(F.least(F.greatest(base, F.lit(0.05)), F.lit(0.95)), 2)
-    tier = F.when(hit, 3).otherwise(1) + (key % 3).cast("int") - 1
-    out = rows.select(
-        key.alias("record_id"),
-        F.when(key % 97 != 0, F.col("c_mktsegment")).alias("segment"),
-        F.col("r_name").alias("region"),
-        F.col("o_orderpriority").alias("priority"),
-        F.when(F.col("c_acctbal") < 0, "debit").otherwise("credit").alias("balance_sign"),
-        F.when(key % 211 == 0, -1).otherwise((18 + F.col("o_custkey") % 50).cast("int")).alias("age"),
-        (key % 60).cast("int").alias("employment_years"),
-        F.col("c_acctbal").alias("income"),
-        F.col("o_totalprice").alias("total_price"),
-        F.least(F.greatest(tier, F.lit(1)), F.lit(4)).alias("branch_tier"),
-        F.when(~((key % 20 == 0) | ((key % 5 == 0) & hit)), F.round(100 * uniform(key, "s"), 2)).alias("skill_score"),
-        F.col("o_orderdate").alias("decided_at"),
-        prob.alias("y_prob"),
-        uniform(key, "u").alias("_u"),
-    )
-    return out.select(
-        "*",
-        (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"),
-        (F.col("_u") < F.col("y_prob")).cast("int").alias("approved"),
-    ).drop("_u")
+    return scored.selectExpr("* EXCEPT (_u)", "cast(y_prob >= 0.5D AS int) AS y_pred", "cast(_u < y_prob AS int) AS approved")
 
 
 def doc_audit(spark: SparkSession, sf: str) -> DataFrame:
