@@ -220,8 +220,8 @@ def missingness_class(spark, sf):
 
 @query
 def audit_summary(spark, sf):
-    df, attrs, cols, numeric = _missing(spark, sf)
-    return A.audit_summary(df, attrs, cols, numeric)
+    df, attrs, cols, _ = _missing(spark, sf)
+    return A.audit_summary(df, attrs, cols)
 
 
 # ---- association -------------------------------------------------------------------------------

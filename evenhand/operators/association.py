@@ -13,11 +13,11 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.hashing import uniform, uniform_py
-from evenhand.functions.numeric import as_double, flag, level3
+from evenhand.functions.numeric import as_double, flag, level3, safe_corr
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
 from evenhand.plans.association import binary_tests, chi_square, with_fisher, with_p
-from evenhand.plans.longform import contingency, group_rates, require, to_long
+from evenhand.plans.longform import contingency, group_rates, numeric_among, require, to_long
 from evenhand.plans.quantiles import bin_edges, discretise
 from evenhand.sources.tables import written
 
@@ -44,11 +44,13 @@ def chi_square_tests(
     """Every attribute against the 0/1 target, in one scan: chi2 (Yates at dof 1), p, V, strength.
 
     Fisher's exact test replaces the p-value of a 2x2 whose smallest expected count is below
-    ``fisher_cell``. ``binning="quantile_always"`` also cuts the target into quantiles, which
+    ``fisher_cell``. The V of a numeric attribute with more than five values is that of its
+    quintiles. ``binning="quantile_always"`` also cuts the target into quantiles, which
     collapses a 0/1 column to one bin and makes V zero.
     """
     keys = [*by, "attribute"]
     tests = with_p(binary_tests(group_rates(df, attrs, target, by), keys), keys, F.col("min_expected") < fisher_cell)
+    tests = _quintile_v(tests, df, attrs, target, by)
     v = F.lit(0.0) if binning == "quantile_always" else F.col("cramers_v")
     return tests.withColumn("cramers_v", v).select(
         *keys, "n", "r", "k", "dof",
@@ -59,10 +61,22 @@ def chi_square_tests(
     )
 
 
+def _quintile_v(tests: DataFrame, df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
+    """The tests with V taken from quintiles for numeric attributes with more than five values."""
+    edges = bin_edges(df, numeric_among(df, attrs))
+    wide = [a for a, e in edges.items() if e is not None]
+    if not wide:
+        return tests
+    keys = [*by, "attribute"]
+    binned = df.select(*by, target, *discretise(df, wide, edges))
+    v = binary_tests(group_rates(binned, wide, target, by), keys).select(*keys, F.col("cramers_v").alias("_v"))
+    return tests.join(v, keys, "left").withColumn("cramers_v", F.coalesce("_v", "cramers_v")).drop("_v")
+
+
 def cramers_v_target(df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
     """V of every attribute against the target, without the test columns (no Python involved)."""
     keys = [*by, "attribute"]
-    t = binary_tests(group_rates(df, attrs, target, by), keys)
+    t = _quintile_v(binary_tests(group_rates(df, attrs, target, by), keys), df, attrs, target, by)
     return t.select(*keys, "n", F.round("cramers_v", 4).alias("cramers_v"), _strength(F.col("cramers_v")).alias("strength"))
 
 
@@ -78,14 +92,14 @@ def proxy_detection(
 ) -> DataFrame:
     """V of every feature against every sensitive attribute.
 
-    Numeric features with more than ``keep_discrete`` values are cut into quintiles. All pairs are
+    Numeric columns with more than ``keep_discrete`` values are cut into quintiles. All pairs are
     counted in one pass: rows are expanded to (attribute, feature) pairs before the map-side
     aggregation, only the cells travel.
     """
     require(df, [*attrs, *features])
-    edges = bin_edges(df, features, keep_discrete=keep_discrete)
+    edges = bin_edges(df, list(dict.fromkeys([*attrs, *features])), keep_discrete=keep_discrete)
     codes = discretise(df, features, edges)
-    wide = df.select(*[F.col(a).cast("string").alias("attr:" + a) for a in attrs], *[c.alias("feat:" + f) for c, f in zip(codes, features)])
+    wide = df.select(*[c.alias("attr:" + a) for c, a in zip(discretise(df, attrs, edges), attrs)], *[c.alias("feat:" + f) for c, f in zip(codes, features)])
     pairs = wide.unpivot(["attr:" + a for a in attrs], ["feat:" + f for f in features], "feature", "value")
     pairs = pairs.filter(F.col("value").isNotNull()).unpivot(["feature", "value"], ["attr:" + a for a in attrs], "attribute", "grp")
     cells = (
@@ -109,11 +123,35 @@ def proxy_strength(proxies: DataFrame) -> DataFrame:
 def point_biserial(
     df: DataFrame, attrs: Sequence[str], features: Sequence[str], threshold: float = defaults.CORRELATION, min_rows: int = 10
 ) -> DataFrame:
-    """Correlation of two-valued attributes (1 = first value in order, else 0) with numeric features.
+    """Correlation of sensitive attributes with numeric features.
 
-    Group moments are aggregated first; r follows from them, so attributes with more than two
-    values drop out on the group table. A null attribute counts as 0.
+    A two-valued string attribute counts as 1 for its first value in order, else 0 (also null).
+    Group moments are aggregated first and r follows from them, so attributes with more values
+    drop out on the group table. A numeric attribute is correlated as it is.
     """
+    numeric = numeric_among(df, attrs)
+    named = [a for a in attrs if a not in numeric]
+    parts = ([_two_group_r(df, named, features)] if named else []) + ([_pearson_r(df, numeric, features)] if numeric else [])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    size = F.abs("r")
+    return out.filter((F.col("n") >= min_rows) & F.col("r").isNotNull()).withColumn("p_value", F.round(corr_p("r", "n"), 6)).select(
+        "attribute", "feature", "n", F.round("r", 4).alias("r"), "p_value",
+        F.when(size >= threshold, "INVESTIGATE").when(size >= 0.1, "MONITOR").otherwise("OK").alias("flag"),
+    )
+
+
+def _pearson_r(df: DataFrame, attrs: Sequence[str], features: Sequence[str]) -> DataFrame:
+    pairs = [(a, f) for a in attrs for f in features if a != f]
+    both = {(a, f): as_double(F.col(a)) + as_double(F.col(f)) for a, f in pairs}
+    wide = df.agg(*[
+        F.struct(F.lit(a).alias("attribute"), F.lit(f).alias("feature"), F.count(both[(a, f)]).alias("n"),
+                 safe_corr(as_double(F.col(a)), as_double(F.col(f))).alias("r")).alias(f"p{i}")
+        for i, (a, f) in enumerate(pairs)
+    ])
+    return wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+
+
+def _two_group_r(df: DataFrame, attrs: Sequence[str], features: Sequence[str]) -> DataFrame:
     vals = [as_double(F.col(f)).alias("f:" + f) for f in features]
     long = to_long(df, attrs, vals, keep_null=True)
     wide = long.groupBy("attribute", "grp").agg(
@@ -136,12 +174,7 @@ def point_biserial(
     )
     total = F.col("n").cast("double")
     r = F.try_divide(F.col("sxy"), F.sqrt(F.col("ss") * F.col("n1") * (total - F.col("n1")) / total))
-    out = sums.filter(F.col("n") >= min_rows).withColumn("r", r).filter(F.col("r").isNotNull() & ~F.isnan("r"))
-    size = F.abs("r")
-    return out.withColumn("p_value", F.round(corr_p("r", "n"), 6)).select(
-        "attribute", "feature", "n", F.round("r", 4).alias("r"), "p_value",
-        F.when(size >= threshold, "INVESTIGATE").when(size >= 0.1, "MONITOR").otherwise("OK").alias("flag"),
-    )
+    return sums.select("attribute", "feature", "n", r.alias("r"))
 
 
 def covariance_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

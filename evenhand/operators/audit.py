@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from evenhand.functions.numeric import argmax, argmin, as_double, flag
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
-from evenhand.plans.longform import group_rates, require, to_long
+from evenhand.plans.longform import group_rates, numeric_among, require, to_long
+from evenhand.sources.tables import written
 
 
 def group_representation(df: DataFrame, attrs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows and 2-dp percentage per attribute value; nulls count in neither."""
-    counts = to_long(df, attrs, list(by)).groupBy(*by, "attribute", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return _shares(to_long(df, attrs, list(by)).groupBy(*by, "attribute", "grp").agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def _shares(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     total = F.sum("n").over(W.partitionBy(*by, "attribute"))
     return counts.withColumn("pct", F.round(F.col("n") / total * 100, 2))
 
@@ -23,12 +27,12 @@ def underrepresented_groups(
     df: DataFrame, attrs: Sequence[str], threshold: float = defaults.UNDERREPRESENTED, by: Sequence[str] = ()
 ) -> DataFrame:
     """Groups whose rounded share lies below the threshold; HIGH below half of it."""
+    return _small_groups(group_representation(df, attrs, by), threshold)
+
+
+def _small_groups(shares: DataFrame, threshold: float) -> DataFrame:
     share = F.col("pct") / 100
-    return (
-        group_representation(df, attrs, by)
-        .filter(share < threshold)
-        .withColumn("severity", F.when(share < threshold / 2, "HIGH").otherwise("MEDIUM"))
-    )
+    return shares.filter(share < threshold).withColumn("severity", F.when(share < threshold / 2, "HIGH").otherwise("MEDIUM"))
 
 
 def _null_counts(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], by: Sequence[str], keep_null: bool = False) -> DataFrame:
@@ -45,7 +49,11 @@ def _null_counts(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], by
 def missing_by_group(df: DataFrame, attrs: Sequence[str], columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Percentage of nulls of every column within each group, 2 dp."""
     columns = list(columns or [c for c in df.columns if c not in by])
-    wide = _null_counts(df, attrs, columns, by).select(
+    return _missing_rates(_null_counts(df, attrs, columns, by), columns, by)
+
+
+def _missing_rates(groups: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    wide = groups.select(
         *by, "attribute", "grp", *[F.round(F.col("null:" + c) / F.col("n") * 100, 2).alias("null:" + c) for c in columns]
     )
     long = wide.unpivot([*by, "attribute", "grp"], ["null:" + c for c in columns], "column_name", "missing_pct")
@@ -57,10 +65,13 @@ def missing_gaps(
     threshold: float = defaults.MISSING_GAP, by: Sequence[str] = (),
 ) -> DataFrame:
     """(attribute, column) pairs whose missing rate differs between groups by more than the threshold."""
+    return _wide_gaps(missing_by_group(df, attrs, columns, by), threshold, by)
+
+
+def _wide_gaps(rates: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     rate = F.col("missing_pct")
     return (
-        missing_by_group(df, attrs, columns, by)
-        .groupBy(*by, "attribute", "column_name")
+        rates.groupBy(*by, "attribute", "column_name")
         .agg(
             argmax("grp", rate).alias("max_group"),
             argmin("grp", rate).alias("min_group"),
@@ -83,14 +94,26 @@ def outcome_distribution(df: DataFrame, attrs: Sequence[str], target: str, by: S
 def missingness_correlations(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """r and p of each column's null indicator against every sensitive attribute and numeric column.
 
-    Sensitive values are coded 0, 1, 2... in value order and null as -1; the codes exist only on
-    the group table, from whose weighted moments r follows, so no row is ever recoded.
+    Sensitive values are coded 0, 1, 2... in value order and null as -1 (a numeric attribute keeps
+    its value, null as 0); the codes exist only on the group table, from whose weighted moments r
+    follows, so no row is ever recoded.
     """
-    groups = _null_counts(df, attrs, columns, (), keep_null=True)
+    rows = _sensitive_r(_null_counts(df, attrs, columns, (), keep_null=True), columns, numeric_among(df, attrs))
+    numeric_rows = _numeric_r(df, columns, numeric)
+    both = rows if numeric_rows is None else rows.unionByName(numeric_rows)
+    return both.withColumn("p", corr_p("r", "n"))
+
+
+def _sensitive_r(groups: DataFrame, columns: Sequence[str], numeric_attrs: Sequence[str] = ()) -> DataFrame:
+    """r of every null indicator with the coded attributes, from the group table."""
     rank = F.sum(F.when(F.col("grp").isNotNull(), 1).otherwise(0)).over(
         W.partitionBy("attribute").orderBy("grp").rowsBetween(W.unboundedPreceding, 0)
     )
-    coded = groups.withColumn("code", F.when(F.col("grp").isNull(), F.lit(-1.0)).otherwise(rank.cast("double") - 1))
+    code = F.when(F.col("grp").isNull(), F.lit(-1.0)).otherwise(rank.cast("double") - 1)
+    if numeric_attrs:
+        own = F.coalesce(F.expr("try_cast(grp AS double)"), F.lit(0.0))
+        code = F.when(F.col("attribute").isin(*numeric_attrs), own).otherwise(code)
+    coded = groups.withColumn("code", code)
     long = coded.unpivot(["attribute", "code", "n"], ["null:" + c for c in columns], "column_name", "nulls").withColumn(
         "column_name", F.substring_index("column_name", "null:", -1)
     )
@@ -100,9 +123,13 @@ def missingness_correlations(df: DataFrame, attrs: Sequence[str], columns: Seque
     )
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("m")
     spread = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("m") - F.col("m") * F.col("m"))
-    sensitive = sums.filter((F.col("m") > 0) & (spread > 0) & (F.col("other") != F.col("column_name"))).select(
+    return sums.filter((F.col("m") > 0) & (spread > 0) & (F.col("other") != F.col("column_name"))).select(
         "column_name", "other", F.lit("sensitive").alias("kind"), (cov / F.sqrt(spread)).alias("r"), "n"
     )
+
+
+def _numeric_r(df: DataFrame, columns: Sequence[str], numeric: Sequence[str]) -> DataFrame | None:
+    """r of every null indicator with the numeric columns, in one aggregation."""
     types = dict(df.dtypes)
     pairs = [(c, o) for c in columns for o in numeric if c != o]
     gone = {c: F.col(c).isNull() if types[c] not in ("double", "float") else F.col(c).isNull() | F.isnan(c) for c in columns}
@@ -119,13 +146,13 @@ def missingness_correlations(df: DataFrame, attrs: Sequence[str], columns: Seque
         r = F.try_divide((part["m"] - every["m"]) * F.sqrt(part["n"] / F.nullif(every["n"] - part["n"], F.lit(0))), every["s"])
         return F.struct(F.lit(c).alias("column_name"), F.lit(o).alias("other"), every["n"].alias("n"), r.alias("r"), F.col(f"`g:{c}`").alias("g"))
 
-    numeric_rows = (
+    if not pairs:
+        return None
+    return (
         wide.select(F.inline(F.array(*[pair(c, o) for c, o in pairs])))
         .filter((F.col("g") > 0) & (F.col("n") > 10) & F.col("r").isNotNull())
         .select("column_name", "other", F.lit("numeric").alias("kind"), "r", "n")
-    ) if pairs else None
-    both = sensitive if numeric_rows is None else sensitive.unionByName(numeric_rows)
-    return both.withColumn("p", corr_p("r", "n"))
+    )
 
 
 def missingness_class(
@@ -134,8 +161,11 @@ def missingness_class(
 ) -> DataFrame:
     """NMAR when missingness goes with a sensitive attribute, else MAR with a numeric column,
     else MCAR; only columns that have nulls."""
+    return _mechanism(missingness_correlations(df, attrs, columns, numeric), alpha, min_r)
+
+
+def _mechanism(rows: DataFrame, alpha: float = 0.05, min_r: float = 0.1) -> DataFrame:
     hit = (F.col("p") < alpha) & (F.abs("r") > min_r)
-    rows = missingness_correlations(df, attrs, columns, numeric)
     return rows.groupBy("column_name").agg(
         F.when(F.max(flag(hit & (F.col("kind") == "sensitive"))) == 1, "NMAR")
         .when(F.max(flag(hit & (F.col("kind") == "numeric"))) == 1, "MAR")
@@ -144,12 +174,18 @@ def missingness_class(
     )
 
 
-def audit_summary(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """Counts of the three kinds of finding and the overall status."""
+def audit_summary(df: DataFrame, attrs: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Counts of the three kinds of finding and the overall status, from one table of group counts."""
+    groups = written(_null_counts(df, attrs, columns, (), keep_null=True), "groups")
+    named = groups.filter(F.col("grp").isNotNull())
+    small = _small_groups(_shares(named.select("attribute", "grp", "n")), defaults.UNDERREPRESENTED)
+    gaps = _wide_gaps(_missing_rates(named, columns), defaults.MISSING_GAP)
+    # a numeric column can only make a column MAR, so the attributes decide what is NMAR
+    nmar = _mechanism(_sensitive_r(groups, columns, numeric_among(df, attrs)).withColumn("p", corr_p("r", "n"))).filter("mechanism = 'NMAR'")
     found = (
-        underrepresented_groups(df, attrs).select(F.lit("underrepresented").alias("kind"))
-        .unionByName(missing_gaps(df, attrs, columns).select(F.lit("gap").alias("kind")))
-        .unionByName(missingness_class(df, attrs, columns, numeric).filter("mechanism = 'NMAR'").select(F.lit("nmar").alias("kind")))
+        small.select(F.lit("underrepresented").alias("kind"))
+        .unionByName(gaps.select(F.lit("gap").alias("kind")))
+        .unionByName(nmar.select(F.lit("nmar").alias("kind")))
     )
     out = found.agg(*[F.count_if(F.col("kind") == k).cast("bigint").alias(a) for k, a in
                       (("underrepresented", "n_underrepresented"), ("gap", "n_missing_gaps"), ("nmar", "n_nmar"))])

@@ -158,7 +158,9 @@ def lipschitz_pairs(df: DataFrame, attrs: Sequence[str], prob: str, features: Se
     edges = bin_edges(df, features, keep_discrete=max_discrete)
     cell = F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in discretise(df, features, edges)]).alias("cell")
     long = to_long(df, attrs, [cell, as_double(F.col(prob)).alias("p")]).filter(F.col("p").isNotNull())
-    groups = long.groupBy("attribute", "cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    groups = written(
+        long.groupBy("attribute", "cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")), "cells"
+    )
     # best high against the lowest low of another group, via the two extremes on either side
     top = F.max(F.struct("hi", "grp")).alias("top")
     low = F.min(F.struct("lo", "grp")).alias("low")

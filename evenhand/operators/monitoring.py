@@ -11,6 +11,7 @@ from evenhand.operators.metrics import disparate_impact
 from evenhand.plans import defaults
 from evenhand.plans.longform import to_long
 from evenhand.plans.quantiles import bin_edges, discretise
+from evenhand.sources.tables import written
 
 
 def period_of(ts: str, every: str = "month") -> Column:
@@ -30,6 +31,13 @@ def di_trend(df: DataFrame, ts: str, attrs: Sequence[str], pred: str, every: str
 _FLOOR = 1e-4  # share given to a bin that is empty on one side, so that the logarithm exists
 
 
+def _share(counts: DataFrame, keys: Sequence[str], n: str, out: str) -> DataFrame:
+    """Counts as shares of their key's total; the totals are aggregated and joined, so that a key
+    with very many values is not gathered in one window."""
+    totals = counts.groupBy(*keys).agg(F.sum(n).alias("_total"))
+    return counts.join(totals, list(keys)).withColumn(out, F.col(n) / F.col("_total")).drop(n, "_total")
+
+
 def feature_drift(
     df: DataFrame, baseline: Column, period: Column, features: Sequence[str], by: Sequence[str] = (), threshold: float = defaults.DRIFT,
     attrs: Sequence[str] = (),
@@ -47,12 +55,14 @@ def feature_drift(
     rows = to_long(wide, attrs, [*by, "_base", "period", *["feat:" + f for f in features]]) if attrs else wide
     ids = [*keys, "_base", "period"]
     long = rows.unpivot(ids, ["feat:" + f for f in features], "feature", "value")
-    # counted once for baseline and periods together, then split
-    counts = long.groupBy(*keys, F.substring_index("feature", "feat:", -1).alias("feature"), "_base", "period", "value").agg(F.count(F.lit(1)).alias("n"))
+    # counted once for baseline and periods together; all that follows reads these counts
+    counts = written(
+        long.groupBy(*keys, F.substring_index("feature", "feat:", -1).alias("feature"), "_base", "period", "value").agg(F.count(F.lit(1)).alias("n")),
+        "drift",
+    )
     base = counts.filter("_base").groupBy(*keys, "feature", "value").agg(F.sum("n").alias("bn"))
-    base = base.withColumn("q", F.col("bn") / F.sum("bn").over(W.partitionBy(*keys, "feature"))).drop("bn")
-    now = counts.filter("NOT _base").drop("_base")
-    now = now.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys, "feature", "period"))).drop("n")
+    base = _share(base, [*keys, "feature"], "bn", "q")
+    now = _share(counts.filter("NOT _base").drop("_base"), [*keys, "feature", "period"], "n", "p")
     periods = now.select(*keys, "feature", "period").distinct()
     grid = periods.join(base, [*keys, "feature"])  # periods x baseline bins
     both = grid.join(now, [*keys, "feature", "period", "value"], "full").select(

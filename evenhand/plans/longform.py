@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -19,6 +20,11 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"columns not in the table: {missing}; it has {df.columns}")
 
 
+def numeric_among(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [c for c in columns if isinstance(types[c], NumericType)]
+
+
 def to_long(
     df: DataFrame,
     attrs: Sequence[str],

@@ -46,6 +46,22 @@ def test_planted_effect_is_found(people):
     assert flags[("g", "x")] == "INVESTIGATE" and flags[("g", "z")] == "OK" and ("neutral", "x") not in flags
 
 
+def test_numeric_attributes(people):
+    """V and proxies use quintiles, correlations the values themselves."""
+    df, pdf = people
+    tests = {r["attribute"]: r for r in K.chi_square_tests(df, ["x", "g"], "approved").collect()}
+    cut = pd.qcut(pdf["x"], 5)
+    t = pd.crosstab(cut, pdf["approved"]).to_numpy().astype(float)
+    e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
+    assert math.isclose(tests["x"]["cramers_v"], math.sqrt(((t - e) ** 2 / e).sum() / t.sum()), abs_tol=1e-4)
+    assert tests["x"]["r"] == pdf["x"].nunique()
+    r = {(x["attribute"], x["feature"]): x for x in K.point_biserial(df, ["x", "g"], ["y_prob", "z"]).collect()}
+    assert math.isclose(r[("x", "z")]["r"], np.corrcoef(pdf["x"], pdf["z"])[0, 1], abs_tol=1e-4)
+    assert set(r) == {(a, f) for a in ("x", "g") for f in ("y_prob", "z")}
+    found = K.proxy_detection(df, ["x"], ["z", "neutral"]).collect()
+    assert len(found) == 2 and not any(p["is_proxy"] for p in found)
+
+
 def test_v_collapses_when_the_target_is_cut_into_quantiles(people):
     df, _ = people
     assert {r["cramers_v"] for r in K.chi_square_tests(df, ["g"], "approved", binning="quantile_always").collect()} == {0.0}
