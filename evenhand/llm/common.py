@@ -60,6 +60,16 @@ def id_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID))
 
 
+def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row`` (a struct of all columns), ``id`` and ``h``: helper columns added to this clash with none of the table's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), id_key(docs[doc_id]).alias("id"), text_key(docs[text]).alias("h"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of the table again, some replaced."""
+    return [replaced[c].alias(c) if c in replaced else rows["row"][c].alias(c) for c in columns]
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of the columns ``names``."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])

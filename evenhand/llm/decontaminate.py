@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenhand.llm.common import blocks, cut, id_key, same, text_key, words_of
+from evenhand.llm.common import blocks, cut, id_key, packed, same, text_key, unpacked, words_of
 
 
 def _shingle(words: Column, start: Column, n: int) -> Column:
@@ -125,5 +125,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
     _, hits = find_windows(docs, benchmark, doc_id=doc_id, text=text, **options)
     bad = hits.select("id", "h").distinct()
-    clash = (id_key(docs[doc_id]) == bad["id"]) & (text_key(docs[text]) == bad["h"])
-    return docs.join(bad, clash, "left_anti")
+    rows = packed(docs, doc_id, text).join(bad, ["id", "h"], "left_anti")
+    return rows.select(*unpacked(rows, docs.columns))

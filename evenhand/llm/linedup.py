@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenhand.llm.common import cut, id_key, n_blank_words, running, text_key
+from evenhand.llm.common import cut, id_key, n_blank_words, packed, running, text_key, unpacked
 
 MIN_WORDS = 50
 
@@ -102,19 +102,20 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
     """The rows of ``docs`` with later copies deleted from ``text``, and the array ``removed`` of the deleted line
-    numbers (from 0, in order). Extra columns pass through."""
+    numbers (from 0, in order; it replaces a column of that name). Extra columns pass through."""
     lines = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("ln")
     deleted = later_copies(docs, min_words, doc_id, text).select("h", lines).groupBy("h").agg(F.array_sort(F.collect_set("ln")).alias("_lines"))
     texts = docs.where(F.col(text).isNotNull()).select(id_key(F.col(doc_id)).alias("_id"), text_key(F.col(text)).alias("h"), n_blank_words(F.col(text)).alias("_words"))
     owners = texts.groupBy("h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.min("_words").alias("_words"))
     copied = owners.where((F.col("_first") != F.col("_last")) & (F.col("_words") >= min_words)).select("h", "_first")
-    known = copied.join(deleted, "h", "full").select(F.col("h").alias("_h"), "_first", "_lines")
-    joined = docs.join(known, text_key(docs[text]) == known["_h"], "left")
-    body = F.col(text)
-    is_copy = F.coalesce(id_key(F.col(doc_id)) != F.col("_first"), F.lit(False))
+    known = copied.join(deleted, "h", "full")
+    joined = packed(docs, doc_id, text).join(known, "h", "left")
+    body = joined["row"][text]
+    is_copy = F.coalesce(F.col("id") != F.col("_first"), F.lit(False))
     everything = F.sequence(F.lit(0), F.size(_lines(body)) - 1)
     gone = F.when(body.isNull(), None).when(is_copy, everything).otherwise(F.coalesce("_lines", F.array().cast("array<int>")))
-    joined = joined.withColumn("_gone", gone)
-    kept = F.transform(F.array_except(everything, "_gone"), lambda i: F.get(_lines(body), i))
-    cleaned = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(body)
-    return joined.select(*[cleaned.alias(text) if c == text else F.col(c) for c in docs.columns], F.col("_gone").alias(removed))
+    joined = joined.withColumn("gone", gone)
+    kept = F.transform(F.array_except(everything, "gone"), lambda i: F.get(_lines(body), i))
+    cleaned = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(body)
+    columns = unpacked(joined, [c for c in docs.columns if c != removed], **{text: cleaned})
+    return joined.select(*columns, F.col("gone").alias(removed))

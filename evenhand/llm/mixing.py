@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenhand.llm.common import BLANKS, cut, n_blank_words, running, text_key
+from evenhand.llm.common import BLANKS, cut, n_blank_words, running, text_key, unpacked
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -87,12 +87,16 @@ def mixed_documents(docs: DataFrame, epoch: str = "epoch", seed: int = 7, doc_id
     """The mix itself: the rows of ``docs``, all columns, once for each epoch (from 0) that takes them. The one document in
     which the last epoch stops gives its first words, joined by blanks."""
     _, cuts = plan(docs, seed=seed, doc_id=doc_id, text=text, source=source, **options)
-    per_source = cuts.select(F.col("no_source").alias("_no"), F.col("source").alias("_source"), "epochs", "cut_key", "cut_words")
-    keyed = docs.select("*", F.col(source).isNull().alias("_none"), F.coalesce(F.col(source), F.lit("")).alias("_name"), n_blank_words(F.col(text)).alias("_size"), _key(F.col(doc_id), F.col(text), seed).alias("_key"))
-    joined = keyed.join(per_source, (keyed["_none"] == per_source["_no"]) & (keyed["_name"] == per_source["_source"]))
-    joined = joined.withColumn("_part", _last_epoch(F.col("_size"), F.col("_key")))
-    joined = joined.where(F.col("_size") > 0).withColumn("_epochs", F.col("epochs") + (F.col("_part") > 0).cast("bigint")).where("_epochs > 0")
-    rows = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_epochs") - 1)))
-    shortened = F.array_join(F.slice(F.array_remove(F.split(F.col(text), BLANKS), ""), 1, F.col("_part").cast("int")), " ")
-    body = F.when((F.col("_epoch") == F.col("epochs")) & (F.col("_part") < F.col("_size")), shortened).otherwise(F.col(text))
-    return rows.select(*[body.alias(text) if c == text else F.col(c) for c in docs.columns], F.col("_epoch").alias(epoch))
+    name = docs[source]
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), name.isNull().alias("no_source"), F.coalesce(name, F.lit("")).alias("source"),
+        n_blank_words(docs[text]).alias("size"), _key(docs[doc_id], docs[text], seed).alias("key"),
+    )
+    rows = rows.join(cuts, ["no_source", "source"]).withColumn("part", _last_epoch(F.col("size"), F.col("key")))
+    rows = rows.where(F.col("size") > 0).withColumn("all_epochs", F.col("epochs") + (F.col("part") > 0).cast("bigint")).where("all_epochs > 0")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_epochs") - 1)))
+    body = rows["row"][text]
+    shortened = F.array_join(F.slice(F.array_remove(F.split(body, BLANKS), ""), 1, F.col("part").cast("int")), " ")
+    body = F.when((F.col("epoch") == F.col("epochs")) & (F.col("part") < F.col("size")), shortened).otherwise(body)
+    columns = unpacked(rows, [c for c in docs.columns if c != epoch], **{text: body})
+    return rows.select(*columns, F.col("epoch").alias(epoch))

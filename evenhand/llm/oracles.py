@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evenhand.llm.common import LOWER, UPPER
+from evenhand.llm.licenses import PHRASES, TEMPLATES, as_regex
 
 _BLANK_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -58,4 +59,21 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + part AS BIGINT) A
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
 """
 
-ORACLES = {"op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op7_source_mixing": _OP7}
+def _op10() -> str:
+    line = f"' ' || array_to_string({_WORDS}, ' ') || ' '"
+    where = {phrase: f"list_filter(generate_series(1, len(w)), lambda i: array_to_string(list_slice(w, i, i + {len(phrase.split()) - 1}), ' ') = '{phrase}')" for phrase in PHRASES}
+    base = " || ".join(f"list_transform({at}, lambda i: struct_pack(s := i - 1, label := '{PHRASES[p]}'))" for p, at in where.items())
+    notices = " || ".join(f"CASE WHEN regexp_matches(line, '{as_regex(t)}') THEN ['{label}'] ELSE [] END" for label, t in TEMPLATES)
+    joined = "array_to_string(list_sort(list_distinct({0})), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, {line} AS line FROM documents),
+f AS (SELECT doc_id, w, {base} AS base, {notices} AS notices FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base,
+  list_min(list_transform(base, lambda x: x.s)) AS first_word, list_max(list_transform(base, lambda x: x.s)) AS last_word,
+  {joined.format("list_transform(base, lambda x: x.label)")} AS base_labels, {joined.format("list_transform(base, lambda x: x.label) || notices")} AS labels,
+  CASE WHEN len(notices) > 0 THEN 1.0::DOUBLE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM f
+"""
+
+
+ORACLES = {"op10_licenses": _op10(), "op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op7_source_mixing": _OP7}

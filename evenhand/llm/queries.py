@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.llm import decontaminate, linedup, mixing
+from evenhand.llm import decontaminate, imatch, langid, licenses, linedup, mixing, secretscan, simhash, toolcalls, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no tool calls, so events are derived from their turns (:func:`toolcalls.derived_events`)."""
+    linked = toolcalls.link(toolcalls.derived_events(_table(spark, sf_dir, "conversations")))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -30,4 +49,21 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_line_dedup, op7_source_mixing)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents"), declared="lang", host="source")
+    return found.select("doc_id", "declared", "language", "confidence", "text_language", "kept")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "at", F.sha2("core", 256).alias("core_sha256"), "length", "changes", "coverage", "label", "probability", "is_secret")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_imatch, op2_tool_calls, op3_url_rules, op4_simhash, op5_decontamination, op6_line_dedup, op7_source_mixing, op8_language, op9_secrets, op10_licenses)
+}
