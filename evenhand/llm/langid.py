@@ -74,26 +74,34 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, declared: str, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """Counts trigrams of about ``sample`` rows, chosen by a hash of their id, text length and language, by declared language."""
-    rows = docs.where(F.col(declared).isNotNull())
+    """In how many of about ``sample`` rows of a declared language each trigram occurs; rows are chosen by a hash of their id,
+    text length and language. Rows count, not places, so that one long wrongly declared text weighs little."""
+    rows = docs.where(_language(F.col(declared)).isNotNull())
     n = rows.count()
     share = min(1.0, sample / n) if n else 1.0
     draw = F.pmod(F.xxhash64(id_key(F.col(doc_id)), F.octet_length(text), declared), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0)
     chosen = rows.where(draw).select(_language(F.col(declared)).alias("lang"), F.col(text).alias("text"))
 
+    def flush(counts: dict[str, np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            at = np.flatnonzero(c)
+            columns = [pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([seen[lang], *c[at].tolist()], pa.int64())]
+            yield pa.record_batch(columns, names=["lang", "gram", "n"])
+        counts.clear()
+        seen.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                if lang not in counts and len(counts) >= 1000:  # a task's memory: codes beyond are too rare to matter
-                    continue
-                counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                counts[lang] += np.bincount(trigrams(body.as_py()), minlength=BUCKETS)
-                seen[lang] = seen.get(lang, 0) + 1
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.record_batch([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([seen[lang], *c[at].tolist()], pa.int64())], names=["lang", "gram", "n"])
+                if lang not in counts:
+                    if len(counts) == 64:  # a task's memory
+                        yield from flush(counts, seen)
+                    counts[lang], seen[lang] = np.zeros(BUCKETS, dtype=np.int64), 0
+                counts[lang] += np.bincount(np.unique(trigrams(body.as_py())), minlength=BUCKETS)
+                seen[lang] += 1
+        yield from flush(counts, seen)
 
     grams = cut(chosen.mapInArrow(run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = grams.where("gram = -1").select("lang", "n")

@@ -1,0 +1,70 @@
+import re
+
+from pyspark.sql import functions as F
+
+from evenhand.llm import secretscan
+
+SCHEMA = "doc_id bigint, text string, source string, core string, word_before string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "s", "c", "c") for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_candidates_and_features_match_brute_force(spark):
+    texts = [None, "", "plain words only", 'set token = "0641917ea4e9feb9cda83477b57a" now', "password=e3b3ed3cc8548923d6, ok", "4041894974608795 call", "a/b/c1234567890x", "commonword commonword1234", "short a1b2", "word0123456789word0123456789." * 3]
+    docs = docs_of(spark, texts)
+    want = []
+    for i, t in enumerate(texts):
+        words = re.split(r"[\x20\x09-\x0D]+", t or "")
+        for at, w in enumerate(words):
+            core = re.search(r"([A-Za-z0-9+/_-]+)[^A-Za-z0-9+/_-]*$", w)
+            if core and len(core[1]) >= 12 and re.search("[0-9]", core[1]):
+                want.append((i, at, core[1], " ".join(words[max(0, at - 2) : at]), w, words[at + 1] if at + 1 < len(words) else None))
+    found = secretscan.candidates(docs)
+    assert sorted((r.doc_id, r.at, r.core, r.before, r.token, r.after) for r in found.collect()) == sorted(want, key=lambda r: r[:2])
+    rows = {r.core: r for r in secretscan.features(found, docs, frequent=1).collect()}
+    n_words = sum(len((t or "").split()) for t in texts)
+    for i, at, core, before, token, after in want:
+        r = rows[core]
+        kinds = re.sub("[^aA0]", "-", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", core))))
+        assert r.length == len(core) and abs(r.changes - sum(a != b for a, b in zip(kinds, kinds[1:])) / (len(core) - 1)) < 1e-12
+        assert abs(r.digits - sum(c.isdigit() for c in core) / len(core)) < 1e-12 and abs(r.distinct - len(set(core)) / len(core)) < 1e-12
+        assert abs(r.path_rate - len(want) / n_words) < 1e-12
+    assert rows["commonword1234"].coverage == 10 / 14 and rows["4041894974608795"].coverage == 0
+    hexed = rows["0641917ea4e9feb9cda83477b57a"]
+    assert hexed.word_before == 1.0 and hexed.assigned == 0.0 and rows["e3b3ed3cc8548923d6"].inside == 1.0
+
+
+def test_forest_removes_false_positives_held_out(spark):
+    """Reviewed labels of half of the values; the other half is held out."""
+    secret = [f"f{i} conf api key = {'%032x' % (i * 7919 * 10**30 + 12345678901234567890123)}" for i in range(200)]
+    number = [f"see order {10**15 + i * 104729} for it" for i in range(200)]
+    path = [f"open docs/section{i}/page{i * 3} here" for i in range(200)]
+    docs = docs_of(spark, secret + number + path)
+    found = secretscan.candidates(docs).select("core", (F.col("doc_id") < 200).cast("int").alias("label"), "doc_id")
+    judged = secretscan.scan(docs, found.where("doc_id % 2 = 0").select("core", "label")).where("doc_id % 2 = 1").collect()
+    assert len(judged) == 300 and all(r.label is None for r in judged)
+    assert sum(r.is_secret == (r.doc_id < 200) for r in judged) >= 297
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = secretscan.scan(docs).collect()
+    for r in rows:
+        if r.before.endswith("token =") or r.token.startswith("password=") or re.fullmatch("AKIA[0-9A-Z]{16}", r.core):
+            assert r.is_secret
+        if r.core.isdigit():
+            assert not r.is_secret
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in rows if r.is_secret} >= {i for i, t in text.items() if re.search(r'token = "[0-9a-f]{40}"', t)}
+
+
+def test_odd_rows(spark):
+    docs = docs_of(spark, ["x 1234567890123456", "x 1234567890123456"])
+    assert [(r.probability, r.is_secret) for r in secretscan.scan(docs).collect()] == [(0.0, False)] * 2  # one label only: no forest
+    assert secretscan.scan(docs.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "key = abcdef0123456789", None, "c", "c")] * 2, SCHEMA)
+    assert [r.is_secret for r in secretscan.scan(none).collect()] == [True, True]
+    long = docs_of(spark, ["w " * 100_000 + "token=abcdef0123456789"])
+    assert [r.at for r in secretscan.scan(long).collect()] == [100_000]
