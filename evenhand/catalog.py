@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions.hashing import uniform
 from evenhand.operators import (
-    association as K, audit as A, cleaning as S, explain as X, labels as L, metrics as M, mitigation as G, models as T, monitoring as N, risk as R,
+    association as K, audit as A, cleaning as S, explain as X, labels as L, metrics as M, mitigation as G, models as T, monitoring as N, report as P, risk as R,
 )
 from evenhand.plans.association import chi_square
 from evenhand.sources import tables as IO, views as V
@@ -35,6 +35,11 @@ def by_year(df: DataFrame) -> DataFrame:
     return df.withColumn("model_id", F.date_format("decided_at", "yyyy"))
 
 
+def by_month(df: DataFrame) -> DataFrame:
+    """Decisions with the month as the id of the audited model."""
+    return df.withColumn("model_id", F.date_format("decided_at", "yyyy-MM"))
+
+
 # ---- sources and sinks -------------------------------------------------------------------------
 
 
@@ -60,12 +65,12 @@ def audit_log(spark, sf):
     for run in ("run1", "run2"):
         IO.append_log(IO.audit_entries(metrics, run, "v1", V.doc_audit(spark, sf), "none", "auditor"), log)
     out = spark.read.parquet(log)
-    return out.select("run_id", "model_version", "data_rows", "attribute", "metric", "value", "mitigation", "approved_by")
+    return out.select("run_id", "model_version", "data_rows", "data_version", "attribute", "metric", "value", "mitigation", "approved_by")
 
 
 @query
 def table_profile(spark, sf):
-    return S.table_profile(V.decisions(spark, sf).drop("decided_at", "y_prob", "income", "total_price"))
+    return S.table_profile(V.decisions(spark, sf))
 
 
 # ---- cleaning ----------------------------------------------------------------------------------
@@ -120,7 +125,7 @@ def detect_target(spark, sf):
 def feature_selection(spark, sf):
     df = V.decisions(spark, sf)
     names = S.feature_columns(df, TARGET, ["segment", "region"], skip=["record_id", "y_prob", "y_pred"])
-    vec = S.feature_matrix(S.complete_cases(df, names), "record_id", names)
+    vec = S.feature_matrix(S.median_impute(df, names), "record_id", names)
     from pyspark.ml.functions import vector_to_array
 
     arr = vector_to_array("features")
@@ -328,6 +333,14 @@ def bootstrap_rate_ci(spark, sf):
     return K.bootstrap_rate_ci(V.decisions(spark, sf), "record_id", ["segment", "region"], TARGET)
 
 
+@query
+def bootstrap_metric_ci(spark, sf):
+    """The metrics and whether each interval holds its metric's point (the draws themselves are beyond SQL)."""
+    out = K.bootstrap_metric_ci(V.decisions(spark, sf), ATTRS, TARGET, "y_pred")
+    holds = F.col("point").between(F.col("ci_lower") - F.col("ci_width"), F.col("ci_upper") + F.col("ci_width"))
+    return out.select("attribute", "metric", "smallest", "point", (holds & (F.col("ci_width") > 0)).alias("interval_holds"))
+
+
 @query
 def metric_confidence(spark, sf):
     return K.metric_confidence(K.bootstrap_rate_ci(V.doc_audit(spark, sf), "record_id", ["lang", "source"], "quality"))
@@ -544,22 +557,33 @@ def issue_list(spark, sf):
 # ---- risk --------------------------------------------------------------------------------------
 
 
+def _risk(df):
+    """Components per model, from one group table."""
+    groups = IO.written(P.group_table(df, ATTRS4, TARGET, "y_pred", ["skill_score", "income"], list(COEFS), ["model_id"]), "groups")
+    return IO.written(P.components(groups, ["skill_score", "income"], COEFS, attrs=ATTRS), "components")
+
+
+def _risk_inputs(spark, sf):
+    """Components of the models of every month."""
+    return _risk(by_month(V.decisions(spark, sf)))
+
+
 @query
 def risk_components(spark, sf):
-    df = by_year(V.decisions(spark, sf))
-    by = ["model_id"]
-    return R.risk_components(
-        df.select("model_id").distinct(), "model_id",
-        K.cramers_v_target(df, ATTRS, TARGET, by), M.demographic_parity(df, ATTRS, "y_pred", by), A.underrepresented_groups(df, ATTRS4, by=by),
-        A.missing_gaps(df, ATTRS, ["skill_score", "income"], by=by),
-        X.explainability_disparity(X.attribution_divergence(X.group_attributions(df, ATTRS, COEFS, by), by), by),
-        L.label_bias_score(df, ATTRS, TARGET, by),
-    )
+    return _risk(by_year(V.decisions(spark, sf)))
+
+
+@query
+def audit_run(spark, sf):
+    """The audit of every year's model; the phases are written as the report sink does and read back."""
+    out = P.audit_run(by_year(V.decisions(spark, sf)), ATTRS, TARGET, "y_pred", ["skill_score", "income"], COEFS)
+    path = P.write_phases(out)
+    return spark.read.schema("model_id string, attribute string, metric string, value double, phase string").json(path)
 
 
 @query
 def risk_score(spark, sf):
-    return R.risk_score(V.risk_inputs(spark, sf))
+    return R.risk_score(_risk_inputs(spark, sf))
 
 
 @query
@@ -572,22 +596,32 @@ def risk_score_simple(spark, sf):
 
 @query
 def risk_sensitivity(spark, sf):
-    return R.risk_sensitivity(V.risk_inputs(spark, sf))
+    return R.risk_sensitivity(_risk_inputs(spark, sf))
 
 
 @query
 def worst_component(spark, sf):
-    return R.worst_component(V.risk_inputs(spark, sf))
+    return R.worst_component(_risk_inputs(spark, sf))
+
+
+def _sweep(spark, sf):
+    """Accuracy and parity gap of every month's model at 25 score thresholds."""
+    return IO.written(R.threshold_sweep(by_month(V.decisions(spark, sf)), "model_id", "region", TARGET, "y_prob"), "sweep")
 
 
 @query
 def pareto_frontier(spark, sf):
-    return R.pareto_frontier(V.model_results(spark, sf))
+    return R.pareto_frontier(_sweep(spark, sf))
 
 
 @query
 def best_balanced(spark, sf):
-    return R.best_balanced(R.pareto_frontier(V.model_results(spark, sf)))
+    return R.best_balanced(R.pareto_frontier(_sweep(spark, sf)))
+
+
+@query
+def threshold_sweep(spark, sf):
+    return _sweep(spark, sf)
 
 
 def _train_test(spark, sf):
@@ -606,7 +640,7 @@ def pareto_sweep(spark, sf):
 
 @query
 def recommendation_codes(spark, sf):
-    return R.recommendation_codes(V.risk_inputs(spark, sf))
+    return R.recommendation_codes(_risk_inputs(spark, sf))
 
 
 # ---- mitigation --------------------------------------------------------------------------------
@@ -632,13 +666,13 @@ KNN_FEATURES = ["income", "total_price", "skill_score"]
 
 @query
 def minority_knn(spark, sf):
-    rows = V.decisions(spark, sf).filter("region = 'AFRICA' AND approved = 1").select("record_id", *KNN_FEATURES)
+    rows = V.decisions(spark, sf).filter("approved = 1").select("record_id", *KNN_FEATURES)
     out = G.minority_knn(rows, "record_id", KNN_FEATURES)
     return out.withColumn("distance", F.round("distance", 4))
 
 
 def _smote(spark, sf):
-    return G.smote_oversample(V.decisions(spark, sf).filter("region = 'AFRICA'"), "record_id", KNN_FEATURES, TARGET)
+    return G.smote_oversample(V.decisions(spark, sf), "record_id", KNN_FEATURES, TARGET)
 
 
 @query
@@ -674,14 +708,15 @@ def apply_thresholds(spark, sf):
 
 @query
 def mitigation_plan(spark, sf):
-    return G.mitigation_plan(R.risk_score(V.risk_inputs(spark, sf)))
+    return G.mitigation_plan(R.risk_score(_risk_inputs(spark, sf)))
 
 
 @query
 def accuracy_change(spark, sf):
-    runs = V.model_results(spark, sf)
-    before = runs.groupBy("model_id").agg(F.max("accuracy").alias("accuracy"))
-    return G.accuracy_change(before, R.best_balanced(R.pareto_frontier(runs)))
+    """Accuracy of every month's decisions as they are, and at its best balanced threshold."""
+    df = by_month(V.decisions(spark, sf))
+    before = df.groupBy("model_id").agg(F.round(F.avg((F.col("y_pred") == F.col(TARGET)).cast("int")), 4).alias("accuracy"))
+    return G.accuracy_change(before, R.best_balanced(R.pareto_frontier(_sweep(spark, sf))))
 
 
 @query
@@ -751,4 +786,22 @@ def stream_di_trend(spark, sf):
     path, state = IO.scratch_folder(spark, "stream"), IO.scratch_folder(spark, "state")
     result = live.stream_di_trend(V.decision_stream_columns(source), "ts", ["grp"], TARGET, "1 day", "12 hours")
     live.append_to(result, path, state).awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
+    whole = live.stream_di_trend(V.decision_stream(spark, sf), "ts", ["grp"], TARGET, "1 day", "12 hours")
+    return live.with_open_windows(spark.read.schema(result.schema).parquet(path), whole, ["period", "attribute"])
+
+
+@query
+def stream_feedback_loop(spark, sf):
+    """Feedback pairs joined on the live streams; pairs per attribute group against the batch."""
+    orders, lines = IO.load(spark, sf, "orders").schema, IO.load(spark, sf, "lineitem").schema
+    read = lambda name, schema: spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    decided = read("orders", orders).select(F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("decided_at"), F.col("o_orderpriority").alias("priority"))
+    seen = read("lineitem", lines).select(
+        F.col("l_orderkey").alias("record_id"), F.col("l_shipdate").alias("observed_at"), (F.col("l_returnflag") != "R").cast("int").alias("outcome")
+    )
+    # the files hold all days at once, so the watermark's delay spans them
+    pairs = live.stream_feedback_pairs(decided, seen, "record_id", "decided_at", "observed_at", delay="4000 days")
+    path = IO.scratch_folder(spark, "pairs")
+    live.append_to(pairs, path, IO.scratch_folder(spark, "state")).awaitTermination()
+    found = spark.read.schema(pairs.schema).parquet(path)
+    return found.groupBy("priority").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("outcome"), 4).alias("success"))

@@ -17,6 +17,13 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
+def binary(name: str) -> Column:
+    """A 0/1 column (or boolean) as int; any other value than 0, 1 and NULL ends the query."""
+    c = F.col(name).cast("double")
+    wrong = F.raise_error(F.concat(F.lit(f"'{name}' is not 0/1: "), F.col(name).cast("string"))).cast("int")
+    return F.when(c.isNull() | F.isnan(c), F.lit(None).cast("int")).when(c.isin(0.0, 1.0), c.cast("int")).otherwise(wrong)
+
+
 def cap1(col: Column) -> Column:
     return F.least(col, F.lit(1.0))
 

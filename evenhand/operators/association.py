@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -12,12 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from evenhand.functions.hashing import uniform, uniform_py
-from evenhand.functions.numeric import as_double, flag, level3, safe_corr
+from evenhand.functions.hashing import uniform
+from evenhand.functions.numeric import as_double, binary, flag, level3, ratio, safe_corr
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
 from evenhand.plans.association import binary_tests, chi_square, with_fisher, with_p
-from evenhand.plans.longform import contingency, group_rates, numeric_among, require, to_long
+from evenhand.plans.longform import contingency, group_rates, numeric_among, require, to_long, with_totals
 from evenhand.plans.quantiles import bin_edges, discretise
 from evenhand.sources.tables import written
 
@@ -159,14 +161,11 @@ def _two_group_r(df: DataFrame, attrs: Sequence[str], features: Sequence[str]) -
           for i, f in enumerate(features)]
     )
     groups = wide.select("attribute", "grp", F.inline(F.array(*[F.col(f"m{i}") for i in range(len(features))])))
-    w = W.partitionBy("attribute", "feature")
     n, mean = F.col("n").cast("double"), F.col("mean")
-    coded = (
-        groups.withColumn("_first", F.min("grp").over(w))
-        .withColumn("_groups", F.count("grp").over(w))
-        .filter((F.col("_groups") == 2) & (F.col("n") > 0))
-        .withColumn("_all", F.sum(n * mean).over(w) / F.sum(n).over(w))
+    totals = with_totals(
+        groups, ["attribute", "feature"], _first=F.min("grp"), _groups=F.count("grp"), _all=F.try_divide(F.sum(n * mean), F.sum(n))
     )
+    coded = totals.filter((F.col("_groups") == 2) & (F.col("n") > 0))
     one = F.col("grp").eqNullSafe(F.col("_first")).cast("double")
     sums = coded.groupBy("attribute", "feature").agg(
         F.sum("n").alias("n"), F.sum(n * one).alias("n1"), F.sum(n * one * (mean - F.col("_all"))).alias("sxy"),
@@ -285,8 +284,7 @@ def intersectional_tests(
 ) -> DataFrame:
     """One row per combination of attributes: test, V, subgroups, largest approval gap, confidence."""
     groups = _intersection_groups(df, attrs, target)
-    w = W.partitionBy("intersection")  # groups of one combination, not rows
-    sized = groups.withColumn("n_subgroups", F.count(F.lit(1)).over(w)).withColumn("smallest", F.min("size").over(w))
+    sized = with_totals(groups, ["intersection"], n_subgroups=F.count(F.lit(1)), smallest=F.min("size"))
     keys = ["intersection", "n_subgroups", "smallest"]
     tests = with_p(binary_tests(sized, keys), keys, F.col("min_observed") < fisher_cell)
     gap = F.round((F.col("max_rate") - F.col("min_rate")) * 100, 2)
@@ -311,40 +309,40 @@ def _reliability(width: Column) -> Column:
     return level3(width, [("HIGH", 0.1), ("MEDIUM", 0.2)], "LOW")
 
 
-def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """95% bootstrap interval of V per attribute.
+def _poisson_cells(cells: DataFrame, names: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """``cells`` (with a count ``n``) once for each replicate, ``n`` redrawn.
 
-    Resampling n rows with replacement is one multinomial draw over the contingency cells (rows
-    with a null form a cell of their own, so n is kept). The cost depends on cells x replicates,
-    not on rows; every attribute and batch of replicates is its own group.
+    Poisson(1) weights of a cell's rows add up to one Poisson(n) draw, so a replicate costs a draw per
+    cell and no row is copied. Cells draw on their own, each from its name and the seed, so an attribute
+    with many cells is spread over all tasks and recomputed tasks agree.
     """
-    long = to_long(df, attrs, [F.col(target).cast("int").alias("y")], keep_null=True)
-    known = F.col("grp").isNotNull() & F.col("y").isNotNull()
-    cells = long.groupBy("attribute", F.when(known, F.col("grp")).alias("grp"), F.when(known, F.col("y")).alias("y")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    cells = written(cells, "cells")
 
-    # replicates drawn together in one task: fewer where an attribute has many cells
-    batch = max(1, min(25, 2_000_000 // max(cells.count(), 1)))
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                some = pdf.iloc[lo : lo + 1000]
+                tags = some[list(names)].astype(str).agg("\x1f".join, axis=1)
+                rngs = [np.random.default_rng(np.frombuffer(hashlib.md5(f"{seed}-{t}".encode()).digest(), dtype=np.uint32)) for t in tags]
+                counts = np.array([rng.poisson(n, replicates) for rng, n in zip(rngs, some["n"])], dtype=np.int64).reshape(-1)
+                out = some.loc[some.index.repeat(replicates)].reset_index(drop=True)
+                yield out.assign(n=counts, replicate=np.tile(np.arange(1, replicates + 1), len(some)))
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["grp", "y"], na_position="last")
-        n = pdf["n"].to_numpy()
-        first = int(key[1])
-        parts = []
-        for replicate in range(first, min(first + batch, replicates + 1)):
-            rng = np.random.default_rng([seed, replicate, int(uniform_py(str(key[0])) * 2**24)])
-            parts.append(pdf.assign(n=rng.multinomial(n.sum(), n / n.sum()), replicate=replicate))
-        return pd.concat(parts)
+    schema = cells.withColumn("n", F.col("n").cast("bigint")).withColumn("replicate", F.lit(0).cast("bigint")).schema
+    return cells.withColumn("n", F.col("n").cast("bigint")).mapInPandas(draw, schema)
 
-    spread = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(batch))))
-    drawn = spread.groupBy("attribute", "replicate").applyInPandas(draw, spread.schema)
+
+def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """95% bootstrap interval of V per attribute, numeric attributes in the same quintiles as in
+    :func:`cramers_v_target`."""
+    edges = bin_edges(df, numeric_among(df, attrs))
+    wide = [a for a, e in edges.items() if e is not None]
+    coded = df.select(target, *[a for a in attrs if a not in wide], *discretise(df, wide, edges))
+    cells = to_long(coded, attrs, [binary(target).alias("y")]).filter(F.col("y").isNotNull()).groupBy("attribute", "grp", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = written(cells, "cells")
+    drawn = _poisson_cells(cells, ["attribute", "grp", "y"], replicates, seed)
 
     def v_of(table: DataFrame, keys: list[str]) -> DataFrame:
-        groups = table.filter(F.col("grp").isNotNull()).groupBy(*keys, "grp").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("positives")
-        )
+        groups = table.groupBy(*keys, "grp").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("positives"))
         rated = groups.withColumn("rate", F.try_divide(F.col("positives").cast("double"), F.col("n")))
         return binary_tests(rated, keys).select(*keys, "cramers_v")
 
@@ -357,8 +355,44 @@ def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replic
     )
 
 
-# Cumulative Poisson(1) probabilities.
-POISSON1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+def bootstrap_metric_ci(
+    df: DataFrame, attrs: Sequence[str], target: str, pred: str, replicates: int = 200, seed: int = 42, by: Sequence[str] = (),
+    small_sample: int = defaults.SMALL_SAMPLE,
+) -> DataFrame:
+    """95% bootstrap intervals of the group metrics per attribute: ``dp_difference``, ``di_ratio``, ``tpr_gap`` and
+    ``fpr_gap``, with the confidence of :func:`metric_confidence` for the smallest group."""
+    long = to_long(df, attrs, [*by, binary(target).alias("y"), binary(pred).alias("p")]).filter(F.col("p").isNotNull())
+    names = [*by, "attribute", "grp", "y", "p"]
+    cells = written(long.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "cells")
+    drawn = _poisson_cells(cells, names, replicates, seed)
+
+    def metrics(table: DataFrame, keys: list[str]) -> DataFrame:
+        n = F.col("n")
+        given = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+        y, p = F.col("y"), F.col("p")
+        groups = table.groupBy(*keys, "grp").agg(
+            F.sum(n).alias("rows"), F.try_divide(F.sum(n * p).cast("double"), F.sum(n)).alias("rate"),
+            ratio(given((y == 1) & (p == 1)), given(y == 1)).alias("tpr"), ratio(given((y == 0) & (p == 1)), given(y == 0)).alias("fpr"),
+        )
+        gap = lambda c: F.max(c) - F.min(c)
+        wide = groups.groupBy(*keys).agg(
+            F.min("rows").alias("smallest"), gap("rate").alias("dp_difference"), ratio(F.min("rate"), F.max("rate")).alias("di_ratio"),
+            gap("tpr").alias("tpr_gap"), gap("fpr").alias("fpr_gap"),
+        )
+        return wide.unpivot([*keys, "smallest"], ["dp_difference", "di_ratio", "tpr_gap", "fpr_gap"], "metric", "value")
+
+    keys = [*by, "attribute", "metric"]
+    ci = metrics(drawn, [*by, "attribute", "replicate"]).groupBy(*keys).agg(F.percentile("value", [0.025, 0.975]).alias("q"))
+    point = metrics(cells, [*by, "attribute"])
+    width = F.col("q")[1] - F.col("q")[0]
+    return ci.join(point, keys).select(
+        *keys, "smallest", F.round("value", 4).alias("point"), F.round(F.col("q")[0], 4).alias("ci_lower"), F.round(F.col("q")[1], 4).alias("ci_upper"),
+        F.round(width, 4).alias("ci_width"), F.when(F.col("smallest") < small_sample, "LOW").otherwise(_reliability(width)).alias("confidence"),
+    )
+
+
+#: Cumulative Poisson(1) probabilities up to where a 24-bit random number can tell them apart.
+POISSON1 = tuple(round(sum(exp(-1) / factorial(k) for k in range(top + 1)), 10) for top in range(10))
 
 
 def bootstrap_rate_ci(

@@ -9,30 +9,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from evenhand.functions.numeric import argmax, argmin, as_double, flag
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
-from evenhand.plans.longform import group_rates, numeric_among, require, to_long
+from evenhand.plans.longform import group_rates, numeric_among, require, to_long, with_totals
 from evenhand.sources.tables import written
 
 
 def group_representation(df: DataFrame, attrs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows and 2-dp percentage per attribute value; nulls count in neither."""
-    return _shares(to_long(df, attrs, list(by)).groupBy(*by, "attribute", "grp").agg(F.count(F.lit(1)).alias("n")), by)
+    return shares(to_long(df, attrs, list(by)).groupBy(*by, "attribute", "grp").agg(F.count(F.lit(1)).alias("n")), by)
 
 
-def _shares(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    total = F.sum("n").over(W.partitionBy(*by, "attribute"))
-    return counts.withColumn("pct", F.round(F.col("n") / total * 100, 2))
+def shares(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Percentage of every group among the counts of its attribute."""
+    whole = with_totals(counts, [*by, "attribute"], _total=F.sum("n"))
+    return whole.select(*counts.columns, F.round(F.col("n") / F.col("_total") * 100, 2).alias("pct"))
 
 
 def underrepresented_groups(
     df: DataFrame, attrs: Sequence[str], threshold: float = defaults.UNDERREPRESENTED, by: Sequence[str] = ()
 ) -> DataFrame:
     """Groups whose rounded share lies below the threshold; HIGH below half of it."""
-    return _small_groups(group_representation(df, attrs, by), threshold)
+    return small_groups(group_representation(df, attrs, by), threshold)
 
 
-def _small_groups(shares: DataFrame, threshold: float) -> DataFrame:
+def small_groups(parts: DataFrame, threshold: float = defaults.UNDERREPRESENTED) -> DataFrame:
+    """The groups of a table of shares that lie below the threshold."""
     share = F.col("pct") / 100
-    return shares.filter(share < threshold).withColumn("severity", F.when(share < threshold / 2, "HIGH").otherwise("MEDIUM"))
+    return parts.filter(share < threshold).withColumn("severity", F.when(share < threshold / 2, "HIGH").otherwise("MEDIUM"))
 
 
 def _null_counts(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], by: Sequence[str], keep_null: bool = False) -> DataFrame:
@@ -49,10 +51,11 @@ def _null_counts(df: DataFrame, attrs: Sequence[str], columns: Sequence[str], by
 def missing_by_group(df: DataFrame, attrs: Sequence[str], columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Percentage of nulls of every column within each group, 2 dp."""
     columns = list(columns or [c for c in df.columns if c not in by])
-    return _missing_rates(_null_counts(df, attrs, columns, by), columns, by)
+    return missing_rates(_null_counts(df, attrs, columns, by), columns, by)
 
 
-def _missing_rates(groups: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def missing_rates(groups: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Missing percentage per group and column from a group table with ``null:<column>`` counts."""
     wide = groups.select(
         *by, "attribute", "grp", *[F.round(F.col("null:" + c) / F.col("n") * 100, 2).alias("null:" + c) for c in columns]
     )
@@ -65,10 +68,11 @@ def missing_gaps(
     threshold: float = defaults.MISSING_GAP, by: Sequence[str] = (),
 ) -> DataFrame:
     """(attribute, column) pairs whose missing rate differs between groups by more than the threshold."""
-    return _wide_gaps(missing_by_group(df, attrs, columns, by), threshold, by)
+    return wide_gaps(missing_by_group(df, attrs, columns, by), threshold, by)
 
 
-def _wide_gaps(rates: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+def wide_gaps(rates: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """The differences between groups above the threshold."""
     rate = F.col("missing_pct")
     return (
         rates.groupBy(*by, "attribute", "column_name")
@@ -160,8 +164,13 @@ def missingness_class(
     alpha: float = 0.05, min_r: float = 0.1,
 ) -> DataFrame:
     """NMAR when missingness goes with a sensitive attribute, else MAR with a numeric column,
-    else MCAR; only columns that have nulls."""
-    return _mechanism(missingness_correlations(df, attrs, columns, numeric), alpha, min_r)
+    else MCAR; all columns that have nulls, also those without any usable correlation."""
+    found = _mechanism(missingness_correlations(df, attrs, columns, numeric), alpha, min_r)
+    types = dict(df.dtypes)
+    gone = {c: F.col(c).isNull() if types[c] not in ("double", "float") else F.col(c).isNull() | F.isnan(c) for c in columns}
+    counts = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.count_if(g).alias("n")).alias(f"c{i}") for i, (c, g) in enumerate(gone.items())])
+    names = counts.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(gone))]))).filter("n > 0").select("column_name")
+    return names.join(found, "column_name", "left").select("column_name", F.coalesce("mechanism", F.lit("MCAR")).alias("mechanism"))
 
 
 def _mechanism(rows: DataFrame, alpha: float = 0.05, min_r: float = 0.1) -> DataFrame:
@@ -178,8 +187,8 @@ def audit_summary(df: DataFrame, attrs: Sequence[str], columns: Sequence[str]) -
     """Counts of the three kinds of finding and the overall status, from one table of group counts."""
     groups = written(_null_counts(df, attrs, columns, (), keep_null=True), "groups")
     named = groups.filter(F.col("grp").isNotNull())
-    small = _small_groups(_shares(named.select("attribute", "grp", "n")), defaults.UNDERREPRESENTED)
-    gaps = _wide_gaps(_missing_rates(named, columns), defaults.MISSING_GAP)
+    small = small_groups(shares(named.select("attribute", "grp", "n")), defaults.UNDERREPRESENTED)
+    gaps = wide_gaps(missing_rates(named, columns), defaults.MISSING_GAP)
     # a numeric column can only make a column MAR, so the attributes decide what is NMAR
     nmar = _mechanism(_sensitive_r(groups, columns, numeric_among(df, attrs)).withColumn("p", corr_p("r", "n"))).filter("mechanism = 'NMAR'")
     found = (

@@ -68,23 +68,32 @@ def feature_columns(df: DataFrame, target: str, sensitive: Sequence[str], skip:
     return [c for c in numeric_columns(df) if c != target and c not in set(sensitive) | set(skip)]
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 2000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 2000, many: str = "refuse") -> DataFrame:
     """Each string column replaced by one 0/1 int column per value; null gives all zeros.
 
-    The value names become the schema, so they are collected; a column with more than
-    ``max_values`` values is refused, use :func:`one_hot_vectors` for it.
+    The value names become the schema, so they are collected. Columns with more than ``max_values``
+    values are refused, or with ``many="vector"`` become sparse vectors ``<column>_vec``. Two values
+    that would give columns of one name are refused.
     """
     require(df, columns)
-    most = max_values * len(columns)
-    names = sorted((r["attribute"], r["grp"]) for r in to_long(df, columns).select("attribute", "grp").distinct().limit(most + 1).collect())
-    wide = [c for c in columns if sum(n == c for n, _ in names) > max_values]
-    if wide or len(names) > most:
-        raise ValueError(f"more than {max_values} values in {wide or columns}; use one_hot_vectors")
+    sizes = to_long(df, columns).groupBy("attribute").agg(F.countDistinct("grp").alias("n"))
+    wide = [c for c in columns if c in {r["attribute"] for r in sizes.filter(F.col("n") > max_values).collect()}]  # a row per column
+    if wide and many != "vector":
+        raise ValueError(f"more than {max_values} values in {wide}; use many='vector'")
+    few = [c for c in columns if c not in wide]
+    listed = to_long(df, few).select("attribute", "grp").distinct().collect() if few else []
+    names = sorted((r["attribute"], r["grp"]) for r in listed)
+    rest = [c for c in df.columns if c not in set(columns)]
+    new = [f"{c}_{v}" for c, v in names] + [c + "_vec" for c in wide]
+    twice = sorted({c for c in new if new.count(c) > 1 or c in rest})
+    if twice:
+        raise ValueError(f"several columns would be named {twice}; rename the inputs")
     codes = [
         F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}")
-        for col in columns for c, v in names if c == col
+        for col in few for c, v in names if c == col
     ]
-    return df.select(*[c for c in df.columns if c not in set(columns)], *codes)
+    coded = one_hot_vectors(df, wide) if wide else df
+    return coded.select(*rest, *codes, *[c + "_vec" for c in wide])
 
 
 def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -126,18 +135,18 @@ def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | No
 def binarize_target(df: DataFrame, target: str, out: str = "target") -> DataFrame:
     """0/1 target: a two-valued column is coded, any other numeric one compared with its median.
 
-    Two string values are coded 0 and 1 in value order; null stays null. Strings that all read as
+    Two values (strings or numbers) are coded 0 and 1 in value order; null stays null. Strings that all read as
     numbers are cast first. Anything else is refused.
     """
     require(df, [target])
     numeric = isinstance(df.schema[target].dataType, NumericType)
     two = target in few_valued(df, [target], 2)
-    if numeric and two:
-        return df.withColumn(out, F.col(target).cast("int"))
     if two:
-        low = df.agg(F.min(target).alias("v")).first()["v"]
-        code = F.when(F.col(target).isNotNull(), (F.col(target) > F.lit(low)).cast("int"))
-        return df.withColumn(out, code)
+        x = as_double(F.col(target)) if numeric else F.col(target)
+        low, high = df.agg(F.min(x).alias("low"), F.max(x).alias("high")).first()
+        if numeric and {low, high} <= {0.0, 1.0, None}:  # one value alone keeps its meaning
+            return df.withColumn(out, x.cast("int"))
+        return df.withColumn(out, F.when(x.isNotNull(), (x > F.lit(low)).cast("int")))
     value = as_double(F.col(target)) if numeric else F.expr(f"try_cast(`{target}` AS double)")
     if not numeric and df.agg(F.count_if(value.isNull()).alias("bad")).first()["bad"]:
         raise ValueError(f"'{target}' is not an outcome column: more than two values that are not numbers")
@@ -148,10 +157,11 @@ def binarize_target(df: DataFrame, target: str, out: str = "target") -> DataFram
 
 
 def table_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
-    """Position, type, rows, nulls and distinct values per column.
+    """Position, type, rows, nulls (NaN counts as null) and distinct values per column.
 
     ``distinct="approx"`` replaces the shuffle of all distinct values by a sketch.
     """
+    df = df.select(*[as_double(F.col(c)).cast(t).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
     types = F.create_map(*[x for i, (c, t) in enumerate(df.dtypes)
                            for x in (F.lit(c), F.struct(F.lit(i).alias("position"), F.lit(t).alias("dtype")))])
     if distinct == "approx":

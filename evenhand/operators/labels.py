@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.numeric import argmax, argmin, cap1, ratio
 from evenhand.operators.association import chi_square_tests
 from evenhand.plans import defaults
 from evenhand.plans.association import binary_tests, with_p
-from evenhand.plans.longform import group_rates, to_long
+from evenhand.plans.longform import group_rates, to_long, with_totals
 from evenhand.plans.quantiles import bin_edges, discretise
 
 
@@ -102,10 +102,15 @@ def label_bias_score(df: DataFrame, attrs: Sequence[str], target: str, by: Seque
 
     All three follow from one table of group rates, so the rows are read once.
     """
+    return bias_of(group_rates(df, attrs, target, by), by, alpha)
+
+
+def bias_of(rates: DataFrame, by: Sequence[str] = (), alpha: float = defaults.ALPHA) -> DataFrame:
+    """:func:`label_bias_score` from a table of group rates."""
     keys = [*by, "attribute"]
     pct = F.round(F.col("rate") * 100, 2)
     extra = {"gap": F.round(F.max(pct) - F.min(pct), 2), "rate_1": F.min_by("rate", "grp"), "rate_2": F.max_by("rate", "grp")}
-    tests = with_p(binary_tests(group_rates(df, attrs, target, by), keys, extra=extra), keys, F.col("min_expected") < defaults.FISHER_CELL)
+    tests = with_p(binary_tests(rates, keys, extra=extra), keys, F.col("min_expected") < defaults.FISHER_CELL)
     contrast = F.abs(F.col("rate_1") - F.col("rate_2"))
     pair = F.when(contrast > 0.15, 0.9).otherwise(cap1(F.round(contrast * 100, 2) / 30.0))
     scores = F.array(cap1(F.col("gap") / 50.0), F.when(F.col("p_value") < alpha, 0.8).otherwise(0.1), F.when(F.col("r") == 2, pair))
@@ -128,7 +133,7 @@ def label_adjust_weights(df: DataFrame, attr: str, target: str) -> DataFrame:
     cells = df.filter(F.col(attr).isNotNull() & F.col(target).isNotNull()).groupBy(
         F.col(attr).alias("grp"), F.col(target).alias("y")
     ).agg(F.count(F.lit(1)).alias("n"))
-    ng = F.sum("n").over(W.partitionBy("grp"))
-    ny = F.sum("n").over(W.partitionBy("y"))
-    total = df.filter(F.col(attr).isNotNull() & F.col(target).isNotNull()).agg(F.count(F.lit(1)).alias("t")).scalar()
-    return cells.withColumn("weight", F.round(ng * ny / (F.col("n") * total), 6))
+    ng = with_totals(cells, ["grp"], _ng=F.sum("n"))
+    both = with_totals(ng, ["y"], _ny=F.sum("n"))
+    total = cells.agg(F.sum("n").alias("t")).scalar()
+    return both.select("grp", "y", "n", F.round(F.col("_ng") * F.col("_ny") / (F.col("n") * total), 6).alias("weight"))

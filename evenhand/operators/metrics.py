@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from evenhand.functions.numeric import argmax, argmin, as_double, flag, ratio
+from evenhand.functions.numeric import argmax, argmin, as_double, binary, flag, ratio
 from evenhand.operators.association import proxy_detection
 from evenhand.operators.labels import disparity, label_distribution
 from evenhand.plans import defaults
@@ -28,7 +28,12 @@ def demographic_parity(
     df: DataFrame, attrs: Sequence[str], pred: str, by: Sequence[str] = (), threshold: float = defaults.DP_GAP
 ) -> DataFrame:
     """Gap of the rounded selection rates in points; also the unrounded difference (4 dp)."""
-    rates = group_rates(df, attrs, pred, by).withColumn("pct", F.round(F.col("rate") * 100, 2))
+    return parity_of(group_rates(df, attrs, pred, by), by, threshold)
+
+
+def parity_of(rates: DataFrame, by: Sequence[str] = (), threshold: float = defaults.DP_GAP) -> DataFrame:
+    """:func:`demographic_parity` from a table of group rates."""
+    rates = rates.withColumn("pct", F.round(F.col("rate") * 100, 2))
     pct = F.col("pct")
     return rates.groupBy(*by, "attribute").agg(
         F.max(pct).alias("max_rate"), argmax("grp", pct).alias("max_group"), F.min(pct).alias("min_rate"), argmin("grp", pct).alias("min_group"),
@@ -40,17 +45,28 @@ def demographic_parity_ratio(df: DataFrame, attrs: Sequence[str], pred: str, by:
     return group_rates(df, attrs, pred, by).groupBy(*by, "attribute").agg(F.round(ratio(F.min("rate"), F.max("rate")), 4).alias("dp_ratio"))
 
 
-def group_confusion(df: DataFrame, attrs: Sequence[str], target: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, tn per group in one pass."""
-    long = to_long(df, attrs, [*by, F.col(target).cast("int").alias("_y"), F.col(pred).cast("int").alias("_p")])
+def group_confusion(
+    df: DataFrame, attrs: Sequence[str], target: str, pred: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """tp, fp, fn, tn per group in one pass (``extra`` aggregates may use ``_y`` and ``_p``)."""
+    long = to_long(df, attrs, [*by, binary(target).alias("_y"), binary(pred).alias("_p")])
     cell = {n: (F.col("_y") == y) & (F.col("_p") == p) for n, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))}
-    return long.groupBy(*by, "attribute", "grp").agg(*[F.sum(flag(c)).alias(n) for n, c in cell.items()])
+    return long.groupBy(*by, "attribute", "grp").agg(
+        *[F.sum(flag(c)).alias(n) for n, c in cell.items()], *[c.alias(n) for n, c in (extra or {}).items()]
+    )
 
 
-def error_rates(df: DataFrame, attrs: Sequence[str], target: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+def error_rates(
+    df: DataFrame, attrs: Sequence[str], target: str, pred: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None
+) -> DataFrame:
     """Confusion counts with TPR, FPR and FNR (4 dp, 0 where undefined)."""
+    return rates_of(group_confusion(df, attrs, target, pred, by, extra))
+
+
+def rates_of(confusion: DataFrame) -> DataFrame:
+    """:func:`error_rates` from a table of confusion counts."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return group_confusion(df, attrs, target, pred, by).select(
+    return confusion.select(
         "*", F.round(ratio(tp, tp + fn), 4).alias("tpr"), F.round(ratio(fp, fp + tn), 4).alias("fpr"), F.round(ratio(fn, fn + tp), 4).alias("fnr")
     )
 
@@ -91,6 +107,7 @@ def _calibration_bins(df: DataFrame, attrs: Sequence[str], target: str, prob: st
     bins = long.filter(F.col("_y").isNotNull() & p.isNotNull()).groupBy(*by, "attribute", "grp", index).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_y").alias("prob_true"), F.avg("_p").alias("prob_pred")
     )
+    # at most one row per bin in a partition
     return bins.withColumn("group_n", F.sum("n").over(W.partitionBy(*by, "attribute", "grp")))
 
 
@@ -179,10 +196,10 @@ def lipschitz_pairs(df: DataFrame, attrs: Sequence[str], prob: str, features: Se
 
 
 def fairness_summary(df: DataFrame, attrs: Sequence[str], target: str, pred: str) -> DataFrame:
-    """Violations of the three group metrics and the status, from one confusion table."""
-    conf = error_rates(df, attrs, target, pred)
-    known = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    rate = (F.col("tp") + F.col("fp")) / known
+    """Violations of the three group metrics and the status, from one group table. Selection rates
+    count every row with a prediction, error rates those with a label too."""
+    conf = error_rates(df, attrs, target, pred, extra={"n": F.count("_p"), "selected": F.sum("_p")})
+    rate = F.try_divide(F.col("selected").cast("double"), F.col("n"))
     rated = conf.withColumn("rate", rate).withColumn("pct", F.round(rate * 100, 2))
     gap = lambda c: F.max(c) - F.min(c)
     per = rated.groupBy("attribute").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.hashing import uniform
 from evenhand.functions.numeric import as_double
+from evenhand.operators.cleaning import median_impute
 from evenhand.operators.metrics import demographic_parity, disparate_impact, equalized_odds
 from evenhand.plans import defaults
 from evenhand.plans.neighbours import nearest
@@ -33,8 +34,8 @@ def apply_weights(df: DataFrame, weights: DataFrame, group: str) -> DataFrame:
 
 
 def minority_knn(df: DataFrame, key: str, features: Sequence[str], k: int = defaults.SMOTE_NEIGHBORS) -> DataFrame:
-    """The k nearest other rows of every row (complete cases, Euclidean), exact."""
-    return nearest(df.na.drop(subset=list(features)), key, features, k)
+    """The k nearest other rows of every row (Euclidean), exact; nulls count as the column's median."""
+    return nearest(median_impute(df.select(key, *features), features), key, features, k)
 
 
 def smote_oversample(
@@ -44,12 +45,14 @@ def smote_oversample(
 
     A synthetic row lies between a row and one of its k nearest of the same class; neighbour and
     position come from a hash. Every row gets the same number of copies, the remainder goes to the
-    first rows in hash order. Returns original and synthetic rows (``synthetic`` flag, null key).
+    first rows in hash order. Returns original and synthetic rows (``synthetic`` flag, null key), null
+    features as the column's median. Rows without a class stay and get no copies; so do rows without a key.
     """
-    rows = df.na.drop(subset=[*features, by]).select(key, by, *[as_double(F.col(f)).alias(f) for f in features])
-    rows = written(rows, "smote")
+    every = median_impute(df.select(key, by, *[as_double(F.col(f)).alias(f) for f in features]), features)
+    every = written(every, "smote")
+    rows = every.filter(F.col(by).isNotNull() & F.col(key).isNotNull())
     sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    out = rows.withColumn("synthetic", F.lit(False))
+    out = every.withColumn("synthetic", F.lit(False))
     if not sizes:
         return out
     top = max(sizes.values())
@@ -75,7 +78,7 @@ def smote_oversample(
     return out
 
 
-def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: int = 100) -> DataFrame:
+def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: int | None = 100) -> DataFrame:
     """Score threshold per group so that all groups are selected at a common rate with the largest
     total accuracy.
 
@@ -83,7 +86,8 @@ def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: in
     Rows are reduced to distinct scores per group. Running counts from the highest score give, for
     every threshold, the selected share and the right decisions. Each point answers for the grid
     rates from its own share up to the next point's, so a group adds ``grid + 1`` rows, not a
-    curve. Groups meet per grid rate, and the best rate wins (the smallest on ties).
+    curve. Groups meet per grid rate, and the best rate wins (the smallest on ties). ``grid=None`` takes
+    as many rates as there are distinct scores, at least 100.
     """
     score = as_double(F.col(prob))
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(target).cast("int").alias("y"), score.alias("p")).filter(
@@ -91,6 +95,7 @@ def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: in
     )
     curve = written(rows.groupBy("grp", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "curve")
     totals = curve.groupBy("grp").agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
+    grid = grid or max(100, curve.select("p").distinct().count())
     run = running_sums(add_piece(curve, "p", cut_points(curve, "p")), ["grp"], "p", ["n", "pos"], descending=True)
     # point i decides "score above p_i": it selects what ran up before it
     sel, tp = F.col("run_n") - F.col("n"), F.col("run_pos") - F.col("pos")
@@ -216,7 +221,9 @@ def fair_training(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 8
 ) -> DataFrame:
     """Test rows scored by the constrained mixture: ``y_prob`` is its probability of selecting,
-    ``y_pred`` the majority decision."""
+    ``y_pred`` the majority decision. Null features count as the train rows' median."""
+    test = median_impute(test, features, fit_on=train)
+    train = median_impute(train, features)
     mixture, _ = fair_mixture(train, features, target, group, epsilon, rounds)
     return test.withColumn("y_prob", mixture.probability()).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
 

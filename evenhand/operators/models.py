@@ -6,36 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.numeric import as_double
 from evenhand.plans.longform import to_long
 from evenhand.plans.ordered import first_by_hash
+from evenhand.plans.quantiles import exact_quantiles
 from evenhand.sources.tables import written
 
 
 def stratified_split(df: DataFrame, key: str, target: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
-    """``split`` = test for exactly floor(share * n) rows of every label, chosen by md5 order."""
+    """``split`` = test for exactly floor(share * n) rows of every label, chosen by md5 order of the key
+    (rows with equal keys by their other columns)."""
     rows = df.filter(F.col(target).isNotNull())
     chosen = first_by_hash(rows, key, target, lambda n: F.floor(n * test_share), str(seed))
     return chosen.withColumn("split", F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], target: str, kind: str = "forest", weight: str | None = None,
-                   trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Median imputation, assembly and a random forest or logistic regression, fitted on the train
-    rows only. ``weight`` names a sample-weight column."""
+                   trees: int = 100, depth: int = 14, seed: int = 42, leaves: int = 100_000) -> PipelineModel:
+    """Median imputation (exact), assembly and a random forest or logistic regression, fitted on the
+    train rows only. ``weight`` names a sample-weight column. Trees grow to ``depth`` (Spark allows 30); a
+    leaf keeps at least 1 / ``leaves`` of the rows, which bounds the model however large the table."""
     cast = train.select("*", *[as_double(F.col(f)).alias("x:" + f) for f in features])
     filled = ["m:" + f for f in features]
-    imputer = Imputer(strategy="median", inputCols=["x:" + f for f in features], outputCols=filled, relativeError=1e-4)
+    medians = {f: q[0] if q else 0.0 for f, q in exact_quantiles(train, features, [0.5]).items()}
+    fill = ", ".join(f"coalesce(`x:{f}`, {medians[f]!r}D) AS `m:{f}`" for f in features)
+    imputer = SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__")
     assemble = VectorAssembler(inputCols=filled, outputCol="features")
     args = {"featuresCol": "features", "labelCol": target}
     if weight:
         args["weightCol"] = weight
     if kind == "forest":
-        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024, **args)
+        least = max(1, train.count() // leaves)
+        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=seed, maxMemoryInMB=1024, **args)
     else:
         learner = LogisticRegression(maxIter=50, regParam=1e-4, **args)
     return Pipeline(stages=[imputer, assemble, learner]).fit(cast)

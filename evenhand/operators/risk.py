@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.hashing import uniform_py
-from evenhand.functions.numeric import cap1, level3
+from evenhand.functions.numeric import binary, cap1, level3
 from evenhand.plans import defaults
 from evenhand.plans.ordered import add_piece, cut_points, running_min_above
 from evenhand.sources.tables import written
@@ -116,6 +116,28 @@ def worst_component(components: DataFrame, key: str = "model_id") -> DataFrame:
     return components.groupBy(key).agg(F.min_by("component", F.struct(-F.col("value"), "component")).alias("component"), F.max("value").alias("value"))
 
 
+def threshold_sweep(df: DataFrame, key: str, group: str, target: str, prob: str, runs: int = defaults.PARETO_MODELS) -> DataFrame:
+    """``key, run_id, epsilon, accuracy, dp_gap``: accuracy and parity gap of every model at ``runs`` score thresholds.
+
+    Rows are counted once per (model, group, number of thresholds below the score); a threshold's selection
+    follows from those counts, so no row is copied per run. A row is selected when its score reaches the threshold.
+    """
+    cuts = [round(i / (runs + 1), 4) for i in range(1, runs + 1)]
+    p, y = F.col(prob).cast("double"), binary(target)
+    passed = sum(((p >= c).cast("int") for c in cuts), F.lit(0))
+    rows = df.filter(F.col(group).isNotNull() & p.isNotNull() & y.isNotNull()).select(key, F.col(group).cast("string").alias("_g"), passed.alias("_k"), y.alias("_y"))
+    cells = rows.groupBy(key, "_g", "_k").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+    spread = cells.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    chosen = F.col("_k") >= F.col("run_id")
+    right = F.when(chosen, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
+    per = spread.groupBy(key, "run_id", "_g").agg(F.sum("n").alias("n"), F.sum(F.when(chosen, F.col("n")).otherwise(0)).alias("sel"), F.sum(right).alias("right"))
+    rate = F.col("sel") / F.col("n")
+    at = F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("run_id"))
+    return per.groupBy(key, "run_id").agg(F.round(F.sum("right") / F.sum("n"), 4).alias("accuracy"), F.round(F.max(rate) - F.min(rate), 4).alias("dp_gap")).select(
+        key, "run_id", at.alias("epsilon"), "accuracy", "dp_gap"
+    )
+
+
 def pareto_frontier(results: DataFrame, key: str = "model_id", accuracy: str = "accuracy", gap: str = "dp_gap") -> DataFrame:
     """Results not dominated on accuracy (up) and gap (down) within their key.
 

@@ -55,25 +55,6 @@ outcomes AS (
   SELECT l_orderkey AS record_id, l_shipdate AS observed_at, (l_returnflag <> 'R')::int AS outcome FROM lineitem)
 """
 
-MODEL_RESULTS = f"""
-model_results AS (
-  SELECT p_brand AS model_id, p_partkey AS run_id,
-    round(0.01::double + 0.02::double * (p_partkey % 25), 2) AS epsilon,
-    round(0.60::double + 0.35::double * {_u('p_partkey', 'u')}, 4) AS accuracy,
-    round(0.01::double + 0.30::double * {_u('p_partkey', 's')}, 4) AS dp_gap
-  FROM part)
-"""
-
-RISK_INPUTS = f"""
-components AS (
-  SELECT unnest(['cramers_v','dp_gap','imbalance_ratio','missing_gap','explainability_disparity','label_bias']) AS component),
-risk_inputs AS (
-  SELECT 'm' || p_partkey::varchar AS model_id, component,
-    {_u("'m' || p_partkey::varchar || '-' || component", 'v')} AS value
-  FROM part, components)
-"""
-
-
 def longs(attrs: list[str], view: str = "decisions", extra: str = "*", name: str = "long_rows", nulls: bool = False) -> str:
     """CTE with one row per (row, attribute)."""
     cond = "" if nulls else " WHERE {a} IS NOT NULL"

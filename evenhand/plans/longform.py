@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from evenhand.functions.numeric import binary
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     """Raise on columns the table does not have."""
@@ -42,13 +44,24 @@ def to_long(
     return long if keep_null else long.filter(F.col("grp").isNotNull())
 
 
+def with_totals(groups: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
+    """The group table with aggregates over all groups that share ``keys``: one small aggregation and a
+    join, so that a key with millions of groups is in no single task."""
+    keys = list(keys)
+    sums = groups.groupBy(*keys).agg(*[c.alias(name) for name, c in totals.items()])
+    renamed = sums.select(*[F.col(k).alias("_" + k) for k in keys], *totals)
+    match = [groups[k].eqNullSafe(renamed["_" + k]) for k in keys]
+    return groups.join(renamed, match).drop(*["_" + k for k in keys])
+
+
 def group_rates(
     df: DataFrame, attrs: Sequence[str], y: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None
 ) -> DataFrame:
-    """``by, attribute, grp, n, positives, rate`` of a 0/1 column; NULL y rows are not counted in n."""
+    """``by, attribute, grp, n, positives, rate`` of a 0/1 column (anything else is refused); NULL y
+    rows are not counted in n."""
     extra = extra or {}
     require(df, [y, *by])
-    long = to_long(df, attrs, [*by, F.col(y).cast("int").alias("_y"), *[c.alias(k) for k, c in extra.items()]])
+    long = to_long(df, attrs, [*by, binary(y).alias("_y"), *[c.alias(k) for k, c in extra.items()]])
     return long.groupBy(*by, "attribute", "grp").agg(
         F.count("_y").alias("n"),
         F.sum("_y").alias("positives"),

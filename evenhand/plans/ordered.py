@@ -89,10 +89,12 @@ def first_by_hash(df: DataFrame, key: str, stratum: str, want: Callable[[Column]
 
     Sorting a stratum would put half the table in one task. Instead hash prefixes are counted
     (65536 pieces), the piece that holds the cut is found, and only that piece is ranked; every
-    other row is decided by comparing its hash with the cut.
+    other row is decided by comparing its hash with the cut. Rows of one key are told apart by their
+    other columns; rows equal in all columns stay together.
     """
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit("-" + salt)))
-    rows = df.select(F.col(stratum).alias("_y"), F.col(key).alias("_k"), h.alias("_h"), F.substring(h, 1, 4).alias("_piece"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.col(stratum).alias("_y"), F.col(key).alias("_k"), tie.alias("_tie"), h.alias("_h"), F.substring(h, 1, 4).alias("_piece"))
     counts = rows.groupBy("_y", "_piece").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_y")
     run = counts.withColumn("_upto", F.sum("n").over(w.orderBy("_piece").rowsBetween(W.unboundedPreceding, 0))).withColumn(
@@ -101,10 +103,9 @@ def first_by_hash(df: DataFrame, key: str, stratum: str, want: Callable[[Column]
     piece = run.filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("n") < F.col("_want"))).select(
         "_y", "_piece", (F.col("_want") - F.col("_upto") + F.col("n")).alias("_left")
     )
-    # one row per stratum: label values, a handful
-    inside = rows.join(F.broadcast(piece), ["_y", "_piece"])
-    ranked = inside.withColumn("_rank", F.row_number().over(W.partitionBy("_y").orderBy("_h", "_k")))
-    cut = ranked.filter(F.col("_rank") == F.col("_left")).select("_y", F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_k"))
-    joined = df.join(F.broadcast(cut), F.col(stratum) == F.col("_y"), "left")
-    first = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_k")))
+    inside = rows.join(piece, ["_y", "_piece"])
+    ranked = inside.withColumn("_rank", F.row_number().over(W.partitionBy("_y").orderBy("_h", "_k", "_tie")))
+    cut = ranked.filter(F.col("_rank") == F.col("_left")).select("_y", F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"), F.col("_tie").alias("t")).alias("_cut"))
+    joined = df.join(cut, F.col(stratum) == F.col("_y"), "left")
+    first = F.struct(h.alias("h"), F.col(key).alias("k"), tie.alias("t")) <= F.col("_cut")
     return joined.select(*df.columns, F.coalesce(first, F.lit(False)).alias("_first"))

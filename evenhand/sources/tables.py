@@ -41,21 +41,61 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """One result table as JSON lines or parquet."""
-    df.write.mode("overwrite").format(fmt).save(path)
+def write_report(df: DataFrame, path: str, fmt: str = "json", partition: str | None = None) -> None:
+    """A result table as JSON lines or parquet, on request one folder per value of a column."""
+    writer = df.write.mode("overwrite").format(fmt)
+    (writer.partitionBy(partition) if partition else writer).save(path)
 
 
-def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
+#: The folder of each running application, by its id.
+_RUNS: dict[str, str] = {}
+
+
+def shared_base(master: str, named: str | None) -> str:
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Executors on other machines do not see a local folder, so without the setting, or with a ``file:``
+    path, only local masters are accepted (the former then use a temporary folder).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="evenhand-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/evenhand-{purpose}-{uuid.uuid4().hex}"
+    local = master.startswith("local")
+    if not named and not local:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if named and not local and named.startswith("file:"):
+        raise RuntimeError(f"spark.checkpoint.dir is {named}, which executors on other machines do not see")
+    return named or tempfile.mkdtemp(prefix="evenhand-")
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path: the folder may be in any store Spark writes to."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def run_folder(spark: SparkSession) -> str:
+    """One folder for all intermediate tables of this application; it is deleted by :func:`release`,
+    at the latest when the JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        base = shared_base(spark.sparkContext.master, spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
+        path = f"{base.rstrip('/')}/evenhand-{uuid.uuid4().hex}"
+        fs, folder = _folder(spark, path)
+        fs.deleteOnExit(folder)
+        _RUNS[app] = path
+    return _RUNS[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Results that were not written or collected
+    before can't be read afterwards."""
+    path = _RUNS.pop(spark.sparkContext.applicationId, None)
+    if path:
+        fs, folder = _folder(spark, path)
+        fs.delete(folder, True)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the run's folder."""
+    return f"{run_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -68,8 +108,10 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """``n_rows, checksum`` of a table: independent of row order and of partitioning."""
-    h = F.pmod(F.xxhash64(*df.columns), F.lit(2147483647)).cast("decimal(38,0)")
+    """``n_rows, checksum`` of a table: independent of row order and of partitioning. The checksum adds
+    up the first 32 bits of each row's md5 (values as text, nulls marked), so any SQL engine can check it."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 

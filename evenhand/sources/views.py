@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.functions.hashing import uniform, uniform_sql
+from evenhand.functions.hashing import uniform_sql
 from evenhand.sources.tables import load
 
 NUMERIC = ["age", "employment_years", "income", "total_price", "branch_tier", "skill_score"]
@@ -82,25 +82,3 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate").alias("observed_at"),
         (F.col("l_returnflag") != "R").cast("int").alias("outcome"),
     )
-
-
-def model_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Trained-model results: several epsilons per model family."""
-    p = load(spark, sf, "part")
-    return p.select(
-        F.col("p_brand").alias("model_id"),
-        F.col("p_partkey").alias("run_id"),
-        F.round(F.lit(0.01) + F.lit(0.02) * (F.col("p_partkey") % 25), 2).alias("epsilon"),
-        F.round(F.lit(0.60) + F.lit(0.35) * uniform(F.col("p_partkey"), "u"), 4).alias("accuracy"),
-        F.round(F.lit(0.01) + F.lit(0.30) * uniform(F.col("p_partkey"), "s"), 4).alias("dp_gap"),
-    )
-
-
-COMPONENTS = ["cramers_v", "dp_gap", "imbalance_ratio", "missing_gap", "explainability_disparity", "label_bias"]
-
-
-def risk_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Long component table, six rows per audited model (one model per part)."""
-    p = load(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model_id"))
-    long = p.select("model_id", F.explode(F.array(*[F.lit(c) for c in COMPONENTS])).alias("component"))
-    return long.withColumn("value", uniform(F.concat("model_id", F.lit("-"), "component"), "v"))

@@ -59,6 +59,12 @@ def append_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def with_open_windows(emitted: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The emitted windows and those the watermark has not closed yet, the latter from ``whole``: the same
+    operator over the stream's rows as a batch. For the end of a stream, or a look at open windows."""
+    return emitted.unionByName(whole.join(emitted.select(*keys), list(keys), "left_anti"))
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows a query left out because they came after the watermark."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
