@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenhand.llm.common import cut, id_key, n_blank_words, packed, running, text_key, unpacked
+from evenhand.llm.common import cut, id_key, packed, running, text_key, unpacked
 
 MIN_WORDS = 50
 
@@ -34,13 +34,14 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h, ln, a, b, words, id``: the lines of each distinct text, their 128-bit content, and the text's smallest id."""
+    """``h, ln, a, b, words, id, last_id``: the lines of each distinct text, their 128-bit content, and the text's smallest
+    and largest id."""
     rows = docs.where(F.col(text).isNotNull()).select(
         id_key(F.col(doc_id)).alias("id"), text_key(F.col(text)).alias("h"), F.posexplode(_lines(F.col(text))).alias("ln", "line")
     )
     words = F.size(F.array_remove(F.split("line", " "), "")).cast("bigint")
     rows = rows.select("id", "h", "ln", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.alias("words"))
-    return rows.groupBy("h", "ln").agg(F.min("id").alias("id"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("words").alias("words"))
+    return rows.groupBy("h", "ln").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("words").alias("words"))
 
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
@@ -49,7 +50,7 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     Adds ``stretch``, and ``upto``: the stretch's words up to and with the line."""
     repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     in_doc = Window.partitionBy("h").orderBy("ln")
-    rows = lines.join(repeated, ["a", "b"]).drop("copies").withColumn("stretch", F.col("ln") - F.row_number().over(in_doc))
+    rows = lines.drop("last_id").join(repeated, ["a", "b"]).drop("copies").withColumn("stretch", F.col("ln") - F.row_number().over(in_doc))
     whole = Window.partitionBy("h", "stretch")
     rows = rows.withColumn("upto", F.sum("words").over(whole.orderBy("ln"))).withColumn("total", F.max("upto").over(whole))
     return rows.where(F.col("total") >= min_words).drop("total")
@@ -83,9 +84,10 @@ def suffix_ranks(rows: DataFrame, longest: int) -> DataFrame:
     return cut(ranks.select("h", "ln", "ranks"))
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h, start, len``: line runs of the text with key ``h`` that stand at an earlier place too."""
-    rows = cut(stretches(line_table(docs, doc_id, text), min_words))
+def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``h, start, len``: line runs of the text with key ``h`` that stand at an earlier place too; ``lines`` of
+    :func:`line_table`."""
+    rows = cut(stretches(lines, min_words))
     runs = cut(minimal_runs(rows, min_words))
     longest = runs.agg(F.coalesce(F.max("len"), F.lit(1))).first()[0]
     ranks = suffix_ranks(rows, longest)
@@ -103,11 +105,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
     """The rows of ``docs`` with later copies deleted from ``text``, and the array ``removed`` of the deleted line
     numbers (from 0, in order; it replaces a column of that name). Extra columns pass through."""
-    lines = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("ln")
-    deleted = later_copies(docs, min_words, doc_id, text).select("h", lines).groupBy("h").agg(F.array_sort(F.collect_set("ln")).alias("_lines"))
-    texts = docs.where(F.col(text).isNotNull()).select(id_key(F.col(doc_id)).alias("_id"), text_key(F.col(text)).alias("h"), n_blank_words(F.col(text)).alias("_words"))
-    owners = texts.groupBy("h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.min("_words").alias("_words"))
-    copied = owners.where((F.col("_first") != F.col("_last")) & (F.col("_words") >= min_words)).select("h", "_first")
+    lines = cut(line_table(docs, doc_id, text))
+    numbers = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("ln")
+    deleted = later_copies(lines, min_words).select("h", numbers).groupBy("h").agg(F.array_sort(F.collect_set("ln")).alias("_lines"))
+    owners = lines.where("id != last_id").groupBy("h").agg(F.min("id").alias("_first"), F.sum("words").alias("words"))
+    copied = owners.where(F.col("words") >= min_words).select("h", "_first")
     known = copied.join(deleted, "h", "full")
     joined = packed(docs, doc_id, text).join(known, "h", "left")
     body = joined["row"][text]
