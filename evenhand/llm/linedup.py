@@ -48,7 +48,8 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """The lines that occur more than once, in stretches of consecutive ones with at least ``min_words`` words.
 
     Adds ``stretch``, and ``upto``: the stretch's words up to and with the line."""
-    repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # from a checkpoint, so that the join deals out both sides itself and can split a frequent line's partition
+    repeated = cut(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     in_doc = Window.partitionBy("h").orderBy("ln")
     rows = lines.drop("last_id").join(repeated, ["a", "b"]).drop("copies").withColumn("stretch", F.col("ln") - F.row_number().over(in_doc))
     whole = Window.partitionBy("h", "stretch")
@@ -110,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     deleted = later_copies(lines, min_words).select("h", numbers).groupBy("h").agg(F.array_sort(F.collect_set("ln")).alias("_lines"))
     owners = lines.where("id != last_id").groupBy("h").agg(F.min("id").alias("_first"), F.sum("words").alias("words"))
     copied = owners.where(F.col("words") >= min_words).select("h", "_first")
-    known = copied.join(deleted, "h", "full")
+    known = cut(copied.join(deleted, "h", "full"))  # so that the partition of a text with many copies can be split
     joined = packed(docs, doc_id, text).join(known, "h", "left")
     body = joined["row"][text]
     is_copy = F.coalesce(F.col("id") != F.col("_first"), F.lit(False))
