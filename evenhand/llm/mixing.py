@@ -67,6 +67,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     placed = ordered.join(starts, ["no_source", "source"]).withColumn("left", F.col("rest") - (F.col("before_words") - F.col("start")))
     ends = placed.where((F.col("left") > 0) & (F.col("left") <= F.col("words")))
     ends = ends.select("no_source", "source", F.col("key").alias("cut_key"), F.expr("left div rows").alias("cut_words"))
+    ends = cut(ends)  # at most a row per source; the join above can split a large source's partition
     return documents, cut(targets.join(ends, ["no_source", "source"], "left").drop("weight", "rest"))
 
 
