@@ -195,7 +195,7 @@ def identify(
     counted = scored.where(F.col("guess").isNotNull()).select("declared", "host", "suffix", "guess")
     priors, corpus = host_priors(counted, languages, strength)
     fused = scored.join(_chances(counted, "declared", languages, "from_declared"), "declared", "left").join(_chances(counted, "suffix", languages, "from_suffix"), "suffix", "left")
-    fused = fused.join(priors, "host", "left")
+    fused = fused.join(cut(priors), "host", "left")  # from a checkpoint: the join can split a hot host's partition
     zero = F.array(*[F.lit(0.0)] * n)
     parts = [F.col("scores"), F.coalesce("from_declared", zero), F.coalesce("from_suffix", zero), F.coalesce("prior", F.array(*[F.lit(c) for c in corpus]))]
     logs = F.array(*[sum((F.get(p, F.lit(i)) for p in parts[1:]), F.get(parts[0], F.lit(i))) for i in range(n)])
