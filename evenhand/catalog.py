@@ -298,6 +298,25 @@ def pca_loadings(spark, sf):
     return K.pca_loadings(V.decisions(spark, sf), [*FEATURES, TARGET], sensitive=["branch_tier"])
 
 
+@query
+def pca_moments(spark, sf):
+    """Sum and sum of squares of all explained variance shares: trace and squared norm of the covariance matrix tell them."""
+    out = K.pca_loadings(V.decisions(spark, sf), [*FEATURES, TARGET], components=len(FEATURES) + 1)
+    shares = out.select("component", "explained_variance").distinct()
+    lengths = out.groupBy("component").agg(F.sum(F.col("loading") * F.col("loading")).alias("l"))
+    return shares.join(lengths, "component").agg(
+        F.count(F.lit(1)).alias("components"), F.round(F.sum("explained_variance"), 2).alias("total"),
+        F.round(F.sum(F.col("explained_variance") * F.col("explained_variance")), 3).alias("squares"), F.round(F.max(F.abs(F.col("l") - 1)), 2).alias("length_error"),
+    )
+
+
+@query
+def mca_moments(spark, sf):
+    """Sum of all squared singular values of the standardised Burt matrix, which is its squared norm."""
+    out = K.mca_coordinates(V.decisions(spark, sf), ["segment", "region", TARGET], dims=30)
+    return out.select("dim", "inertia").distinct().agg(F.round(F.sum(F.col("inertia") * F.col("inertia")), 2).alias("squared_norm"))
+
+
 @query
 def burt_table(spark, sf):
     return K.burt_table(V.decisions(spark, sf), [*ATTRS, TARGET])
@@ -325,7 +344,11 @@ def intersectional_status(spark, sf):
 
 @query
 def bootstrap_cramers_v(spark, sf):
-    return K.bootstrap_cramers_v(V.decisions(spark, sf), ATTRS, TARGET)
+    """V and whether its interval is one (the draws themselves are beyond SQL): wider than nothing, and around V up to the
+    upward bias that resampled V has."""
+    out = K.bootstrap_cramers_v(V.decisions(spark, sf), ATTRS, TARGET)
+    holds = (F.col("ci_width") > 0) & (F.col("ci_width") < 0.2) & (F.col("ci_lower") <= F.col("point") + F.col("ci_width")) & (F.col("point") <= F.col("ci_upper"))
+    return out.select("attribute", "point", holds.alias("interval_holds"))
 
 
 @query
@@ -419,6 +442,16 @@ def train_scores(spark, sf):
     return out.select("record_id", "approved", "y_pred", F.round("y_prob", 4).alias("y_prob"))
 
 
+@query
+def score_counts(spark, sf):
+    """Rows per split and label of the scored table, and the rows whose decision is not that of their score."""
+    parts = _split(spark, sf)
+    model = T.fit_classifier(parts.filter("split = 'train'"), MODEL_FEATURES, TARGET, kind="logistic")
+    out = T.score_table(model, parts, MODEL_FEATURES)
+    wrong = F.col("y_prob").isNull() | (F.col("y_pred") != (F.col("y_prob") > 0.5).cast("int")) | ~F.col("y_prob").between(0, 1)
+    return out.groupBy("split", "approved").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("n_wrong"))
+
+
 @query
 def score_table(spark, sf):
     parts = _split(spark, sf)
@@ -638,6 +671,35 @@ def pareto_sweep(spark, sf):
     return G.pareto_sweep(train, test, MODEL_FEATURES, TARGET, "region")
 
 
+@query
+def pareto_sweep_bounds(spark, sf):
+    """The trained strengths, and whether each keeps its bound on the train rows and ends with a small duality gap."""
+    out = pareto_sweep(spark, sf)
+    return out.select(F.floor(F.col("epsilon") * 1000).alias("strength_permille"), (F.col("train_gap") <= F.col("epsilon")).alias("within_bound"), (F.col("duality_gap") <= 0.05).alias("solved"))
+
+
+@query
+def mitigation_run(spark, sf):
+    """Every level's techniques on the split decisions."""
+    parts = _split(spark, sf).select("record_id", "segment", "region", "approved", *MODEL_FEATURES, "split")
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    runs = [G.run_mitigation(train, test, "record_id", MODEL_FEATURES, TARGET, "region", level) for level in G.PLAN]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query
+def mitigation_checks(spark, sf):
+    """What must hold of :func:`mitigation_run` whatever the models are: one original accuracy, consistent changes, the
+    most accurate technique chosen."""
+    out = IO.written(mitigation_run(spark, sf), "mitigation")
+    first = out.agg(F.min("original_accuracy").alias("a")).scalar()
+    best = out.groupBy("level").agg(F.max("mitigated_accuracy").alias("best"))
+    steady = (F.col("original_accuracy") == first) & (F.abs(F.col("mitigated_accuracy") - F.col("original_accuracy") - F.col("accuracy_change")) < 2e-4)
+    return out.join(best, "level").select(
+        "level", "technique", steady.alias("consistent"), (F.col("within_tolerance") == (F.abs("accuracy_change") <= 0.05)).alias("tolerance_right"),
+        (~F.col("chosen") | (F.col("mitigated_accuracy") == F.col("best"))).alias("choice_right"),
+    )
+
 @query
 def recommendation_codes(spark, sf):
     return R.recommendation_codes(_risk_inputs(spark, sf))
@@ -680,6 +742,15 @@ def smote_oversample(spark, sf):
     return _smote(spark, sf).select("record_id", "approved", "synthetic", *[F.round(c, 3).alias(c) for c in KNN_FEATURES])
 
 
+@query
+def smote_checks(spark, sf):
+    """Per class: rows in all, and the synthetic rows outside of their class's range of any feature."""
+    out = IO.written(_smote(spark, sf), "smote")
+    own = out.filter("NOT synthetic").groupBy("approved").agg(*[f(c).alias(f"{n}_{c}") for c in KNN_FEATURES for n, f in (("lo", F.min), ("hi", F.max))])
+    outside = sum(((F.col(c) < F.col("lo_" + c)) | (F.col(c) > F.col("hi_" + c))).cast("int") for c in KNN_FEATURES)
+    return out.join(own, "approved").groupBy("approved").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("synthetic") & (outside > 0)).alias("n_outside"))
+
+
 @query
 def smote_counts(spark, sf):
     return _smote(spark, sf).groupBy("approved", "synthetic").agg(F.count(F.lit(1)).alias("n"))

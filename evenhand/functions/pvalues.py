@@ -101,6 +101,44 @@ def t_tail_of_r(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, out, 1.0)
 
 
+def _log_weights(start: int, stop: int, step: int, r1: int, c1: int, t: int, floor: float = -80.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log hypergeometric weights of the top-left counts from ``start`` towards ``stop``, relative to the one at
+    ``start``, until they are below ``floor`` or the support ends."""
+    xs, logs, at, level = [], [], start, 0.0
+    while at != stop and level > floor:
+        n = min(4096, abs(stop - at))
+        x = at + step * np.arange(1, n + 1, dtype=float)
+        lo = x - 1 if step > 0 else x  # the ratio of the weights at lo + 1 and lo
+        ratio = np.log((r1 - lo) * (c1 - lo)) - np.log((lo + 1) * (t - r1 - c1 + lo + 1))
+        part = level + np.cumsum(step * ratio)
+        xs.append(x)
+        logs.append(part)
+        at, level = int(x[-1]), float(part[-1])
+    return (np.concatenate(xs), np.concatenate(logs)) if xs else (np.zeros(0), np.zeros(0))
+
+
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided Fisher p of a 2x2: the weights are summed from their mode outwards until they vanish, so the work grows
+    with the standard deviation of the count, not with the margins."""
+    r1, c1, t = a + b, a + c, a + b + c + d
+    low, high = max(0, a - d), min(r1, c1)
+    mode = min(max((r1 + 1) * (c1 + 1) // (t + 2), low), high)
+    up, down = _log_weights(mode, high, 1, r1, c1, t), _log_weights(mode, low, -1, r1, c1, t)
+    x, logs = np.concatenate([[mode], up[0], down[0]]), np.concatenate([[0.0], up[1], down[1]])
+    here = logs[x == a]
+    if not len(here):  # the observed count is out where weights vanish
+        return 0.0
+    w = np.exp(logs)
+    return float(min(w[w <= np.exp(here[0]) * (1 + 1e-7)].sum() / w.sum(), 1.0))
+
+
+@F.pandas_udf(DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    cells = zip(a, b, c, d)
+    out = [None if any(pd.isna(v) for v in cell) else fisher_two_sided(*(int(v) for v in cell)) for cell in cells]
+    return pd.Series(out, index=a.index, dtype=object)
+
+
 @F.pandas_udf(DoubleType())
 def chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     ok = stat.notna() & dof.notna()

@@ -10,7 +10,6 @@ from math import exp, factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -436,5 +435,5 @@ def bias_summary(df: DataFrame, attrs: Sequence[str], target: str, features: Seq
     out = found.agg(*[F.coalesce(F.sum(flag(F.col("kind") == k)), F.lit(0)).alias(a) for k, a in
                       (("test", "significant_tests"), ("corr", "strong_correlations"), ("inter", "intersection_flags"))])
     return out.withColumn("total_flags", F.col("significant_tests") + F.col("strong_correlations") + F.col("intersection_flags")).withColumn(
-        "status", F.when((F.col("significant_tests") > 0) | (F.col("intersection_flags") > 0), "BIAS DETECTED").otherwise("NO SIGNIFICANT BIAS")
+        "status", F.when((F.col("significant_tests") > 0) | (F.col("intersection_flags") > 0), defaults.STATUS["bias"]).otherwise(defaults.STATUS["no_bias"])
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.numeric import argmax, argmin, as_double, flag
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
 from evenhand.plans.longform import group_rates, numeric_among, require, to_long, with_totals
+from evenhand.plans.ordered import row_numbers
 from evenhand.sources.tables import written
 
 
@@ -110,10 +111,9 @@ def missingness_correlations(df: DataFrame, attrs: Sequence[str], columns: Seque
 
 def _sensitive_r(groups: DataFrame, columns: Sequence[str], numeric_attrs: Sequence[str] = ()) -> DataFrame:
     """r of every null indicator with the coded attributes, from the group table."""
-    rank = F.sum(F.when(F.col("grp").isNotNull(), 1).otherwise(0)).over(
-        W.partitionBy("attribute").orderBy("grp").rowsBetween(W.unboundedPreceding, 0)
-    )
-    code = F.when(F.col("grp").isNull(), F.lit(-1.0)).otherwise(rank.cast("double") - 1)
+    named = row_numbers(groups.filter(F.col("grp").isNotNull()), ["attribute"], ["grp"], "_place")
+    groups = named.unionByName(groups.filter(F.col("grp").isNull()).withColumn("_place", F.lit(0).cast("bigint")))
+    code = F.col("_place").cast("double") - 1
     if numeric_attrs:
         own = F.coalesce(F.expr("try_cast(grp AS double)"), F.lit(0.0))
         code = F.when(F.col("attribute").isin(*numeric_attrs), own).otherwise(code)
@@ -200,5 +200,5 @@ def audit_summary(df: DataFrame, attrs: Sequence[str], columns: Sequence[str]) -
                       (("underrepresented", "n_underrepresented"), ("gap", "n_missing_gaps"), ("nmar", "n_nmar"))])
     total = F.col("n_underrepresented") + F.col("n_missing_gaps") + F.col("n_nmar")
     return out.withColumn("total_issues", total).withColumn(
-        "status", F.when(F.col("total_issues") == 0, "PASS").otherwise("ISSUES FOUND")
+        "status", F.when(F.col("total_issues") == 0, defaults.STATUS["audit_ok"]).otherwise(defaults.STATUS["audit_issues"])
     )

@@ -115,10 +115,16 @@ def calibration_curve(
     df: DataFrame, attrs: Sequence[str], target: str, prob: str, by: Sequence[str] = (), min_rows: int = 20,
     edges: Sequence[float] = CALIBRATION_EDGES,
 ) -> DataFrame:
-    """Observed rate and mean score per probability bin and group; empty bins are absent."""
-    return _calibration_bins(df, attrs, target, prob, by, edges).filter(F.col("group_n") >= min_rows).select(
-        *by, "attribute", "grp", "bin", "n", F.round("prob_true", 4).alias("prob_true"), F.round("prob_pred", 4).alias("prob_pred")
+    """Observed rate and mean score per probability bin and group; empty bins are absent. A group below ``min_rows``
+    has one row without a bin, with all its rows as ``n`` and a status."""
+    bins = _calibration_bins(df, attrs, target, prob, by, edges)
+    enough = F.col("group_n") >= min_rows
+    rows = bins.select(
+        *by, "attribute", "grp", F.when(enough, F.col("bin")).alias("bin"), F.when(enough, F.col("n")).otherwise(F.col("group_n")).alias("n"),
+        F.when(enough, F.round("prob_true", 4)).alias("prob_true"), F.when(enough, F.round("prob_pred", 4)).alias("prob_pred"),
+        F.when(enough, "ok").otherwise("too few samples").alias("status"),
     )
+    return rows.distinct()
 
 
 def calibration_error(
@@ -211,7 +217,7 @@ def fairness_summary(df: DataFrame, attrs: Sequence[str], target: str, pred: str
                     (("dp", "dp_violations"), ("eo", "eo_violations"), ("di", "di_violations"))])
     total = F.col("dp_violations") + F.col("eo_violations") + F.col("di_violations")
     return out.withColumn("total_violations", total).withColumn(
-        "status", F.when(F.col("total_violations") > 0, "FAIRNESS VIOLATIONS DETECTED").otherwise("ALL METRICS PASS")
+        "status", F.when(F.col("total_violations") > 0, defaults.STATUS["violations"]).otherwise(defaults.STATUS["fair"])
     )
 
 

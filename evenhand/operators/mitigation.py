@@ -10,9 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.hashing import uniform
-from evenhand.functions.numeric import as_double
+from evenhand.functions.numeric import as_double, binary
 from evenhand.operators.cleaning import median_impute
 from evenhand.operators.metrics import demographic_parity, disparate_impact, equalized_odds
+from evenhand.operators.models import fit_classifier, score_table
 from evenhand.plans import defaults
 from evenhand.plans.neighbours import nearest
 from evenhand.plans.ordered import add_piece, cut_points, first_by_hash, running_sums
@@ -164,108 +165,227 @@ def revalidation_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """A randomised classifier: linear hypotheses with equal or given weights (driver-sized state)."""
+    """A randomised classifier: fitted hypotheses with weights (driver-sized state).
 
-    def __init__(self, features: Sequence[str], rules: list[tuple[np.ndarray, float]], weights: Sequence[float] | None = None):
+    A hypothesis is a linear rule (coefficients and intercept), a constant, or any fitted Spark model."""
+
+    def __init__(self, features: Sequence[str], rules: list, weights: Sequence[float] | None = None):
         self.features, self.rules = list(features), rules
         self.weights = list(weights) if weights is not None else [1.0 / len(rules)] * len(rules)
 
-    def hypothesis(self, i: int) -> Column:
-        coef, bias = self.rules[i]
-        margin = sum((F.lit(float(c)) * F.col(f) for c, f in zip(coef, self.features)), F.lit(float(bias)))
-        return (margin >= 0).cast("double")
-
-    def probability(self) -> Column:
-        return sum((F.lit(w) * self.hypothesis(i) for i, w in enumerate(self.weights) if w > 0), F.lit(0.0))
-
-
-def fair_mixture(
-    train: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 8, step: float = 2.0
-) -> tuple[Mixture, list[dict]]:
-    """Minimise error subject to demographic parity by exponentiated gradient (Agarwal et al. 2018).
-
-    Each round is a distributed cost-sensitive fit and one grouped aggregation; only the multipliers
-    (two per group), the coefficients and the group rates come to the driver. ``train`` must have
-    complete numeric features.
+    def decide(self, df: DataFrame, i: int, out: str) -> DataFrame:
+        """``df`` with the 0/1 decision of hypothesis ``i``; features have to be complete."""
+        rule = self.rules[i]
+        if isinstance(rule, tuple):
+            margin = sum((F.lit(float(c)) * F.col(f) for c, f in zip(rule[0], self.features)), F.lit(float(rule[1])))
+            return df.withColumn(out, (margin >= 0).cast("double"))
+        vec = df if "_v" in df.columns else VectorAssembler(inputCols=self.features, outputCol="_v").transform(df)
+        kept = [c for c in df.columns if c != "_v"] + (["_v"] if "_v" in df.columns else [])
+        return rule.transform(vec).select(*kept, F.col("prediction").alias(out))
+
+    def score(self, df: DataFrame, out: str = "y_prob") -> DataFrame:
+        """``df`` with the probability of selecting."""
+        used = [i for i, w in enumerate(self.weights) if w > 0]
+        rows = df
+        for i in used:
+            rows = self.decide(rows, i, f"_h{i}")
+        total = sum((F.lit(float(self.weights[i])) * F.col(f"_h{i}") for i in used), F.lit(0.0))
+        return rows.withColumn(out, total).drop(*[f"_h{i}" for i in used])
+
+
+class ConstrainedTraining:
+    """Least error subject to demographic parity (reductions approach, Agarwal et al. 2018), for any
+    strength of the constraint, on one written train table.
+
+    The pool of hypotheses starts with an unconstrained model and the two constants. :meth:`solve` plays the
+    zero-sum game of mixture against multipliers on the pool (numpy on hypotheses x groups numbers); one
+    distributed cost-sensitive fit and one grouped aggregation then look for a hypothesis that beats the pool.
+    It joins the pool until the duality gap is within ``tolerance``. Hypotheses serve all strengths.
+
+    ``learner`` makes an estimator that accepts weights, given ``featuresCol, labelCol, weightCol``; by
+    default a logistic regression. Only multipliers, group rates and models come to the driver.
     """
-    base = train.filter(F.col(group).isNotNull() & F.col(target).isNotNull()).select(
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("int").alias("_y"), F.col(group).cast("string").alias("_g")
-    )
-    table = written(VectorAssembler(inputCols=list(features), outputCol="_v").transform(base), "train")
-    share = {r["_g"]: r["n"] for r in table.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group
-    names, total = sorted(share), sum(share.values())
-    p = np.array([share[g] / total for g in names])
-    theta = np.zeros((2, len(names)))
-    bound = 1.0 / max(epsilon, 1e-3)
-    rules, stats = [], []
-    for _ in range(rounds):
-        lam = bound * np.exp(theta - theta.max()) / (np.exp(-theta.max()) + np.exp(theta - theta.max()).sum())
-        net = lam[0] - lam[1]
-        extra = net / p - net.sum()
-        price = F.create_map(*[x for g, e in zip(names, extra) for x in (F.lit(g), F.lit(float(e)))])[F.col("_g")]
+
+    def __init__(self, train: DataFrame, features: Sequence[str], target: str, group: str, learner=None):
+        base = train.filter(F.col(group).isNotNull() & F.col(target).isNotNull()).select(
+            *[F.col(f).cast("double").alias(f) for f in features], binary(target).alias("_y"), F.col(group).cast("string").alias("_g")
+        )
+        self.features, self.learner = list(features), learner
+        self.table = written(VectorAssembler(inputCols=self.features, outputCol="_v").transform(base), "train")
+        share = {r["_g"]: r["n"] for r in self.table.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group
+        self.names = sorted(share)
+        self.p = np.array([share[g] for g in self.names], dtype=float) / max(sum(share.values()), 1)
+        self.rules: list = []
+        self.rates, self.errors = np.zeros((0, len(self.names))), np.zeros(0)
+        self.fits = 0
+        for bias in (-1.0, 1.0):
+            self._add((np.zeros(len(self.features)), bias))
+        self._add(self._fit(np.zeros(len(self.names))))
+
+    def _fit(self, net: np.ndarray):
+        """The hypothesis of least error plus priced selection."""
+        self.fits += 1
+        price = F.create_map(*[x for g, e in zip(self.names, net / self.p - net.sum()) for x in (F.lit(g), F.lit(float(e)))])[F.col("_g")]
         gain = F.when(F.col("_y") == 1, 1.0).otherwise(-1.0) - price
-        weighted = table.select("_v", (gain > 0).cast("double").alias("_l"), F.abs(gain).alias("_w"))
-        model = LogisticRegression(featuresCol="_v", labelCol="_l", weightCol="_w", maxIter=25, regParam=1e-4).fit(weighted)
-        rules.append((model.coefficientMatrix.toArray()[0], float(model.interceptVector[0])) if model.numClasses == 2
-                     else (np.zeros(len(features)), float("inf")))
-        h = Mixture(features, rules).hypothesis(len(rules) - 1)
-        found = {r["_g"]: r for r in table.groupBy("_g").agg(F.avg(h).alias("rate"), F.avg((h == F.col("_y")).cast("double")).alias("acc")).collect()}
-        rate = np.array([found[g]["rate"] for g in names])
-        stats.append({"rates": dict(zip(names, rate)), "accuracy": float(sum(found[g]["acc"] * q for g, q in zip(names, p)))})
-        diff = rate - float((rate * p).sum())
-        theta += step * np.vstack([diff - epsilon, -diff - epsilon])
-    return Mixture(features, rules), stats
+        rows = self.table.select("_v", (gain > 0).cast("double").alias("_l"), F.abs(gain).alias("_w"))
+        args = {"featuresCol": "_v", "labelCol": "_l", "weightCol": "_w"}
+        if self.learner is not None:
+            return self.learner(**args).fit(rows)
+        model = LogisticRegression(maxIter=25, regParam=1e-4, **args).fit(rows)
+        if model.numClasses < 2:  # nobody is worth selecting
+            return np.zeros(len(self.features)), -1.0
+        return model.coefficientMatrix.toArray()[0], float(model.interceptVector[0])
+
+    def _add(self, rule) -> None:
+        mixture = Mixture(self.features, [*self.rules, rule])
+        rows = mixture.decide(self.table, len(self.rules), "_h")
+        found = {r["_g"]: r for r in rows.groupBy("_g").agg(F.avg("_h").alias("rate"), F.avg((F.col("_h") != F.col("_y")).cast("double")).alias("err")).collect()}
+        self.rules.append(rule)
+        self.rates = np.vstack([self.rates, [found[g]["rate"] for g in self.names]])
+        self.errors = np.append(self.errors, sum(found[g]["err"] * q for g, q in zip(self.names, self.p)))
+
+    def _solve(self, epsilon: float, bound: float, steps: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the pool and mean multipliers of the game on the pool, over the last half of the play."""
+        over = self.rates - (self.rates @ self.p)[:, None]
+        slack = np.hstack([over - epsilon, -over - epsilon])
+        theta, weights, mean = np.zeros(slack.shape[1]), np.zeros(len(self.errors)), np.zeros(slack.shape[1])
+        eta = 2.0 / np.sqrt(steps)
+        for step in range(steps):
+            top = max(theta.max(), 0.0)
+            lam = bound * np.exp(theta - top) / (np.exp(-top) + np.exp(theta - top).sum())
+            best = int(np.argmin(self.errors + slack @ lam))
+            if 2 * step >= steps:
+                weights[best] += 1.0
+                mean += lam
+            theta += eta * slack[best] * np.sqrt(bound)
+        return weights / weights.sum(), mean / weights.sum()
+
+    def solve(self, epsilon: float, bound: float = 10.0, tolerance: float = 0.005, rounds: int = 12) -> tuple[Mixture, dict]:
+        """The mixture whose group rates differ from the overall rate by at most ``epsilon``, and what is known of it on
+        the train rows: ``gap`` (that difference), ``error``, ``duality_gap`` (reported also where ``rounds`` ended the
+        search)."""
+        for round_ in range(rounds + 1):
+            weights, lam = self._solve(epsilon, bound)
+            weights = self._within(weights, epsilon)
+            rate = weights @ self.rates
+            over = rate - float(rate @ self.p)
+            slack = np.concatenate([over, -over]) - epsilon
+            primal = float(weights @ self.errors) + bound * max(0.0, float(slack.max()))
+            half = len(self.names)
+            net = lam[:half] - lam[half:]
+            value = self.errors + (self.rates - (self.rates @ self.p)[:, None]) @ net - lam.sum() * epsilon
+            low = float(value.min())
+            if round_ == rounds or primal - low <= 0:
+                break
+            self._add(self._fit(net))
+            new = float(self.errors[-1] + (self.rates[-1] - self.rates[-1] @ self.p) @ net - lam.sum() * epsilon)
+            weights = np.append(weights, 0.0)
+            if new >= low - 1e-9 or primal - min(low, new) <= tolerance:
+                low = min(low, new)
+                break
+        stats = {"gap": float(np.abs(over).max()), "error": float(weights @ self.errors), "duality_gap": max(0.0, primal - low)}
+        return Mixture(self.features, self.rules, weights), stats
+
+    def _within(self, weights: np.ndarray, epsilon: float) -> np.ndarray:
+        """The weights mixed with the better constant, just as much as the constraint needs: a constant selects all
+        groups alike, so the difference shrinks in proportion."""
+        rate = weights @ self.rates
+        gap = float(np.abs(rate - float(rate @ self.p)).max())
+        if gap <= epsilon:
+            return weights
+        keep = epsilon / gap * (1 - 1e-9)
+        fixed = np.zeros(len(weights))
+        fixed[int(np.argmin(self.errors[:2]))] = 1.0
+        return keep * weights + (1 - keep) * fixed
 
 
 def fair_training(
-    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 8
+    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 12, learner=None
 ) -> DataFrame:
     """Test rows scored by the constrained mixture: ``y_prob`` is its probability of selecting,
     ``y_pred`` the majority decision. Null features count as the train rows' median."""
     test = median_impute(test, features, fit_on=train)
     train = median_impute(train, features)
-    mixture, _ = fair_mixture(train, features, target, group, epsilon, rounds)
-    return test.withColumn("y_prob", mixture.probability()).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+    mixture, _ = ConstrainedTraining(train, features, target, group, learner).solve(epsilon, rounds=rounds)
+    return mixture.score(test).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
 
 
 def pareto_sweep(
-    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, models: int = defaults.PARETO_MODELS, rounds: int = 10
+    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, models: int = defaults.PARETO_MODELS, rounds: int = 6, learner=None
 ) -> DataFrame:
-    """``epsilon, accuracy, dp_gap`` for constraint strengths from 0.01 to 0.5.
+    """``epsilon, accuracy, dp_gap, train_gap, duality_gap`` of ``models`` constraint strengths from 0.01 to 0.5.
 
-    The hypotheses of one constrained run (strong multipliers down to none) form a pool. For every
-    epsilon the most accurate mixture of two of them within the bound is taken, on train statistics;
-    accuracy and gap of a mixture are linear in its parts and are reported on the test rows, from
-    one aggregation.
+    Every strength is trained to its own duality gap on one train table; hypotheses found for one strength are
+    known to the next. Accuracy and gap of the mixtures on the test rows come from one aggregation.
     """
-    mixture, stats = fair_mixture(train, features, target, group, 0.01, rounds)
-    names = sorted(stats[0]["rates"])
-    known = test.filter(F.col(group).isNotNull() & F.col(target).isNotNull())
-    y = F.col(target).cast("double")
-    rows = known.groupBy(F.col(group).cast("string").alias("_g")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(mixture.hypothesis(i)).alias(f"r{i}") for i in range(rounds)],
-        *[F.avg((mixture.hypothesis(i) == y).cast("double")).alias(f"a{i}") for i in range(rounds)],
+    game = ConstrainedTraining(median_impute(train, features), features, target, group, learner)
+    strengths = [round(float(e), 4) for e in np.linspace(0.01, 0.5, models)]
+    solved = [game.solve(e, rounds=rounds) for e in strengths]
+    pool = len(game.rules)
+    known = median_impute(test, features, fit_on=train).filter(F.col(group).isNotNull() & F.col(target).isNotNull())
+    rows = known.select(*features, binary(target).alias("_y"), F.col(group).cast("string").alias("_g"))
+    every = Mixture(features, game.rules)
+    for i in range(pool):
+        rows = every.decide(rows, i, f"_h{i}")
+    groups = rows.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"_h{i}").alias(f"r{i}") for i in range(pool)],
+        *[F.avg((F.col(f"_h{i}") == F.col("_y")).cast("double")).alias(f"a{i}") for i in range(pool)],
     ).collect()  # one row per group
-    at = {r["_g"]: r for r in rows}
-    total = sum(r["n"] for r in rows)
-    seen = [g for g in names if g in at]
-    test_rate = np.array([[at[g][f"r{i}"] for g in seen] for i in range(rounds)])
-    test_acc = np.array([sum(at[g][f"a{i}"] * at[g]["n"] for g in seen) / total for i in range(rounds)])
-    rate = np.array([[s["rates"][g] for g in names] for s in stats])
-    acc = np.array([s["accuracy"] for s in stats])
+    total = sum(r["n"] for r in groups)
+    rate = np.array([[r[f"r{i}"] for r in groups] for i in range(pool)])
+    right = np.array([sum(r[f"a{i}"] * r["n"] for r in groups) / total for i in range(pool)])
     out = []
-    for eps in np.linspace(0.01, 0.5, models):
-        best = None
-        for i in range(rounds):
-            for j in range(rounds):
-                for w in np.linspace(0, 1, 21):
-                    mix = w * rate[i] + (1 - w) * rate[j]
-                    gap, score = mix.max() - mix.min(), w * acc[i] + (1 - w) * acc[j]
-                    rank = (gap <= eps, score if gap <= eps else -gap)
-                    if best is None or rank > best[0]:
-                        best = (rank, i, j, w)
-        _, i, j, w = best
-        mix = w * test_rate[i] + (1 - w) * test_rate[j]
-        out.append((round(float(eps), 4), round(float(w * test_acc[i] + (1 - w) * test_acc[j]), 4), round(float(mix.max() - mix.min()), 4)))
-    return train.sparkSession.createDataFrame(out, "epsilon double, accuracy double, dp_gap double")
+    for e, (mixture, stats) in zip(strengths, solved):
+        w = np.zeros(pool)
+        w[: len(mixture.weights)] = mixture.weights
+        mix = w @ rate
+        out.append((e, round(float(w @ right), 4), round(float(mix.max() - mix.min()), 4), round(stats["gap"], 4), round(stats["duality_gap"], 4)))
+    return train.sparkSession.createDataFrame(out, "epsilon double, accuracy double, dp_gap double, train_gap double, duality_gap double")
+
+
+def run_mitigation(
+    train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, group: str, level: str, kind: str = "logistic",
+    tolerance: float = defaults.ACCURACY_TOLERANCE, epsilon: float = 0.01, rounds: int = 8,
+) -> DataFrame:
+    """Apply the techniques of a risk level: retrain, compare with the original model on the test rows.
+
+    One row per technique: ``level, technique, original_accuracy, mitigated_accuracy, accuracy_change, within_tolerance,
+    gap_before, gap_after, chosen``. Where a level has several techniques, the most accurate is chosen (the first on ties).
+    Thresholds are fitted on the train rows' scores and applied to the test rows.
+    """
+    if level not in PLAN:
+        raise ValueError(f"'{level}' is no risk level: {list(PLAN)}")
+    model = fit_classifier(train, features, target, kind)
+    base = score_table(model, test, features)
+    known = F.col(group).isNotNull()
+
+    def state(scored: DataFrame, pred: Column) -> tuple[float, float]:
+        rows = scored.filter(F.col(target).isNotNull()).withColumn("_p", pred.cast("double"))
+        per = rows.groupBy(F.when(known, F.col(group).cast("string")).alias("_g")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg("_p").alias("rate"), F.avg(F.col(target) * F.col("_p") + (1 - F.col(target)) * (1 - F.col("_p"))).alias("right")
+        ).collect()  # one row per group
+        rates = [r["rate"] for r in per if r["_g"] is not None]
+        return sum(r["right"] * r["n"] for r in per) / sum(r["n"] for r in per), max(rates) - min(rates)
+
+    def applied(technique: str) -> tuple[float, float]:
+        if technique == "OVERSAMPLING":
+            fitted = fit_classifier(written(smote_oversample(train, key, features, target), "resampled"), features, target, kind)
+        elif technique == "REWEIGHTING":
+            fitted = fit_classifier(apply_weights(train, reweighting_weights(train, group), group), features, target, kind, weight="weight")
+        elif technique == "GROUP_THRESHOLDS":
+            fitted_on = written(score_table(model, train, features), "train-scores")
+            moved = apply_thresholds(base, group_thresholds(fitted_on, group, target, "y_prob"), group, "y_prob")
+            return state(moved, F.col("y_pred"))
+        else:
+            return state(fair_training(train, test, features, target, group, epsilon, rounds), F.col("y_prob"))  # expected decisions of the mixture
+        return state(score_table(fitted, test, features), F.col("y_pred"))
+
+    accuracy, gap = state(base, F.col("y_pred"))
+    results = [(t, *applied(t)) for t in PLAN[level]]
+    best = max(results, key=lambda r: r[1])[0]
+    rows = [
+        (level, t, round(accuracy, 4), round(a, 4), round(a - accuracy, 4), abs(round(a - accuracy, 4)) <= tolerance, round(gap, 4), round(g, 4), t == best)
+        for t, a, g in results
+    ]
+    schema = "level string, technique string, original_accuracy double, mitigated_accuracy double, accuracy_change double, within_tolerance boolean, gap_before double, gap_after double, chosen boolean"
+    return train.sparkSession.createDataFrame(rows, schema)

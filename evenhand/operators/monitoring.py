@@ -14,14 +14,14 @@ from evenhand.plans.quantiles import bin_edges, discretise
 from evenhand.sources.tables import written
 
 
-def period_of(ts: str, every: str = "month") -> Column:
+def period_of(ts: str, every: str = f"{defaults.CHECK_INTERVAL_DAYS} days") -> Column:
     """Start of the calendar unit (``month``, ``year``...) or of an interval such as ``30 days``."""
     if " " in every:
         return F.window(ts, every)["start"]
     return F.date_trunc(every, F.col(ts)).cast("timestamp_ntz")
 
 
-def di_trend(df: DataFrame, ts: str, attrs: Sequence[str], pred: str, every: str = "month", alert: float = defaults.DISPARATE_IMPACT) -> DataFrame:
+def di_trend(df: DataFrame, ts: str, attrs: Sequence[str], pred: str, every: str = f"{defaults.CHECK_INTERVAL_DAYS} days", alert: float = defaults.DISPARATE_IMPACT) -> DataFrame:
     """Disparate impact per period and attribute, with the previous period's value and an alert."""
     by_period = disparate_impact(df.withColumn("period", period_of(ts, every)), attrs, pred, ["period"], alert)
     prev = F.lag("ratio").over(W.partitionBy("attribute").orderBy("period"))  # one row per period
@@ -63,14 +63,18 @@ def feature_drift(
     base = counts.filter("_base").groupBy(*keys, "feature", "value").agg(F.sum("n").alias("bn"))
     base = _share(base, [*keys, "feature"], "bn", "q")
     now = _share(counts.filter("NOT _base").drop("_base"), [*keys, "feature", "period"], "n", "p")
-    periods = now.select(*keys, "feature", "period").distinct()
-    grid = periods.join(base, [*keys, "feature"])  # periods x baseline bins
-    both = grid.join(now, [*keys, "feature", "period", "value"], "full").select(
-        *keys, "feature", "period", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q")
+    # A baseline value that a period lacks adds a term of its own; all such terms follow from the sum over the whole
+    # baseline, less the values the period has. So only values that occur are joined, never periods x values.
+    qf, pf = F.greatest("q", F.lit(_FLOOR)), F.greatest("p", F.lit(_FLOOR))
+    base = base.withColumn("absent", (_FLOOR - qf) * F.log(_FLOOR / qf))
+    whole = base.groupBy(*keys, "feature").agg(F.sum("absent").alias("all_absent"), F.sum("q").alias("all_q"))
+    here = now.join(base, [*keys, "feature", "value"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    sums = here.groupBy(*keys, "feature", "period").agg(
+        F.sum((pf - qf) * F.log(pf / qf) - F.coalesce("absent", F.lit(0.0))).alias("psi"), F.sum(F.abs(F.col("p") - F.col("q")) - F.col("q")).alias("tv")
     )
-    pf, qf = F.greatest("p", F.lit(_FLOOR)), F.greatest("q", F.lit(_FLOOR))
-    out = both.groupBy(*keys, "feature", "period").agg(
-        F.round(F.sum((pf - qf) * F.log(pf / qf)), 4).alias("psi"), F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 4).alias("tv")
+    out = sums.join(whole, [*keys, "feature"], "left").select(
+        *keys, "feature", "period", F.round(F.col("psi") + F.coalesce("all_absent", F.lit(0.0)), 4).alias("psi"),
+        F.round((F.col("tv") + F.coalesce("all_q", F.lit(0.0))) / 2, 4).alias("tv"),
     )
     return out.withColumn("drifted", F.col("psi") > threshold)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.hashing import uniform_py
 from evenhand.functions.numeric import binary, cap1, level3
@@ -89,7 +89,7 @@ def perturbed_weights(weights: dict[str, float], runs: int, width: float) -> lis
 
 def risk_sensitivity(
     components: DataFrame, key: str = "model_id", weights: dict[str, float] = defaults.RISK_WEIGHTS, runs: int = defaults.SENSITIVITY_RUNS,
-    width: float = defaults.SENSITIVITY_PERTURBATION,
+    width: float = defaults.SENSITIVITY_PERTURBATION, low_bound: float = defaults.RISK_LOW, high_bound: float = defaults.RISK_HIGH,
 ) -> DataFrame:
     """Score range and level stability under perturbed weights; borderline below 85 %.
 
@@ -101,8 +101,8 @@ def risk_sensitivity(
     total = lambda col: F.aggregate(col, F.lit(0.0), lambda s, x: s + x)
     spread = F.transform("s", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))
     stats = scored.withColumn("_mean", total(F.col("s")) / runs).withColumn("std", F.sqrt(total(spread) / runs))
-    low = F.size(F.filter("s", lambda x: x < defaults.RISK_LOW))
-    high = F.size(F.filter("s", lambda x: x >= defaults.RISK_HIGH))
+    low = F.size(F.filter("s", lambda x: x < low_bound))
+    high = F.size(F.filter("s", lambda x: x >= high_bound))
     counted = stats.select(key, "s", "std", low.alias("low"), (F.lit(runs) - low - high).alias("medium"), high.alias("high"))
     stable = F.greatest("low", "medium", "high") / F.lit(float(runs))
     return counted.select(

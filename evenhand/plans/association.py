@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.numeric import argmax, argmin, ratio
-from evenhand.functions.pvalues import chi2_sf
+from evenhand.functions.pvalues import chi2_sf, fisher_p
 
 
 def _finish(raw: Column, keys: Sequence[str], t: DataFrame, yates: bool, extra: Sequence[str] = ()) -> DataFrame:
@@ -135,30 +135,7 @@ def with_p(tests: DataFrame, keys: Sequence[str], small: Column) -> DataFrame:
 
 
 def with_fisher(tables: DataFrame, keys: Sequence[str], where: Column | None = None) -> DataFrame:
-    """The tables (one row per ``keys``, counts a, b, c, d) with the two-sided ``fisher_p``.
-
-    The hypergeometric weights of the possible top-left counts come from a running sum of the
-    log ratios of neighbouring terms, so no factorial is needed; the support has at most
-    min(margin) + 1 terms. NULL where ``where`` does not hold.
-    """
-    where = F.lit(True) if where is None else where
-    a, b, c, d = (F.col(x) for x in "abcd")
-    support = F.when(where, F.sequence(F.greatest(F.lit(0), a - d), F.least(a + b, a + c))).otherwise(
-        F.array(F.lit(None).cast("bigint"))
-    )
-    terms = tables.withColumn("_x", F.explode(support))
-    x, r1, c1, t = F.col("_x").cast("double"), a + b, a + c, a + b + c + d
-    step = F.when(F.col("_x") == F.greatest(F.lit(0), a - d), F.lit(0.0)).otherwise(
-        F.log((r1 - x + 1) * (c1 - x + 1)) - F.log(x * (t - r1 - c1 + x))
-    )
-    w = W.partitionBy(*keys)
-    logs = terms.withColumn("_lw", F.sum(step).over(w.orderBy("_x").rowsBetween(W.unboundedPreceding, 0)))
-    scaled = logs.withColumn("_w", F.exp(F.col("_lw") - F.max("_lw").over(w)))
-    marked = scaled.withColumn("_obs", F.max(F.when(F.col("_x") == a, F.col("_w"))).over(w))
-    rest = [col for col in tables.columns if col not in set(keys)]
-    as_extreme = F.when(F.col("_w") <= F.col("_obs") * (1 + 1e-7), F.col("_w")).otherwise(0.0)
-    return marked.groupBy(*keys).agg(
-        *[F.first(col).alias(col) for col in rest],
-        F.least(F.sum(as_extreme) / F.sum("_w"), F.lit(1.0)).alias("_p"),
-        F.first("_x").alias("_any"),
-    ).select(*tables.columns, F.when(F.col("_any").isNotNull(), F.col("_p")).alias("fisher_p"))
+    """The tables (one row per ``keys``, counts a, b, c, d) with the two-sided ``fisher_p``, NULL where ``where``
+    does not hold. A row per test; no support is written out."""
+    cell = [F.when(F.lit(True) if where is None else where, F.col(x)) for x in "abcd"]
+    return tables.withColumn("fisher_p", fisher_p(*cell))

@@ -27,3 +27,8 @@ PARETO_MODELS = 25
 ACCURACY_TOLERANCE = 0.05
 DRIFT = 0.15
 CHECK_INTERVAL_DAYS = 30
+# Status texts of the summaries.
+STATUS = {
+    "audit_ok": "PASS", "audit_issues": "ISSUES FOUND", "bias": "BIAS DETECTED", "no_bias": "NO SIGNIFICANT BIAS",
+    "violations": "FAIRNESS VIOLATIONS DETECTED", "fair": "ALL METRICS PASS",
+}

@@ -74,8 +74,9 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
     vectors = few.groupBy("vid").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("_k")).alias("keys"))
     vectors = written(vectors, "vectors")
     count = vectors.count()
-    sample = np.array([r["x"] for r in vectors.orderBy("vid").select("x").limit(min(_SAMPLE, 50 * (count // _CELL_ROWS + 1))).collect()])
-    cells = min(-(-count // _CELL_ROWS), max(len(sample) // 8, 1))
+    cell_rows = max(_CELL_ROWS, 4 * want)  # a cell has to hold more rows than neighbours are wanted
+    sample = np.array([r["x"] for r in vectors.orderBy("vid").select("x").limit(min(_SAMPLE, 50 * (count // cell_rows + 1))).collect()])
+    cells = min(-(-count // cell_rows), max(len(sample) // 8, 1))
     nodes = _splits(sample, cells) if count else []
     key_type = dict(df.dtypes)[key]
 

@@ -14,21 +14,38 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.plans.quantiles import sketch
+from evenhand.sources.tables import written
 
-PIECES = 1024
-WHOLE = 100_000
+PIECE_ROWS = 100_000
+MOST_PIECES = 65_536
 
 
 def cut_points(table: DataFrame, value: str) -> list[float]:
-    """Increasing cut points of a written table's column from a bounded sketch; none for a table so
-    short that one task may order it."""
-    if table.count() <= WHOLE:
+    """Increasing cut points of a written table's column from a bounded sketch: a piece for every
+    ``PIECE_ROWS`` rows (at most ``MOST_PIECES``, as they come to the driver), so one piece of a short table."""
+    pieces = min(-(-table.count() // PIECE_ROWS), MOST_PIECES)
+    if pieces <= 1:
         return []
-    probs = [i / PIECES for i in range(1, PIECES)]
-    found = table.agg(sketch(F.col(value), probs, max(10000, 10 * PIECES)).alias("q")).first()["q"]
+    probs = [i / pieces for i in range(1, pieces)]
+    found = table.agg(sketch(F.col(value), probs, max(10000, 10 * pieces)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``out``: 1-based place of a row within its key by ``order`` (which tells rows apart). The rows are range-sorted
+    into pieces, each piece counts its own rows and starts from the pieces before, so a large key is many pieces."""
+    k = list(keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = written(df.repartitionByRange(n, *k, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+    ahead = W.partitionBy(*k).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)  # at most a row per piece
+    starts = pieces.groupBy(*k, "_piece").agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias("_k" + c) for c in k], F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start")
+    )
+    inside = pieces.withColumn("_in", F.row_number().over(W.partitionBy(*k, "_piece").orderBy(*order)))
+    match = [inside[c].eqNullSafe(starts["_k" + c]) for c in k] + [inside["_piece"] == starts["_p"]]
+    return inside.join(starts, match).select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
+
+
 def add_piece(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """``_piece``: index of the slice of the axis a value falls into (binary search in the JVM)."""
     if not cuts:

@@ -99,10 +99,9 @@ def test_empty_and_one_sided_tables(spark):
         A.group_representation(equal, ["missing"])
 
 
-@pytest.mark.parametrize("whole", [0, 10**6])
-def test_wasserstein(spark, monkeypatch, whole):
-    monkeypatch.setattr(ordered, "WHOLE", whole)
-    monkeypatch.setattr(ordered, "PIECES", 8)
+@pytest.mark.parametrize("piece_rows", [20, 10**6])
+def test_wasserstein(spark, monkeypatch, piece_rows):
+    monkeypatch.setattr(ordered, "PIECE_ROWS", piece_rows)
     base = [round(0.001 * i * i % 0.5, 4) for i in range(200)]
     for shift in (0.0, 0.2):
         df = spark.createDataFrame([("a", p) for p in base] + [("b", p + shift) for p in base], "g string, p double")
@@ -115,10 +114,9 @@ def test_calibration_status_for_small_groups(spark):
     assert got["a"]["status"] == "ok" and got["b"]["status"] == "too few samples" and got["b"]["calibration_error"] is None
 
 
-@pytest.mark.parametrize("whole", [0, 10**6])
-def test_pareto_frontier(spark, monkeypatch, whole):
-    monkeypatch.setattr(ordered, "WHOLE", whole)
-    monkeypatch.setattr(ordered, "PIECES", 8)
+@pytest.mark.parametrize("piece_rows", [20, 10**6])
+def test_pareto_frontier(spark, monkeypatch, piece_rows):
+    monkeypatch.setattr(ordered, "PIECE_ROWS", piece_rows)
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"model_id": rng.choice(["m", "n"], 300), "run_id": range(300), "accuracy": rng.integers(0, 25, 300) / 25, "dp_gap": rng.integers(0, 25, 300) / 25})
     got = {r["run_id"] for r in R.pareto_frontier(spark.createDataFrame(pdf)).collect()}
@@ -131,10 +129,9 @@ def test_pareto_frontier(spark, monkeypatch, whole):
     assert got == want
 
 
-@pytest.mark.parametrize("whole", [0, 10**6])
-def test_group_thresholds(people, monkeypatch, whole):
-    monkeypatch.setattr(ordered, "WHOLE", whole)
-    monkeypatch.setattr(ordered, "PIECES", 8)
+@pytest.mark.parametrize("piece_rows", [20, 10**6])
+def test_group_thresholds(people, monkeypatch, piece_rows):
+    monkeypatch.setattr(ordered, "PIECE_ROWS", piece_rows)
     df, pdf = people
     got = {r["grp"]: r for r in G.group_thresholds(df, "g", "approved", "y_prob").collect()}
     pdf = pdf.dropna(subset=["g"])

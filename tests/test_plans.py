@@ -103,10 +103,9 @@ def test_quantiles_tiny(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("whole", [0, 10**6])
-def test_running_sums(spark, monkeypatch, whole, descending):
-    monkeypatch.setattr(ordered, "WHOLE", whole)
-    monkeypatch.setattr(ordered, "PIECES", 16)
+@pytest.mark.parametrize("piece_rows", [20, 10**6])
+def test_running_sums(spark, monkeypatch, piece_rows, descending):
+    monkeypatch.setattr(ordered, "PIECE_ROWS", piece_rows)
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.choice(["x", "y"], 800, p=[0.9, 0.1]), "p": np.round(rng.beta(0.3, 4, 800), 3)}).drop_duplicates()
     pdf["n"] = rng.integers(1, 9, len(pdf))
@@ -152,3 +151,28 @@ def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "id long, a double")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, "id", ["a"], 5).collect()}
     assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
+
+
+def test_fisher_of_large_and_odd_tables():
+    from math import comb
+
+    from evenhand.functions.pvalues import fisher_two_sided
+
+    def brute(a, b, c, d):
+        low, high, t = max(0, a - d), min(a + b, a + c), a + b + c + d
+        w = {x: comb(a + b, x) * comb(c + d, a + c - x) for x in range(low, high + 1)}
+        return sum(v for v in w.values() if v * 10**7 <= w[a] * (10**7 + 1)) / comb(t, a + c)
+
+    rng = np.random.default_rng(4)
+    for cells in [(0, 0, 0, 0), (5, 0, 0, 5), (1, 0, 0, 0), (0, 3, 4, 0), (400, 350, 380, 360), *rng.integers(0, 60, (40, 4)).tolist()]:
+        assert np.isclose(fisher_two_sided(*cells), brute(*cells), rtol=1e-9)
+    assert 0.9 < fisher_two_sided(2_500_000, 2_500_000, 2_500_000, 2_500_000) <= 1
+    assert 0 < fisher_two_sided(25_000_500, 25_000_000, 25_000_000, 25_000_500) < 1 and fisher_two_sided(10**6, 0, 0, 10**6) == 0
+
+
+def test_row_numbers_over_pieces(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 7 > 0, "hot").alias("k"), F.md5(F.col("id").cast("string")).alias("o"))
+    got = ordered.row_numbers(rows, ["k"], ["o"], "i").collect()
+    for key in ("hot", None):
+        mine = sorted((r.o, r.i) for r in got if r.k == key)
+        assert [i for _, i in mine] == list(range(1, len(mine) + 1))
