@@ -30,7 +30,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.llm.common import cut, running
 
@@ -114,24 +114,41 @@ def derived_events(turns: DataFrame) -> DataFrame:
     Each assistant turn is a call of one of three tools, with arguments made of its text; some lack a field, have a wrong
     type or are cut-off JSON, by a hash of the text. The next turn's text is its result; some results never come, some come before
     their call, some name an unknown call. Every third call waits for the call of the turn before the last."""
-    h = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "conv_id", "turn", "text"), F.lit(n))
-    body = F.coalesce(F.col("text"), F.lit(""))
-    call_id = F.concat_ws("-", F.lit("call"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.col("turn").cast("string"))
-    quoted = F.to_json(F.struct(F.substring(body, 1, 40).alias("x")))
-    value = F.regexp_extract(quoted, r"(?s)^\{\"x\":(.*)\}$", 1)
-    search = F.concat(F.lit('{"limit": '), F.when(h("l", 10) == 0, F.lit('"ten"')).otherwise((h("n", 60) + 1).cast("string")), F.lit(', "query": '), value, F.lit("}"))
-    lookup = F.when(h("k", 12) == 0, F.lit('{"exact": true}')).otherwise(F.concat(F.lit('{"key": '), value, F.lit(', "exact": '), F.when(h("e", 2) == 0, F.lit("true")).otherwise(F.lit("false")), F.lit("}")))
-    summary = F.concat(F.lit('{"text": '), value, F.lit(', "tags": ["a", "b"], "style": "'), F.when(h("s", 8) == 0, F.lit("odd")).otherwise(F.lit("short")), F.lit('"}'))
-    tool = F.element_at(F.array(*[F.lit(x) for x in ("search", "lookup", "summarise")]), (h("t", 3) + 1).cast("int"))
-    arguments = F.when(tool == "search", search).when(tool == "lookup", lookup).otherwise(summary)
-    calls = turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("call").alias("kind"), call_id.alias("call_id"), tool.alias("name"), arguments.alias("arguments"), F.lit(None).cast("string").alias("content"),
-        F.when((h("after", 3) == 0) & (F.col("turn") >= 2), F.concat_ws("-", F.lit("call"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), (F.col("turn") - 2).cast("string"))).alias("after"))
-    calls = calls.withColumn("arguments", F.when(F.pmod(F.xxhash64("call_id", "arguments"), F.lit(50)) == 0, F.expr("substring(arguments, 1, length(arguments) - 1)")).otherwise(F.col("arguments")))
-    answered = turns.where((F.col("role") == "user") & (F.col("turn") >= 1) & (h("never", 9) != 0))
-    late = h("early", 20) == 0
-    of = F.when(h("orphan", 25) == 0, F.lit("call-unknown")).otherwise(F.concat_ws("-", F.lit("call"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), (F.col("turn") - 1).cast("string")))
-    results = answered.select("conv_id", F.when(late, F.col("turn") - 2).otherwise(F.col("turn")).cast(turns.schema["turn"].dataType).alias("turn"), F.lit(1).alias("seq"), F.lit("result").alias("kind"), of.alias("call_id"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.col("text").alias("content"), F.lit(None).cast("string").alias("after"))
+    text, nothing = F.coalesce(F.col("text"), F.lit("")), F.lit(None).cast("string")
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+
+    def draw(salt: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "conv_id", "turn", "text"), F.lit(n))
+
+    def call_of(turn: Column) -> Column:
+        return F.concat_ws("-", F.lit("call"), conv, turn.cast("string"))
+
+    def members(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    value = F.regexp_extract(F.to_json(F.struct(F.substring(text, 1, 40).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)  # a JSON string
+    limit = F.when(draw("l", 10) == 0, F.lit('"ten"')).otherwise((draw("n", 60) + 1).cast("string"))
+    exact = F.when(draw("e", 2) == 0, F.lit("true")).otherwise(F.lit("false"))
+    style = F.when(draw("s", 8) == 0, F.lit("odd")).otherwise(F.lit("short"))
+    by_tool = {
+        "search": members('{"limit": ', limit, ', "query": ', value, "}"),
+        "lookup": F.when(draw("k", 12) == 0, F.lit('{"exact": true}')).otherwise(members('{"key": ', value, ', "exact": ', exact, "}")),
+        "summarise": members('{"text": ', value, ', "tags": ["a", "b"], "style": "', style, '"}'),
+    }
+    tool = F.element_at(F.array(*[F.lit(x) for x in by_tool]), (draw("t", 3) + 1).cast("int"))
+    arguments = F.coalesce(*[F.when(tool == x, made) for x, made in by_tool.items()])
+    cut_off = F.when(draw("c", 50) == 0, F.substring(arguments, F.lit(1), F.length(arguments) - 1)).otherwise(arguments)
+    calls = turns.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.lit(0).alias("seq"), F.lit("call").alias("kind"), call_of(F.col("turn")).alias("call_id"), tool.alias("name"),
+        cut_off.alias("arguments"), nothing.alias("content"), F.when((draw("after", 3) == 0) & (F.col("turn") >= 2), call_of(F.col("turn") - 2)).alias("after"),
+    )
+    answered = turns.where((F.col("role") == "user") & (F.col("turn") >= 1) & (draw("never", 9) != 0))
+    early = F.when(draw("early", 20) == 0, F.col("turn") - 2).otherwise(F.col("turn")).cast(turns.schema["turn"].dataType)
+    known = F.when(draw("orphan", 25) == 0, F.lit("call-unknown")).otherwise(call_of(F.col("turn") - 1))
+    results = answered.select(
+        "conv_id", early.alias("turn"), F.lit(1).alias("seq"), F.lit("result").alias("kind"), known.alias("call_id"), nothing.alias("name"),
+        nothing.alias("arguments"), F.col("text").alias("content"), nothing.alias("after"),
+    )
     return calls.union(results)
 
 
@@ -146,10 +163,11 @@ def link(events: DataFrame, schemas: dict | None = None) -> DataFrame:
         rows = [serialised(k, text(i), text(n), text(a), text(c), schemas) for k, i, n, a, c in zip(kind, call_id, name, arguments, content)]
         return pd.DataFrame({"json": [r[0] for r in rows], "errors": [r[1] for r in rows]})
 
+    number = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**62))).alias(c)
     rows = events.select(
-        F.col("conv_id"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").isNull().alias("no_conv"), F.col("turn"), "kind",
-        F.nullif(F.col("call_id"), F.lit("")).alias("call_id"), "name", F.col("after"),
-        F.struct(F.coalesce(F.col("turn").cast("bigint"), F.lit(-(2**62))).alias("turn"), F.coalesce(F.col("seq").cast("bigint"), F.lit(-(2**62))).alias("seq"), F.col("kind"), F.xxhash64("name", "arguments", "content", "call_id").alias("tie")).alias("at"),
+        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").isNull().alias("no_conv"), "turn", "kind",
+        F.nullif(F.col("call_id"), F.lit("")).alias("call_id"), "name", "after",
+        F.struct(number("turn"), number("seq"), "kind", F.xxhash64("name", "arguments", "content", "call_id").alias("tie")).alias("at"),
         write("kind", "call_id", "name", "arguments", "content").alias("out"),
     ).withColumn("row", F.monotonically_increasing_id())
     # Dense places over all events, conversation by conversation: one prefix sum, no window over a conversation.
@@ -158,10 +176,11 @@ def link(events: DataFrame, schemas: dict | None = None) -> DataFrame:
 
     # 1. the first call and result of each identifier, joined by it
     key = ["no_conv", "conv", "call_id"]
-    owners = placed.where(F.col("call_id").isNotNull()).groupBy(key).agg(F.min(F.when(F.col("kind") == "call", F.col("place"))).alias("call"), F.min(F.when(F.col("kind") == "result", F.col("place"))).alias("result"))
-    owners = cut(owners)
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(kind)
+    owners = cut(placed.where(F.col("call_id").isNotNull()).groupBy(key).agg(first("call"), first("result")))
     linked = placed.join(owners, key, "left")
-    waits = owners.select("no_conv", "conv", F.col("call_id").alias("after"), F.lit(True).alias("after_known"), F.coalesce("result", "call").alias("after_place")).where(F.col("after_place").isNotNull())
+    known = owners.select("no_conv", "conv", F.col("call_id").alias("after"), F.lit(True).alias("after_known"), F.coalesce("result", "call").alias("after_place"))
+    waits = known.where(F.col("after_place").isNotNull())
     linked = linked.join(waits, ["no_conv", "conv", "after"], "left")
     own = F.when(F.col("kind") == "call", F.col("call")).otherwise(F.col("result"))
     parent = F.when((F.col("kind") == "result") & F.col("call").isNotNull(), F.col("call")).when(F.col("kind") == "call", F.col("after_place"))
@@ -179,8 +198,9 @@ def link(events: DataFrame, schemas: dict | None = None) -> DataFrame:
         known = done.union(open_)
         above = known.select(F.col("place").alias("jump"), F.col("jump").alias("next"), F.col("late").alias("above"), F.col("steps").alias("above_steps"), F.col("span").alias("above_span"))
         lifted = F.col("above") > F.col("late")
-        moved = cut(open_.join(above, "jump").select(
-            "place", F.col("next").alias("jump"), F.greatest("late", "above").alias("late"), F.when(lifted, F.col("span") + F.col("above_steps")).otherwise(F.col("steps")).alias("steps"), (F.col("span") + F.col("above_span")).alias("span")))
+        steps = F.when(lifted, F.col("span") + F.col("above_steps")).otherwise(F.col("steps")).alias("steps")
+        late, span = F.greatest("late", "above").alias("late"), (F.col("span") + F.col("above_span")).alias("span")
+        moved = cut(open_.join(above, "jump").select("place", F.col("next").alias("jump"), late, steps, span))
         done = cut(done.union(moved.where(F.col("jump").isNull())))
         open_ = moved.where(F.col("jump").isNotNull())
         left = open_.count()
