@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.llm.common import LOWER, NO_ID, UPPER, id_key, tasks, text_key
+from evenhand.llm.common import LOWER, NO_ID, UPPER, cut, id_key, tasks, text_key
 
 LOW, HIGH = 0.0005, 0.5
 THRESHOLDS = (4096, 1024, 256, 64)  # of 65,536: the chance that a subset has a word
@@ -72,11 +72,10 @@ def document_frequencies(docs: DataFrame, text: str = "text", most: int = 1 << 1
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text: str = "text", most: int = MOST_WORDS) -> np.ndarray:
     """Sorted hashes of the words in the band; at least two documents have each."""
     n = docs.count()
-    band = document_frequencies(docs, text).where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term")
-    terms = band.limit(most + 1).toArrow().column(0).to_numpy().view(np.uint64)
-    if len(terms) > most:
+    band = cut(document_frequencies(docs, text).where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term"))
+    if band.count() > most:
         raise ValueError(f"over {most} words in the band: raise its lower end")
-    return np.sort(terms)
+    return np.sort(band.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
