@@ -98,7 +98,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tail = ranks.select("h", F.col("ln").alias("tail"), F.col("ranks").alias("tail_ranks"))
     interval = [F.col("len"), F.get("head_ranks", F.col("k")).alias("head"), F.get("tail_ranks", F.col("k")).alias("foot")]
     members = cut(runs.join(head, ["h", "start"]).join(tail, ["h", "tail"]).select(F.struct("id", "h", "start").alias("place"), *interval))
-    firsts = members.groupBy("len", "head", "foot").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = cut(members.groupBy("len", "head", "foot").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     later = members.join(firsts, ["len", "head", "foot"]).where(F.col("place") != F.col("kept"))
     return later.select("place.h", "place.start", "len")
 
