@@ -45,7 +45,8 @@ def candidates(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text
     """``doc_id, id, path, at, core, before, token, after``: every candidate with its word number and its neighbours."""
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), id_key(F.col(doc_id)).alias("id"), F.col(path).cast("string").alias("path"), pieces.alias("words"))
-    rows = rows.select("*", F.posexplode("words").alias("at", "token"))
+    # by place: exploding the array itself would have Spark infer a filter that splits the text once more
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).withColumn("token", F.get("words", F.col("at")))
     rows = rows.where((F.length("token") >= least) & F.col("token").rlike("[0-9]"))
     core = F.regexp_extract("token", r"([A-Za-z0-9+/_-]+)[^A-Za-z0-9+/_-]*$", 1)
     two = F.concat_ws(" ", F.get("words", F.col("at") - 2), F.get("words", F.col("at") - 1))
