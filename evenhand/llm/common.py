@@ -45,10 +45,11 @@ def words_of(text: Column) -> Column:
 
 
 def n_blank_words(text: Column) -> Column:
-    """Number of blank-separated words; null has none."""
+    """Number of blank-separated words; null has none. Never null by its type, so that no filter on it is inferred, which
+    would count the words once more."""
     pieces = F.split(F.coalesce(text, F.lit("")), BLANKS)
     ends = (F.get(pieces, F.lit(0)) == "").cast("int") + ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
-    return (F.size(pieces) - ends).cast("bigint")
+    return F.coalesce((F.size(pieces) - ends).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def text_key(text: Column) -> Column:

@@ -94,7 +94,8 @@ def mixed_documents(docs: DataFrame, epoch: str = "epoch", seed: int = 7, doc_id
         n_blank_words(docs[text]).alias("size"), _key(docs[doc_id], docs[text], seed).alias("key"),
     )
     rows = rows.join(cuts, ["no_source", "source"]).withColumn("part", _last_epoch(F.col("size"), F.col("key")))
-    rows = rows.where(F.col("size") > 0).withColumn("all_epochs", F.col("epochs") + (F.col("part") > 0).cast("bigint")).where("all_epochs > 0")
+    # one condition over both sides of the join: a filter on the size alone would count the words once more below it
+    rows = rows.where(F.col("epochs") * F.col("size") + F.col("part") > 0).withColumn("all_epochs", F.col("epochs") + (F.col("part") > 0).cast("bigint"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_epochs") - 1)))
     body = rows["row"][text]
     shortened = F.array_join(F.slice(F.array_remove(F.split(body, BLANKS), ""), 1, F.col("part").cast("int")), " ")
