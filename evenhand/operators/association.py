@@ -279,16 +279,16 @@ def intersectional_rates(df: DataFrame, attrs: Sequence[str], target: str) -> Da
 
 def intersectional_tests(
     df: DataFrame, attrs: Sequence[str], target: str, alpha: float = defaults.ALPHA, small_sample: int = defaults.SMALL_SAMPLE,
-    fisher_cell: float = defaults.FISHER_CELL,
+    fisher_cell: float = defaults.FISHER_CELL, by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per combination of attributes: test, V, subgroups, largest approval gap, confidence."""
-    groups = _intersection_groups(df, attrs, target)
-    sized = with_totals(groups, ["intersection"], n_subgroups=F.count(F.lit(1)), smallest=F.min("size"))
-    keys = ["intersection", "n_subgroups", "smallest"]
+    groups = _intersection_groups(df, attrs, target, by)
+    sized = with_totals(groups, [*by, "intersection"], n_subgroups=F.count(F.lit(1)), smallest=F.min("size"))
+    keys = [*by, "intersection", "n_subgroups", "smallest"]
     tests = with_p(binary_tests(sized, keys), keys, F.col("min_observed") < fisher_cell)
     gap = F.round((F.col("max_rate") - F.col("min_rate")) * 100, 2)
     return tests.select(
-        "intersection", "n_subgroups", "smallest", F.round("chi_square", 4).alias("chi_square"), "dof", "test",
+        *by, "intersection", "n_subgroups", "smallest", F.round("chi_square", 4).alias("chi_square"), "dof", "test",
         F.round("p_value", 6).alias("p_value"), F.round("cramers_v", 4).alias("cramers_v"), gap.alias("max_gap"),
         F.col("max_group").alias("highest_group"), F.col("min_group").alias("lowest_group"),
         (F.col("p_value") < alpha).alias("significant"), (F.col("smallest") < small_sample).alias("low_confidence"),

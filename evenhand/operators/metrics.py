@@ -201,19 +201,19 @@ def lipschitz_pairs(df: DataFrame, attrs: Sequence[str], prob: str, features: Se
     )
 
 
-def fairness_summary(df: DataFrame, attrs: Sequence[str], target: str, pred: str) -> DataFrame:
+def fairness_summary(df: DataFrame, attrs: Sequence[str], target: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Violations of the three group metrics and the status, from one group table. Selection rates
     count every row with a prediction, error rates those with a label too."""
-    conf = error_rates(df, attrs, target, pred, extra={"n": F.count("_p"), "selected": F.sum("_p")})
+    conf = error_rates(df, attrs, target, pred, by, extra={"n": F.count("_p"), "selected": F.sum("_p")})
     rate = F.try_divide(F.col("selected").cast("double"), F.col("n"))
     rated = conf.withColumn("rate", rate).withColumn("pct", F.round(rate * 100, 2))
     gap = lambda c: F.max(c) - F.min(c)
-    per = rated.groupBy("attribute").agg(
+    per = rated.groupBy(*by, "attribute").agg(
         (F.round(gap("pct"), 2) / 100 > defaults.DP_GAP).alias("dp"),
         ((gap("tpr") > defaults.EQUALIZED_ODDS) | (gap("fpr") > defaults.EQUALIZED_ODDS)).alias("eo"),
         (F.round(ratio(F.min("rate"), F.max("rate")), 4) < defaults.DISPARATE_IMPACT).alias("di"),
     )
-    out = per.agg(*[F.coalesce(F.sum(flag(F.col(c))), F.lit(0)).alias(n) for c, n in
+    out = per.groupBy(*by).agg(*[F.coalesce(F.sum(flag(F.col(c))), F.lit(0)).alias(n) for c, n in
                     (("dp", "dp_violations"), ("eo", "eo_violations"), ("di", "di_violations"))])
     total = F.col("dp_violations") + F.col("eo_violations") + F.col("di_violations")
     return out.withColumn("total_violations", total).withColumn(
@@ -221,25 +221,25 @@ def fairness_summary(df: DataFrame, attrs: Sequence[str], target: str, pred: str
     )
 
 
-def label_statistics(df: DataFrame, attrs: Sequence[str], target: str) -> DataFrame:
+def label_statistics(df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
     """Per attribute from one scan: rounded rate extremes, gap, disparate impact and V of the labels."""
-    rates = group_rates(df, attrs, target).withColumn("pct", F.round(F.col("rate") * 100, 2))
+    rates = group_rates(df, attrs, target, by).withColumn("pct", F.round(F.col("rate") * 100, 2))
     pct = F.col("pct")
     extra = {"max_pct": F.max(pct), "min_pct": F.min(pct), "best": argmax("grp", pct), "worst": argmin("grp", pct)}
-    t = binary_tests(rates, ["attribute"], extra=extra)
+    t = binary_tests(rates, [*by, "attribute"], extra=extra)
     return t.select(
-        "attribute", F.round(F.col("max_pct") - F.col("min_pct"), 2).alias("gap"),
+        *by, "attribute", F.round(F.col("max_pct") - F.col("min_pct"), 2).alias("gap"),
         F.round(ratio(F.col("min_pct"), F.col("max_pct")), 4).alias("di"), F.round("cramers_v", 4).alias("cramers_v"), "best", "worst",
     )
 
 
 def attribute_verdict(
-    df: DataFrame, attrs: Sequence[str], target: str, gap_limit: float = 10.0, v_limit: float = defaults.CRAMERS_V
+    df: DataFrame, attrs: Sequence[str], target: str, gap_limit: float = 10.0, v_limit: float = defaults.CRAMERS_V, by: Sequence[str] = ()
 ) -> DataFrame:
     """Unfair when the label gap, disparate impact or V of an attribute is out of bounds."""
     unfair = (F.col("gap") > gap_limit) | (F.col("di") < defaults.DISPARATE_IMPACT) | (F.col("cramers_v") > v_limit)
-    return label_statistics(df, attrs, target).select(
-        "attribute", "cramers_v", "gap", "di", F.when(unfair, "UNFAIR").otherwise("FAIR").alias("verdict")
+    return label_statistics(df, attrs, target, by).select(
+        *by, "attribute", "cramers_v", "gap", "di", F.when(unfair, "UNFAIR").otherwise("FAIR").alias("verdict")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.operators import association as K, audit as A, cleaning as S, labels as L, metrics as M, mitigation as G, models as T
 from evenhand.plans.longform import group_rates, with_totals
-from evenhand.sources import tables as IO
+from evenhand.sources import tables as IO, views as V
 
 
 def test_summary_equals_the_operators_it_counts_with_missing_labels(spark):
@@ -127,3 +127,18 @@ def test_shared_folder(spark):
     assert df.count() == 5 and fs.exists(folder)
     IO.release(spark)
     assert not fs.exists(folder)
+
+
+def test_many_models_in_one_job_equal_one_by_one(spark, sf):
+    df = V.decisions(spark, sf).withColumn("model_id", F.date_format("decided_at", "yyyy"))
+    attrs = ["segment", "region"]
+    runs = {
+        "summary": lambda d, by: M.fairness_summary(d, attrs, "approved", "y_pred", by=by), "verdict": lambda d, by: M.attribute_verdict(d, attrs, "approved", by=by),
+        "intersections": lambda d, by: K.intersectional_tests(d, attrs, "approved", by=by),
+    }
+    years = ["1996", "1998"]
+    for name, run in runs.items():
+        every = run(df, ["model_id"])
+        for year in years:
+            alone = run(df.filter(F.col("model_id") == year), ())
+            assert sorted(map(tuple, every.filter(F.col("model_id") == year).drop("model_id").collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr), name
