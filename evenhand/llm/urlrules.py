@@ -11,7 +11,7 @@ Pages no fixed rule decides are judged by association rules:
    fires where the page has all of its tokens. The most confident rule that fires decides, then the better supported,
    then the text order; without one a page is allowed.
 
-Labels are fitted on a bounded sample of labelled pages (``sample``); every page is judged.
+All labelled pages are mined, and every page is judged.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no tokens, and is allowed; pages without a
 label only miss the training; repeated rows each get the same answer; no labels mean no mined rules.
@@ -25,7 +25,7 @@ from evenhand.llm.common import LOWER, UPPER, cut
 
 # Verdict, host, path prefix.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-SUPPORT, LEAST, CONFIDENCE, LIFT, LONGEST, SAMPLE = 0.005, 20, 0.6, 1.5, 4, 200_000
+SUPPORT, LEAST, CONFIDENCE, LIFT, LONGEST = 0.005, 20, 0.6, 1.5, 4
 
 
 def host_of(url: Column) -> Column:
@@ -61,18 +61,14 @@ def tokens_of(url: Column) -> Column:
     return F.filter(F.array_distinct(sets), lambda x: ~x.isin("w:"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST) -> DataFrame:
     """``tokens, verdict, share, support, rarest``: pruned rules from ``tokens, bad`` rows.
 
     Support is a share of the labelled pages (of ``least`` pages at least), so the number of frequent combinations depends on how URLs are made, not on
     how many there are. Combinations have at most ``longest`` tokens."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.where((F.size("tokens") > 0) & F.col("bad").isNotNull())
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("tokens", "bad"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    rows = cut(rows)
+    rows = cut(labelled.where((F.size("tokens") > 0) & F.col("bad").isNotNull()))
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
     schema = "tokens array<string>, verdict string, share double, support bigint, rarest string"
     if not n:

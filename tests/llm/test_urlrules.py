@@ -68,3 +68,14 @@ def test_every_page_is_judged_once(spark, sf):
     assert urlrules.judge(twice, labels, support=0.02, least=3).count() == pages.count() + 6
     assert urlrules.judge(pages.limit(0), labels).count() == 0
     assert urlrules.judge(pages, labels.limit(0)).where("mined is not null").count() == 0
+
+
+def test_all_labelled_pages_are_mined(spark):
+    """Many pages of equal tokens, more than a driver-side sample would take: counts are those of all pages."""
+    k = F.col("id") % 50
+    tokens = F.array(F.lit("h:com"), F.concat(F.lit("h:host"), k.cast("string")))
+    rows = spark.range(300_000).select(tokens.alias("tokens"), ((k < 25) & (F.col("id") % 20 != 0)).alias("bad"))
+    want = {(r.tokens[1], r.bad): r["count"] for r in rows.groupBy("tokens", "bad").count().collect()}
+    got = {(r.tokens[-1], r.verdict == "block"): (r.share, r.support) for r in urlrules.mine(rows, lift=1.2).collect()}
+    assert set(got) == {(host, bad) for (host, bad), n in want.items() if n / 6000 >= 0.6 and n / 6000 >= 1.2 * (sum(c for (_, b), c in want.items() if b == bad) / 300_000)}
+    assert all(got[key] == (want[key] / 6000, want[key]) for key in got) and {bad for _, bad in got} == {True, False}
