@@ -6,7 +6,8 @@ Pages no fixed rule decides are judged by association rules:
 1. a URL is a set of tokens (host labels with their place, path segments, extension, query names and values);
 2. Spark's FP-growth mines token combinations that are frequent among the labelled pages;
 3. a combination with a share of bad pages of at least ``confidence`` blocks, with a share of good ones of at least
-   ``confidence`` and above the average by ``lift`` allows; combinations that a part of them already decides go;
+   ``confidence`` allows. The share has to be above the average by ``lift`` too or, where that average leaves little or no
+   room for it, to close ``gap`` of the way from the average to 1; combinations that a part of them already decides go;
 4. each rule is listed under its rarest token only (an inverted index), so common tokens match nothing; a listed rule
    fires where the page has all of its tokens. The most confident rule that fires decides, then the better supported,
    then the text order; without one a page is allowed.
@@ -25,7 +26,7 @@ from evenhand.llm.common import LOWER, UPPER, cut
 
 # Verdict, host, path prefix.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-SUPPORT, LEAST, CONFIDENCE, LIFT, LONGEST = 0.005, 20, 0.6, 1.5, 4
+SUPPORT, LEAST, CONFIDENCE, LIFT, GAP = 0.005, 20, 0.6, 1.5, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -61,11 +62,12 @@ def tokens_of(url: Column) -> Column:
     return F.filter(F.array_distinct(sets), lambda x: ~x.isin("w:"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float | None = None, longest: int | None = None, gap: float = GAP) -> DataFrame:
     """``tokens, verdict, share, support, rarest``: pruned rules from ``tokens, bad`` rows.
 
     Support is a share of the labelled pages (of ``least`` pages at least), so the number of frequent combinations depends on how URLs are made, not on
-    how many there are. Combinations have at most ``longest`` tokens."""
+    how many there are. Combinations have any number of tokens, or at most ``longest``. A given ``lift`` holds as it is, also
+    where no share can reach it; without one it is ``LIFT``, bounded by ``gap``."""
     from pyspark.ml.fpm import FPGrowth
 
     rows = cut(labelled.where((F.size("tokens") > 0) & F.col("bad").isNotNull()))
@@ -77,29 +79,31 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     baskets = rows.select(F.array_append("tokens", mark).alias("items"))
     sets = cut(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(baskets).freqItemsets)
     marked = sets.where(F.array_contains("items", "=bad") | F.array_contains("items", "=good"))
-    plain = sets.where(~F.array_contains("items", "=bad") & ~F.array_contains("items", "=good") & (F.size("items") <= longest))
+    plain = sets.where(~F.array_contains("items", "=bad") & ~F.array_contains("items", "=good"))
+    if longest is not None:
+        plain = plain.where(F.size("items") <= longest)
     plain = plain.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
     sides = marked.select(
         F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("tokens"), F.when(F.array_contains("items", "=bad"), "block").otherwise("allow").alias("verdict"), F.col("freq").alias("support")
     ).where(F.size("tokens") > 0)
     base = F.when(F.col("verdict") == "block", bad / n).otherwise((n - bad) / n)
     rules = sides.join(plain, "tokens").withColumn("share", F.col("support") / F.col("all"))
-    rules = cut(rules.where((F.col("share") >= confidence) & (F.col("share") >= lift * base)).select("tokens", "verdict", "share", "support"))
-    # A rule goes if one of its parts decides alike with no less confidence: parts are found by their own token lists.
-    parts = rules.select("tokens", "verdict", "share", F.explode(_parts(F.col("tokens"))).alias("part"))
-    shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("share").alias("part_share"))
-    covered = parts.join(shorter, ["part", "verdict"]).where(F.col("part_share") >= F.col("share")).select("tokens", "verdict").distinct()
-    rules = rules.join(covered, ["tokens", "verdict"], "left_anti")
+    above = F.least(LIFT * base, base + gap * (1 - base)) if lift is None else lift * base
+    rules = cut(rules.where((F.col("share") >= confidence) & (F.col("share") >= above)).select("tokens", "verdict", "share", "support"))
+    # A rule goes if one of its parts decides alike with no less confidence. Parts that lack one token come first: they leave
+    # few rules, and a part that goes itself has a part that covers what it covered. The others meet at the part's rarest token.
+    lacking = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "share", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    part = rules.select(F.col("tokens").alias("part"), "verdict", F.col("share").alias("part_share"))
+    covered = lacking.join(part, ["part", "verdict"]).where(F.col("part_share") >= F.col("share")).select("tokens", "verdict").distinct()
+    rules = cut(rules.join(covered, ["tokens", "verdict"], "left_anti"))
     single = sets.where((F.size("items") == 1)).select(F.get("items", F.lit(0)).alias("token"), F.col("freq"))
     spread = rules.select("tokens", "verdict", "share", "support", F.explode("tokens").alias("token")).join(single, "token")
-    return spread.groupBy("tokens", "verdict", "share", "support").agg(F.min(F.struct("freq", "token")).alias("least")).select("tokens", "verdict", "share", "support", F.col("least.token").alias("rarest"))
-
-
-def _parts(tokens: Column) -> Column:
-    """All non-empty proper subsets, in order (at most 2^longest)."""
-    numbers = F.sequence(F.lit(1), F.expr("cast(power(2, size(tokens)) as int)") - 2)
-    pick = lambda m: F.filter(tokens, lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1)
-    return F.when(F.size(tokens) > 1, F.transform(numbers, pick)).otherwise(F.array().cast("array<array<string>>"))
+    rules = cut(spread.groupBy("tokens", "verdict", "share", "support").agg(F.min(F.struct("freq", "token")).alias("least")).select("tokens", "verdict", "share", "support", F.col("least.token").alias("rarest")))
+    listed = rules.select("rarest", "verdict", F.col("tokens").alias("part"), F.col("share").alias("part_share"))
+    longer = rules.where(F.size("tokens") > 2).select("tokens", "verdict", "share", F.explode("tokens").alias("rarest")).join(listed, ["rarest", "verdict"])
+    is_part = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
+    covered = longer.where(is_part & (F.col("part_share") >= F.col("share"))).select("tokens", "verdict").distinct()
+    return rules.join(covered, ["tokens", "verdict"], "left_anti")
 
 
 def judge(pages: DataFrame, labels: DataFrame | None, page_id: str = "page_id", url: str = "url", rules=RULES, label_id: str = "doc_id", bad: Column | None = None, **options) -> DataFrame:

@@ -79,3 +79,53 @@ def test_all_labelled_pages_are_mined(spark):
     got = {(r.tokens[-1], r.verdict == "block"): (r.share, r.support) for r in urlrules.mine(rows, lift=1.2).collect()}
     assert set(got) == {(host, bad) for (host, bad), n in want.items() if n / 6000 >= 0.6 and n / 6000 >= 1.2 * (sum(c for (_, b), c in want.items() if b == bad) / 300_000)}
     assert all(got[key] == (want[key] / 6000, want[key]) for key in got) and {bad for _, bad in got} == {True, False}
+
+
+def given_labels(spark, sf):
+    """The given pages and labels, as ``tokens, bad`` rows of the labelled ones as well."""
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    return pages, labels, pages.join(labels, F.col("page_id") == F.col("doc_id")).select(urlrules.tokens_of(F.col("url")).alias("tokens"), bad)
+
+
+def test_production_parameters_on_the_given_labels(spark):
+    """About 74% of the given labelled pages are good, so 1.5 times that share is out of reach."""
+    pages, labels, rows = given_labels(spark, "/root/testdata/sf0.1")
+    n, bad = rows.agg(F.count("bad"), F.sum(F.col("bad").cast("int"))).first()
+    base = 1 - bad / n
+    assert 1.5 * base > 1
+    rules = urlrules.mine(rows).collect()
+    assert rules and all(r.share >= base + 0.5 * (1 - base) and r.support >= 20 for r in rules if r.verdict == "allow")
+    assert any(r.verdict == "allow" for r in rules)
+    judged = urlrules.judge(pages, labels)
+    assert judged.where("rule is null and mined is not null and verdict = 'allow'").count() > 0
+    assert {r.verdict for r in judged.select("verdict").distinct().collect()} == {"allow", "block"}
+
+
+def test_both_sides_have_rules_whatever_the_average(spark):
+    """Production parameters: a rare bad (good) host among 90% good (bad) pages, and a clean host in a bad folder."""
+    host = F.col("id") % 100
+    name = F.when(host < 8, "h:odd").when(host < 50, "h:one").otherwise("h:two")
+    folder = F.when((host < 8) | (host >= 90), F.array(F.lit("p:folder"))).otherwise(F.array(F.lit("p:rest")))
+    rows = spark.range(10_000).select(F.concat(F.array(name), folder).alias("tokens"), (host < 8).alias("odd"))
+    for bad, side in ((F.col("odd"), "block"), (~F.col("odd"), "allow")):
+        rules = {(tuple(r.tokens), r.verdict): r.share for r in urlrules.mine(rows.withColumn("bad", bad)).collect()}
+        other = "allow" if side == "block" else "block"
+        assert rules[("h:odd",), side] == 1.0
+        assert rules[("h:two",), other] == 1.0 and rules[("p:rest",), other] == 1.0
+
+
+def test_rules_of_more_than_four_tokens(spark):
+    """Only all six tokens together are bad; each five of them are good as often."""
+    names = [f"p:{c}" for c in "abcdef"]
+    pages = [(names, True)] * 60 + [([t for t in names if t != gone], False) for gone in names for _ in range(60)] + [(["h:com"], True)] * 100
+    rules = urlrules.mine(spark.createDataFrame(pages, "tokens array<string>, bad boolean"), confidence=0.9).collect()
+    assert (tuple(names), "block") in {(tuple(r.tokens), r.verdict) for r in rules}
+
+
+def test_pruned_rules_of_any_length_match_brute_force(spark):
+    _, _, rows = given_labels(spark, "/root/testdata/sf0.01")
+    options = dict(support=0.05, least=4, confidence=0.3, lift=1.0, longest=20)
+    want = brute_rules([(r.tokens, int(r.bad)) for r in rows.collect()], **options)
+    got = {(tuple(r.tokens), r.verdict): (r.share, r.support) for r in urlrules.mine(rows, **options | {"longest": None}).collect()}
+    assert got == want and max(len(some) for some, _ in want) > 2
