@@ -56,7 +56,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "at", F.sha2("core", 256).alias("core_sha256"), "length", "changes", "coverage", "label", "probability", "is_secret")
+    return found.select("doc_id", "at", "run", F.sha2("core", 256).alias("core_sha256"), "length", "changes", "coverage", "label", "probability", "is_secret")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

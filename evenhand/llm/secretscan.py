@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, native.
 
-1. Candidates: tokens whose last run of letters, digits, ``+ / _ -`` has at least ``least`` characters and a digit.
+1. Candidates: all runs of letters, digits, ``+ / _ -`` in blank-separated tokens that have at least ``least`` characters and
+   a digit, and of any length and kind those assigned to a trigger name (``password=...``, ``"token": "..."``).
 2. Features of a candidate: its length; character transitions (share of changes between lower case, upper case, digits and
    others, share of each class, distinct characters); dictionary coverage (share of its characters in letter runs that are
    frequent words of the corpus); path (share of candidates among the words of its source, path separators); neighbouring
@@ -28,6 +29,8 @@ LEAST = 12
 TRIGGERS = ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "apikey", "access")
 # Public formats of credentials.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})$"
+# The end of what stands before a value that is assigned to a trigger name.
+NAMED = r"((?i:token|secret|password|passwd|pwd|credential|apikey)|((^|[^A-Za-z])(?i:key|auth|bearer|access)|[a-z](Key|Auth|Bearer|Access))(?![a-rt-z]))[A-Za-z0-9_-]*[\"'\])]*\x20?[=:]+>?[^A-Za-z0-9+/_-]*$"
 FREQUENT = 5  # a dictionary word occurs so often
 SAMPLE = 50_000  # labelled findings of each label the forest is fitted on, at most about
 FEATURES = ["length", "changes", "digits", "uppers", "lowers", "distinct", "coverage", "slashes", "path_rate", "assigned", "word_before", "inside", "word_after"]
@@ -42,7 +45,7 @@ def _has_trigger(word: Column) -> Column:
 
 
 def candidates(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """``doc_id, id, path, at, core, before, token, after``: every candidate with its word number and its neighbours."""
+    """``doc_id, id, path, at, core, before, token, after``: the candidates that end their token, with word number and neighbours."""
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), id_key(F.col(doc_id)).alias("id"), F.col(path).cast("string").alias("path"), pieces.alias("words"))
     # by place: exploding the array itself would have Spark infer a filter that splits the text once more
@@ -54,6 +57,29 @@ def candidates(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text
     return rows.where((F.length("core") >= least) & F.col("core").rlike("[0-9]"))
 
 
+def all_candidates(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+    """``doc_id, id, path, at, run, core, before, token, after``: every candidate with its word number and its run's number in
+    the word. ``token`` is the part of the word from the run before it up to its end, ``before`` the two runs or words before,
+    ``after`` the next run or word."""
+    pieces = F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), id_key(F.col(doc_id)).alias("id"), F.col(path).cast("string").alias("path"), pieces.alias("words"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).withColumn("word", F.get("words", F.col("at")))
+    last = F.coalesce(F.get("words", F.col("at") - 1), F.lit(""))
+    digits = (F.length("word") >= least) & F.col("word").rlike("[0-9]")
+    sign = F.col("word").contains("=") | F.col("word").contains(":") | last.rlike(r"[=:]>?[^A-Za-z0-9+/_-]*$")
+    rows = rows.where(digits | sign)
+    found = lambda group: F.regexp_extract_all("word", F.lit(r"([^A-Za-z0-9+/_-]*)([A-Za-z0-9+/_-]+)"), F.lit(group))
+    two = F.concat_ws(" ", F.get("words", F.col("at") - 2), F.get("words", F.col("at") - 1))
+    rows = rows.select("doc_id", "id", "path", "at", two.alias("two"), last.alias("last"), F.get("words", F.col("at") + 1).alias("next"), found(1).alias("signs"), found(2).alias("runs"))
+    rows = rows.where(F.size("runs") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("runs") - 1)).alias("run"))
+    at = F.col("run")
+    own, head = F.get("runs", at), F.concat(F.coalesce(F.get("runs", at - 1), F.lit("")), F.get("signs", at))
+    before = F.when(at == 0, F.col("two")).otherwise(F.concat_ws(" ", F.when(at == 1, F.col("last")).otherwise(F.get("runs", at - 2)), F.get("runs", at - 1)))
+    rows = rows.select("doc_id", "id", "path", "at", "run", own.alias("core"), before.alias("before"), F.concat(head, own).alias("token"), F.coalesce(F.get("runs", at + 1), F.col("next")).alias("after"), head.alias("head"))
+    named = F.when(at == 0, F.col("before").rlike(NAMED)).otherwise(F.col("head").rlike(NAMED))
+    return rows.where(((F.length("core") >= least) & F.col("core").rlike("[0-9]")) | named).drop("head")
+
+
 def dictionary(docs: DataFrame, pieces: DataFrame, frequent: int = FREQUENT, text: str = "text") -> DataFrame:
     """The ``piece`` values that are words of the corpus, at least ``frequent`` times. Counts all words, map side first."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)).alias("word"))
@@ -74,7 +100,7 @@ def features(found: DataFrame, docs: DataFrame, frequent: int = FREQUENT, text:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("core", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
     same = F.regexp_replace(classes, r"(.)\1*", "$1")
     return rows.select(
-        *found.columns, F.length("core").cast("double").alias("length"), ((F.length(same) - 1) / (F.length("core") - 1)).alias("changes"),
+        *found.columns, F.length("core").cast("double").alias("length"), ((F.length(same) - 1) / F.greatest(F.length("core") - 1, F.lit(1))).alias("changes"),
         _share(F.col("core"), "0-9").alias("digits"), _share(F.col("core"), "A-Z").alias("uppers"), _share(F.col("core"), "a-z").alias("lowers"),
         (F.size(F.array_distinct(F.split("core", ""))) / F.length("core")).alias("distinct"), (F.coalesce("covered", F.lit(0)) / F.length("core")).alias("coverage"),
         _share(F.col("core"), "/").alias("slashes"), F.coalesce("path_rate", F.lit(0.0)).alias("path_rate"), F.col("token").rlike("[=:]").cast("double").alias("assigned"),
@@ -94,7 +120,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 30, depth: int
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(n) < 2:
         return None
-    draw = F.pmod(F.xxhash64("core", "id", "at"), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("core", "id", "at", "run"), F.lit(1 << 20)) / float(1 << 20)
     limit = F.when(F.col("label") == 1, min(1.0, sample / n[1])).otherwise(min(1.0, sample / n[0]))
     weight = F.when(F.col("label") == 1, 0.5 / min(sample, n[1])).otherwise(0.5 / min(sample, n[0])) * min(sample, n[0], n[1])
     rows = cut(_vectors(rows.where(draw < limit).withColumn("weight", weight)).select("features", "weight", F.col("label").cast("double").alias("label")))
@@ -119,7 +145,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: int = LEAST,
     """Every candidate of ``docs`` with its features, ``label``, ``probability`` and ``is_secret``.
 
     ``findings`` has ``core, label`` rows (reviewed candidates); without it fixed formats label what they decide."""
-    found = cut(candidates(docs, least, doc_id, text, path))
+    found = cut(all_candidates(docs, least, doc_id, text, path))
     rows = features(found, docs, frequent, text, path)
     if findings is None:
         rows = rows.withColumn("label", known_label(rows))
