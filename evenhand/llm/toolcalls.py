@@ -111,9 +111,11 @@ def serialised(kind: str, call_id: str | None, name: str | None, arguments: str
 def derived_events(turns: DataFrame) -> DataFrame:
     """Tool events derived from plain conversations (``conv_id, turn, role, text``), for tables that hold no tool calls.
 
-    Each assistant turn is a call of one of three tools, with arguments made of its text; some lack a field, have a wrong
+    Each assistant turn is a call of one of three tools, with arguments made of its whole text; some lack a field, have a wrong
     type or are cut-off JSON, by a hash of the text. The next turn's text is its result; some results never come, some come before
-    their call, some name an unknown call. Every third call waits for the call of the turn before the last."""
+    their call, some name an unknown call. Every third call waits for the call of the turn before the last. Turns that give no
+    event: those of other roles (system), user turns before turn 1, and a ninth of the other user turns, by a hash (the
+    results that never come)."""
     text, nothing = F.coalesce(F.col("text"), F.lit("")), F.lit(None).cast("string")
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
 
@@ -126,7 +128,7 @@ def derived_events(turns: DataFrame) -> DataFrame:
     def members(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    value = F.regexp_extract(F.to_json(F.struct(F.substring(text, 1, 40).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)  # a JSON string
+    value = F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)  # a JSON string
     limit = F.when(draw("l", 10) == 0, F.lit('"ten"')).otherwise((draw("n", 60) + 1).cast("string"))
     exact = F.when(draw("e", 2) == 0, F.lit("true")).otherwise(F.lit("false"))
     style = F.when(draw("s", 8) == 0, F.lit("odd")).otherwise(F.lit("short"))

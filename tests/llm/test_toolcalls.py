@@ -92,3 +92,20 @@ def test_derived_events_are_linked(spark, sf):
     assert {"linked", "unanswered", "orphan"} <= {r.status for r in out.select("status").distinct().collect()}
     broken = out.where("kind = 'call' and not valid").count()
     assert 0 < broken < out.where("kind = 'call'").count() / 2
+
+
+def test_derived_arguments_hold_the_whole_text(spark):
+    """Every complete call has its turn's text, whatever its length."""
+    texts = {turn: f"turn {turn} " + "long \u00e9\n\"quoted\" text " * (1 + 40 * (turn % 3 == 0)) + "end" for turn in range(0, 240)}
+    turns = spark.createDataFrame([(1, turn, "assistant", text) for turn, text in texts.items()] + [(1, 240, "system", "rules")], "conv_id bigint, turn int, role string, text string")
+    rows = toolcalls.derived_events(turns).collect()
+    assert sorted(r.turn for r in rows) == sorted(texts)
+    field, seen = {"search": "query", "lookup": "key", "summarise": "text"}, 0
+    for r in rows:
+        value, wrong = toolcalls.parse(r.arguments)
+        if wrong:
+            assert json.dumps(texts[r.turn], ensure_ascii=False)[1:-1] in r.arguments
+        elif field[r.name] in value:
+            assert value[field[r.name]] == texts[r.turn]
+            seen += 1
+    assert seen > 150
