@@ -2,7 +2,7 @@
 
 posterior(l) ~ prior(l | host) * P(text | l) * P(declared | l) * P(suffix | l)
 
-- Text: letter trigrams, hashed; a naive Bayes model fitted on a bounded sample of rows with a declared language, plus the
+- Text: letter trigrams, hashed; a naive Bayes model fitted on a bounded sample of the rows of each declared language, plus the
   class ``und`` (all trigrams alike) for text in no known language. Neighbouring trigrams depend on each other, so the sum
   of log-likelihoods counts as at most ``evidence`` independent ones.
 - Declared markup language and address suffix (first path segment of two letters, else the last label of the host): their
@@ -14,7 +14,8 @@ Texts are read once; what follows works on one narrow row for each document. A h
 shuffled and its prior is one row, so a hot host is no large group.
 
 Defined cases: null, empty and letterless texts are ``und`` and rejected; a missing or unseen declared language, suffix or
-host says nothing; without any declared language in the corpus all is ``und``; repeated rows get the same answer.
+host says nothing; without any declared language in the corpus all is ``und``; repeated rows get the same answer. A text of
+a declared language with too few rows for a model is not rejected: it keeps its declared language where the others don't fit.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.llm.common import cut, id_key, packed, text_key, unpacked
 
 BUCKETS = 1 << 15
-SAMPLE = 20_000  # rows the text model is fitted on, at most about
-LEAST_SHARE = 0.005  # a language needs this share of the sample's rows
+SAMPLE = 20_000  # rows of each declared language the text model is fitted on, at most about
+LEAST_ROWS = 5  # a language needs so many rows with letters
+TAG = "^(?!und|mul|mis|zxx|q[a-t][a-z])[a-z]{2,3}$"  # a primary language subtag (BCP 47) that names a language
 EVIDENCE = 60.0
 STRENGTH = 20.0
 UNKNOWN = "und"
@@ -58,9 +61,10 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, UNKNOWN]
-        smooth = counts + 0.1
-        known = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if len(languages) else np.zeros((0, BUCKETS))
-        self.table = np.vstack([known, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32).T.copy()
+        self.table = np.full((BUCKETS, len(self.languages)), -np.log(BUCKETS), dtype=np.float32)
+        for i in range(len(languages)):
+            smooth = counts[i] + 0.1
+            self.table[:, i] = np.log(smooth / smooth.sum())
 
     def score(self, text: str | None, evidence: float = EVIDENCE) -> list[float] | None:
         """Log-likelihood of the text for each language; None without letters."""
@@ -74,13 +78,15 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, declared: str, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """In how many of about ``sample`` rows of a declared language each trigram occurs; rows are chosen by a hash of their id,
+    """In how many of about ``sample`` rows of each declared language each trigram occurs; rows are chosen by a hash of their id,
     text length and language. Rows count, not places, so that one long wrongly declared text weighs little."""
-    rows = docs.where(_language(F.col(declared)).isNotNull())
-    n = rows.count()
-    share = min(1.0, sample / n) if n else 1.0
-    draw = F.pmod(F.xxhash64(id_key(F.col(doc_id)), F.octet_length(text), declared), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0)
-    chosen = rows.where(draw).select(_language(F.col(declared)).alias("lang"), F.col(text).alias("text"))
+    lang = _language(F.col(declared))
+    sizes = docs.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).where(F.col("lang").rlike(TAG) & (F.col("n") >= LEAST_ROWS))
+    limits = [(r["lang"], -(-sample * (1 << 20) // r["n"])) for r in sizes.collect()]  # one row for each real tag
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, limit bigint")
+    draw = F.pmod(F.xxhash64(id_key(F.col(doc_id)), F.octet_length(text), declared), F.lit(1 << 20))
+    rows = docs.select(lang.alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    chosen = rows.join(F.broadcast(limits), "lang").where(F.col("draw") < F.col("limit")).select("lang", "text")
 
     def flush(counts: dict[str, np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
@@ -99,19 +105,19 @@ def fit_text_model(docs: DataFrame, declared: str, text: str = "text", doc_id: s
                     if len(counts) == 64:  # a task's memory
                         yield from flush(counts, seen)
                     counts[lang], seen[lang] = np.zeros(BUCKETS, dtype=np.int64), 0
-                counts[lang] += np.bincount(np.unique(trigrams(body.as_py())), minlength=BUCKETS)
-                seen[lang] += 1
+                grams = np.unique(trigrams(body.as_py()))
+                counts[lang] += np.bincount(grams, minlength=BUCKETS)
+                seen[lang] += len(grams) > 0
         yield from flush(counts, seen)
 
     grams = cut(chosen.mapInArrow(run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = grams.where("gram = -1").select("lang", "n")
-    least = LEAST_SHARE * (sizes.agg(F.sum("n")).first()[0] or 0)
-    languages = sorted(r["lang"] for r in sizes.where(F.col("n") >= least).collect())  # at most 1 / LEAST_SHARE rows
-    counts = np.zeros((len(languages), BUCKETS))
-    known = grams.where((F.col("gram") >= 0) & F.col("lang").isin(languages)).toArrow()  # at most that times BUCKETS rows
-    at = {lang: i for i, lang in enumerate(languages)}
-    for lang, gram, n in zip(known.column("lang").to_pylist(), known.column("gram").to_pylist(), known.column("n").to_pylist()):
-        counts[at[lang], gram] = n
+    languages = sorted(r["lang"] for r in sizes.where(F.col("n") >= LEAST_ROWS).collect())  # one row for each real tag
+    counts = np.zeros((len(languages), BUCKETS), dtype=np.float32)
+    known = grams.where(F.col("gram") >= 0).toArrow()  # at most BUCKETS rows for each real tag
+    at = pc.index_in(known.column("lang"), pa.array(languages, pa.string())).combine_chunks().to_numpy(zero_copy_only=False)
+    has = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), dtype=bool)
+    counts[at[has].astype(np.int64), known.column("gram").to_numpy()[has]] = known.column("n").to_numpy()[has]
     return TextModel(languages, counts)
 
 
@@ -172,7 +178,9 @@ def identify(
     """``doc_id, id, h, declared, language, confidence, text_language, kept`` for each row of ``docs``.
 
     ``declared``, ``host`` and ``url`` name the columns with the evidence (``url`` gives host and suffix). A row is kept
-    if its language is known and has a posterior of at least ``least``. ``model`` replaces the fitted text model."""
+    if its language is known and has a posterior of at least ``least``, or if it has letters and declares a real language that
+    has no text model: such a row keeps its declared language, with no confidence, where none of the others reaches ``least``.
+    ``model`` replaces the fitted text model."""
     nothing = F.lit(None).cast("string")
     tag = F.col(declared) if declared else nothing
     model = model or fit_text_model(docs.withColumn("_tag", tag), "_tag", text, doc_id, sample)
@@ -196,15 +204,20 @@ def identify(
     priors, corpus = host_priors(counted, languages, strength)
     fused = scored.join(_chances(counted, "declared", languages, "from_declared"), "declared", "left").join(_chances(counted, "suffix", languages, "from_suffix"), "suffix", "left")
     fused = fused.join(cut(priors), "host", "left")  # from a checkpoint: the join can split a hot host's partition
-    zero = F.array(*[F.lit(0.0)] * n)
-    parts = [F.col("scores"), F.coalesce("from_declared", zero), F.coalesce("from_suffix", zero), F.coalesce("prior", F.array(*[F.lit(c) for c in corpus]))]
-    logs = F.array(*[sum((F.get(p, F.lit(i)) for p in parts[1:]), F.get(parts[0], F.lit(i))) for i in range(n)])
+    zero = F.array_repeat(F.lit(0.0), n)
+    logs = F.col("scores")
+    for part in (F.coalesce("from_declared", zero), F.coalesce("from_suffix", zero), F.coalesce("prior", F.array(*[F.lit(c) for c in corpus]))):
+        logs = F.zip_with(logs, part, lambda a, b: a + b)
     fused = fused.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     share = 1.0 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     named = F.array(*[F.lit(x) for x in languages])
     best = F.when(F.col("guess").isNull(), F.lit(UNKNOWN)).otherwise(F.get(named, (F.array_position("logs", F.col("top")) - 1).cast("int")))
     fused = fused.select("doc_id", "id", "h", "declared", best.alias("language"), F.when(F.col("guess").isNull(), 0.0).otherwise(share).alias("confidence"), F.get(named, F.col("guess")).alias("text_language"))
-    return fused.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("confidence") >= least))
+    fused = fused.withColumn("known", (F.col("language") != UNKNOWN) & (F.col("confidence") >= least))
+    unmodelled = F.coalesce(F.col("declared").rlike(TAG) & ~F.array_contains(named, F.col("declared")), F.lit(False))
+    spared = ~F.col("known") & unmodelled & F.col("text_language").isNotNull()
+    language, confidence = F.when(spared, F.col("declared")).otherwise(F.col("language")), F.when(~spared, F.col("confidence"))
+    return fused.select("doc_id", "id", "h", "declared", language.alias("language"), confidence.alias("confidence"), "text_language", (F.col("known") | spared).alias("kept"))
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -69,3 +69,21 @@ def test_markup_and_addresses(spark):
     host, suffix = langid.address_parts(F.col("url"))
     got = [tuple(r) for r in rows.select(langid.markup_language(F.col("html")), host, suffix).collect()]
     assert got == [("en-US", "a.b.de", "/fr"), (None, "x.org", ".org"), (None, None, None), (None, None, None)]
+
+
+def _text(rng, letters):
+    return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40))
+
+
+def test_rare_languages_are_known(spark):
+    """40 rows of a language among 20,000 of another, and three of a language too rare for a text model."""
+    rng = np.random.default_rng(3)
+    many, rare, script = [_text(rng, "abcdefgh") for _ in range(200)], [_text(rng, "mnopqrst") for _ in range(40)], [_text(rng, "\u0436\u0449\u044e\u044a\u044b\u044d") for _ in range(3)]
+    rows = [(i, many[i % 200], "en") for i in range(20_000)] + [(30_000 + i, t, "gl") for i, t in enumerate(rare)] + [(40_000 + i, t, "ru") for i, t in enumerate(script)]
+    rows += [(50_000, "1234 %%", "ru"), (50_001, script[0], None), (50_002, script[0], "und"), (50_003, None, "ru"), (50_004, script[0], "unknown")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("source", F.lit("src0"))
+    model = langid.fit_text_model(docs, "lang", sample=100)
+    assert model.languages == ["en", "gl", "und"]
+    got = {r.doc_id: (r.language, r.kept) for r in langid.identify(docs, declared="lang", host="source").collect()}
+    assert all(got[30_000 + i] == ("gl", True) for i in range(40)) and all(got[40_000 + i] == ("ru", True) for i in range(3))
+    assert all(got[i] == ("und", False) for i in range(50_000, 50_005)) and all(got[i] == ("en", True) for i in range(20_000))
