@@ -20,10 +20,13 @@ a declared language with too few rows for a model is not rejected: it keeps its
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
+from html import unescape
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -131,6 +134,18 @@ def markup_language(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?][^<>]*>")
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: no markup, comments, scripts or styles, and entities as the characters they stand for."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: unescape(_HIDDEN.sub(" ", x)) if isinstance(x, str) else None)
+
+    return F.pandas_udf(run, "string")(html)
+
+
 def address_parts(url: Column) -> tuple[Column, Column]:
     """Host (lower case), and suffix: a first path segment of two letters, else the last label of the host."""
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#]*)", 1)), F.lit(""))

@@ -50,10 +50,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry neither address nor markup: declared language and text, and the source as a host without levels."""
     found = langid.identify(_table(spark, sf_dir, "documents"), declared="lang", host="source")
     return found.select("doc_id", "declared", "language", "confidence", "text_language", "kept")
 
 
+def op8_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with all evidence: text and markup language of the html, host and suffix of the address."""
+    html = F.col("html")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", langid.markup_language(html).alias("lang"), langid.page_text(html).alias("text"))
+    found = langid.identify(pages, declared="lang", url="url", doc_id="page_id")
+    return found.select(F.col("doc_id").alias("page_id"), "declared", "language", "confidence", "text_language", "kept")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "at", "run", F.sha2("core", 256).alias("core_sha256"), "length", "changes", "coverage", "label", "probability", "is_secret")
@@ -65,5 +74,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_imatch, op2_tool_calls, op3_url_rules, op4_simhash, op5_decontamination, op6_line_dedup, op7_source_mixing, op8_language, op9_secrets, op10_licenses)
+    for f in (op1_imatch, op2_tool_calls, op3_url_rules, op4_simhash, op5_decontamination, op6_line_dedup, op7_source_mixing, op8_language, op8_page_language, op9_secrets, op10_licenses)
 }

@@ -87,3 +87,23 @@ def test_rare_languages_are_known(spark):
     got = {r.doc_id: (r.language, r.kept) for r in langid.identify(docs, declared="lang", host="source").collect()}
     assert all(got[30_000 + i] == ("gl", True) for i in range(40)) and all(got[40_000 + i] == ("ru", True) for i in range(3))
     assert all(got[i] == ("und", False) for i in range(50_000, 50_005)) and all(got[i] == ("en", True) for i in range(20_000))
+
+
+def test_page_text(spark):
+    html = "<!DOCTYPE html><html lang='fr'><!-- a < b --><script>var t='</p>';</script><STYLE>p{}</STYLE><p class=x>caf&eacute; &amp; th\u00e9<br/>1 < 2</p><script>open"
+    rows = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(langid.page_text(F.col("html")).alias("t")).collect()
+    assert [r.t and r.t.split() for r in rows] == ["caf\u00e9 & th\u00e9 1 < 2".split(), None, ""]
+
+
+def test_pages_use_markup_and_address(spark, tmp_path):
+    """A registered query judges every page; text as likely in both languages follows the address and the domain."""
+    from evenhand.llm.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    page = "<html{}><script>x</script><p>{}</p></html>"
+    rows = [(i, f"http://h{i % 9}.{'aa' if i % 2 else 'bb'}.com/{'xx' if i % 2 else 'yy'}/{i}", page.format(f" lang='{'fr' if i % 2 else 'de'}'", _text(rng, "abcdef" if i % 2 else "mnopqr"))) for i in range(200)]
+    rows += [(1000, "http://new.aa.com/xx/1", page.format("", "7 \u0436 8")), (1001, "http://new.bb.com/yy/1", page.format("", "7 \u0436 8")), (1002, None, None), (1003, None, page.format(" lang='fr-FR'", "\u0436"))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op8_page_language"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i].language == ("fr" if i % 2 else "de") == got[i].declared for i in range(200))
+    assert [got[i].language for i in (1000, 1001, 1002, 1003)] == ["fr", "de", "und", "fr"] and got[1003].declared == "fr"
