@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenhand.llm.common import cut, id_key, packed, running, text_key, unpacked
+from evenhand.llm.common import cut, id_key, n_blank_words, packed, running, text_key, unpacked
 
 MIN_WORDS = 50
 
@@ -39,8 +39,7 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.where(F.col(text).isNotNull()).select(
         id_key(F.col(doc_id)).alias("id"), text_key(F.col(text)).alias("h"), F.posexplode(_lines(F.col(text))).alias("ln", "line")
     )
-    words = F.size(F.array_remove(F.split("line", " "), "")).cast("bigint")
-    rows = rows.select("id", "h", "ln", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.alias("words"))
+    rows = rows.select("id", "h", "ln", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), n_blank_words(F.col("line")).alias("words"))
     return rows.groupBy("h", "ln").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("words").alias("words"))
 
 

@@ -128,3 +128,12 @@ def test_license_findings(spark):
     got = [tuple(r) for r in licenses.digest(licenses.find_licenses(docs)).orderBy("doc_id", "n_words").collect()]
     assert got == [(1, 4, 2, 0, 2, "mit", "mit", 0.5), (2, 0, 0, None, None, "", "", 0.0), (3, 0, 0, None, None, "", "", 0.0), (4, 3, 1, 1, 1, "apache", "apache", 0.5), (4, 60_007, 0, None, None, "", "cc-by-nc-4.0", 1.0)]
     assert licenses.find_licenses(docs.limit(0)).count() == 0
+
+
+def test_words_of_a_line_are_parted_by_any_blank(spark):
+    """Runs of 50 words in lines parted by tabs and other blanks: later copies go, whole texts too."""
+    table = ["\t".join(f"c{r}v{i}" for i in range(30)) for r in range(2)]
+    mixed = "\x0b".join(f"m{i}" for i in range(25)) + "\r\f \t" + "\t ".join(f"n{i}" for i in range(25))
+    texts = ["\n".join(["head", *table, "end"]), "\n".join(["other", *table]), mixed, "x\n" + mixed, "\n".join(["head", *table, "end"]), table[0], "y\n" + table[0]]
+    got = linedup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), min_words=50)
+    assert {r.doc_id: r.removed_lines for r in got.collect()} == {0: [], 1: [1, 2], 2: [], 3: [1], 4: [0, 1, 2, 3], 5: [], 6: []}
