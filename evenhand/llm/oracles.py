@@ -75,5 +75,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n
 FROM f
 """
 
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
 
-ORACLES = {"op10_licenses": _op10(), "op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op7_source_mixing": _OP7}
+_OP11 = f"""
+WITH o AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor({_CRC32}, 4294967295) % 9 AS h FROM o),
+q AS (SELECT h.conv_id, coalesce(list_slice(b.s, 1, h.h), []) || list_slice(h.s, h.h + 1, len(h.s)) AS s FROM h LEFT JOIN o AS b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(s) AS n, unnest(generate_series(0, len(s))) AS depth, s FROM q),
+m AS (SELECT conv_id, n, depth, CASE WHEN depth = 0 THEN [] ELSE list_slice(s, 1, depth) END AS prefix FROM p),
+v AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM m GROUP BY ALL),
+up AS (SELECT c.*, f.conv_id AS parent FROM v AS c LEFT JOIN v AS f ON c.depth = f.depth + 1 AND list_slice(c.prefix, 1, c.depth - 1) = f.prefix),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT up.*, coalesce(n_children, 0) AS n_children, CASE WHEN up.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(prefix[-1].x) END AS saved FROM up
+  LEFT JOIN kids ON kids.parent = up.conv_id AND kids.depth = up.depth),
+b AS (SELECT unnest(generate_series(0, depth)) AS d, prefix, n_children, saved FROM w),
+t AS (SELECT CASE WHEN d = 0 THEN [] ELSE list_slice(prefix, 1, d) END AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM b GROUP BY 1)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN t ON w.prefix = t.top
+"""
+
+
+ORACLES = {"op11_prefix_trie": _OP11, "op10_licenses": _op10(), "op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op7_source_mixing": _OP7}

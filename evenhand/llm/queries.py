@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.llm import decontaminate, imatch, langid, licenses, linedup, mixing, secretscan, simhash, toolcalls, urlrules
+from evenhand.llm import decontaminate, imatch, langid, licenses, linedup, mixing, packing, secretscan, simhash, toolcalls, trie, urlrules, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return trie.trie(trie.branched(trie.sequences(turns)), turns.count())
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_imatch, op2_tool_calls, op3_url_rules, op4_simhash, op5_decontamination, op6_line_dedup, op7_source_mixing, op8_language, op8_page_language, op9_secrets, op10_licenses)
+    for f in (op1_imatch, op2_tool_calls, op3_url_rules, op4_simhash, op5_decontamination, op6_line_dedup, op7_source_mixing, op8_language, op8_page_language, op9_secrets, op10_licenses, op11_prefix_trie, op12_best_fit, op13_whitening)
 }
