@@ -766,15 +766,29 @@ def fair_training(spark, sf):
 
 
 @query
-def group_thresholds(spark, sf):
+def grid_thresholds(spark, sf):
+    """One threshold per group at the best whole-percent rate."""
     return G.group_thresholds(V.decisions(spark, sf), "region", TARGET, "y_prob")
 
 
+def _thresholds(spark, sf):
+    """Thresholds fitted on the train rows, and the test rows."""
+    parts = _split(spark, sf)
+    return IO.written(G.equal_rate_thresholds(parts.filter("split = 'train'"), "region", TARGET, "y_prob"), "thresholds"), parts.filter("split = 'test'")
+
+
+@query
+def group_thresholds(spark, sf):
+    out, _ = _thresholds(spark, sf)
+    return out.select("grp", "strict", "loose", F.round("mix", 6).alias("mix"), F.round("common_rate", 6).alias("common_rate"), "accuracy")
+
+
 @query
 def apply_thresholds(spark, sf):
-    df = V.decisions(spark, sf)
-    t = G.group_thresholds(df, "region", TARGET, "y_prob")
-    return G.apply_thresholds(df, t, "region", "y_prob").select("record_id", "region", "y_pred")
+    """The train rows' thresholds on the test rows: each row's chance, and its drawn decision."""
+    found, test = _thresholds(spark, sf)
+    rows = G.mixed_selection(G.apply_mixed(test, found, "region", "y_prob", "record_id"), found, "region", "y_prob")
+    return rows.select("record_id", "region", F.round("y_select", 6).alias("y_select"), "y_pred")
 
 
 @query
@@ -784,18 +798,24 @@ def mitigation_plan(spark, sf):
 
 @query
 def accuracy_change(spark, sf):
-    """Accuracy of every month's decisions as they are, and at its best balanced threshold."""
-    df = by_month(V.decisions(spark, sf))
-    before = df.groupBy("model_id").agg(F.round(F.avg((F.col("y_pred") == F.col(TARGET)).cast("int")), 4).alias("accuracy"))
-    return G.accuracy_change(before, R.best_balanced(R.pareto_frontier(_sweep(spark, sf))))
+    """Accuracy of every month's test decisions as they are, and at the threshold that balances its train rows best."""
+    parts = by_month(_split(spark, sf))
+    test = parts.filter("split = 'test'")
+    sweep = IO.written(R.threshold_sweep(parts.filter("split = 'train'"), "model_id", "region", TARGET, "y_prob"), "sweep")
+    chosen = R.best_balanced(R.pareto_frontier(sweep)).select("model_id", "epsilon")
+    right = lambda pred: F.round(F.avg((pred == F.col(TARGET)).cast("int")), 4).alias("accuracy")
+    before = test.groupBy("model_id").agg(right(F.col("y_pred")))
+    after = test.join(chosen, "model_id").groupBy("model_id").agg(right((F.col("y_prob") >= F.col("epsilon")).cast("int")))
+    return G.accuracy_change(before, after)
 
 
 @query
 def revalidation_diff(spark, sf):
-    df = V.decisions(spark, sf)
-    after = G.apply_thresholds(df, G.group_thresholds(df, "region", TARGET, "y_prob"), "region", "y_prob")
+    """The test rows' metrics as decided and by the train rows' thresholds."""
+    found, test = _thresholds(spark, sf)
+    after = IO.written(G.apply_mixed(test, found, "region", "y_prob", "record_id"), "after")
     return G.revalidation_diff(
-        G.fairness_metrics_long(df, ["segment", "region"], TARGET, "y_pred"), G.fairness_metrics_long(after, ["segment", "region"], TARGET, "y_pred")
+        G.fairness_metrics_long(test, ["segment", "region"], TARGET, "y_pred"), G.fairness_metrics_long(after, ["segment", "region"], TARGET, "y_pred")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.hashing import uniform
 from evenhand.functions.numeric import as_double, binary
@@ -15,6 +15,7 @@ from evenhand.operators.cleaning import median_impute
 from evenhand.operators.metrics import demographic_parity, disparate_impact, equalized_odds
 from evenhand.operators.models import fit_classifier, score_table
 from evenhand.plans import defaults
+from evenhand.plans.hulls import upper_hull
 from evenhand.plans.neighbours import nearest
 from evenhand.plans.ordered import add_piece, cut_points, first_by_hash, running_sums
 from evenhand.sources.tables import written
@@ -118,6 +119,72 @@ def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: in
     )
 
 
+def equal_rate_thresholds(df: DataFrame, group: str, target: str, prob: str) -> DataFrame:
+    """Two score thresholds per group and the share of the looser one, so that all groups are selected at exactly the same
+    rate with the largest total accuracy any mix of thresholds reaches.
+
+    ``grp, strict, loose, mix, common_rate, accuracy``: scores above ``strict`` are selected, scores above ``loose`` with
+    probability ``mix`` (:func:`mixed_selection`); a null threshold selects everyone. Where the rate needs no mix, both are equal
+    and ``mix`` is 0.
+
+    A group's thresholds are points (selected rows, right decisions); mixes of two fill the area below their upper hull, which
+    is formed piece by piece (:mod:`evenhand.plans.hulls`). Along the common rate the sum of the hulls is concave; running
+    sums of its slope's changes find where it stops to rise (the smallest such rate). Rows without group, label or score are
+    left out; a group of one score has the thresholds everyone and nobody.
+    """
+    score = as_double(F.col(prob))
+    rows = df.select(F.col(group).cast("string").alias("grp"), binary(target).cast("bigint").alias("y"), score.alias("p"))
+    rows = rows.filter(F.col("grp").isNotNull() & F.col("y").isNotNull() & F.col("p").isNotNull())
+    curve = written(rows.groupBy("grp", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "curve")
+    totals = written(curve.groupBy("grp").agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos")), "totals")
+    cuts = cut_points(curve, "p")
+    run = running_sums(add_piece(curve, "p", cuts), ["grp"], "p", ["n", "pos"], descending=True)
+    # point i decides "score above p_i": it selects what ran up before it
+    sel, tp = F.col("run_n") - F.col("n"), F.col("run_pos") - F.col("pos")
+    points = run.select("grp", F.col("p").alias("threshold"), sel.alias("sel"), tp.alias("tp"), "_piece")
+    everyone = totals.select("grp", F.lit(None).cast("double").alias("threshold"), F.col("total").alias("sel"), F.col("total_pos").alias("tp"), F.lit(0).alias("_piece"))
+    known = points.unionByName(everyone).join(totals, "grp")
+    right = 2 * F.col("tp") + F.col("total") - F.col("total_pos") - F.col("sel")
+    corners = upper_hull(known.select("grp", "threshold", "sel", right.alias("right"), "total", "_piece"), "grp", "sel", "right", len(cuts) + 1)
+    along = W.partitionBy("grp").orderBy("sel")  # a hull's corners
+    edges = written(corners.select(
+        "grp", "threshold", "right", "total", (F.col("sel") / F.col("total")).alias("rate"), *[F.lead(c).over(along).alias(f"next_{c}") for c in ("threshold", "right")],
+        (F.lead("sel").over(along) / F.col("total")).alias("next_rate"),
+    ), "edges")
+    slope = F.coalesce((F.col("next_right") - F.col("right")) / (F.col("next_rate") - F.col("rate")), F.lit(0.0))
+    turns = edges.withColumn("slope", slope).withColumn("turn", F.col("slope") - F.coalesce(F.lag("slope").over(W.partitionBy("grp").orderBy("rate")), F.lit(0.0)))
+    turns = written(turns.groupBy("rate").agg(F.sum("turn").alias("turn")), "turns")
+    rising = running_sums(add_piece(turns, "rate", cut_points(turns, "rate")), [], "rate", ["turn"])
+    rows_in_all = totals.agg(F.sum("total").alias("n")).scalar()
+    best = rising.filter(F.col("run_turn") <= 1e-9 * rows_in_all).agg(F.min("rate").alias("r")).scalar()
+    at = edges.withColumn("common_rate", best).filter((F.col("rate") <= F.col("common_rate")) & F.coalesce(F.col("next_rate") > F.col("common_rate"), F.lit(True)))
+    exact = F.col("rate") == F.col("common_rate")
+    mix = F.when(exact, 0.0).otherwise((F.col("common_rate") - F.col("rate")) / (F.col("next_rate") - F.col("rate")))
+    return at.select(
+        "grp", F.col("threshold").alias("strict"), F.when(exact, F.col("threshold")).otherwise(F.col("next_threshold")).alias("loose"), mix.alias("mix"), "common_rate",
+        F.round((F.col("right") + mix * F.when(exact, 0).otherwise(F.col("next_right") - F.col("right"))) / F.col("total"), 4).alias("accuracy"),
+    )
+
+
+def mixed_selection(df: DataFrame, thresholds: DataFrame, group: str, prob: str, out: str = "y_select") -> DataFrame:
+    """``out``: the probability with which a row is selected by :func:`equal_rate_thresholds`; null for rows of no known group
+    or without a score."""
+    t = thresholds.select(F.col("grp").alias("_grp"), F.col("strict").alias("_s"), F.col("loose").alias("_l"), F.col("mix").alias("_m"))
+    joined = df.join(t, F.col(group).cast("string") == F.col("_grp"), "left")
+    score = as_double(F.col(prob))
+    above = lambda c: F.coalesce((score > F.col(c)).cast("double"), F.lit(1.0))
+    chance = F.when(F.col("_grp").isNotNull() & score.isNotNull(), (1 - F.col("_m")) * above("_s") + F.col("_m") * above("_l"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], chance.alias(out))
+
+
+def apply_mixed(df: DataFrame, thresholds: DataFrame, group: str, prob: str, key: str, pred: str = "y_pred", seed: int = 42) -> DataFrame:
+    """Decisions by :func:`equal_rate_thresholds`; rows between a group's thresholds are drawn by a hash of their key, so
+    reruns agree. Rows of no known group or without a score keep theirs."""
+    chances = mixed_selection(df, thresholds, group, prob, "_chance")
+    drawn = (uniform(F.col(key), f"mix{seed}") < F.col("_chance")).cast("int")
+    return chances.select(*[F.coalesce(drawn, F.col(c)).alias(c) if c == pred else F.col(f"`{c}`") for c in df.columns])
+
+
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, prob: str, pred: str = "y_pred") -> DataFrame:
     """Decisions by the group's threshold; rows of no known group keep theirs."""
     t = thresholds.select(F.col("grp").alias("_grp"), F.col("threshold").alias("_t"), F.lit(True).alias("_known"))
@@ -374,8 +441,8 @@ def run_mitigation(
             fitted = fit_classifier(apply_weights(train, reweighting_weights(train, group), group), features, target, kind, weight="weight")
         elif technique == "GROUP_THRESHOLDS":
             fitted_on = written(score_table(model, train, features), "train-scores")
-            moved = apply_thresholds(base, group_thresholds(fitted_on, group, target, "y_prob"), group, "y_prob")
-            return state(moved, F.col("y_pred"))
+            moved = mixed_selection(base, equal_rate_thresholds(fitted_on, group, target, "y_prob"), group, "y_prob")
+            return state(moved, F.coalesce("y_select", "y_pred"))  # expected decisions of the mix
         else:
             return state(fair_training(train, test, features, target, group, epsilon, rounds), F.col("y_prob"))  # expected decisions of the mixture
         return state(score_table(fitted, test, features), F.col("y_pred"))
