@@ -1,28 +1,30 @@
 """Exact quantiles without gathering a column in one task, and quantile binning.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. Here each wanted
-rank is bracketed first: while more than ``LIMIT`` rows lie in its bracket, one more scan takes a
-small sketch inside the bracket (about a hundredth of the rows stay). A last scan counts what lies
-between the brackets and aggregates the values inside them. The result is exact whatever the sketch
-answered, because a bracket that misses its rank is widened. The outcome is a handful of numbers per
-column, so it is returned as Python floats, like the fitted state of any Spark ML estimator.
+``percentile`` keeps every distinct value of a column in one aggregation buffer. Here a value becomes a 64-bit key of the same
+order, and the keys at the wanted ranks are found digit by digit: a pass counts the next ``BITS`` bits of the keys that share
+the digits found so far, for all columns and ranks at once. At most four passes over the written keys do for any data (fewer for
+short tables): ties, skew and outliers do not raise their number, nor what one of them counts, at most 65,536 rows for a column
+and rank. Columns with few distinct values are counted outright. The outcome is a handful of numbers per column, so it is returned as Python
+floats, like the fitted state of any Spark ML estimator.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import NumericType
 
 from evenhand.functions.numeric import as_double
+from evenhand.sources.tables import written
 
 QUINTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-LIMIT = 200_000  # rows of one bracket that the last scan may list
-_GRID = [i / 200 for i in range(201)]
-_ACCURACY = 2000
-_FEW = 64  # below this estimate the distinct values are listed exactly
+BITS = 16  # of a digit: four passes, and at most 65,536 counts for a column and rank
+_FEW = 64  # up to this estimate the distinct values are counted outright
+_MANTISSA = 52
 
 
 def sketch(col: Column, probs: Sequence[float], accuracy: int) -> Column:
@@ -30,9 +32,33 @@ def sketch(col: Column, probs: Sequence[float], accuracy: int) -> Column:
     return F.percentile_approx(col, F.expr("array(" + ", ".join(f"{p!r}D" for p in probs) + ")"), accuracy)
 
 
+def with_order_key(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``out``: the double ``value`` as a long of the same order (its IEEE bits, negative for negative numbers); null stays null.
+
+    The exponent comes from a logarithm that is then set right, everything else is exact. The steps are columns, so each is
+    computed once a row.
+    """
+    size, guess, power, exponent = F.abs(F.col(value)), F.col("_guess"), F.col("_power"), F.col("_exponent")
+    rows = df.select("*", F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("int").alias("_guess"))
+    rows = rows.select("*", F.pow(F.lit(2.0), guess).alias("_power"))
+    step = F.when((size < power) & (guess > -1022), -1).when((size / power >= 2.0) & (guess < 1023), 1).otherwise(0)
+    rows = rows.select("*", (guess + step).alias("_exponent"))
+    fraction = (size / F.pow(F.lit(2.0), exponent) * float(1 << _MANTISSA)).cast("bigint")
+    key = (exponent + 1022).cast("bigint") * F.lit(1 << _MANTISSA) + fraction
+    key = F.when(size == 0.0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << _MANTISSA)).otherwise(key)
+    rows = rows.select(*[F.col(f"`{c}`") for c in df.columns], key.alias("_size_key"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_size_key") * F.when(F.col(value) < 0.0, -1).otherwise(1)).alias(out))
+
+
+def key_value(key: int) -> float:
+    """The double of a key of :func:`with_order_key`."""
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
-    return {c: q for c, (q, _) in _quantiles(df, columns, probs, 0).items()}
+    return {c: q for c, (q, _) in _quantiles(df, columns, probs).items()}
 
 
 def bin_edges(
@@ -49,121 +75,68 @@ def bin_edges(
     return edges | {c: None if q is None or (few is not None and few <= keep_discrete) else sorted(set(q)) for c, (q, few) in found.items()}
 
 
-def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], few: int) -> dict[str, tuple[list[float] | None, int | None]]:
-    """Quantiles of each column, with its number of distinct values where that may be ``few`` or less."""
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], few_values: int = 0) -> dict[str, tuple[list[float] | None, int | None]]:
+    """Quantiles of each column, with its number of distinct values where there are few."""
     cols = list(columns)
     if not cols:
         return {}
-    wide = df.select(*[as_double(F.col(c)).alias(c) for c in cols])
-    first = wide.agg(
-        *[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), (F.approx_count_distinct(c) if few else F.lit(None)).alias("d"),
-                   F.lit(0).alias("below"), sketch(F.col(c), _GRID, _ACCURACY).alias("q")).alias(c) for c in cols]
-    ).first()
-    out: dict[str, tuple[list[float] | None, int | None]] = {c: (None, None) for c in cols if not first[c]["n"]}
-    todo = [c for c in cols if first[c]["n"]]
-    places = {c: [p * (first[c]["n"] - 1) for p in probs] for c in todo}
-    ranks = {c: sorted({r for h in places[c] for r in (floor(h), ceil(h))}) for c in todo}
-    # few values by the sketch: count them all, which also gives their exact number
-    listed = {c for c in todo if few and first[c]["d"] <= max(_FEW, 2 * few)}
-    whole = {c: (first[c]["lo"], first[c]["hi"]) for c in todo}
-    spans = {(c, r): (*whole[c], 0 if c in listed else first[c]["n"]) for c in todo for r in ranks[c]}
-    spans = _narrow(wide, spans, {(c, *whole[c]): first[c] for c in todo})
-    brackets = {c: _merged([spans[(c, r)] for r in ranks[c]]) for c in todo}
-    values, sizes = _values_at(wide, brackets, ranks)
-    missed = {c: [r for r in ranks[c] if (c, r) not in values] for c in todo}
-    missed = {c: r for c, r in missed.items() if r}
-    if missed:  # a sketch bracket did not reach its rank: widen it to the whole column
-        values.update(_values_at(wide, {c: [whole[c]] for c in missed}, missed)[0])
-    for c in todo:
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), as_double(F.col(f"`{c}`")).alias("x")) for i, c in enumerate(cols)]))
+    keys = written(with_order_key(df.select(cells).filter("x IS NOT NULL"), "x", "k").select("c", "k"), "keys")
+    sizes = {r["c"]: r for r in keys.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("k").alias("d")).collect()}  # a row a column
+    todo = sorted(sizes)
+    places = {i: [p * (sizes[i]["n"] - 1) for p in probs] for i in todo}
+    ranks = {i: sorted({r for h in places[i] for r in (floor(h), ceil(h))}) for i in todo}
+    few = [i for i in todo if sizes[i]["d"] <= max(_FEW, 2 * few_values)]
+    values, distinct = _counted(keys, few, ranks)
+    values |= _searched(keys, {i: r["n"] for i, r in sizes.items()}, {i: ranks[i] for i in todo if i not in set(few)})
+    out: dict[str, tuple[list[float] | None, int | None]] = {c: (None, None) for c in cols}
+    for i in todo:
         q = []
-        for h in places[c]:
-            lo, hi = values[(c, floor(h))], values[(c, ceil(h))]
+        for h in places[i]:
+            lo, hi = key_value(values[(i, floor(h))]), key_value(values[(i, ceil(h))])
             q.append(lo + (hi - lo) * (h - floor(h)))
-        out[c] = (q, sizes[c] if c in listed else None)
+        out[cols[i]] = (q, distinct.get(i))
     return out
 
 
-def _narrow(
-    wide: DataFrame, spans: dict[tuple[str, int], tuple[float, float, int]], found: dict[tuple, Row]
-) -> dict[tuple[str, int], tuple[float, float]]:
-    """Brackets (lo, hi) of every (column, rank), narrowed by sketches until few rows lie inside.
-
-    ``found`` holds the sketches of the first scan, which narrow every bracket once for free.
-    """
-    big = {k for k, (lo, hi, n) in spans.items() if n and lo < hi}
-    while big:
-        asked = sorted({(c, *spans[(c, r)][:2]) for c, r in big} - set(found))
-        if asked:
-            inside = [F.col(c).between(lo, hi) for c, lo, hi in asked]
-            got = wide.agg(*[
-                F.struct(F.count_if(F.col(c) < lo).alias("below"), F.count_if(i).alias("n"),
-                         sketch(F.when(i, F.col(c)), _GRID, _ACCURACY).alias("q")).alias(f"b{j}")
-                for j, ((c, lo, hi), i) in enumerate(zip(asked, inside))
-            ]).first()
-            found = found | {a: got[f"b{j}"] for j, a in enumerate(asked)}
-        for c, r in big:
-            lo, hi, _ = spans[(c, r)]
-            at, steps = found[(c, lo, hi)], len(_GRID) - 1
-            share, margin = (r - at["below"]) / max(at["n"], 1), 4.0 / _ACCURACY
-            i, j = max(floor((share - margin) * steps), 0), min(ceil((share + margin) * steps), steps)
-            low, high = (at["q"][i], at["q"][j]) if at["n"] and 0 <= share <= 1 else (lo, hi)
-            # a bracket that does not shrink is one heavy value and its neighbours: list it
-            spans[(c, r)] = (low, high, at["n"] * (j - i) // steps if (low, high) != (lo, hi) else 0)
-        big = {k for k, (lo, hi, n) in spans.items() if n > LIMIT and lo < hi}
-    return {k: (lo, hi) for k, (lo, hi, _) in spans.items()}
-
-
-def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Overlapping intervals joined, in order."""
-    out: list[tuple[float, float]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def _values_at(
-    wide: DataFrame, brackets: dict[str, list[tuple[float, float]]], ranks: dict[str, list[int]]
-) -> tuple[dict[tuple[str, int], float], dict[str, int]]:
-    """Values at 0-based ranks, where a bracket reaches them, and the values counted per column.
-
-    Even zones lie between the brackets, odd zones are the brackets. A value outside is only
-    counted (with the extremes of its zone); a value inside keeps its own count.
-    """
-    if not brackets:
+def _counted(keys: DataFrame, few: list[int], ranks: dict[int, list[int]]) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
+    """Keys at 0-based ranks, and distinct values, of columns with few values: their value counts are collected."""
+    if not few:
         return {}, {}
-    rows = []
-    for c, spans in brackets.items():
-        x, zone = F.col(c), None
-        for i, (lo, hi) in enumerate(spans):
-            zone = F.when(x < lo, 2 * i) if zone is None else zone.when(x < lo, 2 * i)
-            zone = zone.when(x <= hi, 2 * i + 1)
-        rows.append(F.struct(F.lit(c).alias("c"), zone.otherwise(2 * len(spans)).alias("zone"), x.alias("x")))
-    zones = wide.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull())
-    counted = zones.groupBy("c", "zone", F.when(F.col("zone") % 2 == 1, F.col("x")).alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    w = W.partitionBy("c").orderBy("zone", "v")
-    run = counted.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn(
-        "size", F.count("v").over(W.partitionBy("c"))
-    )
-    wanted = F.create_map(*[v for c, r in ranks.items() for v in (F.lit(c), F.array(*[F.lit(i).cast("bigint") for i in r]))])
-    start, rank = F.col("upto") - F.col("n"), F.col("i")
-    value = (
-        F.when(F.col("zone") % 2 == 1, F.col("v"))
-        .when(rank == F.col("upto") - 1, F.col("hi"))
-        .when(rank == start, F.col("lo"))
-    )
-    hits = (
-        run.withColumn("i", F.explode(wanted[F.col("c")]))
-        .filter((rank >= start) & (rank < F.col("upto")))
-        .select("c", "i", value.alias("value"), "size")
-        .filter(F.col("value").isNotNull())
-        .collect()  # at most two rows per column and quantile
-    )
-    return {(r["c"], r["i"]): r["value"] for r in hits}, {r["c"]: r["size"] for r in hits}
+    counts = keys.filter(F.col("c").isin(few)).groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).orderBy("c", "k").collect()
+    found, distinct, upto = {}, dict.fromkeys(few, 0), dict.fromkeys(few, 0)
+    for r in counts:
+        distinct[r["c"]] += 1
+        found |= {(r["c"], i): r["k"] for i in ranks[r["c"]] if upto[r["c"]] <= i < upto[r["c"]] + r["n"]}
+        upto[r["c"]] += r["n"]
+    return found, distinct
+
+
+def _searched(keys: DataFrame, sizes: dict[int, int], ranks: dict[int, list[int]]) -> dict[tuple[int, int], int]:
+    """Keys at 0-based ranks, a digit a pass. The state between passes is, for each column and rank, the bits found, the rank that
+    is left among the keys with these bits, and how many these are; once few enough are left, the last pass takes all bits."""
+    state = {(c, r): (0, r, sizes[c]) for c, rs in ranks.items() for r in rs}
+    k, done = F.col("k"), 64
+    while state and done:
+        first = done == 64
+        rest = 0 if max(n for _, _, n in state.values()) <= 1 << BITS else done - BITS
+        prefixes = {c: sorted({state[(c, r)][0] for r in ranks[c]}) for c in ranks}
+        if first:
+            inside, prefix, digit = F.col("c").isin(list(prefixes)), F.lit(0).cast("bigint"), F.shiftright(k, rest)
+        else:
+            prefix, digit = F.shiftright(k, done), F.shiftright(k, rest).bitwiseAND(F.lit((1 << (done - rest)) - 1))
+            inside = reduce(Column.__or__, [(F.col("c") == c) & prefix.isin(p) for c, p in prefixes.items()])
+        counts = keys.filter(inside).groupBy("c", prefix.alias("prefix"), digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("c", "prefix").orderBy("digit"))  # at most 2 ** BITS digits
+        wanted = ", ".join(f"named_struct('c', {c}, 'p', {p}L, 'left', {left}L)" for c, p, left in sorted({(c, p, left) for (c, _), (p, left, _) in state.items()}))
+        asked = F.expr(f"filter(array({wanted}), w -> w.c = c AND w.p = prefix AND w.left < upto AND w.left >= upto - n)")
+        hits = counts.withColumn("upto", upto).select("c", "prefix", "digit", "n", (F.col("upto") - F.col("n")).alias("below"), F.explode(asked).alias("w"))
+        found = {(h["c"], h["prefix"], h["w"]["left"]): h for h in hits.collect()}  # a row for each column and rank
+        for at, (known, left, _) in state.items():
+            h = found[(at[0], known, left)]
+            state[at] = (h["digit"] if first else (known << (done - rest)) | h["digit"], left - h["below"], h["n"])
+        done = rest
+    return {at: key for at, (key, _, _) in state.items()}
 
 
 def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:

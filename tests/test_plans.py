@@ -78,9 +78,9 @@ def test_association_edges(spark):
     assert group_rates(one.limit(0), ["g"], "y").count() == 0
 
 
-@pytest.mark.parametrize("limit", [50, 10**9])
-def test_quantiles_exact(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "LIMIT", limit)
+@pytest.mark.parametrize("bits", [8, 16])
+def test_quantiles_exact(spark, monkeypatch, bits):
+    monkeypatch.setattr(quantiles, "BITS", bits)
     rng = np.random.default_rng(2)
     n = 6000
     heavy = np.where(rng.random(n) < 0.4, 7.25, rng.lognormal(1, 2, n))
@@ -96,6 +96,29 @@ def test_quantiles_exact(spark, monkeypatch, limit):
     assert quantiles.bin_edges(df, ["c"], keep_discrete=0)["c"] is not None
 
 
+def test_quantiles_by_digits_alone(spark, monkeypatch):
+    """No column is counted outright: ties, signs, the smallest and the largest doubles."""
+    monkeypatch.setattr(quantiles, "_FEW", -1)
+    rng = np.random.default_rng(7)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 1.0 + 2**-52, 1.0 - 2**-53]
+    pdf = pd.DataFrame({"a": rng.choice(odd, 3000), "b": rng.normal(0, 1e-3, 3000) ** 3, "c": np.where(rng.random(3000) < 0.34, -2.5, rng.integers(-9, 9, 3000)), "d": 1e15 + rng.integers(0, 3, 3000)})
+    got = quantiles.exact_quantiles(spark.createDataFrame(pdf).repartition(7), list("abcd"), [i / 2999 for i in range(0, 3000, 211)])
+    for c in "abcd":
+        assert got[c] == pytest.approx(np.sort(pdf[c])[::211], rel=1e-15, abs=0), c
+
+
+def test_order_keys_are_ieee_bits(spark):
+    rng = np.random.default_rng(8)
+    powers = np.exp2(np.arange(-1074, 1024))
+    values = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), rng.integers(0, 2**63, 5000).view(np.float64), [0.0, np.inf]])
+    values = values[~np.isnan(values)]
+    values = np.concatenate([values, -values])
+    rows = quantiles.with_order_key(spark.createDataFrame(pd.DataFrame({"x": values})), "x", "k").toPandas()
+    bits = np.abs(rows["x"].to_numpy()).view(np.int64)
+    assert (rows["k"].to_numpy() == np.where(rows["x"] < 0, -bits, bits)).all()
+    assert all(quantiles.key_value(k) == x for k, x in zip(rows["k"], rows["x"]))
+
+
 def test_quantiles_tiny(spark):
     for vals in ([3.0], [1.0, 2.0], [3.0, 1.0, 2.0, 10.0]):
         got = quantiles.exact_quantiles(spark.createDataFrame([(v,) for v in vals], "x double"), ["x"], [0, 0.1, 0.4, 0.5, 0.9, 1])
