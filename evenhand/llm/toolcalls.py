@@ -20,7 +20,8 @@ Status: ``linked``, ``unanswered`` (call without result), ``orphan`` (result wit
 ``cyclic``. A missing dependency (``after`` that names no call) is ignored and reported as an error.
 
 Defined cases: null conversations are one conversation; null positions come first; ties in position are broken by kind
-and content; invalid or null JSON arguments are errors and are kept as a string; repeated rows are duplicates of one
+and content; invalid or null JSON arguments, NaN, infinities, numbers beyond a double or of thousands of digits, halves of
+surrogate pairs and more than 200 nested levels are errors, and the text is kept as a string; repeated rows are duplicates of one
 call; conversations without events give no rows; extra columns are ignored.
 """
 
@@ -40,6 +41,7 @@ SCHEMAS = {
     "lookup": {"type": "object", "required": ["key"], "additionalProperties": False, "properties": {"key": {"type": "string", "minLength": 1}, "exact": {"type": "boolean"}}},
     "summarise": {"type": "object", "required": ["text", "style"], "additionalProperties": True, "properties": {"text": {"type": "string"}, "style": {"enum": ["short", "long"]}, "tags": {"type": "array", "items": {"type": "string"}}}},
 }
+DEEPEST = 200  # levels of nested lists and objects
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -48,7 +50,7 @@ def errors_of(value, schema: dict, at: str = "$") -> list[str]:
     kind = schema.get("type")
     if kind in ("integer", "number"):
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if not number or (kind == "integer" and not float(value).is_integer()):
+        if not number or (kind == "integer" and isinstance(value, float) and not value.is_integer()):
             return [f"{at}: not {kind}"]
     elif kind and not isinstance(value, _TYPES[kind]):
         return [f"{at}: not {kind}"]
@@ -89,14 +91,38 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _refused(constant: str):
+    raise ValueError(f"{constant} is no JSON")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refused(text)
+
+
+def _depth(value) -> int:
+    """Levels of lists and objects, without recursion."""
+    level, depth = [value], 0
+    while level := [x for x in level if isinstance(x, (dict, list))]:
+        level, depth = [y for x in level for y in (x.values() if isinstance(x, dict) else x)], depth + 1
+    return depth
+
+
 def parse(text: str | None):
-    """``(value, error)`` of JSON text; the text itself where it is no JSON."""
+    """``(value, error)`` of JSON text; the text itself where it is no JSON, or JSON that can't be kept: numbers beyond a double
+    or of thousands of digits, NaN and infinities, halves of surrogate pairs, more than ``DEEPEST`` levels."""
     if not isinstance(text, str):
         return None, "$: no arguments"
     try:
-        return json.loads(text), None
+        value = json.loads(text, parse_constant=_refused, parse_float=_number)
+        if _depth(value) > DEEPEST:
+            return text, "$: too deep"
+        json.dumps(value, ensure_ascii=False).encode()  # halves of surrogate pairs have no UTF-8
+    except UnicodeEncodeError:
+        return text, "$: no text"
     except (ValueError, RecursionError):
         return text, "$: no JSON"
+    return value, None
 
 
 def serialised(kind: str, call_id: str | None, name: str | None, arguments: str | None, content: str | None, schemas: dict) -> tuple[str, list[str]]:

@@ -109,3 +109,21 @@ def test_derived_arguments_hold_the_whole_text(spark):
             assert value[field[r.name]] == texts[r.turn]
             seen += 1
     assert seen > 150
+
+
+def test_legal_json_that_cannot_be_kept(spark):
+    """Each is an error on its own row; the text stays, and canonical JSON can be read back."""
+    texts = {
+        '{"key": "k", "exact": true, "n": ' + "9" * 400 + "}": "$.n: unknown", '{"limit": ' + "9" * 400 + ', "query": "q"}': "$.exact", '{"key": "\\ud800"}': "$: no text", "[" * 3000 + "]" * 3000: "$: too deep",
+        "[" * 100_000 + "]" * 100_000: "$: ", '{"key": NaN}': "$: no JSON", '{"key": -Infinity}': "$: no JSON", '{"key": 1e999}': "$: no JSON", '{"key": ' + "1" * 5000 + "}": "$: no JSON", "": "$: no JSON", '{"key": "\\ud83d\\ude00"}': "",
+    }
+    rows = [call(1, k, f"c{k}", arguments=t) for k, t in enumerate(texts)]
+    got = run(spark, rows)
+    assert len(got) == len(texts)
+    for r, (text, error) in zip(got, texts.items()):
+        event = json.loads(r.canonical if hasattr(r, "canonical") else r.json)
+        if error.startswith("$: "):
+            assert event["arguments"] == text and r.errors[0].startswith(error), text[:40]
+        elif not error:
+            assert event["arguments"] == {"key": "\U0001f600"} and r.errors == []
+    assert toolcalls.errors_of(10**400, {"type": "integer", "maximum": 50}) == ["$: out of range"] and toolcalls.errors_of(1.5, {"type": "integer"}) == ["$: not integer"]
