@@ -4,12 +4,13 @@ Fixed rules name a host and a path prefix; they hold for the host and its subdom
 Pages no fixed rule decides are judged by association rules:
 
 1. a URL is a set of tokens (host labels with their place, path segments, extension, query names and values);
-2. Spark's FP-growth mines token combinations that are frequent among the labelled pages;
+2. tokens that stand in exactly the same labelled pages (the parts of one host, say) can't tell pages apart and are one item, a
+   class; Spark's FP-growth mines combinations of classes that are frequent among the labelled pages;
 3. a combination with a share of bad pages of at least ``confidence`` blocks, with a share of good ones of at least
    ``confidence`` allows. The share has to be above the average by ``lift`` too or, where that average leaves little or no
    room for it, to close ``gap`` of the way from the average to 1; combinations that a part of them already decides go;
-4. each rule is listed under its rarest token only (an inverted index), so common tokens match nothing; a listed rule
-   fires where the page has all of its tokens. The most confident rule that fires decides, then the better supported,
+4. each rule is listed under the tokens of its rarest class only (an inverted index), so common tokens match nothing; a
+   listed rule fires where the page has a token of each of its classes. The most confident rule that fires decides, then the better supported,
    then the text order; without one a page is allowed.
 
 All labelled pages are mined, and every page is judged.
@@ -63,7 +64,8 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float | None = None, longest: int | None = None, gap: float = GAP) -> DataFrame:
-    """``tokens, verdict, share, support, rarest``: pruned rules from ``tokens, bad`` rows.
+    """``tokens, alike, verdict, share, support, rarest``: pruned rules from ``tokens, bad`` rows. A class is named by its first
+    token; ``alike`` has all tokens of each class, in the order of ``tokens``.
 
     Support is a share of the labelled pages (of ``least`` pages at least), so the number of frequent combinations depends on how URLs are made, not on
     how many there are. Combinations have any number of tokens, or at most ``longest``. A given ``lift`` holds as it is, also
@@ -72,12 +74,21 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
 
     rows = cut(labelled.where((F.size("tokens") > 0) & F.col("bad").isNotNull()))
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
-    schema = "tokens array<string>, verdict string, share double, support bigint, rarest string"
+    schema = "tokens array<string>, alike array<array<string>>, verdict string, share double, support bigint, rarest string"
     if not n:
         return rows.sparkSession.createDataFrame([], schema)
     mark = F.when(F.col("bad"), F.lit("=bad")).otherwise(F.lit("=good"))
-    baskets = rows.select(F.array_append("tokens", mark).alias("items"))
-    sets = cut(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(baskets).freqItemsets)
+    wanted = min(1.0, max(support, least / n))
+    rows = rows.select(F.monotonically_increasing_id().alias("page"), "tokens", mark.alias("mark"))  # rows are a checkpoint: the numbers stay
+    # a token's page set by its size and 128 bits; at most (mean tokens of a page) / support tokens are frequent
+    pages = rows.select("page", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("freq"), F.expr("bit_xor(xxhash64(page))").alias("x"), F.expr("bit_xor(xxhash64(page, 1))").alias("y")
+    ).where(F.col("freq") >= wanted * n - 1e-9)
+    classes = cut(pages.groupBy("freq", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("alike")).select(F.get("alike", F.lit(0)).alias("token"), "alike", "freq"))
+    names = F.broadcast(classes.select(F.col("token").alias("item"), F.explode("alike").alias("token")))
+    items = rows.select("page", "mark", F.explode_outer("tokens").alias("token")).join(names, "token", "left")
+    baskets = items.groupBy("page", "mark").agg(F.collect_set("item").alias("items")).select(F.array_append("items", F.col("mark")).alias("items"))
+    sets = cut(FPGrowth(itemsCol="items", minSupport=wanted).fit(baskets).freqItemsets)
     marked = sets.where(F.array_contains("items", "=bad") | F.array_contains("items", "=good"))
     plain = sets.where(~F.array_contains("items", "=bad") & ~F.array_contains("items", "=good"))
     if longest is not None:
@@ -96,9 +107,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     part = rules.select(F.col("tokens").alias("part"), "verdict", F.col("share").alias("part_share"))
     covered = lacking.join(part, ["part", "verdict"]).where(F.col("part_share") >= F.col("share")).select("tokens", "verdict").distinct()
     rules = cut(rules.join(covered, ["tokens", "verdict"], "left_anti"))
-    single = sets.where((F.size("items") == 1)).select(F.get("items", F.lit(0)).alias("token"), F.col("freq"))
-    spread = rules.select("tokens", "verdict", "share", "support", F.explode("tokens").alias("token")).join(single, "token")
-    rules = cut(spread.groupBy("tokens", "verdict", "share", "support").agg(F.min(F.struct("freq", "token")).alias("least")).select("tokens", "verdict", "share", "support", F.col("least.token").alias("rarest")))
+    spread = rules.select("tokens", "verdict", "share", "support", F.explode("tokens").alias("token")).join(classes, "token")
+    members = F.transform(F.array_sort(F.collect_list(F.struct("token", "alike"))), lambda c: c["alike"])
+    named = spread.groupBy("tokens", "verdict", "share", "support").agg(F.min(F.struct("freq", "token")).alias("least"), members.alias("alike"))
+    rules = cut(named.select("tokens", "alike", "verdict", "share", "support", F.col("least.token").alias("rarest")))
     listed = rules.select("rarest", "verdict", F.col("tokens").alias("part"), F.col("share").alias("part_share"))
     longer = rules.where(F.size("tokens") > 2).select("tokens", "verdict", "share", F.explode("tokens").alias("rarest")).join(listed, ["rarest", "verdict"])
     is_part = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
@@ -108,7 +120,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
 
 def judge(pages: DataFrame, labels: DataFrame | None, page_id: str = "page_id", url: str = "url", rules=RULES, label_id: str = "doc_id", bad: Column | None = None, **options) -> DataFrame:
     """``page_id, host, path, rule, verdict, mined`` for each row of ``pages``: ``rule`` is the fixed rule that decided,
-    ``mined`` the tokens of the mined rule that fired on the others. ``labels`` has the ids of labelled pages; ``bad`` tells
+    ``mined`` the classes (by their first tokens) of the mined rule that fired on the others. ``labels`` has the ids of labelled pages; ``bad`` tells
     the bad ones (default: low quality or toxic)."""
     address = F.col(url)
     base = pages.select(F.col(page_id).alias("page_id"), address.alias("url"), host_of(address).alias("host"), path_of(address).alias("path"), tokens_of(address).alias("tokens"))
@@ -121,8 +133,9 @@ def judge(pages: DataFrame, labels: DataFrame | None, page_id: str = "page_id",
         mined = cut(mine(base.join(known, "page_id").select("tokens", "bad"), **options))
         urls = base.where(F.col("fixed").isNull()).select("url", "tokens").dropDuplicates(["url"])
         open_ = urls.select("url", "tokens", F.explode("tokens").alias("rarest"))
-        listed = mined.select("rarest", F.col("tokens").alias("needed"), "verdict", "share", "support")
-        fired = open_.join(listed, "rarest").where(F.size(F.array_except("needed", "tokens")) == 0)
+        index = F.explode(F.element_at("alike", F.array_position("tokens", F.col("rarest")).cast("int")))
+        listed = mined.select(index.alias("rarest"), F.col("tokens").alias("needed"), "alike", "verdict", "share", "support")
+        fired = open_.join(listed, "rarest").where(F.forall("alike", lambda c: F.arrays_overlap(c, F.col("tokens"))))
         order = F.struct(-F.col("share"), -F.col("support"), "needed", "verdict")
         fired = fired.groupBy("url").agg(F.min(order).alias("best")).select(F.col("url").alias("fired_url"), F.col("best.needed").alias("mined"), F.col("best.verdict").alias("mined_verdict"))
     if fired is None:

@@ -1,4 +1,4 @@
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -38,6 +38,23 @@ def brute_rules(baskets, support, least, confidence, lift, longest):
     return keep
 
 
+def single(rules):
+    """Rules over classes as rules over tokens, a token of each class."""
+    return {(tuple(sorted(some)), r.verdict): (r.share, r.support) for r in rules for some in product(*r.alike)}
+
+
+def named(baskets):
+    """Each token's class name: the first of the tokens that stand in the same baskets."""
+    places = {}
+    for k, tokens in enumerate(baskets):
+        for t in tokens:
+            places.setdefault(t, []).append(k)
+    first = {}
+    for t in sorted(places):
+        first.setdefault(tuple(places[t]), t)
+    return {t: first[tuple(p)] for t, p in places.items()}
+
+
 def labelled(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     spam = F.col("url").rlike("pills|spam|/en/[0-9]*5") & ~F.col("url").rlike("www")
@@ -50,12 +67,12 @@ def test_mined_rules_match_brute_force(spark):
     options = dict(support=0.02, least=3, confidence=0.7, lift=1.2, longest=3)
     rows = pages.select("page_id", urlrules.tokens_of(F.col("url")).alias("tokens")).join(labels, F.col("page_id") == F.col("doc_id")).select("tokens", (F.col("quality") == 0).alias("bad"))
     want = brute_rules([(r.tokens, int(r.bad)) for r in rows.collect()], **options)
-    got = {(tuple(r.tokens), r.verdict): (r.share, r.support) for r in urlrules.mine(rows, **options).collect()}
-    assert got == want and want
+    assert single(urlrules.mine(rows, **options).collect()) == want and want
+    name = named([r.tokens for r in rows.collect()])
     verdicts = urlrules.judge(pages, labels, **options).collect()
     tokens = {r.page_id: set(r.t) for r in pages.select("page_id", urlrules.tokens_of(F.col("url")).alias("t")).collect()}
     for r in verdicts:
-        fired = sorted((-s, -k, some, v) for (some, v), (s, k) in want.items() if set(some) <= tokens[r.page_id])
+        fired = sorted((-s, -k, tuple(sorted(name[t] for t in some)), v) for (some, v), (s, k) in want.items() if set(some) <= tokens[r.page_id])
         if r.rule is None:
             assert (r.mined, r.verdict) == ((" ".join(fired[0][2]), fired[0][3]) if fired else (None, "allow"))
         else:
@@ -127,5 +144,19 @@ def test_pruned_rules_of_any_length_match_brute_force(spark):
     _, _, rows = given_labels(spark, "/root/testdata/sf0.01")
     options = dict(support=0.05, least=4, confidence=0.3, lift=1.0, longest=20)
     want = brute_rules([(r.tokens, int(r.bad)) for r in rows.collect()], **options)
-    got = {(tuple(r.tokens), r.verdict): (r.share, r.support) for r in urlrules.mine(rows, **options | {"longest": None}).collect()}
+    got = single(urlrules.mine(rows, **options | {"longest": None}).collect())
     assert got == want and max(len(some) for some, _ in want) > 2
+
+
+def test_a_deep_site_is_one_item(spark):
+    """Forty tokens that always stand together: two to the fortieth combinations of them, one class. The judged pages hold any of them."""
+    site = [f"p:{k:02d}" for k in range(40)]
+    rows = [([*site, "q:x"], True)] * 30 + [([*site, "q:y"], False)] * 30 + [(["h:com", "q:x"], False)] * 300 + [(["h:org", "q:y"], False)] * 300
+    rules = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), confidence=0.9).collect()
+    block = [r for r in rules if r.verdict == "block"]
+    assert [(r.tokens, r.support, r.share) for r in block] == [(["p:00", "q:x"], 30, 1.0)] and block[0].alike == [site, ["q:x"]]
+    url = "https://" + ".".join(f"a{chr(97 + k)}-b{chr(97 + k)}" for k in range(8)) + ".net/" + "/".join(f"s{chr(97 + k)}" for k in range(12))
+    pages = [(k, url + ("/bad" if k % 2 else "/good")) for k in range(80)] + [(k, f"https://x{k % 7}.example.info/{k}") for k in range(80, 400)] + [(1000, "https://aa-ba.org2/sl/bad"), (1001, "https://other.org2/bad")]
+    labels = spark.createDataFrame([(k, 0 if k < 80 and k % 2 else 1, 0) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    verdicts = {r.page_id: r.verdict for r in urlrules.judge(spark.createDataFrame(pages, "page_id bigint, url string"), labels).collect()}
+    assert all(verdicts[k] == ("block" if k < 80 and k % 2 else "allow") for k in range(400)) and verdicts[1000] == "block"
