@@ -24,11 +24,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
-_OP6 = """
+_OP6 = r"""
 WITH t AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 d AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text)) AS o FROM t),
 l AS (SELECT o, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line FROM d),
-c AS (SELECT o, ln, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS n FROM l),
+c AS (SELECT o, ln, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
 u AS (SELECT *, sum(n) OVER (PARTITION BY o ORDER BY ln) AS upto FROM c),
 f AS (SELECT a.o, a.ln AS s, min(b.ln) AS e FROM u a JOIN u b ON a.o = b.o AND b.ln >= a.ln AND b.upto >= a.upto - a.n + 50 GROUP BY ALL
   UNION SELECT a.o, max(b.ln), a.ln FROM u a JOIN u b ON a.o = b.o AND b.ln <= a.ln AND b.upto - b.n <= a.upto - 50 GROUP BY a.o, a.ln),
