@@ -572,6 +572,13 @@ def lipschitz_pairs(spark, sf):
     return M.lipschitz_pairs(V.decisions(spark, sf), ["segment", "region"], "y_prob", ["priority", "branch_tier", "total_price"])
 
 
+@query
+def individual_fairness(spark, sf):
+    cols = ["total_price", "income", "skill_score"]
+    rows = S.median_impute(V.decisions(spark, sf).select("record_id", "region", "balance_sign", "y_prob", *cols), cols)
+    return M.individual_fairness(rows, ["region"], "record_id", "y_prob", cols)
+
+
 @query
 def fairness_summary(spark, sf):
     return M.fairness_summary(V.decisions(spark, sf), ATTRS4, TARGET, "y_pred")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -12,6 +13,7 @@ from evenhand.operators.labels import disparity, label_distribution
 from evenhand.plans import defaults
 from evenhand.plans.association import binary_tests
 from evenhand.plans.longform import group_rates, to_long
+from evenhand.plans.neighbours import nearest_in_other_groups
 from evenhand.plans.ordered import add_piece, cut_points, running_sums
 from evenhand.plans.quantiles import bin_edges, discretise
 from evenhand.sources.tables import written
@@ -171,6 +173,32 @@ def wasserstein_prob(df: DataFrame, attrs: Sequence[str], prob: str, concern: fl
     )
 
 
+def individual_fairness(df: DataFrame, attrs: Sequence[str], key: str, prob: str, features: Sequence[str]) -> DataFrame:
+    """How differently the most similar record of another group is scored: |score difference| / distance for every record and
+    its nearest record of another group (Euclidean over the features as they are; scale them before).
+
+    ``attribute, n, n_copies, max_copy_gap, mean_distance, mean_ratio, lipschitz``: records with a copy in another group have no ratio;
+    they are counted, with the largest difference among them. ``lipschitz`` is the largest ratio. Of neighbours at the same
+    distance the one with the smallest key counts. Records without a score, a feature, a key or a group are left out; where no two
+    groups are left, the attribute has no row.
+    """
+    score = as_double(F.col(prob))
+    complete = reduce(lambda a, b: a & b, [as_double(F.col(f)).isNotNull() for f in features], score.isNotNull() & F.col(key).isNotNull())
+    rows = written(df.filter(complete).select(key, *attrs, score.alias("_p"), *[as_double(F.col(f)).alias(f) for f in features]), "scored")
+    scores = rows.select(F.col(key).alias("neighbour"), F.col("_p").alias("_q"))
+    out = None
+    for a in attrs:
+        near = nearest_in_other_groups(rows, key, a, features).join(rows.select(key, "_p"), key).join(scores, "neighbour")
+        gap = F.abs(F.col("_p") - F.col("_q"))
+        ratio = F.when(F.col("distance") > 0, gap / F.col("distance"))
+        found = near.groupBy(F.lit(a).alias("attribute")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") == 0).alias("n_copies"), F.round(F.max(F.when(F.col("distance") == 0, gap)), 4).alias("max_copy_gap"),
+            F.round(F.avg("distance"), 4).alias("mean_distance"), F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.max(ratio), 6).alias("lipschitz"),
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def lipschitz_pairs(df: DataFrame, attrs: Sequence[str], prob: str, features: Sequence[str], max_discrete: int = 5) -> DataFrame:
     """Score differences of similar records in different groups.
 

@@ -53,31 +53,22 @@ def smote_oversample(
     every = median_impute(df.select(key, by, *[as_double(F.col(f)).alias(f) for f in features]), features)
     every = written(every, "smote")
     rows = every.filter(F.col(by).isNotNull() & F.col(key).isNotNull())
-    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    out = every.withColumn("synthetic", F.lit(False))
-    if not sizes:
-        return out
-    top = max(sizes.values())
-    for value, n in sorted(sizes.items(), key=lambda kv: str(kv[0])):
-        need = top - n
-        if need == 0 or n <= 1:
-            continue
-        own = rows.filter(F.col(by) == F.lit(value))
-        near = nearest(own, key, features, min(k, n - 1))
-        marked = first_by_hash(own, key, by, lambda _: F.lit(need % n), f"smote-{seed}")
-        copies = marked.withColumn("_copies", F.lit(need // n) + F.col("_first").cast("int")).filter("_copies > 0")
-        tag = F.concat_ws("-", F.col(key).cast("string"), F.col("_c").cast("string"))
-        picked = copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn(
-            "rank", (F.floor(uniform(tag, f"nb{seed}") * min(k, n - 1)) + 1).cast("int")
-        ).withColumn("_u", uniform(tag, f"u{seed}"))
-        other = own.select(F.col(key).alias("neighbour"), *[F.col(f).alias("n:" + f) for f in features])
-        joined = picked.join(near.select(key, "rank", "neighbour"), [key, "rank"]).join(other, "neighbour")
-        new = joined.select(
-            F.lit(None).cast(dict(rows.dtypes)[key]).alias(key), by,
-            *[(F.col(f) + F.col("_u") * (F.col("n:" + f) - F.col(f))).alias(f) for f in features], F.lit(True).alias("synthetic"),
-        )
-        out = out.unionByName(new)
-    return out
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.agg(F.max("_n")).first()[0]
+    near = nearest(rows, key, features, k, by=by)
+    marked = first_by_hash(rows, key, by, lambda n: (F.lit(top) - n) % n, f"smote-{seed}").join(sizes, by).filter("_n > 1")
+    copies = marked.withColumn("_copies", F.floor((F.lit(top) - F.col("_n")) / F.col("_n")).cast("int") + F.col("_first").cast("int")).filter("_copies > 0")
+    tag = F.concat_ws("-", F.col(key).cast("string"), F.col("_c").cast("string"))
+    picked = copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn(
+        "rank", (F.floor(uniform(tag, f"nb{seed}") * F.least(F.lit(k), F.col("_n") - 1)) + 1).cast("int")
+    ).withColumn("_u", uniform(tag, f"u{seed}"))
+    other = rows.select(F.col(key).alias("neighbour"), F.col(by).alias("_by"), *[F.col(f).alias("n:" + f) for f in features])
+    joined = picked.join(near.select(key, "rank", "neighbour"), [key, "rank"]).join(other, "neighbour").filter(F.col("_by") == F.col(by))
+    new = joined.select(
+        F.lit(None).cast(dict(rows.dtypes)[key]).alias(key), by,
+        *[(F.col(f) + F.col("_u") * (F.col("n:" + f) - F.col(f))).alias(f) for f in features], F.lit(True).alias("synthetic"),
+    )
+    return every.withColumn("synthetic", F.lit(False)).unionByName(new)
 
 
 def group_thresholds(df: DataFrame, group: str, target: str, prob: str, grid: int | None = 100) -> DataFrame:

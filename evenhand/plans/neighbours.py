@@ -1,58 +1,80 @@
 """Exact k nearest neighbours by cutting space into cells.
 
-The axis splits come from a bounded sample and only balance the work. Every distinct vector finds
-its neighbours in its own cell first, which bounds how far they can be, and is then sent to those
-other cells its search ball reaches. Only the best k per vector and cell leave a cell. Copies are
-collapsed before, so any number of identical rows is one vector with its k + 1 smallest keys.
+Each tree (one for each class or group, all in the same jobs) is grown in rounds: every cell of more than ``_CELL_ROWS`` vectors
+is cut into up to 2 ** ``_BITS`` cells, by halving the widest axis of a bounded sample of its own vectors, until all fit. So a
+cell's size is bounded whatever the data, and the tree is a table with a row for each cell that was cut: points and search balls go
+down it by joins on their cell. A vector finds neighbours in its own cell first, which bounds how far they can be, and is
+then sent to those other cells its search ball reaches. Only the best k per vector and cell leave a cell. Copies are
+collapsed before, so any number of identical rows is one vector with its smallest keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from evenhand.functions.hashing import uniform
 from evenhand.sources.tables import written
 
 _CELL_ROWS = 2000
-_SAMPLE = 100000
+_SAMPLE = 4096  # vectors (about) that decide how a cell is cut
+_BITS = 6
 _BLOCK = 512
 
+_DOWN = "aggregate(sequence(1, depth), 0, (n, i) -> 2 * n + 1 + cast(get(x, get(dims, n)) > get(cuts, n) AS int)) - shiftleft(1, depth) + 1"
+_BALL = """transform(aggregate(sequence(1, depth), array(0), (ns, i) -> flatten(transform(ns, n -> filter(array(
+    if(get(x, get(dims, n)) - radius <= get(cuts, n), 2 * n + 1, -1), if(get(x, get(dims, n)) + radius > get(cuts, n), 2 * n + 2, -1)), m -> m >= 0)))),
+    m -> m - shiftleft(1, depth) + 1)"""
 
-def _splits(sample: np.ndarray, cells: int) -> list[tuple[int, float]]:
-    """Complete binary tree of (dimension, split) in heap order; each level halves the widest axis."""
-    depth = int(np.ceil(np.log2(max(cells, 1))))
-    nodes: list[tuple[int, float]] = []
-    level = [sample]
+
+def _cut(sample: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
+    """Complete binary tree of axes and cuts in heap order; each level halves the widest axis, with vectors on both sides."""
+    dims, cuts, level = [], [], [sample]
     for _ in range(depth):
         below = []
         for part in level:
+            dim, cut = 0, 0.0
             if len(part):
                 dim = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-                cut = float(np.median(part[:, dim]))
-            else:
-                dim, cut = 0, 0.0
-            nodes.append((dim, cut))
+                values = np.sort(part[:, dim])
+                cut = values[(len(values) - 1) // 2]
+                if cut == values[-1]:  # the largest value is met more often than not: it gets a side of its own
+                    cut = values[max(np.searchsorted(values, cut) - 1, 0)]
+            dims.append(dim)
+            cuts.append(float(cut))
             below += [part[part[:, dim] <= cut], part[part[:, dim] > cut]] if len(part) else [part, part]
         level = below
-    return nodes
+    return dims, cuts
+
+
+def _grown(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``points`` (``tree, vid, x, ...``, distinct vectors) with their ``cell``, and the rounds' cuts ``tree, cell, depth, dims, cuts``."""
+    placed, rounds = points.withColumn("cell", F.lit(0).cast("bigint")), []
 
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth = int(min(_BITS, max(1, np.ceil(np.log2(pdf["n"].iloc[0] / _CELL_ROWS)))))
+        dims, cuts = _cut(np.array(pdf["x"].tolist()), depth)
+        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "depth": [depth], "dims": [dims], "cuts": [cuts]})
 
-def _visit(x: np.ndarray, radius: np.ndarray, nodes: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) pairs of all cells that the balls around x reach."""
-    rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-    if not nodes:
-        return rows, at
-    dims, cuts = np.array([d for d, _ in nodes]), np.array([c for _, c in nodes])
-    inner = len(nodes)
-    while len(at) and at[0] < inner:  # all pairs stand on the same level
-        value, r = x[rows, dims[at]], radius[rows]
-        left, right = value - r <= cuts[at], value + r > cuts[at]
-        rows = np.concatenate([rows[left], rows[right]])
-        at = np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
-    return rows, at - inner
+    while True:
+        large = placed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _CELL_ROWS)
+        some = placed.join(large, ["tree", "cell"]).filter(uniform(F.col("vid"), f"cut{len(rounds)}") * F.col("n") < _SAMPLE).select("tree", "cell", "x", "n")
+        cuts = written(some.groupBy("tree", "cell").applyInPandas(cut, "tree string, cell bigint, depth int, dims array<int>, cuts array<double>"), "cuts")
+        if not cuts.limit(1).count():
+            return placed, rounds
+        rounds.append(cuts)
+        placed = written(_moved(placed, cuts, F.array(F.expr(_DOWN))), "placed")
+
+
+def _moved(rows: DataFrame, cuts: DataFrame, children: Column) -> DataFrame:
+    """Rows (``tree, cell, x``) one round down: in each of the ``children`` of their cell, or where they are if it was not cut."""
+    joined = rows.join(cuts, ["tree", "cell"], "left")
+    below = F.transform(children, lambda c: F.col("cell") * (1 << _BITS) + c + 1)
+    to = F.explode(F.when(F.col("depth").isNull(), F.array("cell")).otherwise(below))
+    return joined.withColumn("_to", to).select(*[F.col("_to").alias(c) if c == "cell" else c for c in rows.columns])
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -63,85 +85,96 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
-    """``key, neighbour, distance, rank``: the k nearest other rows (ties by key)."""
-    want = k + 1  # a vector finds itself or a copy first
-    rows = df.select(F.col(key).alias("_k"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).withColumn(
-        "vid", F.md5(F.array_join(F.transform("x", lambda v: v.cast("string")), ","))
-    )
-    rows = written(rows, "points")
-    few = rows.withColumn("_r", F.row_number().over(W.partitionBy("vid").orderBy("_k"))).filter(F.col("_r") <= want)
-    vectors = few.groupBy("vid").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("_k")).alias("keys"))
-    vectors = written(vectors, "vectors")
-    count = vectors.count()
-    cell_rows = max(_CELL_ROWS, 4 * want)  # a cell has to hold more rows than neighbours are wanted
-    sample = np.array([r["x"] for r in vectors.orderBy("vid").select("x").limit(min(_SAMPLE, 50 * (count // cell_rows + 1))).collect()])
-    cells = min(-(-count // cell_rows), max(len(sample) // 8, 1))
-    nodes = _splits(sample, cells) if count else []
-    key_type = dict(df.dtypes)[key]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf["x"].tolist())
-                _, at = _visit_one(x)
-                yield pdf.assign(cell=at)
-
-    def _visit_one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, at = _visit(x, np.zeros(len(x)), nodes)
-        order = np.argsort(row, kind="stable")
-        return row[order], at[order]
-
-    placed = written(vectors.mapInPandas(assign, f"vid string, x array<double>, keys array<{key_type}>, cell bigint"), "placed")
-
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, copies = np.array(pdf["x"].tolist()), pdf["keys"].map(len).to_numpy()
-        radius = np.full(len(x), np.inf)
-        for start in range(0, len(x), _BLOCK):
-            dist = _distances(x[start : start + _BLOCK], x)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :want]
-            have = np.cumsum(copies[order], axis=1) >= want
-            pos = have.argmax(axis=1)
-            found = np.take_along_axis(dist, np.take_along_axis(order, pos[:, None], 1), 1)[:, 0]
-            radius[start : start + _BLOCK] = np.where(have.any(axis=1), found, np.inf)
-        return pd.DataFrame({"vid": pdf["vid"], "x": pdf["x"], "radius": radius})
-
-    balls = placed.groupBy("cell").applyInPandas(reach, "vid string, x array<double>, radius double")
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf["x"].tolist())
-                row, at = _visit(x, pdf["radius"].to_numpy() * (1 + 1e-9), nodes)
-                yield pdf.iloc[row].assign(cell=at)
-
-    asked = written(balls.mapInPandas(send, "vid string, x array<double>, radius double, cell bigint"), "asked")
-    # a cell that many balls reach is answered by several tasks, each with a copy of the cell
-    load = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4.0 * _CELL_ROWS)).cast("int").alias("parts"))
-    questions = asked.join(load, "cell").withColumn("part", F.pmod(F.hash("vid"), F.col("parts"))).drop("parts")
-    copies = placed.join(load, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def answer(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"vid": [], "neighbour": [], "distance": []}
-        if len(q) and len(c):
-            x, qx = np.array(c["x"].tolist()), np.array(q["x"].tolist())
-            keys, limit, vids = c["keys"].tolist(), q["radius"].to_numpy() * (1 + 1e-9), q["vid"].tolist()
+def _met(questions: DataFrame, points: DataFrame, answer, schema: str) -> DataFrame:
+    """``answer(questions, points)`` of every cell; a cell with many questions is answered by several tasks, each with a copy of
+    its points."""
+    load = questions.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / (4.0 * _CELL_ROWS)).cast("int").alias("parts"))
+    asked = questions.join(load, ["tree", "cell"]).withColumn("part", F.pmod(F.hash("qid"), F.col("parts"))).drop("parts")
+    copies = points.join(load, ["tree", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    at = ["tree", "cell", "part"]
+    return asked.groupBy(*at).cogroup(copies.groupBy(*at)).applyInPandas(answer, schema)
+
+
+def search(points: DataFrame, questions: DataFrame, want: int, key_type: str) -> DataFrame:
+    """``qid, neighbour, distance``: candidates among which are the ``want`` nearest keys of every question (by distance, then key).
+
+    ``points``: distinct vectors ``tree, vid, x, keys`` with their ``want`` smallest keys; ``questions``: ``tree, qid, x`` (``qid``
+    names a vector; it may ask several trees)."""
+    placed, rounds = _grown(points)
+    placed = placed.select(*[F.col(c).alias(c) for c in ("tree", "cell", "x", "keys")])  # columns of their own: questions may be the same table
+    questions = questions.select("tree", "qid", "x", F.lit(0).cast("bigint").alias("cell"))
+    at_home = questions
+    for cuts in rounds:
+        at_home = _moved(at_home, cuts, F.array(F.expr(_DOWN)))
+
+    def reach(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        radius = np.full(len(q), np.inf)
+        if len(q) and len(p):
+            x, qx, copies = np.array(p["x"].tolist()), np.array(q["x"].tolist()), p["keys"].map(len).to_numpy()
             for start in range(0, len(qx), _BLOCK):
                 dist = _distances(qx[start : start + _BLOCK], x)
-                for i in range(len(dist)):
-                    near = np.nonzero(dist[i] <= limit[start + i])[0]
-                    best = sorted((dist[i][j], n) for j in near for n in keys[j])[:want]
-                    out["vid"] += [vids[start + i]] * len(best)
-                    out["distance"] += [b[0] for b in best]
-                    out["neighbour"] += [b[1] for b in best]
-        return pd.DataFrame(out)
-
-    found = questions.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInPandas(
-        answer, f"vid string, neighbour {key_type}, distance double"
-    )
-    best = found.withColumn("_r", F.row_number().over(W.partitionBy("vid").orderBy("distance", "neighbour"))).filter(F.col("_r") <= want)
-    lists = best.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+                order = np.argsort(dist, axis=1, kind="stable")[:, :want]
+                have = np.cumsum(copies[order], axis=1) >= want
+                found = np.take_along_axis(dist, np.take_along_axis(order, have.argmax(axis=1)[:, None], 1), 1)[:, 0]
+                radius[start : start + _BLOCK] = np.where(have.any(axis=1), found, np.inf)
+        return pd.DataFrame({"tree": q["tree"], "qid": q["qid"], "x": q["x"], "radius": radius * (1 + 1e-9)})
+
+    balls = _met(at_home, placed, reach, "tree string, qid string, x array<double>, radius double")
+    balls = written(balls.withColumn("cell", F.lit(0).cast("bigint")), "balls")
+    for cuts in rounds:
+        balls = _moved(balls, cuts, F.expr(_BALL))
+    balls = written(balls, "asked") if rounds else balls
+
+    def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(p):
+            x, qx, limit = np.array(p["x"].tolist()), np.array(q["x"].tolist()), q["radius"].to_numpy()
+            keys, names = p["keys"].to_numpy(), q["qid"].to_numpy()
+            for start in range(0, len(qx), _BLOCK):
+                dist = _distances(qx[start : start + _BLOCK], x)
+                if len(x) > want:  # all that tie with the last one wanted stay
+                    bound = np.minimum(np.partition(dist, want - 1, axis=1)[:, want - 1], limit[start : start + _BLOCK])
+                else:
+                    bound = limit[start : start + _BLOCK]
+                row, col = np.nonzero(dist <= bound[:, None])
+                out.append(pd.DataFrame({"qid": names[start + row], "keys": keys[col], "distance": dist[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "keys": [], "distance": []})
+
+    found = _met(balls, placed, answer, f"qid string, keys array<{key_type}>, distance double")
+    return found.select("qid", F.explode("keys").alias("neighbour"), "distance")
+
+
+def _points(df: DataFrame, tree: Column, key: str, features: Sequence[str], want: int) -> tuple[DataFrame, DataFrame]:
+    """Written rows ``tree, _k, x, vid`` and their distinct vectors ``tree, vid, x, keys``."""
+    rows = df.select(tree.cast("string").alias("tree"), F.col(key).alias("_k"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    name = F.md5(F.concat_ws("|", F.col("tree"), F.array_join(F.transform("x", lambda v: v.cast("string")), ",")))
+    rows = written(rows.filter(F.col("tree").isNotNull()).withColumn("vid", name), "points")
+    few = rows.withColumn("_r", F.row_number().over(W.partitionBy("tree", "vid").orderBy("_k"))).filter(F.col("_r") <= want)  # limited before the shuffle
+    vectors = few.groupBy("tree", "vid").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("_k")).alias("keys"))
+    return rows, written(vectors, "vectors")
+
+
+def nearest(df: DataFrame, key: str, features: Sequence[str], k: int, by: str | None = None) -> DataFrame:
+    """``key, neighbour, distance, rank``: the k nearest other rows (ties by key); with ``by`` among the rows of the same class,
+    for all classes at once (rows without a class are left out)."""
+    want, key_type = k + 1, dict(df.dtypes)[key]  # a vector finds itself or a copy first
+    rows, vectors = _points(df, F.col(by) if by else F.lit(""), key, features, want)
+    found = search(vectors, vectors.select("tree", F.col("vid").alias("qid"), "x"), want, key_type)
+    best = found.withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy("distance", "neighbour"))).filter(F.col("_r") <= want)
+    lists = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
     others = F.slice(F.filter("near", lambda s: s["neighbour"] != F.col("_k")), 1, k)
-    return rows.join(lists, "vid").select(F.col("_k").alias(key), F.posexplode(others).alias("pos", "s")).select(
+    return rows.join(lists, F.col("vid") == F.col("qid")).select(F.col("_k").alias(key), F.posexplode(others).alias("pos", "s")).select(
         key, F.col("s.neighbour").alias("neighbour"), F.col("s.distance").alias("distance"), (F.col("pos") + 1).alias("rank")
     )
+
+
+def nearest_in_other_groups(df: DataFrame, key: str, group: str, features: Sequence[str]) -> DataFrame:
+    """``key, grp, neighbour, distance``: the nearest record of another group (the smallest key on ties). Every group is a tree,
+    and a vector asks the trees of all other groups; the groups' names come to the driver."""
+    rows, vectors = _points(df, F.col(group), key, features, 1)
+    names = [r["tree"] for r in vectors.select("tree").distinct().collect()]
+    others = F.explode(F.array_remove(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>"), F.col("own")))
+    asked = vectors.select(F.col("tree").alias("own"), F.col("vid").alias("qid"), "x").select(others.alias("tree"), "qid", "x")
+    found = search(vectors, asked, 1, dict(df.dtypes)[key])
+    best = found.groupBy("qid").agg(F.min(F.struct("distance", "neighbour")).alias("s"))
+    return rows.join(best, F.col("vid") == F.col("qid")).select(F.col("_k").alias(key), F.col("tree").alias("grp"), F.col("s.neighbour").alias("neighbour"), F.col("s.distance").alias("distance"))

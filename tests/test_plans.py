@@ -170,6 +170,51 @@ def test_nearest_is_exact(spark, monkeypatch, cell_rows):
         assert np.allclose(part["distance"], dist[i, want])
 
 
+@pytest.mark.parametrize("cell_rows", [12, 2000])
+def test_nearest_by_class(spark, monkeypatch, cell_rows):
+    """All classes in one search: ties, a discrete axis, a class of one row, rows without a class."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", cell_rows)
+    monkeypatch.setattr(neighbours, "_BITS", 2)
+    rng = np.random.default_rng(6)
+    n = 500
+    pdf = pd.DataFrame({"id": np.arange(n), "c": rng.choice(["p", "q", None], n, p=[0.7, 0.2, 0.1]), "a": rng.integers(0, 3, n).astype(float), "b": rng.integers(0, 40, n) / 4})
+    pdf.loc[0, "c"] = "alone"
+    got = neighbours.nearest(spark.createDataFrame(pdf).repartition(5), "id", ["a", "b"], 3, by="c").toPandas().sort_values(["id", "rank"])
+    want = []
+    for i, r in pdf.iterrows():
+        own = pdf[(pdf.c == r.c) & (pdf.id != i)] if r.c else pdf[:0]
+        d = np.sqrt((own.a - r.a) * (own.a - r.a) + (own.b - r.b) * (own.b - r.b))
+        want += [(i, j, x, k + 1) for k, (x, j) in enumerate(sorted(zip(d, own.id))[:3])]
+    assert [tuple(r) for r in got[["id", "neighbour", "distance", "rank"]].itertuples(index=False)] == want
+
+
+@pytest.mark.parametrize("cell_rows", [9, 2000])
+def test_nearest_in_other_groups(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "g": rng.choice(["x", "y", "z", None], n, p=[0.6, 0.2, 0.1, 0.1]), "a": np.where(rng.random(n) < 0.3, 1.0, rng.normal(size=n).round(2)), "b": rng.integers(0, 4, n).astype(float)})
+    got = neighbours.nearest_in_other_groups(spark.createDataFrame(pdf), "id", "g", ["a", "b"]).toPandas().sort_values("id")
+    want = []
+    for i, r in pdf[pdf.g.notna()].iterrows():
+        own = pdf[pdf.g.notna() & (pdf.g != r.g)]
+        d = np.sqrt((own.a - r.a) * (own.a - r.a) + (own.b - r.b) * (own.b - r.b))
+        want.append((i, r.g, *min(zip(d, own.id))[::-1]))
+    assert [tuple(r) for r in got[["id", "grp", "neighbour", "distance"]].itertuples(index=False)] == want
+    assert neighbours.nearest_in_other_groups(spark.createDataFrame(pdf[pdf.g == "x"]), "id", "g", ["a"]).count() == 0
+
+
+def test_cells_are_bounded(spark, monkeypatch):
+    """Skewed and discrete vectors: every cell is cut until it fits, and no vector is lost."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = np.unique(np.vstack([rng.lognormal(0, 3, (3000, 2)), np.column_stack([np.ones(2000), rng.random(2000)]), rng.integers(0, 30, (2000, 2))]), axis=0)
+    df = spark.createDataFrame([("t", str(i), v.tolist()) for i, v in enumerate(x)], "tree string, vid string, x array<double>")
+    placed, rounds = neighbours._grown(df)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= 50 and len(rounds) > 1
+
+
 def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "id long, a double")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, "id", ["a"], 5).collect()}
