@@ -30,14 +30,57 @@ from evenhand.llm.imatch import _WORD_BYTES
 
 # Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label and template of the notices the method knows.
+# Public licence wordings, as words; owners are replaceable, numbering and some asides optional.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>>
+shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall <<var 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+arising from out of or in connection with the software or the use or other dealings in the software"""
+_BSD_HEAD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of
+conditions and the following disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright
+notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_NAMES = """<<optional>>3<</optional>> neither the name of <<var 1-12>> nor the names of <<var 1-3>> contributors may be used to endorse or
+promote products derived from this software without specific prior written permission"""
+_BSD_TAIL = """this software is provided by <<var 1-12>> as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 1-12>> be liable for any
+direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+possibility of such damage"""
+_ISC = """permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby
+granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+<<var 1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no
+event shall <<var 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from
+loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with
+the use or performance of this software"""
+_APACHE_HEADER = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at <<var 1-1>> www apache org licenses license 2 0 unless required by
+applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under
+the license"""
+_GPL_HEADER = """free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free
+software foundation either version {} of the license or at your option any later version <<var 1-4>> is distributed in the hope that it
+will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see
+the gnu general public license for more details"""
+#: Label and template of what the method knows: whole licences, the headers that stand for longer ones, one-line notices.
 TEMPLATES = (
+    ("mit-text", _MIT),
+    ("bsd-2-clause-text", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("bsd-3-clause-text", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
+    ("isc-text", _ISC),
+    ("apache-2.0-header", _APACHE_HEADER),
+    ("gpl-2.0-or-later-header", _GPL_HEADER.format(2)),
+    ("gpl-3.0-or-later-header", _GPL_HEADER.format(3)),
     ("apache-2.0", "<<optional>>this <<var 1-2>> is<</optional>> licensed under <<var 0-3>> the apache license <<optional>>version<</optional>> 2 0"),
     ("cc-by-nc-4.0", "<<optional>>this <<var 1-2>> is<</optional>> licensed under <<var 0-4>> cc by nc <<optional>>version<</optional>> 4 0"),
     ("gpl-3.0", "<<optional>>this <<var 1-2>> is<</optional>> licensed under <<var 0-3>> the gnu general public license <<optional>>version<</optional>> 3"),
     ("mit-notice", "<<optional>>this <<var 1-2>> is<</optional>> released under <<var 0-3>> the mit license"),
     ("mit-notice", "<<optional>>this <<var 1-2>> is<</optional>> licensed under <<var 0-3>> the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<var 0-4>> to deal in the software without restriction"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<var 0-4>> to deal in the software without restriction"),
     ("all-rights-reserved", "<<optional>>copyright <<var 1-8>><</optional>> all rights reserved"),
 )
 

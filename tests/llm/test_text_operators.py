@@ -123,6 +123,49 @@ def test_templates_accept_exact_mandatory_wording():
         assert bool(scan(text, t)) == bool(re.search(licenses.as_regex(t), f" {text} "))
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+copy of the License at https://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the
+License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+
+
+def filled(template, owner):
+    """A text of the template: optional regions dropped, replaceable ones filled."""
+    return re.sub(r"<<var \d+-\d+>>", owner, re.sub(r"<<optional>>.*?<</optional>>", "", template))
+
+
+def test_whole_licences_match_word_by_word():
+    labels = lambda text: {x for _, _, x in licenses.scan(text.encode()).notices}
+    assert labels(MIT) == {"mit-text", "mit-grant"} and labels("x " * 5000 + MIT + " y" * 5000) == {"mit-text", "mit-grant"}
+    assert labels(MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "Example Corp. of Somewhere")) == {"mit-text", "mit-grant"}
+    assert labels(APACHE) == {"apache-2.0-header", "apache-2.0"}
+    for label, template in licenses.TEMPLATES:
+        text = filled(template, "Example")
+        assert label in labels(text), label
+        if not label.endswith(("-text", "-header")):
+            continue
+        words = text.split()
+        for k in (*range(0, len(words), 7), len(words) - 1):  # a changed, a missing, a further word anywhere is refused
+            if words[k] != "Example" and "Example" not in words[max(k - 1, 0) : k + 2]:
+                for other in ([*words[:k], "changed", *words[k + 1 :]], [*words[:k], *words[k + 1 :]]):
+                    assert label not in labels(" ".join(other)), (label, k)
+    assert "bsd-2-clause-text" not in labels(filled(dict(licenses.TEMPLATES)["bsd-3-clause-text"], "Example"))
+
+
 def test_license_findings(spark):
     docs = spark.createDataFrame([(1, "mit license MIT-License", "c"), (2, None, "c"), (3, "", "c"), (4, "x " * 60_000 + "Licensed under CC BY-NC 4.0.", "c"), (4, "é apache license", "c")], "doc_id bigint, text string, base string")
     got = [tuple(r) for r in licenses.digest(licenses.find_licenses(docs)).orderBy("doc_id", "n_words").collect()]
