@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.hashing import uniform
 from evenhand.functions.numeric import as_double, binary
+from evenhand.functions.programme import best_mixture
 from evenhand.operators.cleaning import median_impute
 from evenhand.operators.metrics import demographic_parity, disparate_impact, equalized_odds
 from evenhand.operators.models import fit_classifier, score_table
@@ -255,10 +256,11 @@ class ConstrainedTraining:
     """Least error subject to demographic parity (reductions approach, Agarwal et al. 2018), for any
     strength of the constraint, on one written train table.
 
-    The pool of hypotheses starts with an unconstrained model and the two constants. :meth:`solve` plays the
-    zero-sum game of mixture against multipliers on the pool (numpy on hypotheses x groups numbers); one
-    distributed cost-sensitive fit and one grouped aggregation then look for a hypothesis that beats the pool.
-    It joins the pool until the duality gap is within ``tolerance``. Hypotheses serve all strengths.
+    The pool of hypotheses starts with an unconstrained model and the two constants. :meth:`solve` finds the best mixture of
+    the pool and the constraints' prices exactly (a linear programme on hypotheses x groups numbers); one distributed
+    cost-sensitive fit at these prices and one grouped aggregation then look for a hypothesis that beats the pool, which gives
+    a lower bound of what any mixture reaches, as far as the learner finds it. Hypotheses join the pool until mixture and bound
+    are within ``tolerance`` of each other, and serve all strengths.
 
     ``learner`` makes an estimator that accepts weights, given ``featuresCol, labelCol, weightCol``; by
     default a logistic regression. Only multipliers, group rates and models come to the driver.
@@ -276,6 +278,7 @@ class ConstrainedTraining:
         self.rules: list = []
         self.rates, self.errors = np.zeros((0, len(self.names))), np.zeros(0)
         self.fits = 0
+        self.priced: list[tuple[np.ndarray, float, float]] = []  # net prices, their total, the least value found at them
         for bias in (-1.0, 1.0):
             self._add((np.zeros(len(self.features)), bias))
         self._add(self._fit(np.zeros(len(self.names))))
@@ -302,46 +305,45 @@ class ConstrainedTraining:
         self.rates = np.vstack([self.rates, [found[g]["rate"] for g in self.names]])
         self.errors = np.append(self.errors, sum(found[g]["err"] * q for g, q in zip(self.names, self.p)))
 
-    def _solve(self, epsilon: float, bound: float, steps: int = 6000) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the pool and mean multipliers of the game on the pool, over the last half of the play."""
+    def _solve(self, epsilon: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """The best weights of the pool and the prices of the constraints."""
+        return best_mixture(self.errors, self.rates - (self.rates @ self.p)[:, None], epsilon, bound)
+
+    def _values(self, prices: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each hypothesis's error with the prices of what it violates, and the net price of each group's rate."""
+        half = len(self.names)
+        net = prices[:half] - prices[half:]
+        return self.errors + (self.rates - (self.rates @ self.p)[:, None]) @ net - prices.sum() * epsilon, net
+
+    def _known_bound(self, epsilon: float) -> float:
+        """What earlier searches, for any strength, say the best mixture costs at least: a search's prices bound all strengths."""
         over = self.rates - (self.rates @ self.p)[:, None]
-        slack = np.hstack([over - epsilon, -over - epsilon])
-        theta, weights, mean = np.zeros(slack.shape[1]), np.zeros(len(self.errors)), np.zeros(slack.shape[1])
-        eta = 2.0 / np.sqrt(steps)
-        for step in range(steps):
-            top = max(theta.max(), 0.0)
-            lam = bound * np.exp(theta - top) / (np.exp(-top) + np.exp(theta - top).sum())
-            best = int(np.argmin(self.errors + slack @ lam))
-            if 2 * step >= steps:
-                weights[best] += 1.0
-                mean += lam
-            theta += eta * slack[best] * np.sqrt(bound)
-        return weights / weights.sum(), mean / weights.sum()
+        return max((min(value, float((self.errors + over @ net).min())) - total * epsilon for net, total, value in self.priced), default=-np.inf)
 
     def solve(self, epsilon: float, bound: float = 10.0, tolerance: float = 0.005, rounds: int = 12) -> tuple[Mixture, dict]:
         """The mixture whose group rates differ from the overall rate by at most ``epsilon``, and what is known of it on
-        the train rows: ``gap`` (that difference), ``error``, ``duality_gap`` (reported also where ``rounds`` ended the
-        search)."""
+        the train rows: ``gap`` (that difference), ``error``, ``duality_gap`` and ``solved``, whether that is within
+        ``tolerance`` (not where ``rounds`` ended the search)."""
+        low = self._known_bound(epsilon)
         for round_ in range(rounds + 1):
-            weights, lam = self._solve(epsilon, bound)
+            weights, prices = self._solve(epsilon, bound)
             weights = self._within(weights, epsilon)
             rate = weights @ self.rates
             over = rate - float(rate @ self.p)
-            slack = np.concatenate([over, -over]) - epsilon
-            primal = float(weights @ self.errors) + bound * max(0.0, float(slack.max()))
-            half = len(self.names)
-            net = lam[:half] - lam[half:]
-            value = self.errors + (self.rates - (self.rates @ self.p)[:, None]) @ net - lam.sum() * epsilon
-            low = float(value.min())
-            if round_ == rounds or primal - low <= 0:
+            primal = float(weights @ self.errors)
+            if round_ == rounds or primal - low <= tolerance:
                 break
+            values, net = self._values(prices, epsilon)
+            best = float(values.min())
             self._add(self._fit(net))
-            new = float(self.errors[-1] + (self.rates[-1] - self.rates[-1] @ self.p) @ net - lam.sum() * epsilon)
-            weights = np.append(weights, 0.0)
-            if new >= low - 1e-9 or primal - min(low, new) <= tolerance:
-                low = min(low, new)
+            new = float(self._values(prices, epsilon)[0][-1])
+            low = max(low, min(best, new))
+            self.priced.append((net, float(prices.sum()), min(best, new) + float(prices.sum()) * epsilon))
+            if new >= best - 1e-9:  # nothing beats the pool: its best mixture is the best there is
+                weights = np.append(weights, 0.0)
                 break
-        stats = {"gap": float(np.abs(over).max()), "error": float(weights @ self.errors), "duality_gap": max(0.0, primal - low)}
+        gap = max(0.0, primal - low)
+        stats = {"gap": float(np.abs(over).max()), "error": primal, "duality_gap": gap, "solved": gap <= tolerance}
         return Mixture(self.features, self.rules, weights), stats
 
     def _within(self, weights: np.ndarray, epsilon: float) -> np.ndarray:
@@ -358,20 +360,23 @@ class ConstrainedTraining:
 
 
 def fair_training(
-    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 12, learner=None
+    train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, epsilon: float = 0.01, rounds: int = 12, learner=None,
+    tolerance: float = 0.005,
 ) -> DataFrame:
-    """Test rows scored by the constrained mixture: ``y_prob`` is its probability of selecting,
-    ``y_pred`` the majority decision. Null features count as the train rows' median."""
+    """Test rows scored by the constrained mixture: ``y_prob`` is its probability of selecting, ``y_pred`` the majority
+    decision. ``duality_gap`` and ``solved`` say how far the mixture may be from the best one and whether that is within
+    ``tolerance``; ``rounds`` may end the search before. Null features count as the train rows' median."""
     test = median_impute(test, features, fit_on=train)
     train = median_impute(train, features)
-    mixture, _ = ConstrainedTraining(train, features, target, group, learner).solve(epsilon, rounds=rounds)
-    return mixture.score(test).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+    mixture, stats = ConstrainedTraining(train, features, target, group, learner).solve(epsilon, tolerance=tolerance, rounds=rounds)
+    known = {"duality_gap": F.lit(stats["duality_gap"]), "solved": F.lit(stats["solved"])}
+    return mixture.score(test).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")).withColumns(known)
 
 
 def pareto_sweep(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str, group: str, models: int = defaults.PARETO_MODELS, rounds: int = 6, learner=None
 ) -> DataFrame:
-    """``epsilon, accuracy, dp_gap, train_gap, duality_gap`` of ``models`` constraint strengths from 0.01 to 0.5.
+    """``epsilon, accuracy, dp_gap, train_gap, duality_gap, solved`` of ``models`` constraint strengths from 0.01 to 0.5.
 
     Every strength is trained to its own duality gap on one train table; hypotheses found for one strength are
     known to the next. Accuracy and gap of the mixtures on the test rows come from one aggregation.
@@ -397,8 +402,8 @@ def pareto_sweep(
         w = np.zeros(pool)
         w[: len(mixture.weights)] = mixture.weights
         mix = w @ rate
-        out.append((e, round(float(w @ right), 4), round(float(mix.max() - mix.min()), 4), round(stats["gap"], 4), round(stats["duality_gap"], 4)))
-    return train.sparkSession.createDataFrame(out, "epsilon double, accuracy double, dp_gap double, train_gap double, duality_gap double")
+        out.append((e, round(float(w @ right), 4), round(float(mix.max() - mix.min()), 4), round(stats["gap"], 4), round(stats["duality_gap"], 4), stats["solved"]))
+    return train.sparkSession.createDataFrame(out, "epsilon double, accuracy double, dp_gap double, train_gap double, duality_gap double, solved boolean")
 
 
 def run_mitigation(

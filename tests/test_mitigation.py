@@ -28,7 +28,7 @@ def test_constraint_holds_on_train_and_costs_accuracy(split, learner):
     loose, free = game.solve(0.5)
     tight, bound = game.solve(0.02)
     assert free["gap"] > 0.1 and free["duality_gap"] < 0.01
-    assert bound["gap"] <= 0.02 + 1e-9 and bound["duality_gap"] < 0.1 and bound["error"] > free["error"]
+    assert bound["gap"] <= 0.02 + 1e-9 and bound["duality_gap"] < 0.1 and bound["error"] > free["error"] and bound["solved"] == (bound["duality_gap"] <= 0.005)
     scored = tight.score(train).groupBy("g").agg({"y_prob": "avg"}).toPandas().set_index("g")["avg(y_prob)"]
     whole = tight.score(train).agg({"y_prob": "avg"}).first()[0]
     assert np.isclose(max(abs(scored - whole)), bound["gap"], atol=1e-6)
@@ -62,3 +62,22 @@ def test_each_level_runs_its_techniques(split):
             assert next(r for r in rows if r.chosen).mitigated_accuracy == max(r.mitigated_accuracy for r in rows)
     with pytest.raises(ValueError):
         G.run_mitigation(train, test, "id", ["x"], "y", "g", "UNKNOWN")
+
+
+def test_best_mixture_is_exact():
+    """Mixture and prices prove each other: what the mixture costs is what the prices say any mixture costs at least."""
+    from evenhand.functions.programme import best_mixture
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        n, groups = rng.integers(2, 9), rng.integers(1, 5)
+        over = rng.normal(scale=0.3, size=(n, groups)).round(2)
+        over[0] = 0.0
+        errors, epsilon, bound = rng.random(n).round(2), float(rng.choice([0.0, 0.01, 0.1, 0.5])), float(rng.choice([0.5, 10.0]))
+        weights, prices = best_mixture(errors, over, epsilon, bound)
+        slack = np.hstack([over, -over]) - epsilon
+        value = weights @ errors + bound * max(0.0, (weights @ slack).max())
+        assert abs(weights.sum() - 1) < 1e-9 and (weights >= 0).all() and (prices >= 0).all() and prices.sum() <= bound + 1e-9
+        # strong duality: the prices prove that no mixture is better
+        assert abs(value - (errors + slack @ prices).min()) < 1e-9
+    assert best_mixture(np.array([0.5]), np.zeros((1, 3)), 0.1, 1.0)[0].tolist() == [1.0]
