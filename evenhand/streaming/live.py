@@ -50,6 +50,45 @@ def stream_feedback_pairs(
     return d.join(o, near).drop("_key")
 
 
+def stream_feedback_moments(
+    decisions: DataFrame, outcomes: DataFrame, key: str, decided: str, observed: str, pred: str, attrs: Sequence[str], outcome: str = "outcome",
+    min_days: int = 90, max_days: int = 180, delay: str = "1 day", every: str = "30 days",
+) -> DataFrame:
+    """Feedback moments on the live streams, per window of the decision, attribute and group.
+
+    A left outer stream-stream join keeps a decision until no outcome can come any more (``max_days`` and the outcomes' watermark),
+    and lets it go without one then; an aggregation chained on it closes each window once all its decisions are through. Both
+    states end with the watermarks. ``n_open`` counts decisions that never had an outcome; outcomes behind the watermark
+    are dropped and counted by Spark (:func:`late_rows`). Windows add up: see :func:`feedback_of_moments`.
+    """
+    d = decisions.withColumn(decided, F.col(decided).cast("timestamp")).withWatermark(decided, delay)
+    o = outcomes.select(F.col(key).alias("_key"), F.col(observed).cast("timestamp").alias("_seen"), F.col(outcome).cast("double").alias("_o")).withWatermark("_seen", delay)
+    near = (
+        (F.col(key) == F.col("_key")) & (F.col("_seen") >= F.col(decided) + F.expr(f"INTERVAL {min_days} DAYS"))
+        & (F.col("_seen") < F.col(decided) + F.expr(f"INTERVAL {max_days + 1} DAYS"))
+    )
+    long = to_long(d.join(o, near, "left_outer"), attrs, [decided, F.col(pred).cast("double").alias("_p"), "_o"])
+    p = F.when(F.col("_o").isNotNull(), F.col("_p"))
+    return long.groupBy(F.window(decided, every), "attribute", "grp").agg(
+        F.count("_o").alias("n"), F.count_if(F.col("_o").isNull()).alias("n_open"), F.sum(p).alias("p"), F.sum("_o").alias("o"),
+        F.sum(p * p).alias("pp"), F.sum(F.col("_o") * F.col("_o")).alias("oo"), F.sum(p * F.col("_o")).alias("po"),
+        F.sum(F.when(p == 0, F.col("_o"))).alias("o0"), F.count(F.when(p == 0, F.col("_o"))).alias("n0"),
+        F.sum(F.when(p == 1, F.col("_o"))).alias("o1"), F.count(F.when(p == 1, F.col("_o"))).alias("n1"),
+    )
+
+
+def feedback_of_moments(moments: DataFrame, limit: float = 0.1) -> DataFrame:
+    """The feedback loop of all windows emitted so far, as the batch operator states it."""
+    names = ["n", "p", "o", "pp", "oo", "po", "o0", "n0", "o1", "n1"]
+    m = moments.groupBy("attribute", "grp").agg(*[F.sum(c).alias(c) for c in names]).filter("n > 0")
+    spread = lambda a, b: F.col("n") * F.col(a) - F.col(b) * F.col(b)
+    r = F.try_divide(F.col("n") * F.col("po") - F.col("p") * F.col("o"), F.sqrt(spread("pp", "p")) * F.sqrt(spread("oo", "o")))
+    return m.select(
+        "attribute", "grp", "n", F.round(r, 4).alias("r"), F.round(F.try_divide("o0", "n0"), 4).alias("rejected_success"),
+        F.round(F.try_divide("o1", "n1"), 4).alias("approved_success"), F.coalesce(F.round(r, 4) > limit, F.lit(False)).alias("active"),
+    )
+
+
 def append_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a streaming result to a parquet table; both paths belong on shared storage. Processes
     everything available and stops, so it also serves scheduled runs."""

@@ -62,6 +62,38 @@ def test_feedback_pairs(spark):
     assert sorted(r["record_id"] for r in spark.read.parquet(paths[2]).collect()) == list(range(6))
 
 
+def test_live_feedback_equals_batch_and_its_state_ends(spark):
+    """Files that advance by 20 days; after the last ones all decisions are through and no state of theirs is left."""
+    paths = [IO.scratch_folder(spark, n) for n in ("made", "seen", "moments", "state")]
+    schemas = ["record_id long, decided_at timestamp_ntz, y_pred int, grp string", "record_id long, observed_at timestamp_ntz, outcome int"]
+    made, seen = [], []
+    for i in range(240):
+        made.append((i, DAY + dt.timedelta(days=i), int(i % 3 > 0), "ab"[i % 2]))
+        if i % 5:  # every fifth decision never has an outcome; some come too early, some twice
+            seen.append((i, DAY + dt.timedelta(days=i + (100 if i % 7 else 30)), int((i * 7) % 11 > 4)))
+        if i % 10 == 1:
+            seen.append((i, DAY + dt.timedelta(days=i + 170), 1))
+    end = DAY + dt.timedelta(days=900)
+    made_end, seen_end = [(9000, end, 1, "z")], [(9000, end + dt.timedelta(days=700), 1)]
+    for path, schema, rows, when, last in ((paths[0], schemas[0], made, 1, made_end), (paths[1], schemas[1], seen, 1, seen_end)):
+        for k in range(0, 430, 20):
+            part = [r for r in rows if DAY + dt.timedelta(days=k) <= r[when] < DAY + dt.timedelta(days=k + 20)]
+            if part:
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(last, schema).coalesce(1).write.mode("append").parquet(path)
+    read = lambda k: spark.readStream.schema(schemas[k]).option("maxFilesPerTrigger", 4).parquet(paths[k])
+    result = live.stream_feedback_moments(read(0), read(1), "record_id", "decided_at", "observed_at", "y_pred", ["grp"])
+    query = live.append_to(result, paths[2], paths[3])
+    query.awaitTermination()
+    rows = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    assert max(rows) > 50 and rows[-1] < 10, rows
+    found = spark.read.parquet(paths[2])
+    want = N.feedback_loop(spark.createDataFrame(made, schemas[0]), spark.createDataFrame(seen, schemas[1]), "record_id", "decided_at", "observed_at", "y_pred", ["grp"])
+    assert sorted(map(tuple, live.feedback_of_moments(found).collect())) == sorted(map(tuple, want.collect()))
+    pairs = {i for i, t, _ in seen if 90 <= (t - DAY).days - i <= 180}
+    assert found.agg(F.sum("n_open")).first()[0] == 240 - len(pairs)
+
+
 def test_batch_late_report(spark):
     rows = [(DAY + dt.timedelta(hours=h), DAY + dt.timedelta(hours=h + late)) for h, late in ((1, 0), (2, 40), (30, 1), (31, 60))]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, arrived timestamp_ntz")
