@@ -903,3 +903,24 @@ def stream_feedback_loop(spark, sf):
     live.append_to(pairs, path, IO.scratch_folder(spark, "state")).awaitTermination()
     found = spark.read.schema(pairs.schema).parquet(path)
     return found.groupBy("priority").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("outcome"), 4).alias("success"))
+
+
+@query
+def stream_feedback(spark, sf):
+    """The feedback loop from moments of live streams: orders above a price as decisions, returned lines as outcomes. Windows
+    the watermark has not closed yet come from the same operator over the rows as a batch."""
+    schemas = {name: IO.load(spark, sf, name).schema for name in ("orders", "lineitem")}
+
+    def moments(read):
+        decided = read("orders").select(
+            F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("decided_at"), (F.col("o_totalprice") >= 150000).cast("int").alias("y_pred"), F.col("o_orderpriority").alias("priority")
+        )
+        seen = read("lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_shipdate").alias("observed_at"), (F.col("l_returnflag") != "R").cast("int").alias("outcome"))
+        return live.stream_feedback_moments(decided, seen, "record_id", "decided_at", "observed_at", "y_pred", ["priority"])
+
+    result = moments(lambda name: spark.readStream.schema(schemas[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+    path = IO.scratch_folder(spark, "moments")
+    live.append_to(result, path, IO.scratch_folder(spark, "state")).awaitTermination()
+    whole = moments(lambda name: IO.load(spark, sf, name))
+    found = live.with_open_windows(spark.read.schema(result.schema).parquet(path), whole, ["window", "attribute", "grp"])
+    return live.feedback_of_moments(found, limit=0.02)
