@@ -324,7 +324,14 @@ def burt_table(spark, sf):
 
 @query
 def mca_coordinates(spark, sf):
-    return K.mca_coordinates(V.decisions(spark, sf), ["segment", "region", TARGET]).drop("coordinate")
+    return K.mca_coordinates(V.decisions(spark, sf), ["segment", "region", TARGET]).drop("coordinate", "residual")
+
+
+@query
+def mca_association(spark, sf):
+    """The association of every two categories, put together again from the positions on all dimensions."""
+    out = K.mca_association(K.mca_coordinates(V.decisions(spark, sf), ["segment", "region", TARGET], dims=30))
+    return out.select("cat_a", "cat_b", (F.round("association", 4) + F.lit(0.0)).alias("association"))
 
 
 @query

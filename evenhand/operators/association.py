@@ -10,7 +10,6 @@ from math import exp, factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenhand.functions.hashing import uniform
@@ -18,6 +17,7 @@ from evenhand.functions.numeric import as_double, binary, flag, level3, ratio, s
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
 from evenhand.plans.association import binary_tests, chi_square, with_fisher, with_p
+from evenhand.plans.eigen import largest_eigenpairs
 from evenhand.plans.longform import contingency, group_rates, numeric_among, require, to_long, with_totals
 from evenhand.plans.quantiles import bin_edges, discretise
 from evenhand.sources.tables import written
@@ -220,35 +220,39 @@ def burt_table(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
 
 
 def mca_coordinates(df: DataFrame, attrs: Sequence[str], dims: int = 2) -> DataFrame:
-    """Category positions of a multiple correspondence analysis: singular vectors of the
-    standardised Burt matrix, computed by Spark's distributed row matrix."""
-    spark = df.sparkSession
-    burt = written(burt_table(df, attrs), "burt")
-    diag = burt.filter("cat_a = cat_b").select(F.col("cat_a").alias("category"), F.col("n").alias("mass"))
-    ids = diag.withColumn("i", F.row_number().over(W.orderBy("category")) - 1)  # one row per category
-    total = float(diag.agg(F.sum("mass")).first()[0])  # rows x attributes
+    """Category positions of a multiple correspondence analysis: ``category, dim, inertia, abs_coordinate, coordinate, residual``.
+
+    The dimensions are the largest eigenvectors of the standardised Burt matrix D^-1/2 (P - m m') D^-1/2 (category masses m). Only
+    the cells that occur are stored; P's trivial direction is taken off by a rank-one term. The eigenvectors come from a block
+    Krylov iteration by joins, so neither a category's row nor the list of categories is ever in one place. ``residual``
+    is the norm of what an eigenvector leaves over; dimensions without inertia are left out. The entry that is largest in size
+    (to nine digits, ties: first category) is positive."""
     q = len(attrs)
-    left = ids.select(F.col("category").alias("cat_a"), F.col("i").alias("ia"), F.col("mass").alias("ma"))
-    right = ids.select(F.col("category").alias("cat_b"), F.col("i").alias("ib"), F.col("mass").alias("mb"))
-    size = ids.count()
-    # S = D^-1/2 (B/(nQ^2) - m m') D^-1/2 with category masses m = n_c/(nQ); zero cells matter through m m'
-    cells = burt.join(left, "cat_a").join(right, "cat_b")
-    masses = [r["mass"] / total for r in ids.orderBy("i").collect()]  # one number per category, as PCA holds its means
-
-    def matrix_row(r) -> IndexedRow:
-        m = np.array(masses)
-        row = np.zeros(size)
-        for j, n in r["cells"]:
-            row[j] = n / (total * q)
-        a = r["ia"]
-        return IndexedRow(int(a), ((row - m[a] * m) / np.sqrt(m[a] * m)).tolist())
-
-    rows = cells.groupBy("ia").agg(F.collect_list(F.struct("ib", "n")).alias("cells"))  # at most one cell per category
-    svd = IndexedRowMatrix(rows.rdd.map(matrix_row)).computeSVD(min(dims, size - 1), computeU=False)
-    s, v = svd.s.toArray(), svd.V.toArray()
-    coords = [(i, d + 1, float(s[d]), float(v[i, d] * np.sqrt(s[d]) / np.sqrt(masses[i]))) for i in range(size) for d in range(len(s))]
-    out = spark.createDataFrame(coords, "i int, dim int, inertia double, coordinate double")
-    return out.join(ids.select("i", "category"), "i").select("category", "dim", F.round("inertia", 4).alias("inertia"), F.round(F.abs("coordinate"), 4).alias("abs_coordinate"), "coordinate")
+    burt = written(burt_table(df, attrs), "burt")
+    counts = burt.filter("cat_a = cat_b").select(F.col("cat_a").alias("category"), F.col("n").alias("mass"))
+    total = float(counts.agg(F.sum("mass")).first()[0] or 1)  # rows x attributes
+    keys = written(counts.select(F.col("category").alias("key"), F.sqrt(F.col("mass") / total).alias("s")), "categories")
+    size = keys.select(F.col("key").alias("_k"), "s")
+    cells = burt.join(size.select(F.col("_k").alias("cat_a"), F.col("s").alias("sa")), "cat_a").join(size.select(F.col("_k").alias("cat_b"), F.col("s").alias("sb")), "cat_b")
+    cells = written(cells.select(F.col("cat_a").alias("a"), F.col("cat_b").alias("b"), (F.col("n") / (total * q) / (F.col("sa") * F.col("sb"))).alias("v")), "cells")
+    vectors, values, left = largest_eigenpairs(cells, keys, dims)
+    found = F.array(*[F.struct(F.lit(i + 1).alias("dim"), F.lit(float(v)).alias("value"), F.lit(float(r)).alias("residual")) for i, (v, r) in enumerate(zip(values, left))])
+    schema = "array<struct<dim:int,value:double,residual:double>>"
+    rows = vectors.select("key", "s", "x", F.inline(found.cast(schema))).withColumn("v", F.get("x", F.col("dim") - 1))
+    # one row a dimension
+    signs = rows.groupBy("dim").agg(F.min_by(F.signum("v"), F.struct(-F.round(F.abs("v"), 9), F.col("key"))).alias("sign"))
+    place = F.col("sign") * F.col("v") * F.sqrt("value") / F.col("s")
+    return rows.join(signs, "dim").select(
+        F.col("key").alias("category"), "dim", F.round("value", 4).alias("inertia"), F.round(F.abs(place), 4).alias("abs_coordinate"), place.alias("coordinate"), "residual"
+    )
+
+
+def mca_association(coordinates: DataFrame) -> DataFrame:
+    """``cat_a, cat_b, association``: how much more often than by chance two categories meet, as the given dimensions of
+    :func:`mca_coordinates` tell it (the product of the positions); over all dimensions it is exact."""
+    left = coordinates.select(F.col("category").alias("cat_a"), "dim", F.col("coordinate").alias("_a"))
+    right = coordinates.select(F.col("category").alias("cat_b"), "dim", F.col("coordinate").alias("_b"))
+    return left.join(right, "dim").groupBy("cat_a", "cat_b").agg(F.sum(F.col("_a") * F.col("_b")).alias("association"))
 
 
 def _intersection_groups(df: DataFrame, attrs: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:

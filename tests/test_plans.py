@@ -244,3 +244,35 @@ def test_row_numbers_over_pieces(spark):
     for key in ("hot", None):
         mine = sorted((r.o, r.i) for r in got if r.k == key)
         assert [i for _, i in mine] == list(range(1, len(mine) + 1))
+
+
+def test_largest_eigenpairs_match_a_dense_solver(spark):
+    """Sparse table against numpy: with room, with restarts, repeated eigenvalues, more dimensions than rank, no rows."""
+    from evenhand.plans.eigen import largest_eigenpairs
+
+    rng = np.random.default_rng(5)
+    first = rng.integers(0, 10, 400)
+    second = np.where(rng.random(400) < first / 10, first, rng.integers(0, 10, 400))
+    rows = np.stack([first, 10 + second, 20 + (first + rng.integers(0, 4, 400)) % 10], axis=1)
+    z = np.zeros((400, 30))
+    z[np.arange(400)[:, None], rows] = 1
+    z = z[:, z.sum(0) > 0]
+    m = z.sum(0) / z.sum()
+    dense = (z.T @ z / (400 * 9)) / np.sqrt(np.outer(m, m))
+    want = np.linalg.eigvalsh(dense - np.outer(np.sqrt(m), np.sqrt(m)))[::-1]
+    at = np.argwhere(dense != 0)
+    cells = spark.createDataFrame([(f"{a:03}", f"{b:03}", float(dense[a, b])) for a, b in at], "a string, b string, v double")
+    keys = spark.createDataFrame([(f"{a:03}", float(np.sqrt(x))) for a, x in enumerate(m)], "key string, s double")
+    for dims, width, tolerance in ((3, 96, 1e-9), (2, 18, 1e-4)):  # the second starts again from its best vectors
+        vectors, values, residuals = largest_eigenpairs(cells, keys, dims, width=width, tolerance=tolerance, rounds=12)
+        assert np.allclose(values, want[:dims], atol=max(1e-8, tolerance**2)) and (residuals <= tolerance * values[0]).all()
+        x = np.array([r.x for r in vectors.orderBy("key").collect()])
+        assert np.allclose(x.T @ x, np.eye(dims), atol=1e-8)
+        assert np.allclose((dense - np.outer(np.sqrt(m), np.sqrt(m))) @ x, x * values, atol=max(1e-7, tolerance))
+    # three equal blocks: every eigenvalue three times, rank 3
+    cells = spark.createDataFrame([(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(4) for j in range(4)], "a string, b string, v double")
+    keys = spark.createDataFrame([(f"{g}{i}", 0.0) for g in "abc" for i in range(4)], "key string, s double")
+    assert np.allclose(largest_eigenpairs(cells, keys, 5)[1], [4, 4, 4])
+    vectors, values, _ = largest_eigenpairs(cells.limit(0), keys.limit(0), 2)
+    assert vectors.count() == 0 and len(values) == 0
+    assert len(largest_eigenpairs(cells.limit(0), keys, 2)[1]) == 0  # all cells zero
