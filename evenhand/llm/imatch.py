@@ -161,7 +161,7 @@ def with_following(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), id_key(F.col(doc_id)).alias("id"), text_key(F.col(text)).alias("h"), F.col(text).alias("text"))
     rows = rows.withColumn("place", F.explode(places("id")))
     rows = rows.select((F.col("place") / 2).cast("int").alias("piece"), (F.col("place") % 2 == 1).alias("tail"), "doc_id", "id", "h", "text")
-    return rows.repartition(n, "piece").sortWithinPartitions("piece", "tail", F.desc("id"), "h")
+    return rows.repartitionById(n, "piece").sortWithinPartitions("piece", "tail", F.desc("id"), "h")  # a piece a task
 
 
 def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
