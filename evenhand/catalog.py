@@ -68,6 +68,17 @@ def audit_log(spark, sf):
     return out.select("run_id", "model_version", "data_rows", "data_version", "attribute", "metric", "value", "mitigation", "approved_by")
 
 
+@query
+def audit_chain(spark, sf):
+    """Three runs logged one after the other, and what the chain of their hashes tells of each."""
+    df = V.decisions(spark, sf)
+    log = IO.scratch_folder(spark, "log")
+    for run in range(3):
+        metrics = M.disparate_impact(df, ATTRS[: run + 1], "y_pred").select("attribute", F.lit("disparate_impact").alias("metric"), F.col("ratio").alias("value"))
+        IO.append_log(IO.audit_entries(metrics, f"run{run}", "v1", V.doc_audit(spark, sf), "none", "auditor"), log)
+    return IO.verify_log(spark, log, IO.log_heads(spark, log))
+
+
 @query
 def table_profile(spark, sf):
     return S.table_profile(V.decisions(spark, sf))

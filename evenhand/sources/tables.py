@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -134,8 +135,82 @@ def audit_entries(
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    """Append only: the log is never rewritten. A run leaves one directory per run id."""
+    """Append only: the log is never rewritten. A run leaves one directory per run id, and a link in the chain beside the log
+    (:func:`verify_log`) that holds the hash of its entries and of the links before it. A run
+    without entries leaves neither."""
+    spark = entries.sparkSession
+    entries = written(entries, "entries")  # what is hashed is what is logged
+    before = [r["hash"] for r in _heads(_links(spark, path)).orderBy("hash").collect()]  # one, but for runs logged side by side
+    links = _digests(entries).withColumn("previous", F.array(*map(F.lit, before)).cast("array<string>"))
+    links = written(links.withColumn("hash", _link_hash()), "links")
     entries.write.mode("append").partitionBy("run_id").parquet(path)
+    links.write.mode("append").parquet(_chain(path))
+
+
+LINK = "run_id string, n_entries bigint, digest string, previous array<string>, hash string"
+
+
+def _chain(path: str) -> str:
+    return path.rstrip("/") + "-chain"
+
+
+def _links(spark: SparkSession, path: str) -> DataFrame:
+    """The links of a log; none before its first run."""
+    fs, folder = _folder(spark, _chain(path))
+    return spark.read.schema(LINK).parquet(_chain(path)) if fs.exists(folder) else spark.createDataFrame([], LINK)
+
+
+def _heads(links: DataFrame) -> DataFrame:
+    """Links that no other link follows."""
+    followed = links.select(F.explode("previous").alias("hash")).distinct()
+    return links.select("hash").distinct().join(followed, "hash", "left_anti")
+
+
+def _digests(entries: DataFrame) -> DataFrame:
+    """``run_id, n_entries, digest``: sums of four 60-bit parts of each entry's sha256, so that neither order nor files matter."""
+    values = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in sorted(entries.columns) if c != "run_id"]
+    text = F.concat_ws("|", *[F.concat(F.length(v).cast("string"), v) for v in values])  # lengths: no two rows share a text
+    rows = entries.select(F.col("run_id").cast("string").alias("run_id"), F.sha2(text, 256).alias("_h"))
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_entries"), F.concat_ws("-", *parts).alias("digest"))
+
+
+def _link_hash() -> Column:
+    return F.sha2(F.concat_ws("|", F.length("run_id").cast("string"), "run_id", F.col("n_entries").cast("string"), "digest", F.concat_ws(",", "previous")), 256)
+
+
+def verify_log(spark: SparkSession, path: str, heads: Sequence[str] = ()) -> DataFrame:
+    """``run_id, n_entries, status`` of every run of a log, of every link that is missed, and of missing ``heads``.
+
+    ``ok``; ``changed``: the entries are not those that were logged; ``lost``: a link without entries; ``unlinked``: entries
+    without a link (a run that broke off, or was written past :func:`append_log`); ``forged``: a link that is not what its hash
+    says; ``repeated``: a run id with several links; ``missing``: a link that a later one, or one of ``heads``, follows is gone
+    (``run_id`` is its hash). Keep :func:`log_heads` elsewhere: without it the loss of the last run with its link goes unseen.
+
+    Runs logged side by side follow the same links; the next run follows them all, so none is lost and the check holds."""
+    links = _links(spark, path).withColumn("_right", F.coalesce(_link_hash() == F.col("hash"), F.lit(False)))
+    fs, folder = _folder(spark, path)
+    if fs.exists(folder):
+        # run ids are folder names: read as text, whatever they look like
+        log = spark.read.parquet(path)
+        schema = ", ".join(f"`{f.name}` {'string' if f.name == 'run_id' else f.dataType.simpleString()}" for f in log.schema)
+        found = _digests(spark.read.schema(schema).parquet(path))
+    else:
+        found = spark.createDataFrame([], "run_id string, n_entries bigint, digest string")
+    known = links.groupBy("run_id").agg(F.count(F.lit(1)).alias("_links"), F.min("_right").alias("_right"), F.min("digest").alias("_digest"))
+    status = (
+        F.when(F.col("_links").isNull(), "unlinked").when(F.col("_links") > 1, "repeated").when(~F.col("_right"), "forged")
+        .when(F.col("digest").isNull(), "lost").when(F.col("digest") != F.col("_digest"), "changed").otherwise("ok")
+    )
+    runs = known.join(found, "run_id", "full").select("run_id", F.coalesce("n_entries", F.lit(0).cast("bigint")).alias("n_entries"), status.alias("status"))
+    named = spark.createDataFrame([(h,) for h in heads], "hash string").union(links.select(F.explode("previous"))).distinct()
+    missed = named.join(links.select("hash"), "hash", "left_anti")
+    return runs.unionByName(missed.select(F.col("hash").alias("run_id"), F.lit(0).cast("bigint").alias("n_entries"), F.lit("missing").alias("status")))
+
+
+def log_heads(spark: SparkSession, path: str) -> list[str]:
+    """The hashes of the last links of a log, to be kept elsewhere: one, but after runs logged side by side."""
+    return sorted(r["hash"] for r in _heads(_links(spark, path)).collect())
 
 
 def normalise_nan(df: DataFrame) -> DataFrame:

@@ -303,6 +303,70 @@ def test_audit_log_appends(spark, people):
     assert rows(IO.fingerprint(df)) == rows(IO.fingerprint(df.repartition(9))) != rows(IO.fingerprint(df.filter("id > 0")))
 
 
+def _logged(spark, runs, path):
+    for run in runs:
+        entries = spark.createDataFrame([(run, "g", f"m{i}", float(i) if i else None) for i in range(3)], "run_id string, attribute string, metric string, value double")
+        IO.append_log(entries, path)
+
+
+def _states(spark, path, heads=()):
+    return {r.run_id: (r.n_entries, r.status) for r in IO.verify_log(spark, path, heads).collect()}
+
+
+def test_log_chain_finds_changed_and_lost_runs(spark):
+    path = IO.scratch_folder(spark, "log")
+    assert _states(spark, path) == {} and IO.log_heads(spark, path) == []
+    _logged(spark, ["01", "2", "3"], path)
+    heads = IO.log_heads(spark, path)
+    whole = {"01": (3, "ok"), "2": (3, "ok"), "3": (3, "ok")}
+    assert len(heads) == 1 and _states(spark, path, heads) == whole
+    # copies of the log, each with one thing wrong; a copy without a run stands for a lost folder
+    log, links = spark.read.schema("attribute string, metric string, value double, run_id string").parquet(path), spark.read.parquet(path + "-chain")
+
+    def copy(entries, chain):
+        other = IO.scratch_folder(spark, "log")
+        entries.write.partitionBy("run_id").parquet(other)
+        chain.write.parquet(other + "-chain")
+        return other
+
+    assert _states(spark, copy(log.repartition(2), links), heads) == whole
+    changed = log.withColumn("value", F.when((F.col("run_id") == "2") & (F.col("metric") == "m2"), 2.5).otherwise(F.col("value")))
+    assert _states(spark, copy(changed, links), heads) == whole | {"2": (3, "changed")}
+    filled = log.withColumn("value", F.when(F.col("run_id") == "2", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
+    assert _states(spark, copy(filled, links), heads)["2"] == (3, "changed")
+    assert _states(spark, copy(log.where("run_id <> '2'"), links), heads) == whole | {"2": (0, "lost")}
+    assert _states(spark, copy(log.where("run_id <> '2' or metric <> 'm1'"), links), heads)["2"] == (2, "changed")
+    hash_of = {r.run_id: r.hash for r in links.collect()}
+    assert _states(spark, copy(log, links.where("run_id <> '2'")), heads) == whole | {"2": (3, "unlinked"), hash_of["2"]: (0, "missing")}
+    cut = copy(log.where("run_id <> '3'"), links.where("run_id <> '3'"))  # the last run with its link: only the kept head tells
+    assert _states(spark, cut) == {"01": (3, "ok"), "2": (3, "ok")} and _states(spark, cut, heads)[hash_of["3"]] == (0, "missing")
+    forged = links.withColumn("n_entries", F.when(F.col("run_id") == "2", 2).otherwise(F.col("n_entries")))
+    assert _states(spark, copy(log, forged), heads)["2"] == (3, "forged")
+
+
+def test_log_chain_of_runs_side_by_side(spark):
+    """Two runs follow the same link, as if logged at once; the next one follows both."""
+    path = IO.scratch_folder(spark, "log")
+    _logged(spark, ["a"], path)
+    links = spark.read.parquet(path + "-chain").collect()
+    _logged(spark, ["b"], path)
+    other = IO.scratch_folder(spark, "log")
+    spark.read.schema("attribute string, metric string, value double, run_id string").parquet(path).where("run_id = 'a'").write.partitionBy("run_id").parquet(other)
+    spark.createDataFrame(links, IO.LINK).write.parquet(other + "-chain")
+    _logged(spark, ["c"], other)  # follows a, as b does
+    for folder in ("", "-chain"):
+        only = spark.read.schema("attribute string, metric string, value double, run_id string").parquet(other) if not folder else spark.read.parquet(other + folder)
+        only = only.where("run_id = 'c'")
+        (only.write.mode("append").partitionBy("run_id") if not folder else only.write.mode("append")).parquet(path + folder)
+    assert len(IO.log_heads(spark, path)) == 2
+    _logged(spark, ["d"], path)
+    heads = IO.log_heads(spark, path)
+    assert len(heads) == 1 and _states(spark, path, heads) == {r: (3, "ok") for r in "abcd"}
+    assert {r.run_id: len(r.previous) for r in spark.read.parquet(path + "-chain").collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    _logged(spark, ["d"], path)
+    assert _states(spark, path)["d"] == (6, "repeated")
+
+
 def test_csv_and_nan(spark):
     path = IO.scratch_folder(spark, "csv")
     df = spark.createDataFrame([(1, "a,b", 1.5), (2, None, float("nan"))], "id long, s string, v double")
