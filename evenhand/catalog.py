@@ -362,29 +362,27 @@ def intersectional_status(spark, sf):
 
 @query
 def bootstrap_cramers_v(spark, sf):
-    """V and whether its interval is one (the draws themselves are beyond SQL): wider than nothing, and around V up to the
-    upward bias that resampled V has."""
-    out = K.bootstrap_cramers_v(V.decisions(spark, sf), ATTRS, TARGET)
-    holds = (F.col("ci_width") > 0) & (F.col("ci_width") < 0.2) & (F.col("ci_lower") <= F.col("point") + F.col("ci_width")) & (F.col("point") <= F.col("ci_upper"))
-    return out.select("attribute", "point", holds.alias("interval_holds"))
+    return K.bootstrap_cramers_v(V.decisions(spark, sf), ATTRS, TARGET)
 
 
 @query
 def bootstrap_rate_ci(spark, sf):
-    return K.bootstrap_rate_ci(V.decisions(spark, sf), "record_id", ["segment", "region"], TARGET)
+    return K.bootstrap_rate_ci(V.decisions(spark, sf), ["segment", "region"], TARGET)
 
 
 @query
 def bootstrap_metric_ci(spark, sf):
-    """The metrics and whether each interval holds its metric's point (the draws themselves are beyond SQL)."""
-    out = K.bootstrap_metric_ci(V.decisions(spark, sf), ATTRS, TARGET, "y_pred")
-    holds = F.col("point").between(F.col("ci_lower") - F.col("ci_width"), F.col("ci_upper") + F.col("ci_width"))
-    return out.select("attribute", "metric", "smallest", "point", (holds & (F.col("ci_width") > 0)).alias("interval_holds"))
+    return K.bootstrap_metric_ci(V.decisions(spark, sf), ATTRS, TARGET, "y_pred")
+
+
+@query
+def bootstrap_score_ci(spark, sf):
+    return M.bootstrap_score_ci(V.decisions(spark, sf), [*ATTRS, "balance_sign"], TARGET, "y_prob")
 
 
 @query
 def metric_confidence(spark, sf):
-    return K.metric_confidence(K.bootstrap_rate_ci(V.doc_audit(spark, sf), "record_id", ["lang", "source"], "quality"))
+    return K.metric_confidence(K.bootstrap_rate_ci(V.doc_audit(spark, sf), ["lang", "source"], "quality"))
 
 
 @query

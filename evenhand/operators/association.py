@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
-from math import exp, factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from evenhand.functions.hashing import uniform
 from evenhand.functions.numeric import as_double, binary, flag, level3, ratio, safe_corr
 from evenhand.functions.pvalues import corr_p
 from evenhand.plans import defaults
@@ -20,6 +16,7 @@ from evenhand.plans.association import binary_tests, chi_square, with_fisher, wi
 from evenhand.plans.eigen import largest_eigenpairs
 from evenhand.plans.longform import contingency, group_rates, numeric_among, require, to_long, with_totals
 from evenhand.plans.quantiles import bin_edges, discretise
+from evenhand.plans.resample import intervals, reliability, resampled
 from evenhand.sources.tables import written
 
 
@@ -308,32 +305,6 @@ def intersectional_status(df: DataFrame, attrs: Sequence[str], target: str) -> D
     )
 
 
-def _reliability(width: Column) -> Column:
-    return level3(width, [("HIGH", 0.1), ("MEDIUM", 0.2)], "LOW")
-
-
-def _poisson_cells(cells: DataFrame, names: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """``cells`` (with a count ``n``) once for each replicate, ``n`` redrawn.
-
-    Poisson(1) weights of a cell's rows add up to one Poisson(n) draw, so a replicate costs a draw per
-    cell and no row is copied. Cells draw on their own, each from its name and the seed, so an attribute
-    with many cells is spread over all tasks and recomputed tasks agree.
-    """
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                some = pdf.iloc[lo : lo + 1000]
-                tags = some[list(names)].astype(str).agg("\x1f".join, axis=1)
-                rngs = [np.random.default_rng(np.frombuffer(hashlib.md5(f"{seed}-{t}".encode()).digest(), dtype=np.uint32)) for t in tags]
-                counts = np.array([rng.poisson(n, replicates) for rng, n in zip(rngs, some["n"])], dtype=np.int64).reshape(-1)
-                out = some.loc[some.index.repeat(replicates)].reset_index(drop=True)
-                yield out.assign(n=counts, replicate=np.tile(np.arange(1, replicates + 1), len(some)))
-
-    schema = cells.withColumn("n", F.col("n").cast("bigint")).withColumn("replicate", F.lit(0).cast("bigint")).schema
-    return cells.withColumn("n", F.col("n").cast("bigint")).mapInPandas(draw, schema)
-
-
 def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """95% bootstrap interval of V per attribute, numeric attributes in the same quintiles as in
     :func:`cramers_v_target`."""
@@ -342,20 +313,15 @@ def bootstrap_cramers_v(df: DataFrame, attrs: Sequence[str], target: str, replic
     coded = df.select(target, *[a for a in attrs if a not in wide], *discretise(df, wide, edges))
     cells = to_long(coded, attrs, [binary(target).alias("y")]).filter(F.col("y").isNotNull()).groupBy("attribute", "grp", "y").agg(F.count(F.lit(1)).alias("n"))
     cells = written(cells, "cells")
-    drawn = _poisson_cells(cells, ["attribute", "grp", "y"], replicates, seed)
+    drawn = resampled(cells, ["attribute", "grp", "y"], replicates, seed)
 
     def v_of(table: DataFrame, keys: list[str]) -> DataFrame:
         groups = table.groupBy(*keys, "grp").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("positives"))
         rated = groups.withColumn("rate", F.try_divide(F.col("positives").cast("double"), F.col("n")))
         return binary_tests(rated, keys).select(*keys, "cramers_v")
 
-    ci = v_of(drawn, ["attribute", "replicate"]).groupBy("attribute").agg(F.percentile("cramers_v", [0.025, 0.975]).alias("q"))
-    point = v_of(cells, ["attribute"])
-    width = F.col("q")[1] - F.col("q")[0]
-    return ci.join(point, "attribute").select(
-        "attribute", F.round("cramers_v", 4).alias("point"), F.round(F.col("q")[0], 4).alias("ci_lower"),
-        F.round(F.col("q")[1], 4).alias("ci_upper"), F.round(width, 4).alias("ci_width"), _reliability(width).alias("reliability"),
-    )
+    out = intervals(v_of(drawn, ["attribute", "replicate"]), v_of(cells, ["attribute"]), ["attribute"], "cramers_v")
+    return out.withColumn("reliability", reliability(F.col("_width"))).drop("_width")
 
 
 def bootstrap_metric_ci(
@@ -367,7 +333,7 @@ def bootstrap_metric_ci(
     long = to_long(df, attrs, [*by, binary(target).alias("y"), binary(pred).alias("p")]).filter(F.col("p").isNotNull())
     names = [*by, "attribute", "grp", "y", "p"]
     cells = written(long.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "cells")
-    drawn = _poisson_cells(cells, names, replicates, seed)
+    drawn = resampled(cells, names, replicates, seed)
 
     def metrics(table: DataFrame, keys: list[str]) -> DataFrame:
         n = F.col("n")
@@ -385,44 +351,30 @@ def bootstrap_metric_ci(
         return wide.unpivot([*keys, "smallest"], ["dp_difference", "di_ratio", "tpr_gap", "fpr_gap"], "metric", "value")
 
     keys = [*by, "attribute", "metric"]
-    ci = metrics(drawn, [*by, "attribute", "replicate"]).groupBy(*keys).agg(F.percentile("value", [0.025, 0.975]).alias("q"))
-    point = metrics(cells, [*by, "attribute"])
-    width = F.col("q")[1] - F.col("q")[0]
-    return ci.join(point, keys).select(
-        *keys, "smallest", F.round("value", 4).alias("point"), F.round(F.col("q")[0], 4).alias("ci_lower"), F.round(F.col("q")[1], 4).alias("ci_upper"),
-        F.round(width, 4).alias("ci_width"), F.when(F.col("smallest") < small_sample, "LOW").otherwise(_reliability(width)).alias("confidence"),
+    out = intervals(metrics(drawn, [*by, "attribute", "replicate"]), metrics(cells, [*by, "attribute"]), keys)
+    few = F.col("smallest") < small_sample
+    return out.select(
+        *keys, "smallest", "point", "ci_lower", "ci_upper", "ci_width", F.when(few, "LOW").otherwise(reliability(F.col("_width"))).alias("confidence")
     )
 
 
-#: Cumulative Poisson(1) probabilities up to where a 24-bit random number can tell them apart.
-POISSON1 = tuple(round(sum(exp(-1) / factorial(k) for k in range(top + 1)), 10) for top in range(10))
-
-
 def bootstrap_rate_ci(
-    df: DataFrame, key: str, attrs: Sequence[str], target: str, replicates: int = 200, blocks: int = 200
+    df: DataFrame, attrs: Sequence[str], target: str, replicates: int = 200, seed: int = 42, by: Sequence[str] = ()
 ) -> DataFrame:
-    """95% bootstrap interval of every group's approval rate.
+    """95% bootstrap interval of every group's approval rate, each row weighted by Poisson(1) in every replicate. Rows
+    without a label count for nothing; a group without any has no row."""
+    long = to_long(df, attrs, [*by, binary(target).alias("y")]).filter(F.col("y").isNotNull())
+    names = [*by, "attribute", "grp", "y"]
+    cells = written(long.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "cells")
 
-    Rows are hashed into ``blocks`` random blocks and summed per (group, block) in one pass; the
-    replicates then reweight the blocks with Poisson(1) counts from a hash, so no row is copied.
-    """
-    block = F.floor(uniform(F.col(key), "b") * blocks).cast("int").alias("block")
-    long = to_long(df, attrs, [block, F.col(target).cast("int").alias("_y")])
-    sums = long.groupBy("attribute", "grp", "block").agg(F.count("_y").alias("n"), F.sum("_y").alias("p"))
-    spread = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = uniform(F.concat_ws("-", "replicate", "block"), "w")
-    weight = sum((F.when(u >= F.lit(x), 1).otherwise(0) for x in POISSON1), F.lit(0))
-    weighted = spread.withColumn("w", weight)
-    rates = weighted.groupBy("attribute", "grp", "replicate").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("p")).cast("double"), F.sum(F.col("w") * F.col("n"))).alias("rate")
-    )
-    ci = rates.groupBy("attribute", "grp").agg(F.percentile("rate", [0.025, 0.975]).alias("q"))
-    point = sums.groupBy("attribute", "grp").agg((F.sum("p") / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
-    width = F.col("q")[1] - F.col("q")[0]
-    return ci.join(point, ["attribute", "grp"]).select(
-        "attribute", "grp", "n", F.round("rate", 4).alias("point"), F.round(F.col("q")[0], 4).alias("ci_lower"),
-        F.round(F.col("q")[1], 4).alias("ci_upper"), F.round(width, 4).alias("ci_width"), _reliability(width).alias("reliability"),
-    )
+    def rates(table: DataFrame, keys: list[str]) -> DataFrame:
+        n = F.col("n")
+        return table.groupBy(*keys).agg(F.sum(n).alias("rows"), F.try_divide(F.sum(n * F.col("y")).cast("double"), F.sum(n)).alias("value"))
+
+    keys = [*by, "attribute", "grp"]
+    point = rates(cells, keys).withColumnRenamed("rows", "n")
+    out = intervals(rates(resampled(cells, names, replicates, seed), [*keys, "replicate"]), point, keys)
+    return out.withColumn("reliability", reliability(F.col("_width"))).drop("_width")
 
 
 def metric_confidence(intervals: DataFrame, small_sample: int = defaults.SMALL_SAMPLE) -> DataFrame:

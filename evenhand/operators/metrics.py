@@ -16,6 +16,7 @@ from evenhand.plans.longform import group_rates, to_long
 from evenhand.plans.neighbours import nearest_in_other_groups
 from evenhand.plans.ordered import add_piece, cut_points, running_sums
 from evenhand.plans.quantiles import bin_edges, discretise
+from evenhand.plans.resample import intervals, reliability, resampled
 from evenhand.sources.tables import written
 
 # Inner edges of five equal calibration bins, as the float steps of linspace(0, 1, 6).
@@ -143,6 +144,22 @@ def calibration_error(
     )
 
 
+def _distances(scores: DataFrame, two: DataFrame, cuts: Sequence[float], keys: Sequence[str], named_by: Sequence[str] = ("attribute",)) -> DataFrame:
+    """Wasserstein-1 distance ``w`` per ``keys`` from counts ``n`` of scores ``p`` per ``grp``, between the two groups that ``two``
+    names per ``named_by`` (at most a row for each attribute column of an audited model)."""
+    k, n = list(keys), F.col("n")
+    points = scores.join(F.broadcast(two), list(named_by)).groupBy(*k, "p").agg(
+        F.sum(F.when(F.col("grp") == F.col("group_1"), n).otherwise(0)).alias("n1"),
+        F.sum(F.when(F.col("grp") == F.col("group_2"), n).otherwise(0)).alias("n2"),
+    )
+    run = running_sums(add_piece(points, "p", cuts), k, "p", ["n1", "n2"])
+    totals = points.groupBy(*k).agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
+    width = F.col("next_value") - F.col("p")
+    area = F.abs(F.try_divide(F.col("run_n1"), F.col("t1")) - F.try_divide(F.col("run_n2"), F.col("t2"))) * width
+    whole = (F.col("t1") > 0) & (F.col("t2") > 0)
+    return run.join(totals, k).filter(whole).groupBy(*k).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("w"))
+
+
 def wasserstein_prob(df: DataFrame, attrs: Sequence[str], prob: str, concern: float = 0.1) -> DataFrame:
     """Wasserstein-1 distance between the scores of the two groups of an attribute.
 
@@ -154,17 +171,9 @@ def wasserstein_prob(df: DataFrame, attrs: Sequence[str], prob: str, concern: fl
     scores = written(long.groupBy("attribute", "grp", "p").agg(F.count(F.lit(1)).alias("n")), "scores")
     pair = scores.groupBy("attribute", "grp").agg(F.sum("n").alias("n")).groupBy("attribute").agg(
         F.count(F.lit(1)).alias("n_groups"), F.min("grp").alias("group_1"), F.max("grp").alias("group_2"),
-        F.min_by("n", "grp").alias("t1"), F.max_by("n", "grp").alias("t2"),
     )
-    two = F.broadcast(pair.filter("n_groups = 2"))  # at most one row per attribute column
-    points = scores.join(two, "attribute").groupBy("attribute", "p").agg(
-        F.sum(F.when(F.col("grp") == F.col("group_1"), F.col("n")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("grp") == F.col("group_2"), F.col("n")).otherwise(0)).alias("n2"),
-        F.first("t1").alias("t1"), F.first("t2").alias("t2"),
-    )
-    run = running_sums(add_piece(points, "p", cut_points(scores, "p")), ["attribute"], "p", ["n1", "n2"])
-    area = F.abs(F.col("run_n1") / F.col("t1") - F.col("run_n2") / F.col("t2")) * (F.col("next_value") - F.col("p"))
-    dist = run.groupBy("attribute").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("w"))
+    two = pair.filter("n_groups = 2").select("attribute", "group_1", "group_2")
+    dist = _distances(scores, two, cut_points(scores, "p"), ["attribute"])
     out = pair.join(dist, "attribute", "left")
     ok = F.col("n_groups") == 2
     return out.select(
@@ -199,6 +208,51 @@ def individual_fairness(df: DataFrame, attrs: Sequence[str], key: str, prob: str
     return out
 
 
+def bootstrap_score_ci(
+    df: DataFrame, attrs: Sequence[str], target: str, prob: str, replicates: int = 200, seed: int = 42, min_rows: int = 20, steps: int = 10_000,
+    edges: Sequence[float] = CALIBRATION_EDGES,
+) -> DataFrame:
+    """95% bootstrap intervals of the metrics of scores: ``calibration_error`` of every group and ``wasserstein`` of every attribute
+    of two groups (``grp`` null, ``n`` its rows), every row weighted by Poisson(1) in each replicate.
+
+    Both come from one table of counted cells (attribute, group, label, calibration bin, score on a grid of ``steps`` to one, which
+    moves a score by at most half a step), so resampling costs a hash a cell and replicate and the running counts of a
+    replicate are formed in pieces of the score axis. Rows without score count for nothing, those without label only for
+    the distance. Groups below ``min_rows`` labelled rows have no error and LOW confidence.
+    """
+    p, y = F.col("_p"), F.col("y")
+    index = sum((F.when(p > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)).alias("bin")
+    long = to_long(df, attrs, [binary(target).alias("y"), as_double(F.col(prob)).alias("_p")]).filter(p.isNotNull())
+    names = ["attribute", "grp", "y", "bin", "score"]
+    counted = long.groupBy("attribute", "grp", "y", index, F.round(p * steps).cast("bigint").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(counted.withColumn("p", F.col("score") / F.lit(float(steps))), "cells")
+    drawn = written(resampled(cells, names, replicates, seed), "draws")
+    n = F.col("n")
+
+    def errors(table: DataFrame, keys: list[str]) -> DataFrame:
+        bins = table.filter(y.isNotNull()).groupBy(*keys, "bin").agg(F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * F.col("p")).alias("sp"))
+        err = F.avg(F.abs(F.try_divide(F.col("sy"), n) - F.try_divide(F.col("sp"), n)))  # bins without rows count for nothing
+        return bins.groupBy(*keys).agg(F.sum(n).alias("rows"), err.alias("value"))
+
+    sized = cells.groupBy("attribute", "grp").agg(F.sum(n).alias("n"), F.coalesce(F.sum(F.when(y.isNotNull(), n)), F.lit(0)).alias("labelled"))
+    two = sized.groupBy("attribute").agg(F.count(F.lit(1)).alias("k"), F.min("grp").alias("group_1"), F.max("grp").alias("group_2"), F.sum("n").alias("n")).filter("k = 2")
+    cuts = cut_points(cells, "p")
+    far = lambda table, keys: _distances(table, two.select("attribute", "group_1", "group_2"), cuts, keys)
+    group, label = ["attribute", "grp"], F.lit("calibration_error").alias("metric")
+    error = errors(cells, group).drop("rows")
+    point = sized.filter("labelled > 0").join(error, group).select(
+        *group, label, F.col("labelled").alias("n"), F.when(F.col("labelled") >= min_rows, F.col("value")).alias("value")
+    ).unionByName(far(cells, ["attribute"]).join(two, "attribute").select(
+        "attribute", F.lit(None).cast("string").alias("grp"), F.lit("wasserstein").alias("metric"), "n", F.col("w").alias("value")
+    ))
+    large = sized.filter(F.col("labelled") >= min_rows).select(*group)
+    draws = errors(drawn, [*group, "replicate"]).join(large, group).select(*group, label, "value").unionByName(
+        far(drawn, ["attribute", "replicate"]).select("attribute", F.lit(None).cast("string").alias("grp"), F.lit("wasserstein").alias("metric"), F.col("w").alias("value"))
+    )
+    out = intervals(draws, point, ["attribute", "grp", "metric"])
+    return out.withColumn("confidence", F.coalesce(F.when(n < defaults.SMALL_SAMPLE, "LOW"), reliability(F.col("_width")))).drop("_width")
+
+
 def lipschitz_pairs(df: DataFrame, attrs: Sequence[str], prob: str, features: Sequence[str], max_discrete: int = 5) -> DataFrame:
     """Score differences of similar records in different groups.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evenhand.operators import association as K, audit as A, cleaning as S, labels as L, metrics as M, mitigation as G, models as T
+from evenhand.plans import resample as R
 from evenhand.plans.longform import group_rates, with_totals
 from evenhand.sources import tables as IO, views as V
 
@@ -29,14 +32,51 @@ def test_bootstrap_bins_numeric_attributes_like_the_tests(spark):
     assert all(r.ci_lower <= r.ci_upper <= 0.2 for r in got.values())
 
 
-def test_poisson_cells_resample_rows(spark):
-    cells = spark.createDataFrame([("a", 0, 400), ("a", 1, 100), ("b", 1, 7)], "g string, y int, n bigint")
-    drawn = K._poisson_cells(cells, ["g", "y"], 400, 1)
-    stats = {(r.g, r.y): (r.m, r.v, r.k) for r in drawn.groupBy("g", "y").agg(F.avg("n").alias("m"), F.var_samp("n").alias("v"), F.count("n").alias("k")).collect()}
-    for g, y, n in (("a", 0, 400), ("a", 1, 100), ("b", 1, 7)):
-        mean, var, k = stats[g, y]
-        assert k == 400 and abs(mean - n) < 5 * (n / 400) ** 0.5 and 0.7 * n < var < 1.4 * n
-    assert drawn.collect() == K._poisson_cells(cells.repartition(1), ["g", "y"], 400, 1).collect() or sorted(map(tuple, drawn.collect())) == sorted(map(tuple, K._poisson_cells(cells.repartition(3), ["g", "y"], 400, 1).collect()))
+def test_resampled_cells_are_poisson(spark):
+    sizes = {("a", 0): 400, ("a", 1): 100, ("b", 1): 7, ("b", 0): 31, ("c", None): 32, ("c", 1): 1}
+    cells = spark.createDataFrame([(g, y, n) for (g, y), n in sizes.items()], "g string, y int, n bigint")
+    drawn = R.resampled(cells, ["g", "y"], 4000, 1)
+    seen = drawn.groupBy("g", "y").agg(F.collect_list("n").alias("d")).collect()
+    for r in seen:
+        n, d = sizes[r.g, r.y], np.sort(np.array(r.d))
+        assert len(d) == 4000 and abs(d.mean() - n) < 5 * (n / 4000) ** 0.5 and 0.88 * n < d.var() < 1.12 * n
+        below, cdf = 0.0, []
+        for k in range(n + 1):
+            below += math.exp(k * math.log(n) - n - math.lgamma(k + 1))
+            cdf.append(below)
+        assert max(abs((d <= k).mean() - c) for k, c in enumerate(cdf)) < 0.03  # the whole distribution, not its moments only
+    assert sorted(map(repr, drawn.collect())) == sorted(map(repr, R.resampled(cells.repartition(3), ["g", "y"], 4000, 1).collect()))
+    assert R.resampled(cells.filter("n > 1000"), ["g", "y"], 5).count() == 0
+
+
+def test_score_intervals_against_a_resampling_of_rows(spark):
+    rng = np.random.default_rng(8)
+    n = 900
+    g, p = np.repeat(["a", "b"], n // 2), np.round(rng.random(n), 2)
+    p[n // 2:] = np.round(p[n // 2:] ** 1.3, 2)
+    y = (rng.random(n) < p).astype(float)
+    y[::50] = np.nan
+    pdf = pd.DataFrame({"g": g, "s": np.where(np.arange(n) < 5, "few", np.where(np.arange(n) % 3 == 0, "u", "v")), "y": y, "p": p})
+    df = spark.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y").cast("int")))
+    got = {(r.attribute, r.grp, r.metric): r for r in M.bootstrap_score_ci(df, ["g", "s"], "y", "p").collect()}
+    base = {r.attribute: r for r in M.wasserstein_prob(df, ["g", "s"], "p").collect()}
+    errors = {(r.attribute, r.grp): r for r in M.calibration_error(df, ["g", "s"], "y", "p").collect()}
+    assert ("s", None, "wasserstein") not in got and got["g", None, "wasserstein"].point == base["g"].wasserstein
+    assert all(got[a, k, "calibration_error"].point == e.calibration_error for (a, k), e in errors.items())
+    few = got["s", "few", "calibration_error"]
+    assert (few.point, few.ci_lower, few.confidence) == (None, None, "LOW")
+    draws = []
+    for _ in range(1500):
+        w = rng.poisson(1, n)
+        a, b = np.sort(np.repeat(p[: n // 2], w[: n // 2])), np.sort(np.repeat(p[n // 2:], w[n // 2:]))
+        x = np.unique(p)
+        fa, fb = np.searchsorted(a, x, "right") / len(a), np.searchsorted(b, x, "right") / len(b)
+        draws.append((np.abs(fa - fb)[:-1] * np.diff(x)).sum())
+    lo, hi = np.quantile(draws, [0.025, 0.975])
+    r = got["g", None, "wasserstein"]
+    assert abs(r.ci_lower - lo) < 0.012 and abs(r.ci_upper - hi) < 0.012
+    empty = M.bootstrap_score_ci(df.filter("p > 2"), ["g"], "y", "p")
+    assert empty.count() == 0
 
 
 def test_metric_intervals_hold_the_metrics(spark):

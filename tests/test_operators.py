@@ -220,7 +220,7 @@ def test_bootstrap(people):
     got = {r["attribute"]: r for r in K.bootstrap_cramers_v(df, ["g", "neutral"], "approved").collect()}
     assert got["g"]["ci_lower"] <= got["g"]["point"] <= got["g"]["ci_upper"] and got["g"]["ci_lower"] > 0.1
     assert rows(K.bootstrap_cramers_v(df, ["g"], "approved")) == rows(K.bootstrap_cramers_v(df.repartition(5), ["g"], "approved"))
-    for r in K.bootstrap_rate_ci(df, "id", ["g"], "approved").collect():
+    for r in K.bootstrap_rate_ci(df, ["g"], "approved").collect():
         half = 1.96 * math.sqrt(r["point"] * (1 - r["point"]) / r["n"])
         assert 0.6 < r["ci_width"] / (2 * half) < 1.6
 
