@@ -21,6 +21,10 @@ TARGET = "approved"
 COEFS = {"age": 0.01, "employment_years": -0.005, "income": 0.00002, "total_price": 0.000001, "branch_tier": -0.2, "skill_score": 0.004}
 MODEL_FEATURES = ["age", "employment_years", "income", "total_price", "branch_tier", "skill_score"]
 
+# A score that is not additive, in terms that Spark and DuckDB read alike, and the error its attributions are asked for.
+FORMULA = "1e0 / (1e0 + exp(-(2e-2 * (age - 4e1) + 1e-4 * income * (branch_tier - 2e0) + 1e-6 * total_price - 1e-2 * employment_years * coalesce(skill_score, 5e1) / 5e1)))"
+FORMULA_ERROR = 0.001
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -520,8 +524,15 @@ def sampled_attributions(spark, sf):
     df = V.decisions(spark, sf)
     parts = _split(spark, sf)
     model = T.fit_classifier(parts.filter("split = 'train'"), MODEL_FEATURES, TARGET, kind="logistic")
-    phi = X.sampled_attributions(df, "record_id", MODEL_FEATURES, model, ATTRS)
-    return X.attribution_divergence(X.attributions_by_group(phi, ATTRS))
+    return X.attribution_divergence(X.group_sampled_attributions(df, "record_id", MODEL_FEATURES, model, ATTRS))
+
+
+@query
+def formula_attributions(spark, sf):
+    """Sampled attributions of a score with interactions, in one round of four pairs of orders."""
+    out = X.group_sampled_attributions(V.decisions(spark, sf), "record_id", MODEL_FEATURES, F.expr(FORMULA), ATTRS, tolerance=FORMULA_ERROR, pairs=4, most_pairs=4)
+    digits = ("mean_phi", "std_error", "mean_score", "mean_reference")
+    return out.select(*[F.round(c, 6).alias(c) if c in digits else c for c in out.columns])
 
 
 # ---- fairness metrics --------------------------------------------------------------------------

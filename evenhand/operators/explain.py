@@ -11,6 +11,7 @@ from evenhand.functions.hashing import uniform
 from evenhand.functions.numeric import argmax, argmin, as_double, cap1
 from evenhand.operators.models import score_table
 from evenhand.plans.longform import require, to_long
+from evenhand.sources.tables import written
 
 
 def _means(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
@@ -88,42 +89,121 @@ def feature_proxy_report(df: DataFrame, proxies: DataFrame, coefficients: dict[s
     return joined.select("attribute", "feature", "cramers_v", F.round("importance", 6).alias("importance"), "score", F.row_number().over(order).alias("rank"))
 
 
-def sampled_attributions(
-    df: DataFrame, key: str, features: Sequence[str], model: PipelineModel, attrs: Sequence[str] = (), permutations: int = 4,
-    background_rows: int = 100,
+def _score(model: PipelineModel | Column, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return score_table(model, df, features) if isinstance(model, PipelineModel) else df.withColumn("y_prob", model)
+
+
+def _background(df: DataFrame, key: str, features: Sequence[str], rows: int) -> DataFrame:
+    """The first ``rows`` rows by the md5 of their key, numbered from 0 (a written table of that many rows at most)."""
+    own = df.select(F.coalesce(F.col(key).cast("string"), F.lit("~")).alias("k"), *[as_double(F.col(f)).alias(f"b{i}") for i, f in enumerate(features)])
+    names = ["h", "k", *[f"b{i}" for i in range(len(features))]]
+    chosen = own.withColumn("h", F.md5(F.concat("k", F.lit("-bg")))).orderBy(*names).limit(rows)
+    listed = chosen.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("l")).select(F.posexplode("l").alias("_ref", "s"))
+    return written(listed.select("_ref", *[f"s.b{i}" for i in range(len(features))]), "background")
+
+
+def _contributions(
+    df: DataFrame, key: str, features: Sequence[str], model: PipelineModel | Column, attrs: Sequence[str], pairs: tuple[int, int], background: DataFrame,
+    n_background: int,
 ) -> DataFrame:
-    """Monte-Carlo Shapley values of the positive-class probability for any fitted model.
-
-    For every row and seeded feature order, the features are switched one by one from a background
-    row to the row's own values; the change of the score is the feature's contribution. The sum over
-    features equals the score minus the mean score of the drawn background rows. The expansion stays
-    in the scan stage: each scored step adds to the feature switched on and subtracts from the next
-    one, so only partial sums per (row, feature) are shuffled. The background is a fixed
-    number of rows chosen by hash.
+    """Scored coalitions of every row and drawn pair of orders: ``c0, c1, ...`` add up to each feature's contribution over the pair's
+    2d coalitions, ``own`` and ``ref`` to the scores of the row and of its background row.
+
+    A pair is an order of the features and its reverse with one background row, all drawn by a hash of key and pair. Both orders
+    start without and end with all features, so these two coalitions are scored once.
     """
-    d = len(features)
-    own = df.select(key, *attrs, *[as_double(F.col(f)).alias(f) for f in features])
-    chosen = own.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("-bg"))), key).limit(background_rows)
-    sample = chosen.select(F.sort_array(F.collect_list(F.struct(key, F.array(*features).alias("x")))).alias("b")).scalar()
+    d, f0 = len(features), F.col
+    rows = df.select(key, *attrs, *[as_double(F.col(f)).alias(f) for f in features])
+    draws = rows.withColumn("_pair", F.explode(F.sequence(F.lit(pairs[0]), F.lit(pairs[1]))))
+    tag = F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("~")), F.col("_pair").cast("string"))
+    digest = F.concat(*[F.md5(F.concat_ws("-", tag, F.lit(f"o{b}"))) for b in range(-(-d // 8))])  # 16 bits a feature
+    draws = draws.withColumn("_d", digest).withColumn("_ref", F.floor(uniform(tag, "b") * n_background).cast("int"))
     slots = F.array(*[F.lit(i) for i in range(d)])
-    draws = own.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    tag = F.concat_ws("-", F.col(key).cast("string"), F.col("_p").cast("string"))
-    order = F.transform(F.array_sort(F.transform(slots, lambda i: F.struct(F.md5(F.concat_ws("-", F.lit("o"), tag, i.cast("string"))).alias("h"), i.alias("i")))), lambda s: s["i"])
-    n_bg = F.size("_bg")
-    draws = draws.withColumn("_bg", sample).withColumn("_order", order)
-    draws = draws.withColumn("_ref", F.col("_bg")[F.floor(uniform(tag, "b") * n_bg).cast("int")]["x"]).drop("_bg")
-    steps = draws.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    # position of a feature in the order: on after step s when its position is below s
-    place = {f: F.array_position("_order", i) - 1 for i, f in enumerate(features)}
-    mixed = steps.select(
-        key, *attrs, "_s", "_order", *[F.when(place[f] < F.col("_s"), F.col(f)).otherwise(F.col("_ref")[i]).alias(f) for i, f in enumerate(features)]
+    placed = F.array_sort(F.transform(slots, lambda i: F.struct(F.substring(f0("_d"), i * 4 + 1, F.lit(4)).alias("h"), i.alias("i"))))
+    draws = draws.withColumn("_order", F.transform(placed, lambda s: s["i"]))
+    draws = draws.withColumns({f"_at{i}": (F.array_position("_order", i) - 1).cast("int") for i in range(d)}).drop("_d", "_order")
+    # coalitions: places lo up to hi are the row's own; what they add (p) and take away (m) goes to the features at these places
+    steps = [(0, 0, -1, -1, 0, d - 1), (0, d, d - 1, 0, -1, -1)]
+    steps += [(0, s, s - 1, -1, s, -1) for s in range(1, d)] + [(d - s, d, d - s, -1, d - s - 1, -1) for s in range(1, d)]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(step, ("_lo", "_hi", "_p", "_q", "_m", "_k"))]) for step in steps])
+    # the background has a bounded number of rows
+    steps_of = draws.join(F.broadcast(background), "_ref").select("*", F.inline(table))
+    inside = lambda i: (f0(f"_at{i}") >= f0("_lo")) & (f0(f"_at{i}") < f0("_hi"))
+    at = lambda i, c: (f0(f"_at{i}") == f0(c)).cast("int")
+    mixed = steps_of.select(
+        key, *attrs, "_pair", "_lo", "_hi", *[(at(i, "_p") + at(i, "_q") - at(i, "_m") - at(i, "_k")).alias(f"_w{i}") for i in range(d)],
+        *[F.when(inside(i), F.col(f)).otherwise(F.col(f"b{i}")).alias(f) for i, f in enumerate(features)],
     )
-    scored = score_table(model, mixed, features)
-    names = F.array(*[F.lit(f) for f in features])
-    at = lambda pos: F.try_element_at(names, F.try_element_at(F.col("_order"), pos) + 1)
-    parts = F.array(
-        F.struct(F.when(F.col("_s") > 0, at(F.greatest(F.col("_s"), F.lit(1)))).alias("feature"), F.col("y_prob").alias("v")),
-        F.struct(F.when(F.col("_s") < d, at(F.col("_s") + 1)).alias("feature"), (-F.col("y_prob")).alias("v")),
+    v = F.col("y_prob")
+    return _score(model, mixed, features).select(
+        key, *attrs, "_pair", *[(F.col(f"_w{i}") * v / 2).alias(f"c{i}") for i in range(d)],
+        F.when(F.col("_hi") - F.col("_lo") == d, v).alias("own"), F.when(F.col("_hi") == 0, v).alias("ref"),
     )
-    long = scored.select(key, *attrs, F.inline(parts)).filter(F.col("feature").isNotNull())
-    return long.groupBy(key, *attrs, "feature").agg((F.sum("v") / permutations).alias("phi"))
+
+
+def _prepared(df: DataFrame, key: str, features: Sequence[str], attrs: Sequence[str], background_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """The needed columns, written once in even parts (a row becomes many scored ones, so few parts would leave cores
+    idle), the background and its number of rows."""
+    require(df, [key, *features, *attrs])
+    if not features:
+        raise ValueError("no features to attribute the score to")
+    needed = df.select(*dict.fromkeys([key, *attrs, *features]))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(needed.repartition(parts, F.xxhash64(*needed.columns)), "rows")
+    background = _background(rows, key, features, background_rows)
+    return rows, background, background.count()
+
+
+def sampled_attributions(
+    df: DataFrame, key: str, features: Sequence[str], model: PipelineModel | Column, attrs: Sequence[str] = (), pairs: int = 2,
+    background_rows: int = 100,
+) -> DataFrame:
+    """Monte-Carlo Shapley values ``phi`` of every row's score, by a fitted model's probability or any column expression
+    over the features, with the standard error between pairs of orders (null with one pair).
+
+    The sum over the features is the row's score minus the mean score of its drawn background rows. Rows of one key count
+    as one row. Costs a shuffle of a row for each row and pair; :func:`group_sampled_attributions` does without.
+    """
+    df, background, n = _prepared(df, key, features, attrs, background_rows)
+    names = [f"c{i}" for i in range(len(features))]
+    parts = _contributions(df, key, features, model, attrs, (1, pairs), background, n)
+    sums = parts.groupBy(key, *attrs, "_pair").agg(*[F.sum(c).alias(c) for c in names], F.count("own").alias("_n"))
+    rows = sums.groupBy(key, *attrs).agg(*[
+        F.struct(F.avg(F.col(c) / F.col("_n")).alias("phi"), (F.stddev_samp(F.col(c) / F.col("_n")) / F.sqrt(F.lit(float(pairs)))).alias("std_error")).alias(c) for c in names
+    ])
+    return rows.select(key, *attrs, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}.phi").alias("phi"), F.col(f"c{i}.std_error").alias("std_error")) for i, f in enumerate(features)])))
+
+
+def group_sampled_attributions(
+    df: DataFrame, key: str, features: Sequence[str], model: PipelineModel | Column, attrs: Sequence[str], tolerance: float = 0.002, pairs: int = 4,
+    most_pairs: int = 64, background_rows: int = 100,
+) -> DataFrame:
+    """Mean Shapley value per group and feature, drawn until every standard error is at most ``tolerance``.
+
+    Each pair of orders gives one estimate of a group's mean over all its rows; their spread is the error of the drawing (rows
+    are not drawn, all are used). Pairs are doubled until the largest error is within the tolerance or ``most_pairs`` are
+    drawn, then ``settled`` is false. The means of a group add up to ``mean_score - mean_reference``. Sums are formed in the scan
+    stage per combination of groups, so no scored row is shuffled; the driver sees the largest error of a round.
+    """
+    df, background, n_bg = _prepared(df, key, features, attrs, background_rows)
+    d, done, rounds = len(features), 0, []
+    sums = [*[f"c{i}" for i in range(d)], "own", "ref"]
+    while True:
+        upto = min(max(2 * done, pairs), most_pairs)
+        parts = _contributions(df, key, features, model, attrs, (done + 1, upto), background, n_bg)
+        cells = parts.groupBy(*attrs, "_pair").agg(*[F.sum(c).alias(c) for c in sums], F.count("own").alias("n"))
+        groups = to_long(cells, attrs, ["_pair", "n", *sums]).groupBy("attribute", "grp", "_pair").agg(*[F.sum(c).alias(c) for c in ["n", *sums]])
+        rounds.append(written(groups, "attributions"))
+        done = upto
+        every = rounds[0]
+        for more in rounds[1:]:
+            every = every.unionByName(more)
+        listed = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"c{i}") / F.col("n")).alias("phi")) for i, f in enumerate(features)])
+        long = every.select("attribute", "grp", "n", (F.col("own") / F.col("n")).alias("s"), (F.col("ref") / F.col("n")).alias("r"), F.inline(listed))
+        out = long.groupBy("attribute", "grp", "feature").agg(
+            F.max("n").alias("n"), F.avg("phi").alias("mean_phi"), (F.stddev_samp("phi") / F.sqrt(F.count("phi"))).alias("std_error"),
+            F.avg("s").alias("mean_score"), F.avg("r").alias("mean_reference"),
+        )
+        worst = out.agg(F.max("std_error").alias("e")).first()["e"]
+        if done >= most_pairs or (worst is None and done > 1) or (worst is not None and worst <= tolerance):
+            return out.select("*", F.lit(done).alias("pairs"), F.coalesce(F.col("std_error") <= tolerance, F.lit(False)).alias("settled"))

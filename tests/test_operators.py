@@ -1,5 +1,7 @@
 """Operators on edge tables and against plain pandas; planted effects must be found."""
 
+import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -208,13 +210,60 @@ def test_sampled_attributions_sum_rule(people):
     small = df.limit(60)
     feats = ["x", "z"]
     model = T.fit_classifier(df, feats, "approved", kind="logistic")
-    phi = X.sampled_attributions(small, "id", feats, model, permutations=1, background_rows=10)
+    phi = X.sampled_attributions(small, "id", feats, model, pairs=1, background_rows=10)
     score = {r["id"]: r["y_prob"] for r in T.score_table(model, small, feats).collect()}
     for r in phi.groupBy("id").agg(F.sum("phi").alias("s"), F.count("*").alias("k")).collect():
         assert r["k"] == len(feats)
         assert min(abs(score[r["id"]] - r["s"] - b) for b in score.values()) < 1e-9  # some background score
 
 
+def test_group_attributions_are_within_their_errors_of_exact_shapley_values(spark):
+    rng = np.random.default_rng(11)
+    n, feats = 240, ["a", "b", "c"]
+    pdf = pd.DataFrame(rng.normal(size=(n, 3)), columns=feats).assign(id=np.arange(n), g=np.where(np.arange(n) % 3 == 0, "u", "v"))
+    score = lambda x: x[..., 0] * x[..., 1] + x[..., 2] ** 2 * (x[..., 0] > 0)
+    df = spark.createDataFrame(pdf)
+    formula = F.expr("a * b + c * c * IF(a > 0, 1D, 0D)")
+    got = X.group_sampled_attributions(df, "id", feats, formula, ["g"], tolerance=0.02, pairs=4, most_pairs=64, background_rows=40).toPandas()
+    order = pdf["id"].map(lambda k: hashlib.md5(f"{k}-bg".encode()).hexdigest()).sort_values().index[:40]
+    x, bg = pdf[feats].to_numpy(), pdf.loc[order, feats].to_numpy()
+    value = {}
+    for on in itertools.product((False, True), repeat=3):
+        mixed = np.where(np.array(on), x[:, None, :], bg[None, :, :])
+        value[on] = score(mixed).mean(axis=1)
+    for i, f in enumerate(feats):
+        exact = np.zeros(n)
+        for perm in itertools.permutations(range(3)):
+            before = tuple(perm.index(j) < perm.index(i) for j in range(3))
+            after = tuple(perm.index(j) <= perm.index(i) for j in range(3))
+            exact += (value[after] - value[before]) / 6
+        for g in ("u", "v"):
+            r = got[(got.grp == g) & (got.feature == f)].iloc[0]
+            assert abs(r["mean_phi"] - exact[pdf["g"] == g].mean()) < 5 * max(r["std_error"], 0.004) and r["n"] == (pdf["g"] == g).sum()
+    assert got["pairs"].nunique() == 1 and 4 < got["pairs"].iloc[0] <= 64  # four are not enough here
+    assert (got["settled"] == (got["std_error"] <= 0.02)).all()
+    for _, part in got.groupby("grp"):
+        assert abs(part["mean_phi"].sum() - (part["mean_score"] - part["mean_reference"]).iloc[0]) < 1e-9
+    rows = X.sampled_attributions(df, "id", feats, formula, ["g"], pairs=4, background_rows=40)
+    again = X.attributions_by_group(rows, ["g"]).toPandas().set_index(["grp", "feature"])["mean_phi"]
+    four = X.group_sampled_attributions(df, "id", feats, formula, ["g"], pairs=4, most_pairs=4, background_rows=40).toPandas().set_index(["grp", "feature"])["mean_phi"]
+    assert np.allclose(again.sort_index(), four.sort_index(), atol=1e-12)
+
+
+def test_attributions_of_one_feature_many_features_and_no_rows(spark):
+    one = spark.createDataFrame([(1, 2.0, "u"), (2, None, "u"), (None, 5.0, "v"), (3, 5.0, None)], "id int, a double, g string")
+    got = X.group_sampled_attributions(one, "id", ["a"], F.coalesce(F.col("a"), F.lit(0.0)) * 2, ["g"], pairs=2, most_pairs=2).collect()
+    assert {(r.grp, r.n) for r in got} == {("u", 2), ("v", 1)}
+    assert all(abs(r.mean_phi - (r.mean_score - r.mean_reference)) < 1e-12 for r in got)
+    wide = spark.range(30).select("id", F.lit("u").alias("g"), *[(F.col("id") * (i + 1) % 7).cast("double").alias(f"x{i}") for i in range(20)])
+    total = sum((F.col(f"x{i}") for i in range(20)), F.lit(0.0))
+    out = X.group_sampled_attributions(wide, "id", [f"x{i}" for i in range(20)], total, ["g"], pairs=2, most_pairs=2, background_rows=5).collect()
+    assert len(out) == 20 and abs(sum(r.mean_phi for r in out) - (out[0].mean_score - out[0].mean_reference)) < 1e-9
+    assert X.group_sampled_attributions(one.filter("id > 9"), "id", ["a"], F.col("a"), ["g"]).count() == 0
+    with pytest.raises(ValueError):
+        X.sampled_attributions(one, "id", [], F.col("a"))
+
+
 def test_bootstrap(people):
     df, _ = people
     got = {r["attribute"]: r for r in K.bootstrap_cramers_v(df, ["g", "neutral"], "approved").collect()}
