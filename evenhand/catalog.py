@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions.hashing import uniform
 from evenhand.operators import (
-    association as K, audit as A, cleaning as S, explain as X, labels as L, metrics as M, mitigation as G, models as T, monitoring as N, report as P, risk as R,
+    association as K, audit as A, cleaning as S, explain as X, labels as L, metrics as M, mitigation as G, models as T, monitoring as N, profile as Q, report as P, risk as R,
 )
 from evenhand.plans.association import chi_square
 from evenhand.sources import tables as IO, views as V
@@ -88,6 +88,19 @@ def table_profile(spark, sf):
     return S.table_profile(V.decisions(spark, sf))
 
 
+@query
+def growing_profile(spark, sf):
+    """Decisions profiled year by year as they would arrive, the last year recorded twice; merged per column of few values."""
+    df = by_year(V.decisions(spark, sf)).select("model_id", *V.ATTRS4, "age", "branch_tier", "y_prob", "skill_score")
+    path = IO.scratch_folder(spark, "profiles")
+    Q.record_profiles(Q.part_profiles(df.filter("model_id < '2000'"), "model_id"), path)
+    for _ in range(2):
+        Q.record_profiles(Q.part_profiles(df.filter("model_id >= '2000'"), "model_id"), path)
+    out = Q.merged_profile(Q.recorded_profiles(spark, path))
+    few = F.when(F.col("column_name") != "skill_score", F.col("n_distinct"))  # estimates of many values are tested, not compared
+    return out.select("position", "column_name", "dtype", "n", "n_null", few.alias("n_distinct"), *[F.round(c, 4).alias(c) for c in ("low", "high", "mean", "std")])
+
+
 # ---- cleaning ----------------------------------------------------------------------------------
 
 
