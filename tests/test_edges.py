@@ -169,6 +169,20 @@ def test_shared_folder(spark):
     assert not fs.exists(folder)
 
 
+def test_a_mounted_folder_serves_a_cluster(spark, monkeypatch):
+    folder = spark.sparkContext.getCheckpointDir()
+    assert folder.startswith("file:")
+    IO.release(spark)
+    with monkeypatch.context() as cluster:
+        cluster.setattr(spark.sparkContext, "master", "spark://h:7077")
+        df = IO.written(spark.range(100), "try")
+        assert df.count() == 100 and IO.run_folder(spark).startswith(folder)
+        IO.release(spark)
+        cluster.setattr(IO, "shared_by_all", lambda session, base: False)  # not mounted elsewhere
+        with pytest.raises(RuntimeError):
+            IO.written(spark.range(100), "try")
+
+
 def test_many_models_in_one_job_equal_one_by_one(spark, sf):
     df = V.decisions(spark, sf).withColumn("model_id", F.date_format("decided_at", "yyyy"))
     attrs = ["segment", "region"]
