@@ -215,6 +215,52 @@ def test_cells_are_bounded(spark, monkeypatch):
     assert sum(sizes) == len(x) and max(sizes) <= 50 and len(rounds) > 1
 
 
+def test_rows_that_do_not_ask_search_nothing(spark, monkeypatch):
+    """Some rows ask, in one class: their neighbours are those of the search of all, the other class is not cut into cells at all."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 30)
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"id": np.arange(600), "c": np.where(np.arange(600) % 3, "p", "q"), "a": rng.normal(size=600), "b": rng.normal(size=600)})
+    df, trees, cells = spark.createDataFrame(pdf), [], neighbours._grown
+    every = neighbours.nearest(df, "id", ["a", "b"], 3, by="c").filter("id % 30 = 0")
+    monkeypatch.setattr(neighbours, "_grown", lambda points: trees.extend(r[0] for r in points.select("tree").distinct().collect()) or cells(points))
+    some = neighbours.nearest(df, "id", ["a", "b"], 3, by="c", asking=df.filter("id % 30 = 0"))
+    assert sorted(some.collect()) == sorted(every.collect()) and some.count() == 60
+    assert trees == ["q"]
+
+
+def test_groups_far_apart_and_a_question_a_vector(spark, monkeypatch):
+    """Cells of one group: their vectors ask the other groups' trees; where cells are mixed a vector asks once, not once a group."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 40)
+    asked, met = [], neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda q, *rest: asked.append(q.count()) or met(q, *rest))
+    rng = np.random.default_rng(13)
+    for shift in (0.0, 100.0):
+        g = np.arange(500) % 5
+        pdf = pd.DataFrame({"id": np.arange(500), "g": [f"g{i}" for i in g], "a": rng.normal(size=500) + shift * g, "b": rng.normal(size=500)})
+        x = pdf[["a", "b"]].to_numpy()
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        dist[g[:, None] == g[None]] = np.inf
+        asked.clear()
+        got = neighbours.nearest_in_other_groups(spark.createDataFrame(pdf), "id", "g", ["a", "b"]).toPandas().sort_values("id")
+        assert got["neighbour"].tolist() == dist.argmin(axis=1).tolist() and np.allclose(got["distance"], dist.min(axis=1))
+        assert asked[0] == 500 and (shift or len(asked) == 2)
+
+
+@pytest.mark.parametrize("want", [1, 6])
+def test_blocks_of_a_cell(want):
+    """Blocks against brute force: ties, copies of coordinates, one row, labels, limits."""
+    rng = np.random.default_rng(14)
+    for n, m in ((700, 900), (1, 50), (50, 1)):
+        q, p = np.round(rng.normal(size=(n, 3)), 1), np.round(rng.normal(size=(m, 3)), 1)
+        ql, pl, limit = rng.integers(0, 3, n), rng.integers(0, 3, m), np.where(rng.random(n) < 0.2, 0.3, np.inf)
+        dist = np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2))
+        dist[ql[:, None] == pl[None]] = np.inf
+        last = np.minimum(np.sort(dist, axis=1)[:, min(want, m) - 1], limit)
+        row, col, far = neighbours._pairs(q, limit, p, want, ql, pl)
+        wanted = {(i, j) for i, j in zip(*np.nonzero((dist <= last[:, None] + 1e-12) & np.isfinite(dist)))}
+        assert wanted <= set(zip(row, col)) and len(set(zip(row, col))) == len(row) and np.allclose(far, dist[row, col])
+
+
 def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "id long, a double")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, "id", ["a"], 5).collect()}
