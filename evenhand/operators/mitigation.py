@@ -56,9 +56,10 @@ def smote_oversample(
     rows = every.filter(F.col(by).isNotNull() & F.col(key).isNotNull())
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     top = sizes.agg(F.max("_n")).first()[0]
-    near = nearest(rows, key, features, k, by=by)
     marked = first_by_hash(rows, key, by, lambda n: (F.lit(top) - n) % n, f"smote-{seed}").join(sizes, by).filter("_n > 1")
     copies = marked.withColumn("_copies", F.floor((F.lit(top) - F.col("_n")) / F.col("_n")).cast("int") + F.col("_first").cast("int")).filter("_copies > 0")
+    copies = written(copies, "copies")
+    near = nearest(rows, key, features, k, by=by, asking=copies)  # other rows need no neighbours
     tag = F.concat_ws("-", F.col(key).cast("string"), F.col("_c").cast("string"))
     picked = copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn(
         "rank", (F.floor(uniform(tag, f"nb{seed}") * F.least(F.lit(k), F.col("_n") - 1)) + 1).cast("int")

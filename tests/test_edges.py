@@ -148,6 +148,14 @@ def test_oversampling_keeps_every_row(spark):
     assert kinds == {(1, False): 76, (0, False): 25, (None, False): 1, (0, True): 50} and out.filter("a IS NULL OR b IS NULL").count() == 0
 
 
+def test_oversampling_asks_for_the_rows_with_copies(spark, monkeypatch):
+    asked, search = [], G.nearest
+    monkeypatch.setattr(G, "nearest", lambda *a, asking=None, **k: asked.append(asking.count()) or search(*a, asking=asking, **k))
+    rows = [(i, 1 if i % 9 > 3 else 0, float(i % 11), float(i % 5)) for i in range(90)]  # 50 and 40 rows: ten copies
+    out = G.smote_oversample(spark.createDataFrame(rows, "k bigint, y int, a double, b double"), "k", ["a", "b"], "y", k=3)
+    assert out.filter("synthetic AND y = 0").count() == 10 and out.count() == 100 and asked == [10]
+
+
 def test_totals_of_a_key_with_many_groups_need_no_window(spark):
     groups = spark.range(200_000).select(F.lit("attr").alias("attribute"), F.col("id").cast("string").alias("grp"), F.lit(2).alias("n"))
     out = with_totals(groups, ["attribute"], total=F.sum("n"))
