@@ -156,6 +156,17 @@ def test_oversampling_asks_for_the_rows_with_copies(spark, monkeypatch):
     assert out.filter("synthetic AND y = 0").count() == 10 and out.count() == 100 and asked == [10]
 
 
+def test_forest_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """A table of one file is not grown into trees by one task; a short one stays as it is."""
+    seen, fit = [], T.Pipeline.fit
+    monkeypatch.setattr(T.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), self.getStages()[-1].getCacheNodeIds())) or fit(self, df))
+    df = spark.range(0, 400, 1, 1).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    for least, pieces in ((50, 8), (1000, 1)):
+        monkeypatch.setattr(T, "_FOREST_ROWS", (least, 1_000_000))
+        model = T.fit_classifier(df, ["a"], "y", trees=3, depth=3)
+        assert seen.pop() == (pieces, True) and T.score_table(model, df, ["a"]).filter("y_pred <> y").count() == 0
+
+
 def test_totals_of_a_key_with_many_groups_need_no_window(spark):
     groups = spark.range(200_000).select(F.lit("attr").alias("attribute"), F.col("id").cast("string").alias("grp"), F.lit(2).alias("n"))
     out = with_totals(groups, ["attribute"], total=F.sum("n"))
