@@ -94,6 +94,28 @@ def test_live_feedback_equals_batch_and_its_state_ends(spark):
     assert found.agg(F.sum("n_open")).first()[0] == 240 - len(pairs)
 
 
+def test_state_on_disk(spark):
+    """A join's state in RocksDB, with the rows of the state in memory; the session's settings are as before."""
+    rows = [(i, DAY + dt.timedelta(days=i), i % 2, "ab"[i % 2]) for i in range(60)]
+    later = [(i, DAY + dt.timedelta(days=i + 100), i % 3 % 2) for i in range(60)]
+    rows, later = [*rows, (99, DAY + dt.timedelta(days=900), 1, "z")], [*later, (99, DAY + dt.timedelta(days=1600), 1)]  # all before are through
+    paths = [IO.scratch_folder(spark, n) for n in ("made", "seen")]
+    schemas = ["record_id long, decided_at timestamp_ntz, y_pred int, grp string", "record_id long, observed_at timestamp_ntz, outcome int"]
+    for path, schema, part in zip(paths, schemas, (rows, later)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(path)
+    said, found = dict(spark.conf.getAll), []
+    for on_disk in (False, True):
+        made, seen = (spark.readStream.schema(s).parquet(p) for s, p in zip(schemas, paths))
+        result = live.stream_feedback_moments(made, seen, "record_id", "decided_at", "observed_at", "y_pred", ["grp"], every="5 days")
+        out = IO.scratch_folder(spark, "moments")
+        query = live.append_to(result, out, IO.scratch_folder(spark, "state"), **({"on_disk": True} if on_disk else {}))
+        query.awaitTermination()
+        metrics = {m for p in query.recentProgress for op in p["stateOperators"] for m in op["customMetrics"]}
+        assert any(m.startswith("rocksdb") for m in metrics) == on_disk
+        found.append(sorted(map(str, spark.read.parquet(out).collect())))
+    assert found[0] == found[1] and len(found[0]) > 0 and dict(spark.conf.getAll) == said
+
+
 def test_batch_late_report(spark):
     rows = [(DAY + dt.timedelta(hours=h), DAY + dt.timedelta(hours=h + late)) for h, late in ((1, 0), (2, 40), (30, 1), (31, 60))]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, arrived timestamp_ntz")
