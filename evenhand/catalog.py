@@ -730,7 +730,8 @@ def mitigation_run(spark, sf):
     """Every level's techniques on the split decisions."""
     parts = _split(spark, sf).select("record_id", "segment", "region", "approved", *MODEL_FEATURES, "split")
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    runs = [G.run_mitigation(train, test, "record_id", MODEL_FEATURES, TARGET, "region", level) for level in G.PLAN]
+    baseline = G.mitigation_baseline(train, test, MODEL_FEATURES, TARGET)
+    runs = [G.run_mitigation(train, test, "record_id", MODEL_FEATURES, TARGET, "region", level, baseline=baseline) for level in G.PLAN]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -407,20 +408,26 @@ def pareto_sweep(
     return train.sparkSession.createDataFrame(out, "epsilon double, accuracy double, dp_gap double, train_gap double, duality_gap double, solved boolean")
 
 
+def mitigation_baseline(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, kind: str = "logistic") -> tuple[PipelineModel, DataFrame]:
+    """The original model and the test rows with its scores, written: what all levels of :func:`run_mitigation` compare with."""
+    model = fit_classifier(train, features, target, kind)
+    return model, written(score_table(model, test, features), "baseline")
+
+
 def run_mitigation(
     train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, group: str, level: str, kind: str = "logistic",
-    tolerance: float = defaults.ACCURACY_TOLERANCE, epsilon: float = 0.01, rounds: int = 8,
+    tolerance: float = defaults.ACCURACY_TOLERANCE, epsilon: float = 0.01, rounds: int = 8, baseline: tuple[PipelineModel, DataFrame] | None = None,
 ) -> DataFrame:
     """Apply the techniques of a risk level: retrain, compare with the original model on the test rows.
 
     One row per technique: ``level, technique, original_accuracy, mitigated_accuracy, accuracy_change, within_tolerance,
     gap_before, gap_after, chosen``. Where a level has several techniques, the most accurate is chosen (the first on ties).
-    Thresholds are fitted on the train rows' scores and applied to the test rows.
+    Thresholds are fitted on the train rows' scores and applied to the test rows. ``baseline`` is :func:`mitigation_baseline` of the
+    same rows, where several levels share it.
     """
     if level not in PLAN:
         raise ValueError(f"'{level}' is no risk level: {list(PLAN)}")
-    model = fit_classifier(train, features, target, kind)
-    base = score_table(model, test, features)
+    model, base = baseline or mitigation_baseline(train, test, features, target, kind)
     known = F.col(group).isNotNull()
 
     def state(scored: DataFrame, pred: Column) -> tuple[float, float]:

@@ -64,6 +64,16 @@ def test_each_level_runs_its_techniques(split):
         G.run_mitigation(train, test, "id", ["x"], "y", "g", "UNKNOWN")
 
 
+def test_levels_share_a_baseline(split, monkeypatch):
+    train, test = split
+    fits, fit = [], G.fit_classifier
+    monkeypatch.setattr(G, "fit_classifier", lambda *a, **k: fits.append(a) or fit(*a, **k))
+    baseline = G.mitigation_baseline(train, test, ["x", "z"], "y")
+    shared = [G.run_mitigation(train, test, "id", ["x", "z"], "y", "g", level, baseline=baseline).collect() for level in ("LOW", "MEDIUM")]
+    assert len(fits) == 3  # the original, the oversampled and the weighted one
+    assert shared == [G.run_mitigation(train, test, "id", ["x", "z"], "y", "g", level).collect() for level in ("LOW", "MEDIUM")]
+
+
 def test_best_mixture_is_exact():
     """Mixture and prices prove each other: what the mixture costs is what the prices say any mixture costs at least."""
     from evenhand.functions.programme import best_mixture
